@@ -1,0 +1,5 @@
+"""Intentionally empty: the data work reproduced here has no stream source and no event time.
+
+The bin, confusion and evidence tables are additive counts and sums, so batches can be
+merged by summing them; nothing else is claimed.
+"""
