@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.functions import keyed
+
 
 @dataclass(frozen=True)
 class Query:
@@ -54,9 +56,13 @@ def num(x: float) -> str:
     return f"{float(x)!r}::DOUBLE"
 
 
-def r6(expr: str) -> str:
+def rounded(expr: str, digits: int) -> str:
     """Rounded double; adding zero removes a negative zero."""
-    return f"(round(({expr})::DOUBLE, 6) + 0e0)"
+    return f"(round(({expr})::DOUBLE, {digits}) + 0e0)"
+
+
+def r6(expr: str) -> str:
+    return rounded(expr, 6)
 
 
 def big(expr: str) -> str:
@@ -101,3 +107,27 @@ def ordering(dig: str) -> str:
 def bin_sql(x: str, edge_list: list[float]) -> str:
     """Number of interior edges <= x."""
     return "(" + " + ".join(f"(CASE WHEN {x} >= {num(e)} THEN 1 ELSE 0 END)" for e in edge_list[1:-1]) + ")"
+
+
+def words_sql(seed: int, key: str) -> str:
+    """w0..w3 of a row."""
+    dig = f"md5(concat_ws('|', '{seed}', ({key})::VARCHAR))"
+    return ", ".join(
+        f"('0x' || substr({dig}, {7 * i + 1}, 7))::BIGINT AS w{i}" for i in range(keyed.WORDS)
+    )
+
+
+def mix_sql(terms: list[str], coefs) -> str:
+    return "((" + " + ".join(f"{t} * {c}::BIGINT" for t, c in zip(terms, coefs)) + f") % {keyed.PRIME}::BIGINT)"
+
+
+def draw_sql(terms: list[str], *label) -> str:
+    return mix_sql(terms, keyed.coefficients(*label))
+
+
+def open_uniform_sql(drawn: str) -> str:
+    return f"(({drawn}::DOUBLE + 0.5::DOUBLE) / {num(keyed.PRIME)})"
+
+
+def fine_uniform_sql(high: str, low: str) -> str:
+    return f"(({high}::DOUBLE * {num(2**21)} + ({low} % {2**21}::BIGINT)::DOUBLE) / {num(2**52)})"

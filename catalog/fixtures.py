@@ -13,8 +13,20 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import arrays, keyed
 from plumbline.operators import scoring, stress
-
-from .base import digest, num, ordering, table, text, uniform
+from plumbline.session import spread
+
+from .base import (
+    digest,
+    draw_sql,
+    fine_uniform_sql,
+    mix_sql,
+    num,
+    open_uniform_sql,
+    table,
+    text,
+    uniform,
+    words_sql,
+)
 
 FEATURES = ["x_1", "x_2", "x_3"]
 K = 3
@@ -42,9 +54,15 @@ class LinearSoftmax:
 
 
 SCORERS = [
-    LinearSoftmax("fix_a", (0.2, -0.1, 0.0), ((2.0, -1.0, 0.5), (-1.5, 1.0, 0.3), (0.4, 0.2, -1.2))),
-    LinearSoftmax("fix_b", (0.5, 0.1, -0.4), ((6.0, -3.0, 1.0), (-5.0, 4.0, 2.0), (1.5, -0.5, -3.0))),
-    LinearSoftmax("fix_c", (-0.1, 0.0, 0.1), ((0.6, -0.4, 0.9), (-0.8, 0.5, -0.2), (0.3, -0.6, 0.1))),
+    LinearSoftmax(
+        "fix_a", (0.2173, -0.1137, 0.0311), ((2.0319, -1.0477, 0.5093), (-1.5221, 1.0139, 0.3067), (0.4057, 0.2011, -1.2203))
+    ),
+    LinearSoftmax(
+        "fix_b", (0.5119, 0.1043, -0.4271), ((6.0731, -3.0419, 1.0237), (-5.0113, 4.0549, 2.0333), (1.5197, -0.5171, -3.0217))
+    ),
+    LinearSoftmax(
+        "fix_c", (-0.1091, 0.0173, 0.1259), ((0.6137, -0.4219, 0.9043), (-0.8171, 0.5261, -0.2087), (0.3323, -0.6029, 0.1147))
+    ),
 ]
 
 
@@ -67,16 +85,16 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def evaluation_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole table as one evaluation set for the stress suite."""
-    return features(spark, sf_dir).withColumn("split", F.lit("test"))
-
+    """The whole table as one evaluation set for the stress suite.
 
-def stress_predictions(spark: SparkSession, sf_dir: str, tests=stress.DEFAULT_SUITE) -> DataFrame:
-    return stress.stress_predictions(SCORERS, evaluation_rows(spark, sf_dir), FEATURES, tests, seed=SEED)
+    The suite multiplies rows, so a table of few files is spread over the cores first.
+    """
+    rows = features(spark, sf_dir).withColumn("split", F.lit("test"))
+    return spread(rows, spark.sparkContext.defaultParallelism, "row_id")
 
 
 def stress_results(spark: SparkSession, sf_dir: str, tests=stress.DEFAULT_SUITE) -> DataFrame:
-    return stress.results(stress_predictions(spark, sf_dir, tests))
+    return stress.run(SCORERS, evaluation_rows(spark, sf_dir), FEATURES, tests, seed=SEED)
 
 
 # SQL side -----------------------------------------------------------------------------------
@@ -116,13 +134,6 @@ def argmax_sql(p: str = "p") -> str:
     return f"CASE WHEN {p}0 >= {p}1 AND {p}0 >= {p}2 THEN 0 WHEN {p}1 >= {p}2 THEN 1 ELSE 2 END"
 
 
-def softmax_steps(source: str, carry: str, z: str = "z", out: str = "p") -> tuple[str, str, str]:
-    """Two CTE bodies turning z0..z2 into p0..p2."""
-    exps = ", ".join(f"exp({z}{c} - greatest({z}0, {z}1, {z}2)) AS e{c}" for c in range(K))
-    probs = ", ".join(f"e{c} / (e0 + e1 + e2) AS {out}{c}" for c in range(K))
-    return f"SELECT {carry}, {exps} FROM {source}", probs, carry
-
-
 SQL_PREDICTIONS = f"""{SQL_FEATURES}, {SQL_MODELS},
 fix_z AS (SELECT model, model_seq, split, row_id, y AS y_true, {logits_sql()} FROM feat CROSS JOIN models),
 fix_e AS (SELECT model, model_seq, split, row_id, y_true,
@@ -173,18 +184,24 @@ def confusion_metrics_sql(source: str, keys: str, pred: str = "y_pred", name: st
   FROM {name}_classes GROUP BY {keys})"""
 
 
+_MAPS = [f"c{r}{i}" for r in range(keyed.WORDS) for i in range(keyed.WORDS)]
+
+
 def _tests_sql(tests) -> str:
     rows = []
     for i, t in enumerate(tests):
         factors = [
             stress.coin_factor(t, f, SEED) if t.type == "scale_perturbation" else 1.0 for f in FEATURES
         ]
+        maps = [c for coefs in stress.test_coefficients(t, SEED) for c in coefs]
         rows.append(
             f"({i}, {text(t.title)}, {text(stress.flavour(t))}, {num(stress.amount(t))}, "
             + ", ".join(num(v) for v in factors)
+            + ", "
+            + ", ".join(str(c) for c in maps)
             + ")"
         )
-    return f"tests(test_seq, test_name, kind, amount, f1, f2, f3) AS (VALUES {', '.join(rows)})"
+    return f"tests(test_seq, test_name, kind, amount, f1, f2, f3, {', '.join(_MAPS)}) AS (VALUES {', '.join(rows)})"
 
 
 def stressed_features_sql(tests=stress.DEFAULT_SUITE) -> str:
@@ -193,27 +210,29 @@ def stressed_features_sql(tests=stress.DEFAULT_SUITE) -> str:
         f"avg({f}) AS m{j}, stddev_pop({f}) AS sd{j}, min({f}) AS lo{j}, max({f}) AS hi{j}"
         for j, f in enumerate(FEATURES, 1)
     )
-    digs = ", ".join(
-        f"{digest(SEED, 'test_name', text(f), 'row_id')} AS d{j}" for j, f in enumerate(FEATURES, 1)
+    own = ", ".join(
+        mix_sql([f"w{i}" for i in range(keyed.WORDS)], [f"c{r}{i}" for i in range(keyed.WORDS)]) + f" AS t{r}"
+        for r in range(keyed.WORDS)
     )
+    terms = [f"t{i}" for i in range(keyed.WORDS)]
     ranks = ", ".join(
-        f"row_number() OVER (PARTITION BY test_seq ORDER BY {ordering(f'd{j}')}, row_id) AS r{j}"
-        for j in range(1, len(FEATURES) + 1)
+        f"row_number() OVER (PARTITION BY test_seq ORDER BY "
+        f"{fine_uniform_sql(draw_sql(terms, f, 0), draw_sql(terms, f, 1))}, row_id) AS r{j}"
+        for j, f in enumerate(FEATURES, 1)
     )
 
     def formula(j: int, x: str) -> str:
-        d = f"d{j}"
         pick = f"r{j} <= floor(n * amount)"
-        v = uniform(d, 2)
+        u, v, w = (open_uniform_sql(draw_sql(terms, x, slot)) for slot in range(3))
         pi2 = "6.283185307179586::DOUBLE"
         return f"""CASE kind
-  WHEN 'gaussian_noise' THEN {x} + sqrt(-2.0::DOUBLE * ln({uniform(d, 0)})) * cos({pi2} * {uniform(d, 1)}) * (sd{j} * amount)
-  WHEN 'uniform_noise' THEN {x} + ({uniform(d, 0)} * 2.0::DOUBLE - 1.0::DOUBLE) * ((hi{j} - lo{j}) * amount)
-  WHEN 'feature_dropout' THEN CASE WHEN {uniform(d, 0)} > amount THEN {x} ELSE 0e0 END
+  WHEN 'gaussian_noise' THEN {x} + sqrt(-2.0::DOUBLE * ln({u})) * cos({pi2} * {v}) * (sd{j} * amount)
+  WHEN 'uniform_noise' THEN {x} + ({u} * 2.0::DOUBLE - 1.0::DOUBLE) * ((hi{j} - lo{j}) * amount)
+  WHEN 'feature_dropout' THEN CASE WHEN {u} > amount THEN {x} ELSE 0e0 END
   WHEN 'corrupt_zero' THEN CASE WHEN {pick} THEN 0e0 ELSE {x} END
   WHEN 'corrupt_mean' THEN CASE WHEN {pick} THEN m{j} ELSE {x} END
-  WHEN 'corrupt_random' THEN CASE WHEN {pick} THEN lo{j} + (hi{j} - lo{j}) * {v} ELSE {x} END
-  WHEN 'corrupt_extreme' THEN CASE WHEN {pick} THEN CASE WHEN {v} < 0.5::DOUBLE THEN lo{j} ELSE hi{j} END ELSE {x} END
+  WHEN 'corrupt_random' THEN CASE WHEN {pick} THEN lo{j} + (hi{j} - lo{j}) * {w} ELSE {x} END
+  WHEN 'corrupt_extreme' THEN CASE WHEN {pick} THEN CASE WHEN {w} < 0.5::DOUBLE THEN lo{j} ELSE hi{j} END ELSE {x} END
   WHEN 'scale_perturbation' THEN {x} * f{j}
   WHEN 'shift_mean' THEN {x} + sd{j} * amount
   WHEN 'shift_variance' THEN m{j} + ({x} - m{j}) * amount END AS s{j}"""
@@ -221,7 +240,8 @@ def stressed_features_sql(tests=stress.DEFAULT_SUITE) -> str:
     cols = ", ".join(formula(j, f) for j, f in enumerate(FEATURES, 1))
     return f"""{_tests_sql(tests)},
 stats AS (SELECT count(*) AS n, {stats} FROM feat),
-drawn AS (SELECT feat.*, tests.*, {digs} FROM feat CROSS JOIN tests),
+worded AS (SELECT *, {words_sql(SEED, 'row_id')} FROM feat),
+drawn AS (SELECT worded.*, tests.*, {own} FROM worded CROSS JOIN tests),
 ranked AS (SELECT *, {ranks} FROM drawn),
 stressed AS (SELECT row_id, y, x_1, x_2, x_3, test_seq, test_name, {cols} FROM ranked CROSS JOIN stats)"""
 
@@ -231,8 +251,10 @@ def stress_results_ctes(tests=stress.DEFAULT_SUITE) -> str:
     return f"""{SQL_FEATURES}, {SQL_MODELS}, {stressed_features_sql(tests)},
 st_z AS (SELECT model, model_seq, test_seq, test_name, row_id, y AS y_true, {logits_sql(FEATURES, 'z')},
          {logits_sql(['s1', 's2', 's3'], 'q')} FROM stressed CROSS JOIN models),
+st_e AS (SELECT *, {', '.join(f'exp({z}{c} - greatest({z}0, {z}1, {z}2)) AS {z}e{c}' for z in 'zq' for c in range(K))} FROM st_z),
+st_p AS (SELECT *, {', '.join(f'{z}e{c} / ({z}e0 + {z}e1 + {z}e2) AS {z}p{c}' for z in 'zq' for c in range(K))} FROM st_e),
 st_pred AS (SELECT model, model_seq, 'test' AS split, test_seq, test_name, row_id, y_true,
-         {argmax_sql('z')} AS y_before, {argmax_sql('q')} AS y_after FROM st_z),
+         {argmax_sql('zp')} AS y_before, {argmax_sql('qp')} AS y_after FROM st_p),
 {confusion_metrics_sql('st_pred', 'model, model_seq, split, test_seq, test_name', 'y_after', 'st')},
 st_base AS (SELECT model, test_seq, avg(CASE WHEN y_before = y_true THEN 1e0 ELSE 0e0 END) AS accuracy_original,
          avg(CASE WHEN y_before = y_after THEN 1e0 ELSE 0e0 END) AS prediction_agreement

@@ -30,16 +30,64 @@ def uniform(dig: Column, slot: int) -> Column:
 
 
 def ordering(dig: Column) -> Column:
-    """Uniform with 52 random bits, used where rows are ranked; leaves words 2 and 3 unused."""
+    """Uniform on [0, 1) with 52 random bits, used where rows are ranked."""
     return F.conv(F.substring(dig, 1, 13), 16, 10).cast("double") / F.lit(LONG_WORD)
 
 
+# Many draws per row come from one digest: its words are mixed by random linear maps modulo the
+# Mersenne prime 2^31 - 1, which costs a few integer multiplications per draw. Draws under
+# different labels are pairwise independent because the label coefficients are.
+
+PRIME = 2**31 - 1
+WORDS = 4
+_WORD_DIGITS = 7
+_COEFFICIENT_BITS = 29
+
+
+def words(seed: int, key: Column) -> list[Column]:
+    """Four 28-bit integers per row."""
+    dig = F.md5(F.concat_ws("|", F.lit(str(seed)), key.cast("string")))
+    return [
+        F.conv(F.substring(dig, _WORD_DIGITS * i + 1, _WORD_DIGITS), 16, 10).cast("bigint")
+        for i in range(WORDS)
+    ]
+
+
+def coefficients(*label: object) -> list[int]:
+    """Four non-zero integers below 2^29 derived from a label."""
+    hexed = hashlib.md5("|".join(str(part) for part in label).encode()).hexdigest()
+    return [int(hexed[8 * i : 8 * i + 8], 16) % (2**_COEFFICIENT_BITS - 1) + 1 for i in range(WORDS)]
+
+
+def mix(terms: list[Column], by: list[Column]) -> Column:
+    """Dot product modulo the prime: integers below 2^31 times coefficients below 2^29 fit 64 bits."""
+    total = terms[0] * by[0]
+    for t, c in zip(terms[1:], by[1:]):
+        total = total + t * c
+    return total % F.lit(PRIME).cast("bigint")
+
+
+def draw(terms: list[Column], *label: object) -> Column:
+    """Integer in 0..PRIME-1 for one label."""
+    return mix(terms, [F.lit(c).cast("bigint") for c in coefficients(*label)])
+
+
+def open_uniform(drawn: Column) -> Column:
+    """Uniform in (0, 1), centred in its cell."""
+    return (drawn.cast("double") + F.lit(0.5)) / F.lit(float(PRIME))
+
+
+def fine_uniform(high: Column, low: Column) -> Column:
+    """Uniform on [0, 1) with 52 bits from two draws, used where rows are ranked."""
+    tail = low % F.lit(2**21).cast("bigint")
+    return (high.cast("double") * F.lit(float(2**21)) + tail.cast("double")) / F.lit(LONG_WORD)
+
+
 def normal(u1: Column, u2: Column) -> Column:
     """Standard normal by the Box-Muller transform."""
     return F.sqrt(F.lit(-2.0) * F.ln(u1)) * F.cos(F.lit(2.0 * math.pi) * u2)
 
 
-def driver_uniform(seed: int, tag: str, part: str) -> float:
-    """The same kind of draw on the driver, for decisions made once per column."""
-    text = "|".join([str(seed), tag, part])
-    return (int(hashlib.md5(text.encode()).hexdigest()[:8], 16) + 0.5) / WORD
+def driver_uniform(*label: object) -> float:
+    """A uniform on the driver, for decisions made once per column."""
+    return (coefficients(*label)[0] - 0.5) / (2**_COEFFICIENT_BITS - 1)

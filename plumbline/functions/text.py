@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 
 def fixed(x: Column, digits: int, suffix: str = "") -> Column:
-    return F.when(
-        x.isNotNull(), F.format_string(f"%.{digits}f{suffix.replace('%', '%%')}", F.round(x, digits))
-    )
+    """Fixed decimals; a negative value that rounds to zero keeps its sign, as ``-0.0``."""
+    near = F.round(x, digits)
+    shown = F.format_string(f"%.{digits}f{suffix.replace('%', '%%')}", near)
+    return F.when((x < 0) & (near == 0), F.concat(F.lit("-"), shown)).when(x.isNotNull(), shown)
 
 
 def percent(x: Column, digits: int) -> Column:

@@ -125,7 +125,16 @@ def feature_stats(df: DataFrame, features: Sequence[str]) -> dict:
 def coin_factor(test: StressTest, feature: str, seed: int) -> float:
     """One draw per column: multiply or divide the whole column."""
     factor = amount(test)
-    return factor if keyed.driver_uniform(seed, test.title, feature) > 0.5 else 1.0 / factor
+    return factor if keyed.driver_uniform(seed, "coin", test.title, feature) > 0.5 else 1.0 / factor
+
+
+def test_coefficients(test: StressTest, seed: int) -> list[list[int]]:
+    """The linear maps that turn a row's words into the words of one test."""
+    return [keyed.coefficients(seed, "test", test.title, i) for i in range(keyed.WORDS)]
+
+
+def _order(terms: list[Column], feature: str) -> Column:
+    return keyed.fine_uniform(keyed.draw(terms, feature, 0), keyed.draw(terms, feature, 1))
 
 
 def _corruption_cuts(df, features, tests, key, seed, n) -> dict:
@@ -133,21 +142,31 @@ def _corruption_cuts(df, features, tests, key, seed, n) -> dict:
     hit = [t for t in tests if t.type == "feature_corruption"]
     if not hit:
         return {}
+    base = df.select(F.col(key), *[w.alias(f"__w_{i}") for i, w in enumerate(keyed.words(seed, F.col(key)))])
+    row_words = [F.col(f"__w_{i}") for i in range(keyed.WORDS)]
+    names = {t.title: [f"__t_{k}_{i}" for i in range(keyed.WORDS)] for k, t in enumerate(hit)}
+    mixed = base.select(
+        F.col(key),
+        *[
+            keyed.mix(row_words, [F.lit(c).cast("bigint") for c in coefs]).alias(name)
+            for t in hit
+            for name, coefs in zip(names[t.title], test_coefficients(t, seed))
+        ],
+    )
     cells = F.array(
         *[
             F.struct(
-                F.lit(t.title).alias("test"),
-                F.lit(f).alias("feature"),
-                keyed.ordering(keyed.digest(seed, t.title, f, F.col(key))).alias("draw"),
+                F.lit(k * len(features) + j).alias("cell"),
+                _order([F.col(c) for c in names[t.title]], f).alias("draw"),
             )
-            for t in hit
-            for f in features
+            for k, t in enumerate(hit)
+            for j, f in enumerate(features)
         ]
     )
-    draws = df.select(F.col(key), F.inline(cells))
-    takes = {(t.title, f): [int(n * amount(t))] for t in hit for f in features}
-    found = cuts(draws, ["test", "feature"], "draw", key, takes, {g: n for g in takes})
-    return {g: cut for (g, _), cut in found.items()}
+    draws = mixed.select(F.col(key), F.inline(cells))
+    takes = {(k * len(features) + j,): [int(n * amount(t))] for k, t in enumerate(hit) for j in range(len(features))}
+    found = cuts(draws, ["cell"], "draw", key, takes, {g: n for g in takes})
+    return {(hit[g // len(features)].title, features[g % len(features)]): cut for ((g,), _), cut in found.items()}
 
 
 def perturb(
@@ -163,111 +182,112 @@ def perturb(
     key must be unique: it alone decides the draws, whatever the partitioning.
     """
     tests = usable(tests)
+    titles = F.array(*[F.lit(t.title) for t in tests])
+    return _perturb(df, features, tests, key, seed).withColumn("test_name", F.get(titles, F.col("test_seq")))
+
+
+def _perturb(df: DataFrame, features: Sequence[str], tests: list[StressTest], key: str, seed: int) -> DataFrame:
     if not tests:
         raise ValueError("no usable stress tests")
     stats = feature_stats(df, features)
     cut_of = _corruption_cuts(df, features, tests, key, seed, stats["n"])
-    ties = {g: c.keys for g, c in cut_of.items() if c.keys is not None}
-    suite = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("test_seq"),
-                F.lit(t.title).alias("test_name"),
-                F.lit(flavour(t)).alias("__kind"),
-                F.lit(amount(t)).alias("__amount"),
-                *[
-                    F.lit(
-                        coin_factor(t, f, seed)
-                        if t.type == "scale_perturbation"
-                        else cut_of.get((t.title, f), NOTHING).value
-                    ).alias(f"__p_{j}")
-                    for j, f in enumerate(features)
-                ],
-            )
-            for i, t in enumerate(tests)
+    kinds = sorted({flavour(t) for t in tests})
+    random = any(t.type in _RANDOM for t in tests)
+
+    def settings(i: int, t: StressTest) -> Column:
+        own = [
+            coin_factor(t, f, seed) if t.type == "scale_perturbation" else cut_of.get((t.title, f), NOTHING).value
+            for f in features
         ]
-    )
-    rows = df.select("*", F.inline(suite))
-    if any(t.type in _RANDOM for t in tests):
-        drawn = F.col("__kind").isin(*sorted({flavour(t) for t in tests if t.type in _RANDOM}))
+        maps = test_coefficients(t, seed) if random else []
+        return F.struct(
+            F.lit(i).alias("test_seq"),
+            F.lit(kinds.index(flavour(t))).alias("__kind"),
+            F.lit(amount(t)).alias("__amount"),
+            *[F.lit(v).alias(f"__p_{j}") for j, v in enumerate(own)],
+            *[
+                F.lit(c).cast("bigint").alias(f"__c_{r}_{i}")
+                for r, coefs in enumerate(maps)
+                for i, c in enumerate(coefs)
+            ],
+        )
+
+    suite = F.array(*[settings(i, t) for i, t in enumerate(tests)])
+    row_words = keyed.words(seed, F.col(key)) if random else []
+    rows = df.select("*", *[w.alias(f"__w_{i}") for i, w in enumerate(row_words)]).select("*", F.inline(suite))
+    if random:
+        terms = [F.col(f"__w_{i}") for i in range(keyed.WORDS)]
         rows = rows.select(
-            "*",
+            *df.columns,
+            "test_seq",
+            "__kind",
+            "__amount",
+            *[f"__p_{j}" for j in range(len(features))],
             *[
-                F.when(drawn, keyed.digest(seed, F.col("test_name"), f, F.col(key))).alias(f"__d_{j}")
-                for j, f in enumerate(features)
+                keyed.mix(terms, [F.col(f"__c_{r}_{i}") for i in range(keyed.WORDS)]).alias(f"__t_{r}")
+                for r in range(keyed.WORDS)
             ],
         )
-    kinds = {flavour(t) for t in tests}
+    ties = {(tests.index(t), f): c.keys for t in tests for f in features if (c := cut_of.get((t.title, f))) and c.keys}
     moved = {
-        f: _perturbed(F.col(f).cast("double"), j, f, stats[f], kinds, ties, key)
-        for j, f in enumerate(features)
+        f: _perturbed(F.col(f).cast("double"), j, f, stats[f], kinds, ties, key) for j, f in enumerate(features)
     }
-    return rows.select(*[moved[c].alias(c) if c in moved else F.col(c) for c in df.columns], "test_seq", "test_name")
+    return rows.select(*[moved[c].alias(c) if c in moved else F.col(c) for c in df.columns], "test_seq")
 
 
-def _perturbed(x: Column, j: int, feature: str, stat: dict, kinds: set, ties: dict, key: str) -> Column:
-    dig, size, p = F.col(f"__d_{j}"), F.col("__amount"), F.col(f"__p_{j}")
+def _perturbed(x: Column, j: int, feature: str, stat: dict, kinds: list[str], ties: dict, key: str) -> Column:
+    terms = [F.col(f"__t_{i}") for i in range(keyed.WORDS)]
+    size, p = F.col("__amount"), F.col(f"__p_{j}")
     mean, std, lo, hi = (F.lit(stat[m]).cast("double") for m in ("mean", "std", "min", "max"))
-    draw = keyed.uniform(dig, 2) if any(k.startswith("corrupt") for k in kinds) else None
+
+    def uniform(slot: int) -> Column:
+        return keyed.open_uniform(keyed.draw(terms, feature, slot))
 
     def corrupt(value: Column) -> Column:
-        order = keyed.ordering(dig)
+        order = _order(terms, feature)
         chosen = order <= p
-        tied = {t: keys for (t, f), keys in ties.items() if f == feature}
-        for title, keys in tied.items():
-            kept = (order < p) | F.col(key).cast("string").isin(*keys)
-            chosen = chosen & ((F.col("test_name") != title) | kept)
+        for (seq, f), keys in ties.items():
+            if f == feature:
+                kept = (order < p) | F.col(key).cast("string").isin(*keys)
+                chosen = chosen & ((F.col("test_seq") != seq) | kept)
         return F.when(chosen, value).otherwise(x)
 
     formulas = {
-        "gaussian_noise": lambda: x + keyed.normal(keyed.uniform(dig, 0), keyed.uniform(dig, 1)) * (std * size),
-        "uniform_noise": lambda: x + (keyed.uniform(dig, 0) * F.lit(2.0) - F.lit(1.0)) * ((hi - lo) * size),
-        "feature_dropout": lambda: F.when(keyed.uniform(dig, 0) > size, x).otherwise(
-            F.when(x.isNotNull(), F.lit(0.0))
-        ),
+        "gaussian_noise": lambda: x + keyed.normal(uniform(0), uniform(1)) * (std * size),
+        "uniform_noise": lambda: x + (uniform(0) * F.lit(2.0) - F.lit(1.0)) * ((hi - lo) * size),
+        "feature_dropout": lambda: F.when(uniform(0) > size, x).otherwise(F.when(x.isNotNull(), F.lit(0.0))),
         "corrupt_zero": lambda: corrupt(F.lit(0.0)),
         "corrupt_mean": lambda: corrupt(mean),
-        "corrupt_random": lambda: corrupt(lo + (hi - lo) * draw),
-        "corrupt_extreme": lambda: corrupt(F.when(draw < F.lit(0.5), lo).otherwise(hi)),
+        "corrupt_random": lambda: corrupt(lo + (hi - lo) * uniform(2)),
+        "corrupt_extreme": lambda: corrupt(F.when(uniform(2) < F.lit(0.5), lo).otherwise(hi)),
         "scale_perturbation": lambda: x * p,
         "shift_mean": lambda: x + std * size,
         "shift_variance": lambda: mean + (x - mean) * size,
     }
-    unknown = kinds - set(formulas)
+    unknown = set(kinds) - set(formulas)
     if unknown:
         raise ValueError(f"unknown perturbation: {sorted(unknown)}")
     chain = F
-    for kind, formula in formulas.items():
-        if kind in kinds:
-            chain = chain.when(F.col("__kind") == F.lit(kind), formula())
+    for code, kind in enumerate(kinds):
+        chain = chain.when(F.col("__kind") == F.lit(code), formulas[kind]())
     return chain
 
 
-def stress_predictions(
-    scorers: Sequence,
-    df: DataFrame,
-    features: Sequence[str],
-    tests: Sequence[StressTest] = DEFAULT_SUITE,
-    key: str = "row_id",
-    target: str = "y",
-    split: str = "split",
-    seed: int = 42,
-) -> DataFrame:
-    """Original and stressed prediction of every (model, test, row); the original is scored once."""
+def _coded_predictions(scorers, df, features, tests, key, target, split, seed) -> DataFrame:
+    """Predictions before and after each test; models and tests by number only."""
     scored = scoring.attach_all(scorers, df, features, "__o_")
+    carried = [F.col(split).alias("split"), F.col(target).cast("int").alias("y_true")]
     base = scored.select(
         F.col(key),
-        F.col(target).cast("int").alias("y_true"),
-        F.col(split).alias("split"),
+        *carried,
         *features,
         *[arrays.argmax(F.col(f"__o_{i}")).alias(f"__before_{i}") for i in range(len(scorers))],
     )
-    moved = scoring.attach_all(scorers, perturb(base, features, tests, key, seed), features, "__s_")
+    moved = scoring.attach_all(scorers, _perturb(base, features, tests, key, seed), features, "__s_")
     after = moved.select(
         "split",
         F.col(key).alias("row_id"),
         "test_seq",
-        "test_name",
         "y_true",
         *[f"__before_{i}" for i in range(len(scorers))],
         *[arrays.argmax(F.col(f"__s_{i}")).alias(f"__after_{i}") for i in range(len(scorers))],
@@ -275,15 +295,39 @@ def stress_predictions(
     per_model = F.array(
         *[
             F.struct(
-                F.lit(s.name).alias("model"),
                 F.lit(i).alias("model_seq"),
                 F.col(f"__before_{i}").alias("y_pred_original"),
                 F.col(f"__after_{i}").alias("y_pred_stressed"),
             )
-            for i, s in enumerate(scorers)
+            for i in range(len(scorers))
         ]
     )
-    return after.select("split", "row_id", "test_seq", "test_name", "y_true", F.inline(per_model))
+    return after.select("split", "row_id", "test_seq", "y_true", F.inline(per_model))
+
+
+def _named(df: DataFrame, scorers: Sequence, tests: Sequence[StressTest]) -> DataFrame:
+    models = F.array(*[F.lit(s.name) for s in scorers])
+    titles = F.array(*[F.lit(t.title) for t in tests])
+    return df.select(
+        F.get(models, F.col("model_seq")).alias("model"),
+        F.get(titles, F.col("test_seq")).alias("test_name"),
+        "*",
+    )
+
+
+def stress_predictions(
+    scorers: Sequence,
+    df: DataFrame,
+    features: Sequence[str],
+    tests: Sequence[StressTest] = DEFAULT_SUITE,
+    key: str = "row_id",
+    target: str = "y",
+    split: str = "split",
+    seed: int = 42,
+) -> DataFrame:
+    """Original and stressed prediction of every (model, test, row); the original is scored once."""
+    tests = usable(tests)
+    return _named(_coded_predictions(scorers, df, features, tests, key, target, split, seed), scorers, tests)
 
 
 def results(stressed: DataFrame, keys: Sequence[str] = RESULT_KEYS) -> DataFrame:
@@ -327,8 +371,13 @@ def run(
     split: str = "split",
     seed: int = 42,
 ) -> DataFrame:
-    """Run a suite of tests for all scorers over one evaluation split."""
-    return results(stress_predictions(scorers, df, features, tests, key, target, split, seed))
+    """Run a suite of tests for all scorers over one evaluation split.
+
+    Rows are counted under integer codes; the names are put on the small result.
+    """
+    tests = usable(tests)
+    coded = _coded_predictions(scorers, df, features, tests, key, target, split, seed)
+    return _named(results(coded, ("model_seq", "split", "test_seq")), scorers, tests)
 
 
 def single(scorers, df, features, test: StressTest, **kwargs) -> DataFrame:

@@ -39,3 +39,13 @@ def settle(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="plumbline-checkpoint-")
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, partitions: int, key: str) -> DataFrame:
+    """Hash ``df`` on its key when it has fewer partitions than asked; a wide scan is left alone.
+
+    Meant for a scan that feeds a row-multiplying stage: a small file is one task otherwise.
+    """
+    if df.rdd.getNumPartitions() >= partitions:
+        return df
+    return df.repartition(partitions, key)
