@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.functions import arrays, keyed
+from plumbline.functions import keyed
 from plumbline.operators import scoring, stress
 from plumbline.session import spread
 
@@ -42,15 +42,22 @@ class LinearSoftmax:
     weights: tuple[tuple[float, ...], ...]
 
     def attach(self, df: DataFrame, features: list[str], column: str) -> DataFrame:
-        logits = []
-        for b, row in zip(self.intercepts, self.weights):
-            z = F.lit(b)
-            for w, f in zip(row, features):
-                z = z + F.lit(w) * F.col(f)
-            logits.append(z)
-        names = [f"__z_{column}_{i}" for i in range(len(logits))]
-        with_z = df.select("*", *[z.alias(n) for z, n in zip(logits, names)])
-        return with_z.withColumn(column, arrays.softmax([F.col(n) for n in names])).drop(*names)
+        classes = range(len(self.intercepts))
+        logits = [
+            " + ".join([f"{b!r}D", *[f"{w!r}D * `{f}`" for w, f in zip(row, features)]])
+            for b, row in zip(self.intercepts, self.weights)
+        ]
+        kept = list(df.columns)
+        z = [f"{column}_z{c}" for c in classes]
+        e = [f"{column}_e{c}" for c in classes]
+        top, total = f"{column}_top", f"{column}_sum"
+        return (
+            df.select(*kept, *[F.expr(x).alias(n) for x, n in zip(logits, z)])
+            .select("*", F.greatest(*z).alias(top))
+            .select(*kept, *[F.exp(F.col(n) - F.col(top)).alias(m) for n, m in zip(z, e)])
+            .select("*", F.expr(" + ".join(e)).alias(total))
+            .select(*kept, F.array(*[F.col(n) / F.col(total) for n in e]).alias(column))
+        )
 
 
 SCORERS = [
@@ -224,11 +231,12 @@ def stressed_features_sql(tests=stress.DEFAULT_SUITE) -> str:
     def formula(j: int, x: str) -> str:
         pick = f"r{j} <= floor(n * amount)"
         u, v, w = (open_uniform_sql(draw_sql(terms, x, slot)) for slot in range(3))
+        o = fine_uniform_sql(draw_sql(terms, x, 0), draw_sql(terms, x, 1))
         pi2 = "6.283185307179586::DOUBLE"
         return f"""CASE kind
   WHEN 'gaussian_noise' THEN {x} + sqrt(-2.0::DOUBLE * ln({u})) * cos({pi2} * {v}) * (sd{j} * amount)
   WHEN 'uniform_noise' THEN {x} + ({u} * 2.0::DOUBLE - 1.0::DOUBLE) * ((hi{j} - lo{j}) * amount)
-  WHEN 'feature_dropout' THEN CASE WHEN {u} > amount THEN {x} ELSE 0e0 END
+  WHEN 'feature_dropout' THEN CASE WHEN {o} > amount THEN {x} ELSE 0e0 END
   WHEN 'corrupt_zero' THEN CASE WHEN {pick} THEN 0e0 ELSE {x} END
   WHEN 'corrupt_mean' THEN CASE WHEN {pick} THEN m{j} ELSE {x} END
   WHEN 'corrupt_random' THEN CASE WHEN {pick} THEN lo{j} + (hi{j} - lo{j}) * {w} ELSE {x} END

@@ -45,10 +45,13 @@ _COEFFICIENT_BITS = 29
 
 
 def words(seed: int, key: Column) -> list[Column]:
-    """Four 28-bit integers per row."""
+    """Four 28-bit integers per row, never null, which keeps the code generated for draws short."""
     dig = F.md5(F.concat_ws("|", F.lit(str(seed)), key.cast("string")))
     return [
-        F.conv(F.substring(dig, _WORD_DIGITS * i + 1, _WORD_DIGITS), 16, 10).cast("bigint")
+        F.coalesce(
+            F.conv(F.substring(dig, _WORD_DIGITS * i + 1, _WORD_DIGITS), 16, 10).cast("bigint"),
+            F.lit(0).cast("bigint"),
+        )
         for i in range(WORDS)
     ]
 
@@ -59,17 +62,19 @@ def coefficients(*label: object) -> list[int]:
     return [int(hexed[8 * i : 8 * i + 8], 16) % (2**_COEFFICIENT_BITS - 1) + 1 for i in range(WORDS)]
 
 
-def mix(terms: list[Column], by: list[Column]) -> Column:
-    """Dot product modulo the prime: integers below 2^31 times coefficients below 2^29 fit 64 bits."""
-    total = terms[0] * by[0]
-    for t, c in zip(terms[1:], by[1:]):
-        total = total + t * c
-    return total % F.lit(PRIME).cast("bigint")
+def mix(terms: list[str], by: list[int] | list[str]) -> Column:
+    """Dot product modulo the prime of named columns with constants or further columns.
 
+    Integers below 2^31 times coefficients below 2^29 fit 64 bits. One SQL expression instead of
+    a tree of Column calls, each of which is a round trip to the JVM.
+    """
+    factors = [f"{c}L" if isinstance(c, int) else f"`{c}`" for c in by]
+    return F.expr("(" + " + ".join(f"`{t}` * {c}" for t, c in zip(terms, factors)) + f") % {PRIME}L")
 
-def draw(terms: list[Column], *label: object) -> Column:
+
+def draw(terms: list[str], *label: object) -> Column:
     """Integer in 0..PRIME-1 for one label."""
-    return mix(terms, [F.lit(c).cast("bigint") for c in coefficients(*label)])
+    return mix(terms, coefficients(*label))
 
 
 def open_uniform(drawn: Column) -> Column:

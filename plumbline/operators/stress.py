@@ -65,6 +65,7 @@ AMOUNTS = {
 CORRUPTION_TYPES = ("zero", "mean", "random", "extreme")
 SHIFT_TYPES = ("mean", "variance")
 
+_SLOTS = 3
 _RANDOM = ("gaussian_noise", "uniform_noise", "feature_dropout", "feature_corruption")
 
 
@@ -133,7 +134,7 @@ def test_coefficients(test: StressTest, seed: int) -> list[list[int]]:
     return [keyed.coefficients(seed, "test", test.title, i) for i in range(keyed.WORDS)]
 
 
-def _order(terms: list[Column], feature: str) -> Column:
+def _order(terms: list[str], feature: str) -> Column:
     return keyed.fine_uniform(keyed.draw(terms, feature, 0), keyed.draw(terms, feature, 1))
 
 
@@ -143,12 +144,12 @@ def _corruption_cuts(df, features, tests, key, seed, n) -> dict:
     if not hit:
         return {}
     base = df.select(F.col(key), *[w.alias(f"__w_{i}") for i, w in enumerate(keyed.words(seed, F.col(key)))])
-    row_words = [F.col(f"__w_{i}") for i in range(keyed.WORDS)]
+    row_words = [f"__w_{i}" for i in range(keyed.WORDS)]
     names = {t.title: [f"__t_{k}_{i}" for i in range(keyed.WORDS)] for k, t in enumerate(hit)}
     mixed = base.select(
         F.col(key),
         *[
-            keyed.mix(row_words, [F.lit(c).cast("bigint") for c in coefs]).alias(name)
+            keyed.mix(row_words, coefs).alias(name)
             for t in hit
             for name, coefs in zip(names[t.title], test_coefficients(t, seed))
         ],
@@ -157,7 +158,7 @@ def _corruption_cuts(df, features, tests, key, seed, n) -> dict:
         *[
             F.struct(
                 F.lit(k * len(features) + j).alias("cell"),
-                _order([F.col(c) for c in names[t.title]], f).alias("draw"),
+                _order(names[t.title], f).alias("draw"),
             )
             for k, t in enumerate(hit)
             for j, f in enumerate(features)
@@ -186,91 +187,104 @@ def perturb(
     return _perturb(df, features, tests, key, seed).withColumn("test_name", F.get(titles, F.col("test_seq")))
 
 
+def cell_settings(test: StressTest, feature: str, stat: Mapping[str, float], cut: float, seed: int) -> dict:
+    """Numbers that make one formula serve every test type:
+
+    a cell whose rank draw is at most ``cut`` becomes ``base + span * w``; any other cell becomes
+    ``x * mul + add + amp * noise``.
+    """
+    size, mean, std, lo, hi = amount(test), stat["mean"], stat["std"], stat["min"], stat["max"]
+    cell = {"mul": 1.0, "add": 0.0, "amp": 0.0, "cut": NOTHING.value, "base": 0.0, "span": 0.0}
+    replaced = {"zero": (0.0, 0.0), "mean": (mean, 0.0), "random": (lo, hi - lo), "extreme": (lo, hi - lo)}
+    change = {
+        "gaussian_noise": lambda: {"amp": std * size},
+        "uniform_noise": lambda: {"amp": (hi - lo) * size},
+        "feature_dropout": lambda: {"cut": size},
+        "scale_perturbation": lambda: {"mul": coin_factor(test, feature, seed)},
+        "shift_mean": lambda: {"add": std * size},
+        "shift_variance": lambda: {"mul": size, "add": mean - mean * size},
+        **{
+            f"corrupt_{name}": lambda b=base, s=span: {"cut": cut, "base": b, "span": s}
+            for name, (base, span) in replaced.items()
+        },
+    }
+    kind = flavour(test)
+    if kind not in change:
+        raise ValueError(f"unknown perturbation: {kind}")
+    return {**cell, **change[kind]()}
+
+
 def _perturb(df: DataFrame, features: Sequence[str], tests: list[StressTest], key: str, seed: int) -> DataFrame:
     if not tests:
         raise ValueError("no usable stress tests")
     stats = feature_stats(df, features)
+    blank = [f for f in features if stats[f]["mean"] is None]
+    if blank:
+        raise ValueError(f"features without values: {blank}")
     cut_of = _corruption_cuts(df, features, tests, key, seed, stats["n"])
-    kinds = sorted({flavour(t) for t in tests})
     random = any(t.type in _RANDOM for t in tests)
 
-    def settings(i: int, t: StressTest) -> Column:
-        own = [
-            coin_factor(t, f, seed) if t.type == "scale_perturbation" else cut_of.get((t.title, f), NOTHING).value
-            for f in features
+    def settings(i: int, t: StressTest) -> str:
+        kind = flavour(t)
+        fields = [
+            f"{i} AS test_seq",
+            f"{str(kind == 'gaussian_noise').lower()} AS __bell",
+            f"{str(kind == 'corrupt_extreme').lower()} AS __ends",
+            f"{str(kind == 'feature_dropout').lower()} AS __drop",
         ]
-        maps = test_coefficients(t, seed) if random else []
-        return F.struct(
-            F.lit(i).alias("test_seq"),
-            F.lit(kinds.index(flavour(t))).alias("__kind"),
-            F.lit(amount(t)).alias("__amount"),
-            *[F.lit(v).alias(f"__p_{j}") for j, v in enumerate(own)],
-            *[
-                F.lit(c).cast("bigint").alias(f"__c_{r}_{i}")
-                for r, coefs in enumerate(maps)
-                for i, c in enumerate(coefs)
-            ],
-        )
-
-    suite = F.array(*[settings(i, t) for i, t in enumerate(tests)])
-    row_words = keyed.words(seed, F.col(key)) if random else []
-    rows = df.select("*", *[w.alias(f"__w_{i}") for i, w in enumerate(row_words)]).select("*", F.inline(suite))
-    if random:
-        terms = [F.col(f"__w_{i}") for i in range(keyed.WORDS)]
-        rows = rows.select(
-            *df.columns,
-            "test_seq",
-            "__kind",
-            "__amount",
-            *[f"__p_{j}" for j in range(len(features))],
-            *[
-                keyed.mix(terms, [F.col(f"__c_{r}_{i}") for i in range(keyed.WORDS)]).alias(f"__t_{r}")
-                for r in range(keyed.WORDS)
-            ],
-        )
+        for j, f in enumerate(features):
+            cell = cell_settings(t, f, stats[f], cut_of.get((t.title, f), NOTHING).value, seed)
+            fields += [f"{v!r}D AS __{name}_{j}" for name, v in cell.items()]
+        if random:
+            fields += [
+                f"{c}L AS __c_{r}_{k}" for r, coefs in enumerate(test_coefficients(t, seed)) for k, c in enumerate(coefs)
+            ]
+        return f"struct({', '.join(fields)})"
+
+    suite = F.expr(f"array({', '.join(settings(i, t) for i, t in enumerate(tests))})")
+    if not random:
+        rows = df.select("*", F.inline(suite))
+        moved = {f: F.expr(f"cast(`{f}` AS double) * __mul_{j} + __add_{j}") for j, f in enumerate(features)}
+        return rows.select(*[moved[c].alias(c) if c in moved else F.col(c) for c in df.columns], "test_seq")
+    row_words = [w.alias(f"__w_{i}") for i, w in enumerate(keyed.words(seed, F.col(key)))]
+    rows = df.select("*", *row_words).select("*", F.inline(suite))
+    own = [f"__t_{r}" for r in range(keyed.WORDS)]
+    kept = [c for c in rows.columns if not c.startswith(("__w_", "__c_"))]
+    rows = rows.select(
+        *kept,
+        *[
+            keyed.mix([f"__w_{k}" for k in range(keyed.WORDS)], [f"__c_{r}_{k}" for k in range(keyed.WORDS)]).alias(t)
+            for r, t in enumerate(own)
+        ],
+    ).select(
+        *kept,
+        *[
+            keyed.draw(own, f, slot).alias(f"__h_{j}_{slot}")
+            for j, f in enumerate(features)
+            for slot in range(_SLOTS)
+        ],
+    )
     ties = {(tests.index(t), f): c.keys for t in tests for f in features if (c := cut_of.get((t.title, f))) and c.keys}
-    moved = {
-        f: _perturbed(F.col(f).cast("double"), j, f, stats[f], kinds, ties, key) for j, f in enumerate(features)
-    }
+    moved = {f: _perturbed(j, f, ties, key) for j, f in enumerate(features)}
     return rows.select(*[moved[c].alias(c) if c in moved else F.col(c) for c in df.columns], "test_seq")
 
 
-def _perturbed(x: Column, j: int, feature: str, stat: dict, kinds: list[str], ties: dict, key: str) -> Column:
-    terms = [F.col(f"__t_{i}") for i in range(keyed.WORDS)]
-    size, p = F.col("__amount"), F.col(f"__p_{j}")
-    mean, std, lo, hi = (F.lit(stat[m]).cast("double") for m in ("mean", "std", "min", "max"))
-
-    def uniform(slot: int) -> Column:
-        return keyed.open_uniform(keyed.draw(terms, feature, slot))
-
-    def corrupt(value: Column) -> Column:
-        order = _order(terms, feature)
-        chosen = order <= p
-        for (seq, f), keys in ties.items():
-            if f == feature:
-                kept = (order < p) | F.col(key).cast("string").isin(*keys)
-                chosen = chosen & ((F.col("test_seq") != seq) | kept)
-        return F.when(chosen, value).otherwise(x)
-
-    formulas = {
-        "gaussian_noise": lambda: x + keyed.normal(uniform(0), uniform(1)) * (std * size),
-        "uniform_noise": lambda: x + (uniform(0) * F.lit(2.0) - F.lit(1.0)) * ((hi - lo) * size),
-        "feature_dropout": lambda: F.when(uniform(0) > size, x).otherwise(F.when(x.isNotNull(), F.lit(0.0))),
-        "corrupt_zero": lambda: corrupt(F.lit(0.0)),
-        "corrupt_mean": lambda: corrupt(mean),
-        "corrupt_random": lambda: corrupt(lo + (hi - lo) * uniform(2)),
-        "corrupt_extreme": lambda: corrupt(F.when(uniform(2) < F.lit(0.5), lo).otherwise(hi)),
-        "scale_perturbation": lambda: x * p,
-        "shift_mean": lambda: x + std * size,
-        "shift_variance": lambda: mean + (x - mean) * size,
-    }
-    unknown = set(kinds) - set(formulas)
-    if unknown:
-        raise ValueError(f"unknown perturbation: {sorted(unknown)}")
-    chain = F
-    for code, kind in enumerate(kinds):
-        chain = chain.when(F.col("__kind") == F.lit(code), formulas[kind]())
-    return chain
+def _perturbed(j: int, feature: str, ties: Mapping, key: str) -> Column:
+    x = F.col(feature).cast("double")
+    high, low, third = (F.col(f"__h_{j}_{slot}") for slot in range(_SLOTS))
+    amp, cut, drop = F.col(f"__amp_{j}"), F.col(f"__cut_{j}"), F.col("__drop")
+    order = keyed.fine_uniform(high, low)
+    chosen = (order <= cut) & (x.isNotNull() | ~drop)
+    for (seq, f), keys in ties.items():
+        if f == feature:
+            kept = (order < cut) | F.col(key).cast("string").isin(*keys)
+            chosen = chosen & ((F.col("test_seq") != seq) | kept)
+    w = keyed.open_uniform(third)
+    step = F.when(F.col("__ends"), F.when(w < F.lit(0.5), F.lit(0.0)).otherwise(F.lit(1.0))).otherwise(w)
+    u = keyed.open_uniform(high)
+    noise = F.when(F.col("__bell"), keyed.normal(u, keyed.open_uniform(low))).otherwise(u * F.lit(2.0) - F.lit(1.0))
+    shifted = x * F.col(f"__mul_{j}") + F.col(f"__add_{j}") + F.when(amp == 0, F.lit(0.0)).otherwise(noise * amp)
+    return F.when(chosen, F.col(f"__base_{j}") + F.col(f"__span_{j}") * step).otherwise(shifted)
 
 
 def _coded_predictions(scorers, df, features, tests, key, target, split, seed) -> DataFrame:
