@@ -10,10 +10,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.functions import keyed
 from plumbline.operators import scoring, stress
-from plumbline.session import spread
+from plumbline.session import small_frame, spread
 
 from .base import (
     digest,
@@ -104,6 +105,16 @@ def stress_results(spark: SparkSession, sf_dir: str, tests=stress.DEFAULT_SUITE)
     return stress.run(SCORERS, evaluation_rows(spark, sf_dir), FEATURES, tests, seed=SEED)
 
 
+def models(spark: SparkSession) -> DataFrame:
+    """Trained models: the scorers and one that was never evaluated."""
+    schema = T.StructType([T.StructField("model", T.StringType()), T.StructField("model_seq", T.IntegerType())])
+    names = [s.name for s in SCORERS] + [UNEVALUATED]
+    return small_frame(spark, [(n, i) for i, n in enumerate(names)], schema)
+
+
+UNEVALUATED = "fix_d"
+
+
 # SQL side -----------------------------------------------------------------------------------
 
 SQL_FEATURES = f"""feat AS (
@@ -254,9 +265,13 @@ ranked AS (SELECT *, {ranks} FROM drawn),
 stressed AS (SELECT row_id, y, x_1, x_2, x_3, test_seq, test_name, {cols} FROM ranked CROSS JOIN stats)"""
 
 
-def stress_results_ctes(tests=stress.DEFAULT_SUITE) -> str:
-    """CTEs ending in ``stress_results``; every row of ``orders`` is scored before and after."""
-    return f"""{SQL_FEATURES}, {SQL_MODELS}, {stressed_features_sql(tests)},
+def stress_results_ctes(tests=stress.DEFAULT_SUITE, base: bool = True) -> str:
+    """CTEs ending in ``stress_results``; every row of ``orders`` is scored before and after.
+
+    ``base`` is off where the feature and model CTEs are already there.
+    """
+    first = f"{SQL_FEATURES}, {SQL_MODELS}, " if base else ""
+    return f"""{first}{stressed_features_sql(tests)},
 st_z AS (SELECT model, model_seq, test_seq, test_name, row_id, y AS y_true, {logits_sql(FEATURES, 'z')},
          {logits_sql(['s1', 's2', 's3'], 'q')} FROM stressed CROSS JOIN models),
 st_e AS (SELECT *, {', '.join(f'exp({z}{c} - greatest({z}0, {z}1, {z}2)) AS {z}e{c}' for z in 'zq' for c in range(K))} FROM st_z),
@@ -273,3 +288,8 @@ stress_results AS (SELECT m.model, m.model_seq, m.split, m.test_seq, m.test_name
               ELSE 0e0 END AS performance_drop_pct,
          m.precision AS precision_stressed, m.recall AS recall_stressed, m.f1 AS f1_stressed, b.prediction_agreement
          FROM st_metrics m JOIN st_base b ON m.model = b.model AND m.test_seq = b.test_seq)"""
+
+
+SQL_TRAINED = "trained(model, model_seq) AS (VALUES " + ", ".join(
+    f"({text(n)}, {i})" for i, n in enumerate([*[s.name for s in SCORERS], UNEVALUATED])
+) + ")"

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .order_stats import sketch
+
 BLOCK = "__block"
 MAX_BLOCKS = 4096
 _ACCURACY = 40_000
@@ -47,7 +49,7 @@ def range_blocks(df: DataFrame, order_by: list[str], rows_per_block: int = 1_000
     fractions = [i / MAX_BLOCKS for i in range(1, MAX_BLOCKS)]
     lead = df.withColumn("__lead", _number(df, order_by[0]))
     row = lead.agg(
-        F.count(F.lit(1)).alias("n"), F.percentile_approx("__lead", fractions, _ACCURACY).alias("edges")
+        F.count(F.lit(1)).alias("n"), sketch("__lead", fractions, _ACCURACY).alias("edges")
     ).first()
     blocks = min(MAX_BLOCKS, max(1, -(-row["n"] // rows_per_block)))
     if blocks == 1:
@@ -76,7 +78,7 @@ def _cut_hot(marked: DataFrame, second: str, hot: list[float], rows_per_block: i
             F.count(F.lit(1)).alias("n"),
             F.min("__next").alias("lo"),
             F.max("__next").alias("hi"),
-            F.percentile_approx("__next", fractions, _ACCURACY).alias("edges"),
+            sketch("__next", fractions, _ACCURACY).alias("edges"),
         )
         .orderBy("__lead")
         .collect()

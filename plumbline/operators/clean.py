@@ -127,28 +127,26 @@ def directional_fill(
         ends.append(pick(F.col(c), known).alias(f"__end_{i}"))
     per_block = blocked.groupBy(BLOCK).agg(*ends)
     before = Window.orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    after = Window.orderBy(BLOCK).rowsBetween(1, Window.unboundedFollowing)
+    after = Window.orderBy(F.desc(BLOCK)).rowsBetween(Window.unboundedPreceding, -1)
     carry = per_block.select(
         BLOCK,
         *[
             (
                 F.last(f"__end_{i}", ignorenulls=True).over(before)
                 if m == "forward_fill"
-                else F.first(f"__end_{i}", ignorenulls=True).over(after)
+                else F.last(f"__end_{i}", ignorenulls=True).over(after)
             ).alias(f"__carry_{i}")
             for i, m in enumerate(moves.values())
         ],
     )
-    inside = Window.partitionBy(BLOCK).orderBy(*order_by)
-    back = inside.rowsBetween(Window.unboundedPreceding, 0)
-    ahead = inside.rowsBetween(0, Window.unboundedFollowing)
+    # a frame running back to the range's start is updated row by row; one running ahead is not,
+    # so the previous-value frame is also used for the next value, over the reversed order
+    inside = Window.partitionBy(BLOCK)
+    forward = inside.orderBy(*[F.asc(c) for c in order_by]).rowsBetween(Window.unboundedPreceding, 0)
+    backward = inside.orderBy(*[F.desc(c) for c in order_by]).rowsBetween(Window.unboundedPreceding, 0)
     filled = {}
     for i, (c, m) in enumerate(moves.items()):
-        near = (
-            F.last(c, ignorenulls=True).over(back)
-            if m == "forward_fill"
-            else F.first(c, ignorenulls=True).over(ahead)
-        )
+        near = F.last(c, ignorenulls=True).over(forward if m == "forward_fill" else backward)
         filled[c] = F.coalesce(near, F.col(f"__carry_{i}"))
     # one row per range, and the number of ranges is limited, so the carry table is broadcast
     joined = blocked.join(F.broadcast(carry), BLOCK)

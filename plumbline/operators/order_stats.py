@@ -11,11 +11,13 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..session import small_frame
+
 BRACKET_ROWS = 250_000
 GRID = 1000
 SKETCH_ACCURACY = 10_000
@@ -53,10 +55,16 @@ def _with_brackets(values: DataFrame, by: Sequence[str], brackets: Mapping) -> D
         ]
         joined = values.select("*", F.inline(F.array(*bounds)))
     else:
-        joined = values.join(values.sparkSession.createDataFrame(rows, schema), list(by))
+        joined = values.join(small_frame(values.sparkSession, rows, schema), list(by))
     return joined.filter(F.col("__hi").isNull() | (F.col("__v") <= F.col("__hi")))
 
 
+def sketch(value: str, fractions: Sequence[float], accuracy: int) -> Column:
+    """Approximate quantiles; the fractions are one parsed constant, not thousands of literals."""
+    listed = ", ".join(f"{f!r}D" for f in fractions)
+    return F.expr(f"percentile_approx({value}, array({listed}), {accuracy})")
+
+
 def select_ranks(
     df: DataFrame,
     by: Sequence[str],
@@ -126,7 +134,7 @@ def _narrow(values: DataFrame, by: list[str], wide: Mapping, bracket: dict, esti
         .agg(
             F.count(F.when(low, F.lit(1))).alias("below"),
             F.count(F.when(~low, F.lit(1))).alias("inside"),
-            F.percentile_approx(F.when(~low, F.col("__v")), grid, SKETCH_ACCURACY).alias("grid"),
+            sketch("CASE WHEN __lo IS NULL OR __v >= __lo THEN __v END", grid, SKETCH_ACCURACY).alias("grid"),
         )
         .collect()
     )
@@ -178,9 +186,9 @@ def _pick(values: DataFrame, by: list[str], pending: Mapping) -> dict:
             T.StructField("__rank", T.LongType()),
         ]
     )
-    targets = spark.createDataFrame([(*g, slot_of[(g, r)], r) for g, r in pending], schema)
+    targets = small_frame(spark, [(*g, slot_of[(g, r)], r) for g, r in pending], schema)
     hits = (
-        running.join(F.broadcast(targets), [*by, "__slot"])
+        running.join(targets, [*by, "__slot"])
         .filter(
             F.col("__v").isNotNull()
             & (F.col("__end") > F.col("__rank"))
@@ -238,4 +246,4 @@ def quantiles(
     schema = T.StructType(
         [*[T.StructField(c, df.schema[c].dataType) for c in by], *[T.StructField(c, T.DoubleType()) for c in named]]
     )
-    return df.sparkSession.createDataFrame([(*g, *vals) for g, vals in found.items()], schema)
+    return small_frame(df.sparkSession, [(*g, *vals) for g, vals in found.items()], schema)

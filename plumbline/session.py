@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 # Fused stages of wide plans can exceed the size above which the JVM refuses to compile a method.
@@ -54,3 +58,15 @@ def spread(df: DataFrame, partitions: int, key: str) -> DataFrame:
     if df.rdd.getNumPartitions() >= partitions:
         return df
     return df.repartition(partitions, key)
+
+
+def small_frame(spark: SparkSession, rows: Sequence[tuple], schema: T.StructType) -> DataFrame:
+    """Driver rows as a local relation.
+
+    Its size is known to the optimizer, which broadcasts it only while it is small; rows passed as
+    a plain list would have no size and force a shuffle of whatever they are joined to.
+    """
+    arrow = to_arrow_schema(schema)
+    columns = list(zip(*rows)) if rows else [[] for _ in schema.fields]
+    table = pa.Table.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, arrow)], schema=arrow)
+    return spark.createDataFrame(table, schema)
