@@ -32,13 +32,11 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, memory: s
     return spark
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder and return it with its lineage cut.
+def shared_folder(spark: SparkSession) -> str:
+    """The reliable folder named by ``spark.checkpoint.dir``, set on the context once.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a local session
-    without that setting gets a scratch folder of its own.
+    Only a local session without that setting gets a scratch folder of its own.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -47,6 +45,12 @@ def settle(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a shared folder")
             folder = tempfile.mkdtemp(prefix="plumbline-checkpoint-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the reliable checkpoint folder and return it with its lineage cut."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
