@@ -112,9 +112,7 @@ def bin_sql(x: str, edge_list: list[float]) -> str:
 def words_sql(seed: int, key: str) -> str:
     """w0..w3 of a row."""
     dig = f"md5(concat_ws('|', '{seed}', ({key})::VARCHAR))"
-    return ", ".join(
-        f"('0x' || substr({dig}, {7 * i + 1}, 7))::BIGINT AS w{i}" for i in range(keyed.WORDS)
-    )
+    return ", ".join(f"('0x' || substr({dig}, {7 * i + 1}, 7))::BIGINT AS w{i}" for i in range(keyed.WORDS))
 
 
 def mix_sql(terms: list[str], coefs) -> str:

@@ -49,16 +49,15 @@ class LinearSoftmax:
             " + ".join([f"{b!r}D", *[f"{w!r}D * `{f}`" for w, f in zip(row, features)]])
             for b, row in zip(self.intercepts, self.weights)
         ]
-        kept = list(df.columns)
+        kept = [f"`{c}`" for c in df.columns]
         z = [f"{column}_z{c}" for c in classes]
         e = [f"{column}_e{c}" for c in classes]
-        top, total = f"{column}_top", f"{column}_sum"
         return (
-            df.select(*kept, *[F.expr(x).alias(n) for x, n in zip(logits, z)])
-            .select("*", F.greatest(*z).alias(top))
-            .select(*kept, *[F.exp(F.col(n) - F.col(top)).alias(m) for n, m in zip(z, e)])
-            .select("*", F.expr(" + ".join(e)).alias(total))
-            .select(*kept, F.array(*[F.col(n) / F.col(total) for n in e]).alias(column))
+            df.selectExpr(*kept, *[f"{x} AS {n}" for x, n in zip(logits, z)])
+            .selectExpr("*", f"greatest({', '.join(z)}) AS {column}_top")
+            .selectExpr(*kept, *[f"exp({n} - {column}_top) AS {m}" for n, m in zip(z, e)])
+            .selectExpr("*", f"{' + '.join(e)} AS {column}_sum")
+            .selectExpr(*kept, f"array({', '.join(f'{n} / {column}_sum' for n in e)}) AS {column}")
         )
 
 
@@ -77,15 +76,14 @@ SCORERS = [
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
-    key = F.col("o_orderkey")
-    draw = keyed.uniform(keyed.digest(SEED, "fixture", "split", key), 0)
-    return o.select(
-        key.alias("row_id"),
-        F.when(draw < 0.2, "test").when(draw < 0.3, "validation").otherwise("train").alias("split"),
-        F.when(F.col("o_orderstatus") == "F", 0).when(F.col("o_orderstatus") == "O", 1).otherwise(2).alias("y"),
-        (F.col("o_totalprice") / F.lit(500000.0)).alias("x_1"),
-        ((F.substring("o_orderpriority", 1, 1).cast("int") - 1) / F.lit(4.0)).alias("x_2"),
-        (F.month("o_orderdate") / F.lit(12.0)).alias("x_3"),
+    draw = keyed.uniform(keyed.digest(SEED, "fixture", "split", F.col("o_orderkey")), 0)
+    return o.withColumn("u", draw).selectExpr(
+        "o_orderkey AS row_id",
+        "CASE WHEN u < 0.2D THEN 'test' WHEN u < 0.3D THEN 'validation' ELSE 'train' END AS split",
+        "CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END AS y",
+        "o_totalprice / 500000.0D AS x_1",
+        "(cast(substring(o_orderpriority, 1, 1) AS int) - 1) / 4.0D AS x_2",
+        "month(o_orderdate) / 12.0D AS x_3",
     )
 
 

@@ -37,23 +37,24 @@ def ordering(dig: Column) -> Column:
 # Many draws per row come from one digest: its words are mixed by random linear maps modulo the
 # Mersenne prime 2^31 - 1, which costs a few integer multiplications per draw. Draws under
 # different labels are pairwise independent because the label coefficients are.
+#
+# These builders return SQL text: a suite needs hundreds of small operations, and one parsed
+# expression is far cheaper to set up than a tree of Column calls.
 
 PRIME = 2**31 - 1
 WORDS = 4
 _WORD_DIGITS = 7
 _COEFFICIENT_BITS = 29
+_FINE = 2**21
 
 
-def words(seed: int, key: Column) -> list[Column]:
-    """Four 28-bit integers per row, never null, which keeps the code generated for draws short."""
-    dig = F.md5(F.concat_ws("|", F.lit(str(seed)), key.cast("string")))
-    return [
-        F.coalesce(
-            F.conv(F.substring(dig, _WORD_DIGITS * i + 1, _WORD_DIGITS), 16, 10).cast("bigint"),
-            F.lit(0).cast("bigint"),
-        )
-        for i in range(WORDS)
-    ]
+def row_digest(seed: int, key: str) -> str:
+    return f"md5(concat_ws('|', '{seed}', cast(`{key}` AS string)))"
+
+
+def word(dig: str, i: int) -> str:
+    """One of four 28-bit integers of a row, never null, which keeps the generated code short."""
+    return f"coalesce(cast(conv(substring({dig}, {_WORD_DIGITS * i + 1}, {_WORD_DIGITS}), 16, 10) AS bigint), 0L)"
 
 
 def coefficients(*label: object) -> list[int]:
@@ -62,35 +63,33 @@ def coefficients(*label: object) -> list[int]:
     return [int(hexed[8 * i : 8 * i + 8], 16) % (2**_COEFFICIENT_BITS - 1) + 1 for i in range(WORDS)]
 
 
-def mix(terms: list[str], by: list[int] | list[str]) -> Column:
-    """Dot product modulo the prime of named columns with constants or further columns.
+def mix(terms: list[str], by: list[int] | list[str]) -> str:
+    """Dot product modulo the prime of columns with constants or further columns.
 
-    Integers below 2^31 times coefficients below 2^29 fit 64 bits. One SQL expression instead of
-    a tree of Column calls, each of which is a round trip to the JVM.
+    Integers below 2^31 times coefficients below 2^29 fit 64 bits.
     """
-    factors = [f"{c}L" if isinstance(c, int) else f"`{c}`" for c in by]
-    return F.expr("(" + " + ".join(f"`{t}` * {c}" for t, c in zip(terms, factors)) + f") % {PRIME}L")
+    factors = [f"{c}L" if isinstance(c, int) else c for c in by]
+    return "((" + " + ".join(f"{t} * {c}" for t, c in zip(terms, factors)) + f") % {PRIME}L)"
 
 
-def draw(terms: list[str], *label: object) -> Column:
+def draw(terms: list[str], *label: object) -> str:
     """Integer in 0..PRIME-1 for one label."""
     return mix(terms, coefficients(*label))
 
 
-def open_uniform(drawn: Column) -> Column:
+def open_uniform(drawn: str) -> str:
     """Uniform in (0, 1), centred in its cell."""
-    return (drawn.cast("double") + F.lit(0.5)) / F.lit(float(PRIME))
+    return f"((cast({drawn} AS double) + 0.5D) / {float(PRIME)!r}D)"
 
 
-def fine_uniform(high: Column, low: Column) -> Column:
+def fine_uniform(high: str, low: str) -> str:
     """Uniform on [0, 1) with 52 bits from two draws, used where rows are ranked."""
-    tail = low % F.lit(2**21).cast("bigint")
-    return (high.cast("double") * F.lit(float(2**21)) + tail.cast("double")) / F.lit(LONG_WORD)
+    return f"((cast({high} AS double) * {float(_FINE)!r}D + cast({low} % {_FINE}L AS double)) / {LONG_WORD!r}D)"
 
 
-def normal(u1: Column, u2: Column) -> Column:
+def normal(u1: str, u2: str) -> str:
     """Standard normal by the Box-Muller transform."""
-    return F.sqrt(F.lit(-2.0) * F.ln(u1)) * F.cos(F.lit(2.0 * math.pi) * u2)
+    return f"(sqrt(-2.0D * ln({u1})) * cos({2.0 * math.pi!r}D * {u2}))"
 
 
 def driver_uniform(*label: object) -> float:

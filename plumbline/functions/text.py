@@ -16,3 +16,14 @@ def fixed(x: Column, digits: int, suffix: str = "") -> Column:
 def percent(x: Column, digits: int) -> Column:
     """A fraction shown as a percentage."""
     return fixed(x * F.lit(100.0), digits, "%")
+
+
+def quoted(value: str) -> str:
+    """A SQL string literal."""
+    escaped = value.replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{escaped}'"
+
+
+def lookup(values: list[str], index: str) -> Column:
+    """Element of a constant string list by a zero-based index column."""
+    return F.expr(f"get(array({', '.join(quoted(v) for v in values)}), {index})")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import arrays, keyed, text
@@ -134,8 +134,14 @@ def test_coefficients(test: StressTest, seed: int) -> list[list[int]]:
     return [keyed.coefficients(seed, "test", test.title, i) for i in range(keyed.WORDS)]
 
 
-def _order(terms: list[str], feature: str) -> Column:
-    return keyed.fine_uniform(keyed.draw(terms, feature, 0), keyed.draw(terms, feature, 1))
+_TERMS = [f"__t_{r}" for r in range(keyed.WORDS)]
+_WORDS = [f"__w_{i}" for i in range(keyed.WORDS)]
+
+
+def _with_words(df: DataFrame, key: str, seed: int) -> DataFrame:
+    return df.selectExpr("*", f"{keyed.row_digest(seed, key)} AS __digest").selectExpr(
+        *[f"`{c}`" for c in df.columns], *[f"{keyed.word('__digest', i)} AS {w}" for i, w in enumerate(_WORDS)]
+    )
 
 
 def _corruption_cuts(df, features, tests, key, seed, n) -> dict:
@@ -143,28 +149,22 @@ def _corruption_cuts(df, features, tests, key, seed, n) -> dict:
     hit = [t for t in tests if t.type == "feature_corruption"]
     if not hit:
         return {}
-    base = df.select(F.col(key), *[w.alias(f"__w_{i}") for i, w in enumerate(keyed.words(seed, F.col(key)))])
-    row_words = [f"__w_{i}" for i in range(keyed.WORDS)]
-    names = {t.title: [f"__t_{k}_{i}" for i in range(keyed.WORDS)] for k, t in enumerate(hit)}
-    mixed = base.select(
-        F.col(key),
+    names = [[f"__t_{k}_{r}" for r in range(keyed.WORDS)] for k in range(len(hit))]
+    mixed = _with_words(df.select(key), key, seed).selectExpr(
+        f"`{key}`",
         *[
-            keyed.mix(row_words, coefs).alias(name)
-            for t in hit
-            for name, coefs in zip(names[t.title], test_coefficients(t, seed))
+            f"{keyed.mix(_WORDS, coefs)} AS {name}"
+            for t, own in zip(hit, names)
+            for name, coefs in zip(own, test_coefficients(t, seed))
         ],
     )
-    cells = F.array(
-        *[
-            F.struct(
-                F.lit(k * len(features) + j).alias("cell"),
-                _order(names[t.title], f).alias("draw"),
-            )
-            for k, t in enumerate(hit)
-            for j, f in enumerate(features)
-        ]
-    )
-    draws = mixed.select(F.col(key), F.inline(cells))
+    cells = [
+        f"struct({k * len(features) + j} AS cell, "
+        f"{keyed.fine_uniform(keyed.draw(names[k], f, 0), keyed.draw(names[k], f, 1))} AS draw)"
+        for k in range(len(hit))
+        for j, f in enumerate(features)
+    ]
+    draws = mixed.selectExpr(f"`{key}`", f"inline(array({', '.join(cells)}))")
     takes = {(k * len(features) + j,): [int(n * amount(t))] for k, t in enumerate(hit) for j in range(len(features))}
     found = cuts(draws, ["cell"], "draw", key, takes, {g: n for g in takes})
     return {(hit[g // len(features)].title, features[g % len(features)]): cut for ((g,), _), cut in found.items()}
@@ -183,8 +183,8 @@ def perturb(
     key must be unique: it alone decides the draws, whatever the partitioning.
     """
     tests = usable(tests)
-    titles = F.array(*[F.lit(t.title) for t in tests])
-    return _perturb(df, features, tests, key, seed).withColumn("test_name", F.get(titles, F.col("test_seq")))
+    named = text.lookup([t.title for t in tests], "test_seq")
+    return _perturb(df, features, tests, key, seed).withColumn("test_name", named)
 
 
 def cell_settings(test: StressTest, feature: str, stat: Mapping[str, float], cut: float, seed: int) -> dict:
@@ -241,50 +241,48 @@ def _perturb(df: DataFrame, features: Sequence[str], tests: list[StressTest], ke
             ]
         return f"struct({', '.join(fields)})"
 
-    suite = F.expr(f"array({', '.join(settings(i, t) for i, t in enumerate(tests))})")
-    if not random:
-        rows = df.select("*", F.inline(suite))
-        moved = {f: F.expr(f"cast(`{f}` AS double) * __mul_{j} + __add_{j}") for j, f in enumerate(features)}
-        return rows.select(*[moved[c].alias(c) if c in moved else F.col(c) for c in df.columns], "test_seq")
-    row_words = [w.alias(f"__w_{i}") for i, w in enumerate(keyed.words(seed, F.col(key)))]
-    rows = df.select("*", *row_words).select("*", F.inline(suite))
-    own = [f"__t_{r}" for r in range(keyed.WORDS)]
-    kept = [c for c in rows.columns if not c.startswith(("__w_", "__c_"))]
-    rows = rows.select(
-        *kept,
-        *[
-            keyed.mix([f"__w_{k}" for k in range(keyed.WORDS)], [f"__c_{r}_{k}" for k in range(keyed.WORDS)]).alias(t)
-            for r, t in enumerate(own)
-        ],
-    ).select(
-        *kept,
-        *[
-            keyed.draw(own, f, slot).alias(f"__h_{j}_{slot}")
-            for j, f in enumerate(features)
-            for slot in range(_SLOTS)
-        ],
-    )
+    suite = f"inline(array({', '.join(settings(i, t) for i, t in enumerate(tests))}))"
+    kept = [f"`{c}`" for c in df.columns]
+    if random:
+        rows = _with_words(df, key, seed).selectExpr("*", suite)
+        given = [*kept, *[c for c in rows.columns if c not in df.columns and not c.startswith(("__w_", "__c_"))]]
+        maps = [[f"__c_{r}_{k}" for k in range(keyed.WORDS)] for r in range(keyed.WORDS)]
+        rows = rows.selectExpr(*given, *[f"{keyed.mix(_WORDS, m)} AS {t}" for t, m in zip(_TERMS, maps)])
+        rows = rows.selectExpr(
+            *given,
+            *[
+                f"{keyed.draw(_TERMS, f, slot)} AS __h_{j}_{slot}"
+                for j, f in enumerate(features)
+                for slot in range(_SLOTS)
+            ],
+        )
+    else:
+        rows = df.selectExpr("*", suite)
     ties = {(tests.index(t), f): c.keys for t in tests for f in features if (c := cut_of.get((t.title, f))) and c.keys}
-    moved = {f: _perturbed(j, f, ties, key) for j, f in enumerate(features)}
-    return rows.select(*[moved[c].alias(c) if c in moved else F.col(c) for c in df.columns], "test_seq")
+    moved = {
+        f: f"{_perturbed(j, f, ties, key) if random else _shifted(j, f)} AS `{f}`" for j, f in enumerate(features)
+    }
+    return rows.selectExpr(*[moved.get(c, f"`{c}`") for c in df.columns], "test_seq")
+
+
+def _shifted(j: int, feature: str) -> str:
+    return f"cast(`{feature}` AS double) * __mul_{j} + __add_{j}"
 
 
-def _perturbed(j: int, feature: str, ties: Mapping, key: str) -> Column:
-    x = F.col(feature).cast("double")
-    high, low, third = (F.col(f"__h_{j}_{slot}") for slot in range(_SLOTS))
-    amp, cut, drop = F.col(f"__amp_{j}"), F.col(f"__cut_{j}"), F.col("__drop")
+def _perturbed(j: int, feature: str, ties: Mapping, key: str) -> str:
+    high, low, third = (f"__h_{j}_{slot}" for slot in range(_SLOTS))
     order = keyed.fine_uniform(high, low)
-    chosen = (order <= cut) & (x.isNotNull() | ~drop)
+    chosen = f"{order} <= __cut_{j} AND (`{feature}` IS NOT NULL OR NOT __drop)"
     for (seq, f), keys in ties.items():
         if f == feature:
-            kept = (order < cut) | F.col(key).cast("string").isin(*keys)
-            chosen = chosen & ((F.col("test_seq") != seq) | kept)
+            listed = ", ".join(text.quoted(k) for k in keys)
+            chosen += f" AND (test_seq <> {seq} OR {order} < __cut_{j} OR cast(`{key}` AS string) IN ({listed}))"
     w = keyed.open_uniform(third)
-    step = F.when(F.col("__ends"), F.when(w < F.lit(0.5), F.lit(0.0)).otherwise(F.lit(1.0))).otherwise(w)
     u = keyed.open_uniform(high)
-    noise = F.when(F.col("__bell"), keyed.normal(u, keyed.open_uniform(low))).otherwise(u * F.lit(2.0) - F.lit(1.0))
-    shifted = x * F.col(f"__mul_{j}") + F.col(f"__add_{j}") + F.when(amp == 0, F.lit(0.0)).otherwise(noise * amp)
-    return F.when(chosen, F.col(f"__base_{j}") + F.col(f"__span_{j}") * step).otherwise(shifted)
+    step = f"CASE WHEN __ends THEN CASE WHEN {w} < 0.5D THEN 0.0D ELSE 1.0D END ELSE {w} END"
+    noise = f"CASE WHEN __bell THEN {keyed.normal(u, keyed.open_uniform(low))} ELSE {u} * 2.0D - 1.0D END"
+    moved = f"{_shifted(j, feature)} + CASE WHEN __amp_{j} = 0 THEN 0.0D ELSE ({noise}) * __amp_{j} END"
+    return f"CASE WHEN {chosen} THEN __base_{j} + __span_{j} * ({step}) ELSE {moved} END"
 
 
 def _coded_predictions(scorers, df, features, tests, key, target, split, seed) -> DataFrame:
@@ -320,11 +318,9 @@ def _coded_predictions(scorers, df, features, tests, key, target, split, seed) -
 
 
 def _named(df: DataFrame, scorers: Sequence, tests: Sequence[StressTest]) -> DataFrame:
-    models = F.array(*[F.lit(s.name) for s in scorers])
-    titles = F.array(*[F.lit(t.title) for t in tests])
     return df.select(
-        F.get(models, F.col("model_seq")).alias("model"),
-        F.get(titles, F.col("test_seq")).alias("test_name"),
+        text.lookup([s.name for s in scorers], "model_seq").alias("model"),
+        text.lookup([t.title for t in tests], "test_seq").alias("test_name"),
         "*",
     )
 
