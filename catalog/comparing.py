@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.functions import bands
+from plumbline.functions.rounding import nearest
 from plumbline.operators import compare
 from plumbline.plans import scorecard
 from plumbline.session import settle
@@ -38,10 +39,11 @@ CERT = _certainty()
 ROBUST = f"""{fx.stress_results_ctes(base=False)},
 lin AS (SELECT model, round(greatest(0e0, 100e0 - avg(performance_drop) * 100e0), 2) AS robustness FROM stress_results GROUP BY model)"""
 COMPOSITE = f"""{PERF_CTES}, {CERT}, {ROBUST},
-comp AS (SELECT p.*, lin.robustness, cert.ece, round(least((accuracy + f1) / 2e0 * 50e0
+raw_comp AS (SELECT p.*, lin.robustness, cert.ece, least((accuracy + f1) / 2e0 * 50e0
   + CASE WHEN lin.robustness IS NULL THEN (accuracy + f1) / 2e0 * 25e0 ELSE lin.robustness / 100e0 * 25e0 END
-  + CASE WHEN cert.ece IS NULL THEN (accuracy + f1) / 2e0 * 25e0 ELSE greatest(0e0, 1e0 - cert.ece) * 25e0 END, 100e0), 2) AS composite
+  + CASE WHEN cert.ece IS NULL THEN (accuracy + f1) / 2e0 * 25e0 ELSE greatest(0e0, 1e0 - cert.ece) * 25e0 END, 100e0) AS points
   FROM perf p LEFT JOIN lin ON lin.model = p.model LEFT JOIN cert ON cert.model = p.model WHERE has_data),
+comp AS (SELECT *, {nearest('points', 2)} AS composite FROM raw_comp),
 rk AS (SELECT *, row_number() OVER (ORDER BY composite DESC, model_seq) AS rank FROM comp)"""
 
 
@@ -98,8 +100,9 @@ def d4(spark, sf):
 
 @query(
     "d4_composite_partial",
-    f"""WITH {PERF_CTES}, {CERT} SELECT p.model, {r6('''round(least((accuracy + f1) / 2e0 * 50e0 + (accuracy + f1) / 2e0 * 25e0
-    + greatest(0e0, 1e0 - ece) * 25e0, 100e0), 2)''')} AS composite FROM perf p JOIN cert ON cert.model = p.model""",
+    f"""WITH {PERF_CTES}, {CERT}, raw_comp AS (SELECT p.model, least((accuracy + f1) / 2e0 * 50e0 + (accuracy + f1) / 2e0 * 25e0
+    + greatest(0e0, 1e0 - ece) * 25e0, 100e0) AS points FROM perf p JOIN cert ON cert.model = p.model)
+    SELECT model, {r6(nearest('points', 2))} AS composite FROM raw_comp""",
 )
 def d4_partial(spark, sf):
     """No model was stressed: the robustness points go to performance."""

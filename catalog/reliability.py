@@ -7,6 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from plumbline.functions import bands
+from plumbline.functions.rounding import nearest
 from plumbline.operators import reliability as rl
 from plumbline.plans import scorecard
 from plumbline.session import settle
@@ -32,9 +33,10 @@ pts AS (SELECT *, CASE WHEN accuracy IS NULL OR f1 IS NULL THEN 12.5::DOUBLE ELS
   CASE WHEN avg_drop IS NULL THEN 12.5::DOUBLE ELSE round(greatest(0e0, 1e0 - avg_drop / 0.5::DOUBLE) * 25e0, 3) END AS robustness,
   CASE WHEN avg_entropy IS NULL OR hce_rate IS NULL THEN 12.5::DOUBLE ELSE
     round((1e0 - least(avg_entropy / {top}, 1e0)) * 12.5::DOUBLE + greatest(0e0, 1e0 - hce_rate) * 12.5::DOUBLE, 3) END AS confidence FROM ev),
-tot AS (SELECT *, round(performance + calibration + robustness + confidence, 2) AS total,
+raw_tot AS (SELECT *, performance + calibration + robustness + confidence AS points FROM pts),
+tot AS (SELECT *, {nearest('points', 2)} AS total,
   concat_ws(', ', CASE WHEN accuracy IS NULL OR f1 IS NULL THEN 'Performance' END, CASE WHEN ece IS NULL THEN 'Calibration' END,
-    CASE WHEN avg_drop IS NULL THEN 'Robustness' END, CASE WHEN avg_entropy IS NULL OR hce_rate IS NULL THEN 'Confidence' END) AS lacking FROM pts),
+    CASE WHEN avg_drop IS NULL THEN 'Robustness' END, CASE WHEN avg_entropy IS NULL OR hce_rate IS NULL THEN 'Confidence' END) AS lacking FROM raw_tot),
 sc AS (SELECT *, {at_least('total', bands.GRADE_FROM, bands.GRADE_ELSE)} AS grade FROM tot)"""
 
 

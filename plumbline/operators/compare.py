@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import bands, text
+from ..functions.rounding import nearest
 from . import evaluate
 
 # Points per part of the composite score.
@@ -71,7 +72,9 @@ def composite(performances: DataFrame, robustness: DataFrame | None = None, ece:
             F.greatest(F.lit(0.0), F.lit(1.0) - cal) * F.lit(CALIBRATION_POINTS)
         )
     )
-    return table.withColumn("composite", F.round(F.least(total, F.lit(100.0)), 2))
+    return table.withColumn("composite", F.least(total, F.lit(100.0))).withColumn(
+        "composite", F.expr(nearest("composite", 2))
+    )
 
 
 def ranked(composites: DataFrame) -> DataFrame:

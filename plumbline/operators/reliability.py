@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import bands, text
+from ..functions.rounding import nearest
 
 # Points per component, and the value that costs all of them.
 POINTS = 25.0
@@ -106,8 +107,12 @@ def score(evidence: DataFrame, entropy_base: float = 2.0) -> DataFrame:
         names(lambda c: ~c).alias("missing_components"),
         F.struct(*INPUTS).alias("details"),
     )
-    total = F.round(sum((F.col(c.lower()) for c in COMPONENTS[1:]), F.col("performance")), 2)
-    graded = scored.withColumn("total", total).withColumn("grade", bands.grade(F.col("total")))
+    points_sum = sum((F.col(c.lower()) for c in COMPONENTS[1:]), F.col("performance"))
+    graded = (
+        scored.withColumn("total", points_sum)
+        .withColumn("total", F.expr(nearest("total", 2)))
+        .withColumn("grade", bands.grade(F.col("total")))
+    )
     return graded.withColumn("colour", bands.grade_colour(F.col("grade")))
 
 
