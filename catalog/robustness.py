@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import bands
 from plumbline.operators import robustness as rb
+from plumbline.session import settle
 
 from . import fixtures as fx
 from .base import at_least, below, big, fixed, percent, query, r6, text, tidy
@@ -169,7 +170,7 @@ def _recommendation_sql() -> str:
 
 @query("v10_recommendations", _recommendation_sql())
 def v10(spark, sf):
-    return tidy(rb.recommendations(results(spark, sf), fx.models(spark)))
+    return tidy(rb.recommendations(settle(results(spark, sf)), fx.models(spark)))
 
 
 @query(

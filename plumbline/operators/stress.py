@@ -285,36 +285,53 @@ def _perturbed(j: int, feature: str, ties: Mapping, key: str) -> str:
     return f"CASE WHEN {chosen} THEN __base_{j} + __span_{j} * ({step}) ELSE {moved} END"
 
 
-def _coded_predictions(scorers, df, features, tests, key, target, split, seed) -> DataFrame:
-    """Predictions before and after each test; models and tests by number only."""
+def _scored_tests(scorers, df, features, tests, key, target, split, seed) -> DataFrame:
+    """One row per (row, test) with the label before and after of every scorer, side by side."""
     scored = scoring.attach_all(scorers, df, features, "__o_")
-    carried = [F.col(split).alias("split"), F.col(target).cast("int").alias("y_true")]
     base = scored.select(
-        F.col(key),
-        *carried,
+        F.col(key).alias("row_id"),
+        F.col(split).alias("split"),
+        F.col(target).cast("int").alias("y_true"),
         *features,
         *[arrays.argmax(F.col(f"__o_{i}")).alias(f"__before_{i}") for i in range(len(scorers))],
     )
-    moved = scoring.attach_all(scorers, _perturb(base, features, tests, key, seed), features, "__s_")
-    after = moved.select(
+    moved = scoring.attach_all(scorers, _perturb(base, features, tests, "row_id", seed), features, "__s_")
+    return moved.select(
         "split",
-        F.col(key).alias("row_id"),
+        "row_id",
         "test_seq",
         "y_true",
         *[f"__before_{i}" for i in range(len(scorers))],
         *[arrays.argmax(F.col(f"__s_{i}")).alias(f"__after_{i}") for i in range(len(scorers))],
     )
-    per_model = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("model_seq"),
-                F.col(f"__before_{i}").alias("y_pred_original"),
-                F.col(f"__after_{i}").alias("y_pred_stressed"),
-            )
-            for i in range(len(scorers))
-        ]
+
+
+def _counted_tests(wide: DataFrame, n_scorers: int) -> DataFrame:
+    """Confusion counts per (model, split, test) with the original hits and agreements.
+
+    Label and the two flags of a scorer are packed into one number, so the scorers unpivot into
+    a plain expansion of the row and are grouped under a few integers.
+    """
+    ids = ["split", "test_seq", "y_true"]
+    packed = [
+        f"__after_{i} * 4 + CASE WHEN __before_{i} = __after_{i} THEN 2 ELSE 0 END "
+        f"+ CASE WHEN __before_{i} = y_true THEN 1 ELSE 0 END AS `{i}`"
+        for i in range(n_scorers)
+    ]
+    cells = (
+        wide.selectExpr(*ids, *packed)
+        .unpivot(ids, [F.col(f"`{i}`") for i in range(n_scorers)], "__model", "__code")
+        .groupBy("__model", *ids, "__code")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    return cells.selectExpr(
+        "cast(__model AS int) AS model_seq",
+        *ids,
+        "shiftright(__code, 2) AS y_pred",
+        "n",
+        "CASE WHEN __code & 1 = 1 THEN n ELSE 0L END AS hits_before",
+        "CASE WHEN __code & 2 = 2 THEN n ELSE 0L END AS same",
     )
-    return after.select("split", "row_id", "test_seq", "y_true", F.inline(per_model))
 
 
 def _named(df: DataFrame, scorers: Sequence, tests: Sequence[StressTest]) -> DataFrame:
@@ -337,19 +354,31 @@ def stress_predictions(
 ) -> DataFrame:
     """Original and stressed prediction of every (model, test, row); the original is scored once."""
     tests = usable(tests)
-    return _named(_coded_predictions(scorers, df, features, tests, key, target, split, seed), scorers, tests)
+    wide = _scored_tests(scorers, df, features, tests, key, target, split, seed)
+    per_model = F.array(
+        *[
+            F.struct(
+                F.lit(i).alias("model_seq"),
+                F.col(f"__before_{i}").alias("y_pred_original"),
+                F.col(f"__after_{i}").alias("y_pred_stressed"),
+            )
+            for i in range(len(scorers))
+        ]
+    )
+    return _named(wide.select("split", "row_id", "test_seq", "y_true", F.inline(per_model)), scorers, tests)
 
 
 def results(stressed: DataFrame, keys: Sequence[str] = RESULT_KEYS) -> DataFrame:
     """stress_results: accuracies, drop, stressed precision/recall/F1 and agreement per test."""
-    counts = (
-        stressed.groupBy(*keys, "y_true", F.col("y_pred_stressed").alias("y_pred"))
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.count(F.when(F.col("y_pred_original") == F.col("y_true"), F.lit(1))).alias("hits_before"),
-            F.count(F.when(F.col("y_pred_original") == F.col("y_pred_stressed"), F.lit(1))).alias("same"),
-        )
+    counts = stressed.groupBy(*keys, "y_true", F.col("y_pred_stressed").alias("y_pred")).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count(F.when(F.col("y_pred_original") == F.col("y_true"), F.lit(1))).alias("hits_before"),
+        F.count(F.when(F.col("y_pred_original") == F.col("y_pred_stressed"), F.lit(1))).alias("same"),
     )
+    return _results_from_counts(counts, keys)
+
+
+def _results_from_counts(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
     rolled = evaluate.metrics_from_confusion(counts, keys, carry=("hits_before", "same"))
     before = F.col("accuracy_original")
     return (
@@ -386,8 +415,9 @@ def run(
     Rows are counted under integer codes; the names are put on the small result.
     """
     tests = usable(tests)
-    coded = _coded_predictions(scorers, df, features, tests, key, target, split, seed)
-    return _named(results(coded, ("model_seq", "split", "test_seq")), scorers, tests)
+    wide = _scored_tests(scorers, df, features, tests, key, target, split, seed)
+    counts = _counted_tests(wide, len(scorers))
+    return _named(_results_from_counts(counts, ("model_seq", "split", "test_seq")), scorers, tests)
 
 
 def single(scorers, df, features, test: StressTest, **kwargs) -> DataFrame:
