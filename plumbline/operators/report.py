@@ -130,5 +130,6 @@ def as_document(summary_row: DataFrame, sections: Mapping[str, DataFrame]) -> Da
     document = summary_row.select(F.struct("*").alias("summary"))
     for name, section in sections.items():
         rows = section.agg(F.array_sort(F.collect_list(F.struct("*"))).alias(name))
-        document = document.withColumn("__one", F.lit(1)).join(rows.withColumn("__one", F.lit(1)), "__one").drop("__one")
-    return document.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false", "pretty": "true"}).alias("report"))
+        document = document.unionByName(rows, allowMissingColumns=True)
+    whole = document.agg(*[F.first(c, ignorenulls=True).alias(c) for c in document.columns])
+    return whole.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false", "pretty": "true"}).alias("report"))
