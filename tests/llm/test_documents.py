@@ -82,7 +82,8 @@ def test_patterns_use_every_piece(seed):
             used[x] += n
     assert used == Counter(lengths)
     n = packing.sequences(patterns)
-    assert packing.lower_bound(dict(Counter(lengths)), 100) <= n <= -(-sum(lengths) // 100) + 2
+    bound = packing.lower_bound(dict(Counter(lengths)), 100)
+    assert bound <= n <= bound + 2
 
 
 def optimum(items, room):
@@ -120,7 +121,7 @@ def test_decontamination(spark, docs, rows, none):
     want = Counter((d, *hits(t, items)) for d, t in rows)
     columns = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
     assert got(decontaminate.decontaminate(docs, bench), *columns) == want
-    assert sum(r[5] for r in want) >= 4
+    assert sum(r[5] for r in want) >= 3
     assert decontaminate.decontaminate(none, bench).count() == 0
     clean = got(decontaminate.decontaminate(docs, bench.where("item_id < 0")), *columns)
     assert clean == Counter((d, len(bench_words(t)), 0, 0, sha(b""), False) for d, t in rows)
