@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -67,12 +68,45 @@ def _bucket(prints: np.ndarray, n: int) -> np.ndarray:
     return (((prints >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)).astype(np.int64)
 
 
+def packed(texts: DataFrame) -> DataFrame:
+    """Rows (batch, doc, text) as one row per batch of each Arrow batch: ids, sizes and the compressed texts, so that
+    shuffling the texts costs about half of what they take as rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            order = np.argsort(rows.column(0).to_numpy(), kind="stable")
+            numbers, starts = np.unique(rows.column(0).to_numpy()[order], return_index=True)
+            out = []
+            for at in np.split(order, starts[1:]) if len(order) else []:
+                own = rows.take(pa.array(at))
+                texts = bytes_of(own.column(2))
+                data = pa.compress(b"".join(texts), codec="zstd", asbytes=True)
+                out.append((own.column(1).to_pylist(), [len(t) for t in texts], data))
+            docs, sizes, data = zip(*out) if out else ((), (), ())
+            arrays = [pa.array(docs, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int64())), pa.array(data, pa.binary())]
+            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), *arrays], ["batch", "docs", "sizes", "data"])
+
+    return texts.select("batch", "doc", "text").mapInArrow(run, "batch long, docs array<long>, sizes array<long>, data binary")
+
+
+def unpacked(rows: pa.Table) -> tuple[list, list[bytes]]:
+    ids: list = []
+    texts: list[bytes] = []
+    for docs, sizes, data in zip(*(rows.column(c).to_pylist() for c in ("docs", "sizes", "data"))):
+        whole = pa.decompress(data, decompressed_size=sum(sizes), codec="zstd", asbytes=True) if any(sizes) else b""
+        ends = np.cumsum(sizes).tolist()
+        ids += docs
+        texts += [whole[end - size : end] for size, end in zip(sizes, ends)]
+    return ids, texts
+
+
 class Batch:
     """The distinct documents of a batch in order of id and text, as one array of bytes."""
 
     def __init__(self, rows: pa.Table, back: pa.Table, length: int):
-        ids, texts = rows.column("doc").to_pylist(), bytes_of(rows.column("text").combine_chunks())
+        ids, texts = unpacked(rows)
         self.length = length
+        self.row_ids = ids
         order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, texts[i]))
         self.own = np.zeros(len(ids), np.int64)  # the document of each row
         self.ids: list = []
@@ -155,7 +189,7 @@ def passages(df: DataFrame, id_col: str, text_col: str, length: int) -> tuple[Da
     copies = state.agg(F.min(F.coalesce(F.col("first") < F.col("doc"), F.lit(False)).cast("int")).alias("all")).where("all = 1")
     data = F.col("doc").cast("string").cast("binary").alias("data")
     copies = copies.select(batch("doc"), F.lit(COPY).alias("kind"), F.lit(0).alias("bucket"), data)
-    return texts, copies, n
+    return packed(texts), copies, n
 
 
 def by_batch(texts: DataFrame, back: DataFrame, parts: int, run, schema: str) -> DataFrame:
@@ -279,7 +313,7 @@ def dedup_passages(df: DataFrame, length: int = 100, id_col: str = "doc_id", tex
             results.append((size, removed, spans, hashlib.sha256(kept).hexdigest(), kept if with_text else None))
         columns = list(zip(*(results[i] for i in batch.own))) or [[]] * 5
         types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-        ids = pa.array(rows.column("doc").to_pylist(), pa.int64())
+        ids = pa.array(batch.row_ids, pa.int64())
         names = ["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
         return pa.table([ids, *[pa.array(c, t) for c, t in zip(columns, types)]], names)
 
