@@ -2,7 +2,8 @@
 
 ``k`` is the number of classes when the caller knows it. Up to ``MAX_UNROLL`` classes are
 written out as plain arithmetic, which keeps the stage inside whole-stage code generation;
-otherwise the same formula is expressed with higher-order functions.
+otherwise the same formula is expressed with higher-order functions. Either way an array of
+another length than ``k`` fails the query: no class is left out or added.
 """
 
 from __future__ import annotations
@@ -23,11 +24,21 @@ def _unrolled(k: int | None) -> bool:
     return k is not None and 0 < k <= MAX_UNROLL
 
 
+def _checked(p: Column, k: int | None, value: Column, kind: str) -> Column:
+    """``value`` where the array has ``k`` entries, null where it is null; any other length is an error."""
+    if k is None:
+        return value
+    wrong = F.raise_error(F.concat(F.lit(f"expected {k} classes, found "), F.size(p).cast("string")))
+    return F.when(F.size(p) == k, value).when(p.isNotNull(), wrong.cast(kind))
+
+
 def fold(p: Column, k: int | None, term) -> Column:
     """Sum of ``term(value, index)`` over the array."""
     if _unrolled(k):
-        return reduce(add, [term(F.get(p, F.lit(i)), F.lit(i)) for i in range(k)])
-    return F.aggregate(F.transform(p, term), F.lit(0.0), lambda acc, x: acc + x)
+        total = reduce(add, [term(F.get(p, F.lit(i)), F.lit(i)) for i in range(k)])
+    else:
+        total = F.aggregate(F.transform(p, term), F.lit(0.0), lambda acc, x: acc + x)
+    return _checked(p, k, total, "double")
 
 
 def clipped(x: Column) -> Column:
@@ -65,11 +76,11 @@ def tempered(p: Column, temperature: Column, k: int | None = None) -> Column:
         top = F.ln(clipped(F.array_max(p))) / temperature
         exps = [F.exp(F.ln(clipped(F.get(p, F.lit(i)))) / temperature - top) for i in range(k)]
         total = reduce(add, exps)
-        return F.array(*[e / total for e in exps])
+        return _checked(p, k, F.array(*[e / total for e in exps]), "array<double>")
     top = F.ln(clipped(F.array_max(p))) / temperature
     exps = F.transform(p, lambda x: F.exp(F.ln(clipped(x)) / temperature - top))
     total = F.aggregate(exps, F.lit(0.0), lambda acc, x: acc + x)
-    return F.transform(exps, lambda e: e / total)
+    return _checked(p, k, F.transform(exps, lambda e: e / total), "array<double>")
 
 
 def tempered_confidence(log_gap: Column, temperature: Column, k: int | None = None) -> Column:
@@ -83,8 +94,8 @@ def tempered_confidence(log_gap: Column, temperature: Column, k: int | None = No
 def log_gaps(p: Column, k: int | None = None) -> Column:
     top = F.ln(clipped(F.array_max(p)))
     if _unrolled(k):
-        return F.array(*[F.ln(clipped(F.get(p, F.lit(i)))) - top for i in range(k)])
-    return F.transform(p, lambda x: F.ln(clipped(x)) - top)
+        return _checked(p, k, F.array(*[F.ln(clipped(F.get(p, F.lit(i)))) - top for i in range(k)]), "array<double>")
+    return _checked(p, k, F.transform(p, lambda x: F.ln(clipped(x)) - top), "array<double>")
 
 
 def softmax(logits: list[Column]) -> Column:

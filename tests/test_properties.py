@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.functions import keyed
+from plumbline.functions import arrays, keyed
 from plumbline.operators import blocks, clean, features, order_stats, profile, stress
 from plumbline.operators.selection import Cut, cuts
 from plumbline.operators.stress import StressTest
@@ -65,8 +65,8 @@ def test_cut_breaks_ties_by_key(spark):
 
 
 @pytest.mark.parametrize("order", [["k"], ["t", "k"]])
-@pytest.mark.parametrize("rows_per_block", [40, 1_000_000])
-def test_directional_fill_matches_pandas(spark, order, rows_per_block):
+@pytest.mark.parametrize("n_blocks", [23, 1])
+def test_directional_fill_matches_pandas(spark, order, n_blocks):
     n = 900
     t = np.where(np.arange(n) % 3 == 0, 50, RNG.integers(0, 100, n))
     v = np.where(RNG.random(n) < 0.7, np.nan, RNG.normal(size=n))
@@ -74,7 +74,7 @@ def test_directional_fill_matches_pandas(spark, order, rows_per_block):
     df = spark.createDataFrame(pdf).withColumn("v", F.when(~F.isnan("v"), F.col("v"))).repartition(5)
     sorted_pdf = pdf.sort_values(order)
     for method, want in (("forward_fill", sorted_pdf.v.ffill()), ("backward_fill", sorted_pdf.v.bfill())):
-        got = clean.directional_fill(df, {"v": method}, order, rows_per_block).toPandas().set_index("k").v
+        got = clean.directional_fill(df, {"v": method}, order, n_blocks).toPandas().set_index("k").v
         expected = pd.Series(want.values, index=sorted_pdf.k.values)
         both = pd.concat([got, expected], axis=1)
         assert ((both.iloc[:, 0] == both.iloc[:, 1]) | (both.iloc[:, 0].isna() & both.iloc[:, 1].isna())).all()
@@ -83,12 +83,52 @@ def test_directional_fill_matches_pandas(spark, order, rows_per_block):
 def test_blocks_split_a_hot_leading_value(spark):
     n = 3000
     df = spark.createDataFrame([(5 if i % 3 else i, i) for i in range(n)], "t long, k long")
-    sizes = blocks.range_blocks(df, ["t", "k"], 100).groupBy(blocks.BLOCK).count().toPandas()
+    sizes = blocks.range_blocks(df, ["t", "k"], 30).groupBy(blocks.BLOCK).count().toPandas()
     assert sizes["count"].max() < 500
-    ordered = blocks.range_blocks(df, ["t", "k"], 100).orderBy("t", "k").toPandas()[blocks.BLOCK]
+    ordered = blocks.range_blocks(df, ["t", "k"], 30).orderBy("t", "k").toPandas()[blocks.BLOCK]
     assert ordered.is_monotonic_increasing
 
 
+@pytest.mark.parametrize("n_blocks", [1, 9])
+def test_directional_fill_keeps_null_and_text_keys(spark, n_blocks):
+    """Rows with a null leading key come first; text keys are keys like any other."""
+    rows = [(None if i % 7 == 0 else f"t{i % 13:02d}", i, i if i % 5 == 0 else None) for i in range(120)]
+    df = spark.createDataFrame(rows, "t string, k long, v long").repartition(4)
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1]))
+    for method, sequence in (("forward_fill", order), ("backward_fill", order[::-1])):
+        want, last = {}, None
+        for _, k, v in sequence:
+            last = v if v is not None else last
+            want[k] = last
+        got = clean.directional_fill(df, {"v": method}, ["t", "k"], n_blocks).collect()
+        assert {r.k: r.v for r in got} == want and len(got) == len(rows)
+
+
+@pytest.mark.parametrize("k", [3, 5, 40])
+def test_a_wrong_number_of_classes_is_an_error(spark, k):
+    p = F.array(*[F.lit(x) for x in (0.1, 0.2, 0.3, 0.4)])
+    for value in (arrays.entropy(p, k), arrays.squared_error(p, F.lit(1), k), arrays.tempered(p, F.lit(2.0), k), arrays.log_gaps(p, k)):
+        with pytest.raises(Exception, match="classes"):
+            spark.range(1).select(value).collect()
+    right = spark.range(1).select(arrays.entropy(p, 4).alias("a"), arrays.entropy(p).alias("b"), arrays.entropy(F.lit(None).cast("array<double>"), 4).alias("c")).first()
+    assert abs(right.a - right.b) < 1e-12 and right.c is None
+
+
+def test_cells_of_wide_rows_drop_independently(spark):
+    """The number of dropped cells of a row over 64 columns is binomial."""
+    d, n, rate = 64, 4000, 0.3
+    names = [f"x{j}" for j in range(d)]
+    df = spark.range(n).select(F.col("id").alias("row_id"), *[(F.lit(1.0) + F.col("id") % 7).alias(c) for c in names])
+    moved = stress.perturb(df, names, [StressTest("feature_dropout", {"dropout_rate": rate})])
+    cells = np.array([[r[c] == 0.0 for c in names] for r in moved.select(names).collect()])
+    counts = cells.sum(axis=1)
+    assert abs(counts.mean() - d * rate) < 0.2
+    assert abs(counts.var() / (d * rate * (1 - rate)) - 1) < 0.12
+    skew = ((counts - counts.mean()) ** 3).mean() / counts.std() ** 3
+    assert abs(skew - (1 - 2 * rate) / math.sqrt(d * rate * (1 - rate))) < 0.2
+    assert abs(np.corrcoef(cells.T) - np.eye(d)).max() < 0.1
+
+
 @pytest.mark.parametrize("partitions", [1, 7, 200])
 def test_perturbation_does_not_depend_on_partitions(cells, partitions):
     df, _ = cells
@@ -142,7 +182,7 @@ def test_shifts_and_scale(cells):
 def test_draws_look_uniform_and_independent(spark):
     key = spark.range(20000).withColumnRenamed("id", "k")
     worded = stress._with_words(key, "k", 42).selectExpr(
-        *[f"{keyed.open_uniform(keyed.draw([f'__w_{i}' for i in range(4)], 'f', s))} AS u{s}" for s in range(3)]
+        *[f"{keyed.open_uniform(keyed.line([f'__w_{i}' for i in range(4)], 'f', s))} AS u{s}" for s in range(3)]
     ).toPandas()
     assert abs(worded.mean() - 0.5).max() < 0.01 and abs(worded.var() - 1 / 12).max() < 0.003
     corr = worded.corr().values - np.eye(3)
@@ -182,16 +222,13 @@ def test_split_rejects_a_class_of_one_row(spark):
         features.split(df, "y", "k")
 
 
-def test_encode_round_trip_and_wide_codebook(spark, monkeypatch):
+def test_encode_round_trip(spark):
     df = spark.createDataFrame([(i, f"c{i % 37:02d}" if i % 11 else None) for i in range(500)], "k long, c string")
     encoded, mapping = features.label_encode(df, ["c", "missing"])
     book = {r.category: r.code for r in mapping.collect()}
     assert list(book) and sorted(book, key=book.get) == sorted(book) and book["nan"] == len(book) - 1
     back = features.label_decode(encoded, "c", mapping).toPandas().set_index("k").c
     assert all(back[r.k] == (r.c or "nan") for r in df.collect())
-    monkeypatch.setattr(features, "SMALL_CODEBOOK", 10)
-    wide = {r.category: r.code for r in features.codebook(df, "c").collect()}
-    assert wide == book
 
 
 def test_one_hot_drops_first_and_nulls_are_false(spark):
