@@ -1,98 +1,24 @@
-"""Cut an ordered table into numbered ranges of bounded size.
+"""Cut an ordered table into numbered ranges.
 
-Edges come from one mergeable quantile sketch, so no row moves to number the ranges, and the
-numbers depend only on the data. A value of the leading column that fills several ranges by
-itself is cut further along the next ordering column.
+Rows are range-partitioned along all ordering columns together, of any orderable types, so a value of the leading column
+that very many rows share is cut along the next one. Null keys come first, as in Spark's ascending order.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .order_stats import sketch
+from ..session import settle
 
 BLOCK = "__block"
-MAX_BLOCKS = 4096
-_ACCURACY = 40_000
-_STRIDE = 1 << 20
 
 
-def _number(df: DataFrame, column: str) -> Column:
-    """The ordering column as a double; the cast never reverses an order."""
-    kind = df.schema[column].dataType
-    c = F.col(column)
-    if isinstance(kind, T.NumericType):
-        return c.cast("double")
-    if isinstance(kind, T.TimestampNTZType):
-        c = c.cast("timestamp")
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(c).cast("double")
-    if isinstance(kind, T.DateType):
-        return F.unix_date(c).cast("double")
-    raise ValueError(f"cannot order by {column}: {kind.simpleString()}")
+def range_blocks(df: DataFrame, order_by: list[str], blocks: int | None = None) -> DataFrame:
+    """Add ``__block``: equal or growing along ``order_by``. ``blocks`` defaults to the number of shuffle partitions.
 
-
-def _bucket(df: DataFrame, value: str, inner: list[float], out: str) -> DataFrame:
-    """Binary search of ``value`` among the inner edges."""
-    if not inner:
-        return df.withColumn(out, F.lit(0).cast("bigint"))
-    splits = [-float("inf"), *inner, float("inf")]
-    found = Bucketizer(splits=splits, inputCol=value, outputCol="__found", handleInvalid="keep").transform(df)
-    return found.withColumn(out, F.col("__found").cast("bigint")).drop("__found")
-
-
-def range_blocks(df: DataFrame, order_by: list[str], rows_per_block: int = 1_000_000) -> DataFrame:
-    """Add ``__block``: equal or growing along ``order_by``."""
-    fractions = [i / MAX_BLOCKS for i in range(1, MAX_BLOCKS)]
-    lead = df.withColumn("__lead", _number(df, order_by[0]))
-    row = lead.agg(
-        F.count(F.lit(1)).alias("n"), sketch("__lead", fractions, _ACCURACY).alias("edges")
-    ).first()
-    blocks = min(MAX_BLOCKS, max(1, -(-row["n"] // rows_per_block)))
-    if blocks == 1:
-        return lead.drop("__lead").withColumn(BLOCK, F.lit(0).cast("bigint"))
-    picked = [row["edges"][round(i * MAX_BLOCKS / blocks) - 1] for i in range(1, blocks)]
-    inner = sorted(set(picked))
-    marked = _bucket(lead, "__lead", inner, BLOCK)
-    hot = [v for v in inner if picked.count(v) > 1]
-    if not hot or len(order_by) == 1:
-        return marked.withColumn(BLOCK, F.col(BLOCK) * F.lit(_STRIDE)).drop("__lead")
-    return _cut_hot(marked, order_by[1], hot, rows_per_block).drop("__lead")
-
-
-def _cut_hot(marked: DataFrame, second: str, hot: list[float], rows_per_block: int) -> DataFrame:
-    """Sub-number rows of a hot leading value along ``second``.
-
-    A hot value starts its range, so its rows come first there and all others of that range last.
+    The ranges are written out, so that every later read sees the same ones.
     """
-    numbered = marked.withColumn("__next", _number(marked, second))
-    pieces = 256
-    fractions = [i / pieces for i in range(1, pieces)]
-    stats = (
-        numbered.filter(F.col("__lead").isin(*hot))
-        .groupBy("__lead")
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.min("__next").alias("lo"),
-            F.max("__next").alias("hi"),
-            sketch("__next", fractions, _ACCURACY).alias("edges"),
-        )
-        .orderBy("__lead")
-        .collect()
-    )
-    # one increasing axis for all hot values: value number plus the position within the value
-    axis, edges = None, []
-    for i, r in enumerate(stats):
-        span = (r["hi"] - r["lo"]) or 1.0
-        here = F.lit(2.0 * i) + (F.col("__next") - F.lit(r["lo"])) / F.lit(span)
-        match = F.col("__lead") == F.lit(r["__lead"])
-        axis = F.when(match, here) if axis is None else axis.when(match, here)
-        wanted = min(pieces, max(1, -(-r["n"] // rows_per_block)))
-        cuts = [r["edges"][round(k * pieces / wanted) - 1] for k in range(1, wanted)]
-        edges += [2.0 * i - 0.5, *[2.0 * i + (c - r["lo"]) / span for c in cuts]]
-    placed = _bucket(numbered.withColumn("__axis", axis), "__axis", sorted(set(edges)), "__part")
-    part = F.when(F.col("__axis").isNull(), F.lit(_STRIDE - 1)).otherwise(F.col("__part"))
-    return placed.withColumn(BLOCK, F.col(BLOCK) * F.lit(_STRIDE) + part).drop("__axis", "__part", "__next")
+    if blocks is None:
+        blocks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return settle(df.repartitionByRange(blocks, *order_by).withColumn(BLOCK, F.spark_partition_id().cast("bigint")))

@@ -109,16 +109,16 @@ def directional_fill(
     df: DataFrame,
     moves: Mapping[str, str],
     order_by: Sequence[str] | None,
-    rows_per_block: int = 1_000_000,
+    blocks: int | None = None,
 ) -> DataFrame:
-    """Carry the previous or next known value in ``order_by`` order.
+    """Carry the previous or next known value in ``order_by`` order, null keys first.
 
-    The order is cut into ranges of bounded size. Each range contributes its first and last known
-    value; those few rows are carried across ranges, then every range is filled on its own.
+    The order is cut into ranges. Each range contributes its first and last known value; those few
+    rows, one per range, are carried across ranges, then every range is filled on its own.
     """
     if not order_by:
         raise ValueError("forward and backward fill need order_by")
-    blocked = range_blocks(df, list(order_by), rows_per_block)
+    blocked = range_blocks(df, list(order_by), blocks)
     order = F.struct(*[F.col(c) for c in order_by])
     ends = []
     for i, (c, move) in enumerate(moves.items()):
@@ -142,12 +142,11 @@ def directional_fill(
     # a frame running back to the range's start is updated row by row; one running ahead is not,
     # so the previous-value frame is also used for the next value, over the reversed order
     inside = Window.partitionBy(BLOCK)
-    forward = inside.orderBy(*[F.asc(c) for c in order_by]).rowsBetween(Window.unboundedPreceding, 0)
-    backward = inside.orderBy(*[F.desc(c) for c in order_by]).rowsBetween(Window.unboundedPreceding, 0)
+    forward = inside.orderBy(*[F.asc_nulls_first(c) for c in order_by]).rowsBetween(Window.unboundedPreceding, 0)
+    backward = inside.orderBy(*[F.desc_nulls_last(c) for c in order_by]).rowsBetween(Window.unboundedPreceding, 0)
     filled = {}
     for i, (c, m) in enumerate(moves.items()):
         near = F.last(c, ignorenulls=True).over(forward if m == "forward_fill" else backward)
         filled[c] = F.coalesce(near, F.col(f"__carry_{i}"))
-    # one row per range, and the number of ranges is limited, so the carry table is broadcast
-    joined = blocked.join(F.broadcast(carry), BLOCK)
+    joined = blocked.join(carry, BLOCK)
     return joined.select(*[filled[c].alias(c) if c in filled else F.col(f"`{c}`") for c in df.columns])
