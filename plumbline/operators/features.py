@@ -19,24 +19,15 @@ MISSING_CATEGORY = "nan"
 STRATIFY_BELOW = 10
 
 TRAIN, VALIDATION, TEST = "train", "validation", "test"
-SMALL_CODEBOOK = 100_000
-MAX_ONE_HOT = 10_000
 
 
 def codebook(df: DataFrame, column: str) -> DataFrame:
-    """(category, code): codes are ranks of the sorted distinct values from 0, null counts as 'nan'."""
-    categories = df.select(F.coalesce(F.col(column), F.lit(MISSING_CATEGORY)).alias("category")).distinct()
-    if categories.limit(SMALL_CODEBOOK + 1).count() <= SMALL_CODEBOOK:
-        rank = F.row_number().over(Window.orderBy("category")) - F.lit(1)
-        return categories.select("category", rank.alias("code"))
-    return _ranked_wide(categories)
-
+    """(category, code): codes are ranks of the sorted distinct values from 0, null counts as 'nan'.
 
-def _ranked_wide(categories: DataFrame) -> DataFrame:
-    """Ranks of a large sorted list without one task sorting it.
-
-    The list is range-partitioned and written out, so that both reads see the same partitions.
+    No task sorts all categories: they are range-partitioned and written out, so that both reads see
+    the same partitions, and each partition's ranks start after those of the partitions before.
     """
+    categories = df.select(F.coalesce(F.col(column), F.lit(MISSING_CATEGORY)).alias("category")).distinct()
     placed = settle(
         categories.repartitionByRange("category")
         .sortWithinPartitions("category")
@@ -49,7 +40,7 @@ def _ranked_wide(categories: DataFrame) -> DataFrame:
     inside = F.col("__place").bitwiseAND(F.lit((1 << 33) - 1))
     return (
         placed.withColumn("__part", part)
-        .join(F.broadcast(offsets), "__part")
+        .join(F.broadcast(offsets), "__part")  # one row per partition of the categories
         .select("category", (F.col("__offset") + inside).cast("int").alias("code"))
     )
 
@@ -58,7 +49,7 @@ def label_encode(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, Data
     """(encoded frame, mapping(column, category, code)). Only string columns are encoded.
 
     The codebook join is left to the optimizer: broadcast while the codebook is small, shuffled
-    with skew handling when it is not.
+    with skew handling when it is not. Nulls don't take part in the join: their code is a literal.
     """
     mapping = df.sparkSession.createDataFrame([], "column string, category string, code int")
     order = df.columns
@@ -67,14 +58,11 @@ def label_encode(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, Data
             continue
         book = codebook(df, column)
         mapping = mapping.unionByName(book.select(F.lit(column).alias("column"), "category", "code"))
+        missing = book.filter(F.col("category") == MISSING_CATEGORY).select("code").first()
         coded = book.select(F.col("category").alias("__category"), F.col("code").alias("__code"))
-        df = (
-            df.withColumn("__category", F.coalesce(F.col(column), F.lit(MISSING_CATEGORY)))
-            .join(coded, "__category", "left")
-            .drop("__category", column)
-            .withColumnRenamed("__code", column)
-            .select(*order)
-        )
+        code = F.coalesce(F.col("__code"), F.lit(missing["code"] if missing else None).cast("int"))
+        joined = df.join(coded, F.col(f"`{column}`") == F.col("__category"), "left")
+        df = joined.select(*[code.alias(c) if c == column else F.col(f"`{c}`") for c in order])
     return df, mapping
 
 
@@ -87,20 +75,42 @@ def label_decode(df: DataFrame, column: str, mapping: DataFrame) -> DataFrame:
     return joined.select(*[F.col("__category").alias(c) if c == column else F.col(c) for c in df.columns])
 
 
-def one_hot(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Boolean ``{column}_{value}`` per sorted category but the first; the source column goes."""
+def one_hot(df: DataFrame, columns: Sequence[str], categories: dict[str, Sequence] | None = None) -> DataFrame:
+    """Boolean ``{column}_{value}`` per sorted category but the first; the source column goes.
+
+    The result has a column per category, so its categories are the driver's to know: those given,
+    or else those found. For a column with very many, ``one_hot_index`` has one column for all.
+    """
     kept = [c for c in df.columns if c not in columns]
     flags = []
     for column in columns:
-        rows = df.select(column).filter(F.col(column).isNotNull()).distinct().limit(MAX_ONE_HOT + 1).collect()
-        if len(rows) > MAX_ONE_HOT:
-            raise ValueError(f"{column} has more than {MAX_ONE_HOT} categories: label-encode it instead")
-        for value in sorted(r[0] for r in rows)[1:]:
+        known = (categories or {}).get(column)
+        if known is None:
+            known = [r[0] for r in df.select(column).filter(F.col(column).isNotNull()).distinct().collect()]
+        for value in sorted(known)[1:]:
             flag = F.coalesce(F.col(column) == F.lit(value), F.lit(False))
             flags.append(flag.alias(f"{column}_{value}"))
     return df.select(*kept, *flags)
 
 
+def one_hot_index(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """(frame, mapping(column, category, code)): the sparse form of ``one_hot`` for any number of categories.
+
+    Each column becomes the place of its one true flag, counted from 0 over the sorted categories but the
+    first; null where all flags are false, that is for the first category and for null. The places come
+    from the distributed codebook, so no list of categories reaches the driver.
+    """
+    mapping = df.sparkSession.createDataFrame([], "column string, category string, code int")
+    for column in columns:
+        book = codebook(df.filter(F.col(column).isNotNull()), column)
+        flags = book.filter("code > 0").select("category", (F.col("code") - 1).alias("code"))
+        mapping = mapping.unionByName(flags.select(F.lit(column).alias("column"), "category", "code"))
+        flags = flags.select(F.col("category").alias("__category"), F.col("code").alias("__code"))
+        joined = df.join(flags, F.col(f"`{column}`") == F.col("__category"), "left")
+        df = joined.select(*[F.col("__code").alias(c) if c == column else F.col(f"`{c}`") for c in df.columns])
+    return df, mapping
+
+
 def select_features(df: DataFrame, target: str) -> list[str]:
     return [c for c in df.columns if c != target]
 
@@ -208,15 +218,11 @@ def split_summary(df: DataFrame, target: str) -> DataFrame | None:
     if "split" not in df.columns:
         return None
     counts = df.groupBy("split", F.col(target).alias("class")).agg(F.count(F.lit(1)).alias("class_count"))
-    samples = F.sum("class_count").over(Window.partitionBy("split"))
-    total = F.sum("class_count").over(Window.partitionBy())
-    return counts.select(
-        "split",
-        "class",
-        "class_count",
-        samples.alias("samples"),
-        (samples / total * F.lit(100.0)).alias("percentage"),
-    )
+    # one row per split, so that many distinct classes of one split are not gathered for its sum
+    sums = df.groupBy("split").agg(F.count(F.lit(1)).alias("samples"))
+    total = F.sum("samples").over(Window.partitionBy())
+    sums = sums.select("split", "samples", (F.col("samples") / total * F.lit(100.0)).alias("percentage"))
+    return counts.join(F.broadcast(sums), "split").select("split", "class", "class_count", "samples", "percentage")
 
 
 def scaler(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, float]]:

@@ -29,10 +29,8 @@ from . import evaluate, scoring
 LOGISTIC, FOREST, BOOSTED = "Logistic Regression", "Random Forest", "XGBoost"
 KINDS = (LOGISTIC, FOREST, BOOSTED)
 
-# Deepest tree Spark ML accepts; stands for "no limit".
+# Deepest tree Spark ML accepts; stands for the unlimited depth of an unset ``max_depth``.
 DEEPEST = 30
-# Unset forest depth. Fully grown trees over a large table are costly, so ask for None explicitly.
-FOREST_DEPTH = 12
 
 _FEATURES = "__features"
 
@@ -93,14 +91,19 @@ def estimators(kind: str, rows: int, n_classes: int, target: str, **params) -> l
             )
         ]
     if kind == FOREST:
-        depth = params.get("max_depth", FOREST_DEPTH)
+        depth = params.get("max_depth")
+        if depth is not None and depth > DEEPEST:
+            raise ValueError(f"max_depth must be at most {DEEPEST}, or None for no limit")
+        if params.get("min_samples_split", 2) != 2:
+            # Spark limits the rows of a child, not of the node that is split
+            raise ValueError("min_samples_split other than 2 is not supported; use min_samples_leaf")
         return [
             RandomForestClassifier(
                 featuresCol=_FEATURES,
                 labelCol=target,
                 numTrees=params.get("n_estimators", 100),
-                maxDepth=DEEPEST if depth is None else min(depth, DEEPEST),
-                minInstancesPerNode=max(1, params.get("min_samples_split", 2) // 2),
+                maxDepth=DEEPEST if depth is None else depth,
+                minInstancesPerNode=params.get("min_samples_leaf", 1),
                 seed=seed,
             )
         ]
