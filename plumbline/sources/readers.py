@@ -19,11 +19,51 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     )
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """Headed CSV. Without a schema the types are inferred, which costs one extra pass."""
-    reader = spark.read.option("header", True).option("nanValue", "NaN")
-    reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
-    return nan_to_null(reader.csv(path))
+# Words that stand for a missing value in a CSV cell.
+MISSING_WORDS = (
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL",
+    "NaN", "None", "n/a", "nan", "null",
+)
+
+_CASTS = ("bigint", "double", "boolean")
+
+
+def read_csv(
+    spark: SparkSession, path: str, schema: T.StructType | str | None = None, multi_line: bool = True
+) -> DataFrame:
+    """Headed CSV with doubled quotes inside quoted cells, and missing-value words as NULL.
+
+    Cells may hold line breaks, for which Spark reads a file as a whole; pass ``multi_line=False`` for
+    large files without any, which are then read in splits. Every cell is read as text first. Without a
+    schema a column becomes bigint, double or boolean if all its values are such, else text; that costs
+    one extra pass.
+    """
+    reader = spark.read.options(header=True, quote='"', escape='"', multiLine=multi_line, inferSchema=False)
+    cells = reader.csv(path)
+    missing = [F.when(~F.col(f"`{c}`").isin(*MISSING_WORDS), F.col(f"`{c}`")).alias(c) for c in cells.columns]
+    rows = cells.select(*missing)
+    if schema is not None:
+        kinds = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+        names = {f.name: f.dataType for f in kinds.fields}
+        return nan_to_null(rows.select(*[F.col(f"`{c}`").cast(k).alias(c) for c, k in names.items()]))
+    fits = [
+        F.coalesce(F.bool_and(F.col(f"`{c}`").isNull() | _reads(F.col(f"`{c}`"), k)), F.lit(False)).alias(f"{i}_{k}")
+        for i, c in enumerate(rows.columns)
+        for k in _CASTS
+    ]
+    filled = [F.count(F.col(f"`{c}`")).alias(f"{i}_n") for i, c in enumerate(rows.columns)]
+    found = rows.agg(*fits, *filled).first()
+    typed = []
+    for i, c in enumerate(rows.columns):
+        kind = next((k for k in _CASTS if found[f"{i}_{k}"]), "string") if found[f"{i}_n"] else "double"
+        typed.append(F.col(f"`{c}`").cast(kind).alias(c))
+    return nan_to_null(rows.select(*typed))
+
+
+def _reads(cell, kind: str):
+    if kind == "boolean":
+        return cell.isin("True", "False", "TRUE", "FALSE", "true", "false")
+    return cell.try_cast(kind).isNotNull() & (~cell.rlike("(?i)[dfl]$") | cell.rlike("(?i)inf$"))
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:

@@ -27,7 +27,10 @@ SECTIONS = ("performance", "robustness", "calibration", "reliability")
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    df.write.mode(mode).option("header", True).csv(path)
+    """Headed CSV; a quote inside a cell is doubled, and cells keep their outer white space."""
+    df.write.mode(mode).options(
+        header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    ).csv(path)
 
 
 def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -35,8 +38,8 @@ def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def write_lines(df: DataFrame, text_column: str, order_by: Sequence[str], path: str) -> None:
-    """Short ordered text, such as one model's recommendations, as a single file."""
-    df.orderBy(*order_by).select(text_column).coalesce(1).write.mode("overwrite").text(path)
+    """Ordered text, such as the models' recommendations: part files in order, a single one while the text is short."""
+    df.orderBy(*order_by).select(text_column).write.mode("overwrite").text(path)
 
 
 def stress_export(result: DataFrame) -> DataFrame:

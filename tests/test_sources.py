@@ -11,7 +11,7 @@ def test_csv_turns_nan_into_null(spark, tmp_path):
     path = tmp_path / "in.csv"
     path.write_text("a,b,c\n1,NaN,x\n2,2.5,\n3,,z\n")
     df = readers.read_csv(spark, str(path))
-    assert [f.dataType.simpleString() for f in df.schema.fields] == ["int", "double", "string"]
+    assert [f.dataType.simpleString() for f in df.schema.fields] == ["bigint", "double", "string"]
     assert [r.b for r in df.orderBy("a").collect()] == [None, 2.5, None]
     typed = readers.read_csv(spark, str(path), "a long, b double, c string")
     assert typed.filter("b IS NULL").count() == 2
