@@ -36,7 +36,8 @@ def ordering(dig: Column) -> Column:
 
 # Many draws per row come from one digest: its words are mixed by random linear maps modulo the
 # Mersenne prime 2^31 - 1, which costs a few integer multiplications per draw. Draws under
-# different labels are pairwise independent because the label coefficients are.
+# different labels are pairwise independent because the label coefficients are; a power of each then
+# makes the many draws of a wide row look independent too.
 #
 # These builders return SQL text: a suite needs hundreds of small operations, and one parsed
 # expression is far cheaper to set up than a tree of Column calls.
@@ -72,11 +73,18 @@ def mix(terms: list[str], by: list[int] | list[str]) -> str:
     return "((" + " + ".join(f"{t} * {c}" for t, c in zip(terms, factors)) + f") % {PRIME}L)"
 
 
-def draw(terms: list[str], *label: object) -> str:
-    """Integer in 0..PRIME-1 for one label."""
+def line(terms: list[str], *label: object) -> str:
+    """Integer in 0..PRIME-1 for one label: a linear map, so any five of a row are linearly dependent."""
     return mix(terms, coefficients(*label))
 
 
+def bent(drawn: str) -> str:
+    """The fifth power modulo the prime: a permutation of 0..PRIME-1 (5 doesn't divide PRIME - 1) that takes the linear
+    dependence out of many draws of one row. ``drawn`` is a column, as it is named several times."""
+    square = f"(({drawn} * {drawn}) % {PRIME}L)"
+    return f"(((({square} * {square}) % {PRIME}L) * {drawn}) % {PRIME}L)"
+
+
 def open_uniform(drawn: str) -> str:
     """Uniform in (0, 1), centred in its cell."""
     return f"((cast({drawn} AS double) + 0.5D) / {float(PRIME)!r}D)"

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import arrays, bands, binning
 from . import KEYS
@@ -213,10 +214,10 @@ def worst_class(per_class_table: DataFrame, keys: Sequence[str] = KEYS) -> DataF
 
 def diagram(bin_table: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Reliability-diagram data: populated bins, marker size, gap box, over-confidence flag."""
-    top = bin_table.groupBy(*keys).agg(F.max("n").alias("top"))
+    top = F.max("n").over(Window.partitionBy(*keys))  # over the few bins of a key
     return (
         bin_table.filter(F.col("n") > 0)
-        .join(top, list(keys))
+        .withColumn("top", top)
         .select(
             *keys,
             "bin",

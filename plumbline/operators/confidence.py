@@ -192,13 +192,16 @@ def accuracy_curve(pred: DataFrame, n_bins: int = 10, keys: Sequence[str] = KEYS
 
 
 def every_bin(counts: DataFrame, keys: Sequence[str], n_bins: int, sums: Sequence[str]) -> DataFrame:
-    """Add a zero row for each empty bin: the bin list is unioned in and summed, not joined."""
-    blanks = counts.select(
-        *keys,
-        F.explode(F.sequence(F.lit(0), F.lit(n_bins - 1))).alias("bin"),
-        *[F.lit(0).cast(counts.schema[c].dataType).alias(c) for c in sums],
-    )
-    return counts.unionByName(blanks).groupBy(*keys, "bin").agg(*[F.sum(c).alias(c) for c in sums])
+    """Add a zero row for each empty bin: a key's bins, at most ``n_bins``, become one map that all bins look up.
+
+    ``counts`` is read once.
+    """
+    found = F.map_from_entries(F.collect_list(F.struct("bin", F.struct(*sums))))
+    each = counts.groupBy(*keys).agg(found.alias("__bins"))
+    each = each.select(*keys, "__bins", F.explode(F.sequence(F.lit(0), F.lit(n_bins - 1))).alias("bin"))
+    at = F.try_element_at("__bins", F.col("bin"))
+    zero = {c: F.lit(0).cast(counts.schema[c].dataType) for c in sums}
+    return each.select(*keys, "bin", *[F.coalesce(at.getField(c), zero[c]).alias(c) for c in sums])
 
 
 def error_table(pred: DataFrame, threshold: float = 0.8, keys: Sequence[str] = KEYS) -> DataFrame:

@@ -107,15 +107,18 @@ def metrics(pred: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
 
 
 def confusion_matrix(pred: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Every (true, predicted) pair over the union of labels of the key, zeros included."""
-    counts = confusion_counts(pred, keys)
-    labels = label_counts(counts, keys).select(*keys, "label")
-    grid = labels.withColumnRenamed("label", "y_true").join(
-        labels.withColumnRenamed("label", "y_pred"), list(keys)
-    )
-    return grid.join(counts, [*keys, "y_true", "y_pred"], "left").select(
-        *keys, "y_true", "y_pred", F.coalesce("n", F.lit(0)).alias("n")
-    )
+    """Every (true, predicted) pair over the union of labels of the key, zeros included.
+
+    The dense form has a cell per pair of labels; with many labels use ``confusion_counts``, which has the cells that
+    occur. The counts of a key become one map, so the predictions are read once.
+    """
+    pair = F.struct("y_true", "y_pred")
+    cells = F.map_from_entries(F.collect_list(F.struct(pair, "n")))
+    seen = F.array_distinct(F.flatten(F.collect_list(F.array("y_true", "y_pred"))))
+    each = confusion_counts(pred, keys).groupBy(*keys).agg(cells.alias("__cells"), seen.alias("__labels"))
+    rows = each.select("*", F.explode("__labels").alias("y_true")).select("*", F.explode("__labels").alias("y_pred"))
+    n = F.coalesce(F.try_element_at("__cells", pair), F.lit(0))
+    return rows.select(*keys, "y_true", "y_pred", n.alias("n"))
 
 
 def confusion_wide(pred: DataFrame, labels: Sequence[int], keys: Sequence[str] = KEYS) -> DataFrame:

@@ -199,7 +199,7 @@ def most_robust(score_table: DataFrame) -> DataFrame:
 def recommendations(results: DataFrame, models: DataFrame | None = None) -> DataFrame:
     """Ordered lines (model, line, text); listed models without results get the no-data line.
 
-    ``results`` is read several times: pass a stored table or one cut off with ``settle``.
+    ``results`` is read several times: pass a stored table or one kept with ``held``.
     """
     drop = F.col("performance_drop_pct")
     severe = bands.severity(drop).isin("High", "Critical")

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -158,13 +159,14 @@ def _corruption_cuts(df, features, tests, key, seed, n) -> dict:
             for name, coefs in zip(own, test_coefficients(t, seed))
         ],
     )
-    cells = [
-        f"struct({k * len(features) + j} AS cell, "
-        f"{keyed.fine_uniform(keyed.draw(names[k], f, 0), keyed.draw(names[k], f, 1))} AS draw)"
+    lines = [
+        f"struct({k * len(features) + j} AS cell, {keyed.line(names[k], f, 0)} AS high, {keyed.line(names[k], f, 1)} AS low)"
         for k in range(len(hit))
         for j, f in enumerate(features)
     ]
-    draws = mixed.selectExpr(f"`{key}`", f"inline(array({', '.join(cells)}))")
+    drawn = mixed.selectExpr(f"`{key}`", f"inline(array({', '.join(lines)}))")
+    drawn = drawn.selectExpr(f"`{key}`", "cell", f"{keyed.bent('high')} AS high", f"{keyed.bent('low')} AS low")
+    draws = drawn.selectExpr(f"`{key}`", "cell", f"{keyed.fine_uniform('high', 'low')} AS draw")
     takes = {(k * len(features) + j,): [int(n * amount(t))] for k, t in enumerate(hit) for j in range(len(features))}
     found = cuts(draws, ["cell"], "draw", key, takes, {g: n for g in takes})
     return {(hit[g // len(features)].title, features[g % len(features)]): cut for ((g,), _), cut in found.items()}
@@ -248,14 +250,9 @@ def _perturb(df: DataFrame, features: Sequence[str], tests: list[StressTest], ke
         given = [*kept, *[c for c in rows.columns if c not in df.columns and not c.startswith(("__w_", "__c_"))]]
         maps = [[f"__c_{r}_{k}" for k in range(keyed.WORDS)] for r in range(keyed.WORDS)]
         rows = rows.selectExpr(*given, *[f"{keyed.mix(_WORDS, m)} AS {t}" for t, m in zip(_TERMS, maps)])
-        rows = rows.selectExpr(
-            *given,
-            *[
-                f"{keyed.draw(_TERMS, f, slot)} AS __h_{j}_{slot}"
-                for j, f in enumerate(features)
-                for slot in range(_SLOTS)
-            ],
-        )
+        lines = {f"__h_{j}_{s}": keyed.line(_TERMS, f, s) for j, f in enumerate(features) for s in range(_SLOTS)}
+        rows = rows.selectExpr(*given, *[f"{line} AS {h}" for h, line in lines.items()])
+        rows = rows.selectExpr(*given, *[f"{keyed.bent(h)} AS {h}" for h in lines])
     else:
         rows = df.selectExpr("*", suite)
     ties = {(tests.index(t), f): c.keys for t in tests for f in features if (c := cut_of.get((t.title, f))) and c.keys}
@@ -286,7 +283,20 @@ def _perturbed(j: int, feature: str, ties: Mapping, key: str) -> str:
 
 
 def _scored_tests(scorers, df, features, tests, key, target, split, seed) -> DataFrame:
-    """One row per (row, test) with the label before and after of every scorer, side by side."""
+    """One row per (row, test) with the label before and after of every scorer, side by side.
+
+    Each split is perturbed with its own statistics and selection sizes. The splits are few and named
+    by the ``split`` column, so they are listed and their plans put under one another.
+    """
+    names = [r[0] for r in df.select(split).distinct().orderBy(split).collect()]
+    parts = [
+        _scored_split(scorers, df.filter(F.col(split).eqNullSafe(F.lit(n))), features, tests, key, target, split, seed)
+        for n in names
+    ]
+    return reduce(DataFrame.unionByName, parts or [_scored_split(scorers, df, features, tests, key, target, split, seed)])
+
+
+def _scored_split(scorers, df, features, tests, key, target, split, seed) -> DataFrame:
     scored = scoring.attach_all(scorers, df, features, "__o_")
     base = scored.select(
         F.col(key).alias("row_id"),
@@ -410,7 +420,7 @@ def run(
     split: str = "split",
     seed: int = 42,
 ) -> DataFrame:
-    """Run a suite of tests for all scorers over one evaluation split.
+    """Run a suite of tests for all scorers over every split of ``df``, each on its own.
 
     Rows are counted under integer codes; the names are put on the small result.
     """

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays, binning
 from ..operators import evaluate, reliability, report
-from ..session import settle
+from ..session import held
 
 HCE_THRESHOLD = 0.9
 N_BINS = 10
@@ -110,7 +110,7 @@ def scorecard(
     n_classes: int | None = None,
 ) -> DataFrame:
     """Reliability scores straight from predictions; the cells are written once and read thrice."""
-    cells = settle(evidence_cells(pred, n_classes))
+    cells = held(evidence_cells(pred, n_classes))
     return reliability.score(evidence(models, cells, results, split, evidence_split))
 
 
@@ -128,9 +128,9 @@ def sections(
 
 def compile_report(models: DataFrame, pred: DataFrame, results: DataFrame, split: str = "test", n_classes=None) -> dict:
     """Sections, stamped summary and the scores they rest on."""
-    cells = settle(evidence_cells(pred, n_classes))
-    kept = settle(results)
-    scores = settle(reliability.score(evidence(models, cells, kept, split)))
+    cells = held(evidence_cells(pred, n_classes))
+    kept = held(results)
+    scores = held(reliability.score(evidence(models, cells, kept, split)))
     parts = sections(models, cells, kept, scores, split)
     return {
         "sections": parts,

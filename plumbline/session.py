@@ -8,6 +8,7 @@ import zipfile
 from collections.abc import Sequence
 
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -37,7 +38,7 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, memory: s
 def shared_folder(spark: SparkSession) -> str:
     """The reliable folder named by ``spark.checkpoint.dir``, set on the context once.
 
-    Only a local session without that setting gets a scratch folder of its own.
+    Only a local session without that setting, as in tests, gets a scratch folder of its own.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
@@ -56,14 +57,12 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread(df: DataFrame, partitions: int, key: str) -> DataFrame:
-    """Hash ``df`` on its key when it has fewer partitions than asked; a wide scan is left alone.
+def held(df: DataFrame) -> DataFrame:
+    """``df``, kept after its first use: for small results that several others are made from.
 
-    Meant for a scan that feeds a row-multiplying stage: a small file is one task otherwise.
+    Parts lost with an executor are computed again; no folder is needed.
     """
-    if df.rdd.getNumPartitions() >= partitions:
-        return df
-    return df.repartition(partitions, key)
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def ship(spark: SparkSession) -> None:
