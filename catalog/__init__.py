@@ -19,6 +19,7 @@ SECTIONS = (
     "comparing",
     "reliability",
     "reporting",
+    "exports",
 )
 
 

@@ -119,10 +119,16 @@ def mix_sql(terms: list[str], coefs) -> str:
     return "((" + " + ".join(f"{t} * {c}::BIGINT" for t, c in zip(terms, coefs)) + f") % {keyed.PRIME}::BIGINT)"
 
 
-def draw_sql(terms: list[str], *label) -> str:
+def line_sql(terms: list[str], *label) -> str:
     return mix_sql(terms, keyed.coefficients(*label))
 
 
+def bent_sql(drawn: str) -> str:
+    """Fifth power modulo 2^31 - 1."""
+    p = "2147483647::BIGINT"
+    return f"((((({drawn} * {drawn}) % {p}) * (({drawn} * {drawn}) % {p})) % {p} * {drawn}) % {p})"
+
+
 def open_uniform_sql(drawn: str) -> str:
     return f"(({drawn}::DOUBLE + 0.5::DOUBLE) / {num(keyed.PRIME)})"
 

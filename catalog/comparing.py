@@ -8,7 +8,7 @@ from plumbline.functions import bands
 from plumbline.functions.rounding import nearest
 from plumbline.operators import compare
 from plumbline.plans import scorecard
-from plumbline.session import settle
+from plumbline.session import held
 
 from . import fixtures as fx
 from .base import at_least, below, big, fixed, query, r6, text, tidy
@@ -48,7 +48,7 @@ rk AS (SELECT *, row_number() OVER (ORDER BY composite DESC, model_seq) AS rank
 
 
 def cells(spark, sf):
-    return settle(scorecard.evidence_cells(fx.predictions(spark, sf), fx.K))
+    return held(scorecard.evidence_cells(fx.predictions(spark, sf), fx.K))
 
 
 def performances(spark, sf, counted=None):

@@ -45,6 +45,15 @@ def m9(spark, sf):
     return tidy(evaluate.confusion_matrix(fx.predictions(spark, sf), KEYS))
 
 
+@query(
+    "m9_confusion_counts",
+    fx.with_predictions(f"SELECT model, split, {big('y_true')} AS y_true, {big('y_pred')} AS y_pred, {big('count(*)')} AS n FROM pred GROUP BY ALL"),
+)
+def m9_counts(spark, sf):
+    """The sparse form: only pairs that occur."""
+    return tidy(evaluate.confusion_counts(fx.predictions(spark, sf), KEYS).select(*KEYS, "y_true", "y_pred", "n"))
+
+
 @query(
     "m9_confusion_wide",
     f"WITH {MATRIX} SELECT model, split, {big('y_true')} AS y_true, "

@@ -14,12 +14,13 @@ from pyspark.sql import types as T
 
 from plumbline.functions import keyed
 from plumbline.operators import scoring, stress
-from plumbline.session import small_frame, spread
+from plumbline.session import small_frame
 
 from .base import (
     digest,
-    draw_sql,
+    bent_sql,
     fine_uniform_sql,
+    line_sql,
     mix_sql,
     num,
     open_uniform_sql,
@@ -96,10 +97,10 @@ def evaluation_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Order status is unrelated to the features, so here the label is a rule on them: the scorers
     get much of it right and lose accuracy when the features are disturbed.
-    The suite multiplies rows, so a table of few files is spread over the cores first.
+    The suite multiplies rows, so they are spread over the shuffle partitions first.
     """
     rows = features(spark, sf_dir).withColumn("split", F.lit("test")).withColumn("y", F.expr(STRESS_LABEL))
-    return spread(rows, spark.sparkContext.defaultParallelism, "row_id")
+    return rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "row_id")
 
 
 def stress_results(spark: SparkSession, sf_dir: str, tests=stress.DEFAULT_SUITE) -> DataFrame:
@@ -234,16 +235,18 @@ def stressed_features_sql(tests=stress.DEFAULT_SUITE) -> str:
         for r in range(keyed.WORDS)
     )
     terms = [f"t{i}" for i in range(keyed.WORDS)]
+    cells = [(j, f, slot) for j, f in enumerate(FEATURES, 1) for slot in range(3)]
+    lines = ", ".join(f"{line_sql(terms, f, slot)} AS g{j}_{slot}" for j, f, slot in cells)
+    bends = ", ".join(f"{bent_sql(f'g{j}_{slot}')} AS h{j}_{slot}" for j, _, slot in cells)
     ranks = ", ".join(
-        f"row_number() OVER (PARTITION BY test_seq ORDER BY "
-        f"{fine_uniform_sql(draw_sql(terms, f, 0), draw_sql(terms, f, 1))}, row_id) AS r{j}"
+        f"row_number() OVER (PARTITION BY test_seq ORDER BY {fine_uniform_sql(f'h{j}_0', f'h{j}_1')}, row_id) AS r{j}"
         for j, f in enumerate(FEATURES, 1)
     )
 
     def formula(j: int, x: str) -> str:
         pick = f"r{j} <= floor(n * amount)"
-        u, v, w = (open_uniform_sql(draw_sql(terms, x, slot)) for slot in range(3))
-        o = fine_uniform_sql(draw_sql(terms, x, 0), draw_sql(terms, x, 1))
+        u, v, w = (open_uniform_sql(f"h{j}_{slot}") for slot in range(3))
+        o = fine_uniform_sql(f"h{j}_0", f"h{j}_1")
         pi2 = "6.283185307179586::DOUBLE"
         return f"""CASE kind
   WHEN 'gaussian_noise' THEN {x} + sqrt(-2.0::DOUBLE * ln({u})) * cos({pi2} * {v}) * (sd{j} * amount)
@@ -262,7 +265,9 @@ def stressed_features_sql(tests=stress.DEFAULT_SUITE) -> str:
 stats AS (SELECT count(*) AS n, {stats} FROM feat),
 worded AS (SELECT *, {words_sql(SEED, 'row_id')} FROM feat),
 drawn AS (SELECT worded.*, tests.*, {own} FROM worded CROSS JOIN tests),
-ranked AS (SELECT *, {ranks} FROM drawn),
+lined AS (SELECT *, {lines} FROM drawn),
+bent AS (SELECT *, {bends} FROM lined),
+ranked AS (SELECT *, {ranks} FROM bent),
 stressed AS (SELECT row_id, {STRESS_LABEL} AS y, x_1, x_2, x_3, test_seq, test_name, {cols} FROM ranked CROSS JOIN stats)"""
 
 

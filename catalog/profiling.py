@@ -118,11 +118,12 @@ def p8(spark, sf):
 
 @query(
     "p9_preview",
-    f"""SELECT o_orderkey, o_custkey, o_orderstatus, {r6('o_totalprice')} AS o_totalprice, o_orderpriority
+    f"""SELECT o_orderkey, o_custkey, o_orderstatus, {r6('o_totalprice')} AS o_totalprice, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate, o_orderpriority
     FROM orders ORDER BY o_orderkey LIMIT 10""",
 )
 def p9(spark, sf):
-    return tidy(profile.preview(table(spark, sf, "orders").drop("o_orderdate"), ["o_orderkey"]))
+    shown = profile.preview(table(spark, sf, "orders"), ["o_orderkey"])
+    return tidy(shown.withColumn("o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")))
 
 
 INFO_SQL = " UNION ALL ".join(

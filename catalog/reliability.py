@@ -10,7 +10,7 @@ from plumbline.functions import bands
 from plumbline.functions.rounding import nearest
 from plumbline.operators import reliability as rl
 from plumbline.plans import scorecard
-from plumbline.session import settle
+from plumbline.session import held
 
 from . import fixtures as fx
 from .base import at_least, big, fixed, query, r6, text, tidy
@@ -44,7 +44,7 @@ SCORES = scores_sql()
 
 
 def evidence(spark, sf):
-    cells = settle(scorecard.evidence_cells(fx.predictions(spark, sf), fx.K))
+    cells = held(scorecard.evidence_cells(fx.predictions(spark, sf), fx.K))
     return scorecard.evidence(fx.models(spark), cells, fx.stress_results(spark, sf))
 
 

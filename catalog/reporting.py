@@ -8,7 +8,7 @@ from plumbline.functions import bands
 from plumbline.operators import reliability, report
 from plumbline.operators.stress import DEFAULT_SUITE
 from plumbline.plans import scorecard
-from plumbline.session import settle
+from plumbline.session import held
 from plumbline.sources import sinks
 
 from . import fixtures as fx
@@ -25,11 +25,11 @@ ALL = f"WITH {SCORES}, {PERF}, {ROB}, {CAL}, {REL}"
 
 
 def cells(spark, sf):
-    return settle(scorecard.evidence_cells(fx.predictions(spark, sf), fx.K))
+    return held(scorecard.evidence_cells(fx.predictions(spark, sf), fx.K))
 
 
 def everything(spark, sf):
-    counted, results = cells(spark, sf), settle(fx.stress_results(spark, sf))
+    counted, results = cells(spark, sf), held(fx.stress_results(spark, sf))
     models = fx.models(spark)
     scores = reliability.score(scorecard.evidence(models, counted, results))
     return models, scorecard.sections(models, counted, results, scores)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import bands
 from plumbline.operators import robustness as rb
-from plumbline.session import settle
+from plumbline.session import held
 
 from . import fixtures as fx
 from .base import at_least, below, big, fixed, percent, query, r6, text, tidy
@@ -45,7 +45,7 @@ SCORES = f"{SUITE}, {score_cte()}"
 )
 def v1(spark, sf):
     """Earlier results of tests 0-5, then a rerun of tests 3-8 that lost no accuracy."""
-    table = settle(results(spark, sf)).select("model", "test_seq", "test_name", "accuracy_original", "accuracy_stressed")
+    table = held(results(spark, sf)).select("model", "test_seq", "test_name", "accuracy_original", "accuracy_stressed")
     old = table.filter(F.col("test_seq") < 6)
     new = table.filter(F.col("test_seq").between(3, 8)).withColumn("accuracy_stressed", F.col("accuracy_original"))
     return tidy(rb.upsert(old, new).select("model", "test_name", "accuracy_stressed"))
@@ -170,7 +170,7 @@ def _recommendation_sql() -> str:
 
 @query("v10_recommendations", _recommendation_sql())
 def v10(spark, sf):
-    return tidy(rb.recommendations(settle(results(spark, sf)), fx.models(spark)))
+    return tidy(rb.recommendations(held(results(spark, sf)), fx.models(spark)))
 
 
 @query(
