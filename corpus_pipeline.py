@@ -2,15 +2,29 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import decontaminate, lines, neardup, packing, quality
-from plumbline.llm.frames import table, written
+from plumbline.llm.frames import small_batches, table, written
 from plumbline.llm.queries import vocabulary
 from plumbline.session import ship
 
 
+def stage(fn: Callable[[SparkSession, DataFrame, str], DataFrame]):
+    @wraps(fn)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship(spark)
+        small_batches(spark)
+        return fn(spark, docs, sf_dir)
+
+    return run_stage
+
+
+@stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and have enough content lines. Null and empty texts fail; null ids pass as others."""
     field = quality.train(docs, table(spark, sf_dir, "labels"))
@@ -19,12 +33,14 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return rows.where(quality.verdict("_m")).select(*_columns(docs))
 
 
+@stage
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that a later document repeats; ``n_chars`` follows the text. Null texts stay null."""
     kept = lines.without_repeats(docs)
     return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else kept
 
 
+@stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: that with the smallest id. Of rows that repeat an id, one stays; rows with a
     null id and documents without words stay."""
@@ -38,6 +54,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return once.unionByName(again.dropDuplicates(["doc_id"]))
 
 
+@stage
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which less than a twentieth of the words is in passages of the benchmark. Null and empty texts stay."""
     blocks = decontaminate.item_blocks(table(spark, sf_dir, "benchmark"), "item_id", "text")
@@ -47,6 +64,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return rows.where(clean).select(*_columns(docs))
 
 
+@stage
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' pieces in sequences of at most 1024 tokens."""
     return packing.pack_documents(docs, vocabulary("byte_bpe_50k.json"), end_id=2, limit=1024)
@@ -67,8 +85,7 @@ ORACLE_SQL = None  # the sequence labelling and the packing have no SQL form
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ship(spark)
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
+    for _, one in STAGES[:-1]:
+        docs = written(one(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -12,13 +12,20 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 #: Distinct words a Python worker remembers the hash of before it starts afresh.
-WORDS_REMEMBERED = 1_000_000
+WORDS_REMEMBERED = 200_000
+#: Bytes of rows that go to a Python worker at once; Spark's own limit is 64 MB, several times over while they are worked on.
+ARROW_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Limit the Arrow batches of the session to ``ARROW_BYTES``: the rows hold whole texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; a local session without one gets its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

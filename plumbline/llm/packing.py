@@ -27,6 +27,13 @@ PIECES = "doc_id {id}, piece int, start long, length long, ids_crc32 long, part
 # ---------------------------------------------------------------------------------------------- tokens
 
 
+@lru_cache(maxsize=4)
+def _library(path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 @lru_cache(maxsize=4)
 def _encoder(path: str):
     """Encodes texts to id lists as the ``tokenizers`` file at ``path`` does.
@@ -37,10 +44,7 @@ def _encoder(path: str):
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    slow = lambda some: [e.ids for e in tokenizer.encode_batch(some, add_special_tokens=False)]
+    slow = lambda some: [e.ids for e in _library(path).encode_batch(some, add_special_tokens=False)]
     ranks_path = path.removesuffix(".json") + ".tiktoken"
     if not path.endswith("byte_bpe_50k.json") or not os.path.exists(ranks_path):
         return slow

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
 from . import decontaminate, lines, linkgraph, neardup, packing, pagetext, quality, quotes, suffixes, tokens
-from .frames import table
+from .frames import small_batches, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -19,6 +19,7 @@ def query(fn: Callable[[SparkSession, str], DataFrame]):
     @wraps(fn)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship(spark)
+        small_batches(spark)
         return fn(spark, sf_dir)
 
     QUERIES[fn.__name__] = run
