@@ -66,7 +66,7 @@ def described(text: bytes) -> tuple[tuple[int, ...], np.ndarray, np.ndarray]:
         rows.append((
             1.0, n, (size - len(line.translate(None, SYMBOLS))) / n, (line.count(b"!") + line.count(b"?")) / n,
             upper / (letters or 1), (size - len(line.translate(None, b"0123456789"))) / size, line in seen, 0.0,
-            line.rstrip(SPACES)[-1:] in (b".", b"!", b"?"),
+            letters / (size - line.count(b" ")),
         ))
         seen.add(line)
     features = np.array(rows, np.float64).reshape(-1, N_FEATURES)
