@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,20 +23,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .frames import WORD_HASHES, bytes_of, mixed, windows_of, written
-from .graph import components
+from .graph import joined_classes
 
 SHINGLE, PERCENT, WIDTH = 5, 75, 128
-#: Nodes of up to so many documents are compared all with all; trees branch this deep before nodes get more leaders.
-SMALL, DEEPEST, MORE_LEADERS = 32, 8, 8
+#: Nodes of up to so many documents are compared all with all; trees branch this deep at most; leaders of dense nodes.
+SMALL, DEEPEST, MORE_LEADERS = 32, 6, 8
+#: Dense nodes of up to so many documents are compared all with all too, once.
+ALL_PAIRS = 512
+#: A child that keeps so much of its node is dense: its documents are too alike to part by further branching.
+DENSE = 0.6
 RECALL_DEPTH, RECALL = 3, 0.9995
-#: Minwise hashes of WIDTH that a candidate must share: 4.5 standard deviations below what the threshold leads to.
-AGREE = int(WIDTH * PERCENT / 100 - 4.5 * math.sqrt(WIDTH * PERCENT / 100 * (1 - PERCENT / 100)))
+#: Minwise hashes of WIDTH that a candidate must share: 3.3 standard deviations below what the threshold leads to.
+AGREE = int(WIDTH * PERCENT / 100 - 3.3 * math.sqrt(WIDTH * PERCENT / 100 * (1 - PERCENT / 100)))
 #: Size of the filter that keeps documents out of a shuffle: a power of two of bits.
 FILTER_BITS = 25
-SIGNATURE = "doc {id}, n_shingles long, d1 long, d2 long, signature binary"
+SIGNATURE = "doc {id}, n_shingles long, d1 long, d2 long, signature array<int>"
 
-_A = mixed(np.arange(1, WIDTH + 1, dtype=np.uint64)) | np.uint64(1)
-_B = mixed(np.arange(WIDTH + 1, 2 * WIDTH + 1, dtype=np.uint64))
+_A = (mixed(np.arange(1, WIDTH + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+_B = (mixed(np.arange(WIDTH + 1, 2 * WIDTH + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
 
 
 def trees() -> int:
@@ -55,11 +60,14 @@ def shingles(text: bytes) -> np.ndarray:
 
 
 def minwise(hashes: np.ndarray) -> np.ndarray:
-    """The ``WIDTH`` minwise hashes (32 bits each) of a set, a slice of the set at a time."""
-    best = np.full(WIDTH, np.iinfo(np.uint64).max, np.uint64)
-    for s in range(0, len(hashes), 2048):
-        best = np.minimum(best, (hashes[s : s + 2048, None] * _A + _B).min(axis=0))
-    return (best >> np.uint64(32)).astype("<u4")
+    """The ``WIDTH`` minwise tokens of a set, a slice of the set at a time: 25 bits of the smallest hash and its place."""
+    short = (hashes >> np.uint64(32)).astype(np.uint32)
+    best = np.full(WIDTH, np.iinfo(np.uint32).max, np.uint32)
+    for s in range(0, len(short), 1024):
+        best = np.minimum(best, (short[s : s + 1024, None] * _A + _B).min(axis=0))
+    best = (best ^ (best >> np.uint32(16))) * np.uint32(0x45D9F3B)
+    best ^= best >> np.uint32(16)
+    return ((best & ~np.uint32(WIDTH - 1)) | np.arange(WIDTH, dtype=np.uint32)).view(np.int32)
 
 
 def signatures(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -74,9 +82,9 @@ def signatures(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 counts.append(len(found))
                 d1.append(int.from_bytes(digest[:8], "little", signed=True))
                 d2.append(int.from_bytes(digest[8:], "little", signed=True))
-                marks.append(minwise(found).tobytes() if len(found) else None)
+                marks.append(minwise(found) if len(found) else None)
             longs = [pa.array(x, pa.int64()) for x in (counts, d1, d2)]
-            arrays = [batch.column(0), *longs, pa.array(marks, pa.binary())]
+            arrays = [batch.column(0), *longs, pa.array(marks, pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays(arrays, ["doc", "n_shingles", "d1", "d2", "signature"])
 
     return df.select(F.col(id_col), F.col(text_col)).mapInArrow(run, SIGNATURE.format(id=kind))
@@ -87,14 +95,17 @@ def full_sets(df: DataFrame, kind: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = pa.array([shingles(t).tobytes() for t in bytes_of(batch.column(1))], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), sets], ["rep", "set"])
+            sets = [shingles(t).view(np.int64) for t in bytes_of(batch.column(1))]
+            ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
+            values = np.concatenate(sets) if sets else np.empty(0, np.int64)
+            arrays = pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
+            yield pa.RecordBatch.from_arrays([batch.column(0), arrays], ["rep", "set"])
 
-    return df.mapInArrow(run, f"rep {kind}, set binary")
+    return df.mapInArrow(run, f"rep {kind}, set array<long>")
 
 
 def branch(df: DataFrame, roots: int, kind: str) -> DataFrame:
-    """(node, rep) of the children: of ``roots`` trees, or of the node in the column ``node``."""
+    """(node, rep, above) of the children: of ``roots`` trees, or of the node in the column ``node``, whose size goes along."""
     chance = np.uint64(int(2**64 / (WIDTH * PERCENT / 100)))
     places = np.arange(1, WIDTH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
@@ -102,7 +113,8 @@ def branch(df: DataFrame, roots: int, kind: str) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            marks = np.frombuffer(b"".join(batch.column("signature").to_pylist()), "<u4").reshape(-1, WIDTH).astype(np.uint64)
+            tokens = batch.column("signature").flatten().to_numpy().view(np.uint32)
+            marks = tokens.reshape(-1, WIDTH).astype(np.uint64)
             if roots:
                 trees_at = mixed(np.arange(1, roots + 1, dtype=np.uint64))
                 tree, place = np.nonzero(mixed(trees_at[:, None] ^ places) < chance)
@@ -113,11 +125,12 @@ def branch(df: DataFrame, roots: int, kind: str) -> DataFrame:
                 row, place = np.nonzero(mixed(nodes[:, None] ^ places) < chance)
                 tree = nodes[row]
             child = mixed(mixed(tree + places[place]) ^ marks[row, place])
-            arrays = [pa.array(child.view(np.int64)), batch.column("rep").take(pa.array(row))]
-            yield pa.RecordBatch.from_arrays(arrays, ["node", "rep"])
+            size = pa.nulls(len(row), pa.int64()) if roots else batch.column("n").take(pa.array(row))
+            arrays = [pa.array(child.view(np.int64)), batch.column("rep").take(pa.array(row)), size]
+            yield pa.RecordBatch.from_arrays(arrays, ["node", "rep", "above"])
 
-    columns = ["rep", "signature"] if roots else ["node", "rep", "signature"]
-    return df.select(columns).mapInArrow(run, f"node long, rep {kind}")
+    columns = ["rep", "signature"] if roots else ["node", "rep", "signature", "n"]
+    return df.select(columns).mapInArrow(run, f"node long, rep {kind}, above long")
 
 
 def among(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
@@ -132,36 +145,22 @@ def among(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
 
 
 def agreeing(x: Column, y: Column) -> Column:
-    def count(a: pa.Array, b: pa.Array) -> pa.Array:
-        left, right = (np.frombuffer(b"".join(c.to_pylist()), "<u4").reshape(-1, WIDTH) for c in (a, b))
-        return pa.array((left == right).sum(axis=1).astype(np.int32))
-
-    return F.arrow_udf(count, "int")(x, y)
+    """Places at which two signatures agree: a token holds its place, so none is twice in a signature."""
+    return F.size(F.array_intersect(x, y))
 
 
 def similar(x: Column, y: Column) -> Column:
-    """100 * intersection >= PERCENT * union, of two sets of sorted hashes."""
-
-    def test(a: pa.Array, b: pa.Array) -> pa.Array:
-        out = []
-        for s, t in zip(a.to_pylist(), b.to_pylist()):
-            s, t = np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64)
-            small, large = (s, t) if len(s) < len(t) else (t, s)
-            at = np.minimum(np.searchsorted(large, small), len(large) - 1)
-            both = int((large[at] == small).sum())
-            out.append(100 * both >= PERCENT * (len(s) + len(t) - both))
-        return pa.array(out, pa.bool_())
-
-    return F.arrow_udf(test, "boolean")(x, y)
+    """100 * intersection >= PERCENT * union, of two arrays of distinct hashes."""
+    both = F.size(F.array_intersect(x, y))
+    return 100 * both >= PERCENT * (F.size(x) + F.size(y) - both)
 
 
 class Join:
-    """The state of one join: signatures and texts of the representatives, links found so far."""
+    """The state of one join: signatures and texts of the representatives, and the classes found so far."""
 
     def __init__(self, marks: DataFrame, texts: DataFrame, kind: str, links: DataFrame):
         self.marks, self.texts, self.kind = marks, texts, kind
-        self.links: DataFrame | None = None if links.isEmpty() else links
-        self.labels: DataFrame | None = None if self.links is None else components(self.links)
+        self.labels: DataFrame | None = None if links.isEmpty() else joined_classes(None, links)
 
     def labelled(self, nodes: DataFrame) -> DataFrame:
         """``nodes`` (node, rep) with the class of each document so far."""
@@ -170,46 +169,45 @@ class Join:
         labels = self.labels.select(F.col("node").alias("rep"), "label")
         return nodes.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
 
+    def apart(self, pairs: DataFrame) -> DataFrame:
+        """``pairs`` (a, b, ...) of different classes."""
+        if self.labels is None:
+            return pairs
+        la, lb = (self.labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}")) for c in "ab")
+        found = pairs.join(la, "a", "left").join(lb, "b", "left")
+        return found.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select(pairs.columns)
+
     def candidates(self, pairs: DataFrame) -> DataFrame:
-        """(a, b, agree) of the pairs that may be similar enough; different classes only."""
+        """(a, b, agree) of the pairs (x, y) that may be similar enough; different classes only."""
         a, b = F.least("x", "y"), F.greatest("x", "y")
-        pairs = pairs.where("x <> y").select(a.alias("a"), b.alias("b")).distinct()
-        if self.labels is not None:
-            la, lb = (self.labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}")) for c in "ab")
-            pairs = pairs.join(la, "a", "left").join(lb, "b", "left")
-            pairs = pairs.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
+        pairs = self.apart(pairs.where("x <> y").select(a.alias("a"), b.alias("b")).distinct())
         left, right = (self.marks.select(F.col("rep").alias(c), F.col("signature").alias(f"s{c}")) for c in "ab")
         met = pairs.join(left, "a").join(right, "b")
         return met.select("a", "b", agreeing(F.col("sa"), F.col("sb")).alias("agree")).where(F.col("agree") >= AGREE)
 
     def confirm(self, pairs: DataFrame) -> None:
-        """Adds the pairs (a, b) that the full sets confirm and joins their classes."""
+        """Joins the classes of the pairs (a, b) that the full sets confirm."""
         ids = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
         texts = among(self.texts, "rep", ids).join(ids, "rep", "left_semi")
         sets = written(full_sets(texts, self.kind))
         left, right = (sets.select(F.col("rep").alias(c), F.col("set").alias(f"s{c}")) for c in "ab")
         true = written(pairs.join(left, "a").join(right, "b").where(similar(F.col("sa"), F.col("sb"))).select("a", "b"))
         if not true.isEmpty():
-            self.links = true if self.links is None else self.links.union(true)
-            self.labels = components(self.links)
+            self.labels = joined_classes(self.labels, true)
 
-    def compare(self, pairs: DataFrame) -> None:
-        """Confirms each document's most promising pair first: later pairs inside the classes so found need no test."""
+    def compare(self, pairs: DataFrame, best_first: bool = False) -> None:
+        """Confirms candidate pairs (x, y). ``best_first``: each document's most promising pair before the others, of which
+        those inside the classes so found need no test."""
         found = written(self.candidates(pairs))
         if found.isEmpty():
             return
-        best = found.select(F.col("b").alias("x"), F.col("a").alias("y"), "agree")
-        best = best.groupBy("x").agg(F.max_by("y", "agree").alias("y"))
-        best = best.select(F.col("y").alias("a"), F.col("x").alias("b"))
-        self.confirm(written(best))
-        rest = found.select("a", "b").join(best, ["a", "b"], "left_anti")
-        if self.labels is not None:
-            la, lb = (self.labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}")) for c in "ab")
-            rest = rest.join(la, "a", "left").join(lb, "b", "left")
-            rest = rest.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
-        rest = written(rest)
-        if not rest.isEmpty():
-            self.confirm(rest)
+        if best_first:
+            best = found.groupBy("b").agg(F.max_by("a", "agree").alias("a")).select("a", "b")
+            self.confirm(written(best))
+            found = written(self.apart(found.join(best, ["a", "b"], "left_anti")))
+            if found.isEmpty():
+                return
+        self.confirm(found.select("a", "b"))
 
 
 def leaders(nodes: DataFrame, salt: int = 0) -> DataFrame:
@@ -219,7 +217,7 @@ def leaders(nodes: DataFrame, salt: int = 0) -> DataFrame:
 
 
 def unresolved(join: Join, nodes: DataFrame) -> DataFrame:
-    """(node, rep, label, n) of nodes that hold several classes."""
+    """(node, rep, label, n, above) of nodes that hold several classes."""
     marked = join.labelled(nodes)
     several = marked.groupBy("node").agg(F.count("*").alias("n"), F.min("label").alias("_lo"), F.max("label").alias("_hi"))
     return marked.join(several.where("_lo <> _hi").select("node", "n"), "node")
@@ -236,25 +234,35 @@ def linked(marks: DataFrame, texts: DataFrame, kind: str, links: DataFrame) -> D
     """(node, label) of the documents that are linked with another: ``marks`` (rep, signature), ``texts`` (rep, text),
     ``links`` (a, b) known before."""
     join = Join(marks, texts, kind, links)
-    nodes = written(branch(marks, trees(), kind))
+    nodes, dense = branch(marks, trees(), kind), []
     for depth in range(1, DEEPEST + 1):
-        led = leaders(nodes)
-        live = written(nodes.join(led, "node"))  # nodes with one document end here
+        nodes = written(nodes)
+        live = written(nodes.join(leaders(nodes).select("node", "leader"), "node"))  # nodes with one document end here
         if live.isEmpty():
             break
-        join.compare(live.select(F.col("rep").alias("x"), F.col("leader").alias("y")))
-        open_nodes = written(unresolved(join, live.select("node", "rep")))
-        small = open_nodes.where(F.col("n") <= SMALL)
-        join.compare(neighbours(small))
-        large = written(unresolved(join, open_nodes.where(F.col("n") > SMALL).select("node", "rep")).select("node", "rep"))
-        if large.isEmpty():
+        stars = live.select(F.col("rep").alias("x"), F.col("leader").alias("y"))
+        if depth == 1:  # most links are found here, and resolve most nodes
+            join.compare(stars, best_first=True)
+        several = written(unresolved(join, live.select("node", "rep", "above")))
+        pairs = neighbours(several.where(F.col("n") <= SMALL))
+        join.compare(pairs if depth == 1 else pairs.unionByName(stars))
+        large = several.where(F.col("n") > SMALL)
+        alike = F.col("n") >= F.lit(DENSE) * F.coalesce("above", F.lit(float("inf")))
+        stop = alike if depth < DEEPEST else F.lit(True)
+        dense.append(large.where(stop).select("node", "rep", "n"))
+        nodes = large.where(~stop).select("node", "rep", "n").join(marks, "rep")
+        if nodes.isEmpty():
             break
-        if depth < DEEPEST:
-            nodes = written(branch(large.join(marks, "rep"), 0, kind))
-        else:  # too alike to part: more leaders for each
-            for salt in range(1, MORE_LEADERS + 1):
-                pairs = large.join(leaders(large, salt), "node")
-                join.compare(pairs.select(F.col("rep").alias("x"), F.col("leader").alias("y")))
+        nodes = branch(nodes, 0, kind)
+    # each document stays in its largest dense node, of which the smaller are compared all with all
+    pool = reduce(DataFrame.unionByName, dense) if dense else None
+    if pool is not None and not pool.isEmpty():
+        pool = pool.groupBy("rep").agg(F.max_by("node", F.struct("n", "node")).alias("node"))
+        pool = written(unresolved(join, pool.withColumn("above", F.lit(None).cast("long"))))
+        few, many = pool.where(F.col("n") <= ALL_PAIRS), pool.where(F.col("n") > ALL_PAIRS).select("node", "rep")
+        led = [many.join(leaders(many, salt), "node") for salt in range(1, MORE_LEADERS + 1)]
+        stars = reduce(DataFrame.unionByName, led).select(F.col("rep").alias("x"), F.col("leader").alias("y"))
+        join.compare(neighbours(few).unionByName(stars), best_first=True)
     return join.labels
 
 
