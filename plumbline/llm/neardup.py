@@ -41,6 +41,8 @@ SIGNATURE = "doc {id}, n_shingles long, d1 long, d2 long, signature array<int>"
 
 _A = (mixed(np.arange(1, WIDTH + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _B = (mixed(np.arange(WIDTH + 1, 2 * WIDTH + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
+_CHANCE = np.uint64(int(2**64 / (WIDTH * PERCENT / 100)))
+_PLACES = np.arange(1, WIDTH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
 def trees() -> int:
@@ -104,11 +106,20 @@ def full_sets(df: DataFrame, kind: str) -> DataFrame:
     return df.mapInArrow(run, f"rep {kind}, set array<long>")
 
 
+def chosen(roots: int) -> int:
+    """Tokens of a document that the roots of the trees choose."""
+    return len(_roots(roots)[0])
+
+
+def _roots(roots: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tree and place of each choice, and the trees' own nodes."""
+    trees_at = mixed(np.arange(1, roots + 1, dtype=np.uint64))
+    tree, place = np.nonzero(mixed(trees_at[:, None] ^ _PLACES) < _CHANCE)
+    return tree, place, trees_at
+
+
 def branch(df: DataFrame, roots: int, kind: str) -> DataFrame:
     """(node, rep, above) of the children: of ``roots`` trees, or of the node in the column ``node``, whose size goes along."""
-    chance = np.uint64(int(2**64 / (WIDTH * PERCENT / 100)))
-    places = np.arange(1, WIDTH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
@@ -116,15 +127,14 @@ def branch(df: DataFrame, roots: int, kind: str) -> DataFrame:
             tokens = batch.column("signature").flatten().to_numpy().view(np.uint32)
             marks = tokens.reshape(-1, WIDTH).astype(np.uint64)
             if roots:
-                trees_at = mixed(np.arange(1, roots + 1, dtype=np.uint64))
-                tree, place = np.nonzero(mixed(trees_at[:, None] ^ places) < chance)
+                tree, place, trees_at = _roots(roots)
                 row = np.tile(np.arange(len(marks)), len(tree))
                 tree, place = np.repeat(trees_at[tree], len(marks)), np.repeat(place, len(marks))
             else:
                 nodes = batch.column("node").to_numpy().view(np.uint64)
-                row, place = np.nonzero(mixed(nodes[:, None] ^ places) < chance)
+                row, place = np.nonzero(mixed(nodes[:, None] ^ _PLACES) < _CHANCE)
                 tree = nodes[row]
-            child = mixed(mixed(tree + places[place]) ^ marks[row, place])
+            child = mixed(mixed(tree + _PLACES[place]) ^ marks[row, place])
             size = pa.nulls(len(row), pa.int64()) if roots else batch.column("n").take(pa.array(row))
             arrays = [pa.array(child.view(np.int64)), batch.column("rep").take(pa.array(row)), size]
             yield pa.RecordBatch.from_arrays(arrays, ["node", "rep", "above"])
@@ -248,6 +258,9 @@ def linked(marks: DataFrame, texts: DataFrame, kind: str, links: DataFrame) -> D
         join.compare(pairs if depth == 1 else pairs.unionByName(stars))
         large = several.where(F.col("n") > SMALL)
         alike = F.col("n") >= F.lit(DENSE) * F.coalesce("above", F.lit(float("inf")))
+        if depth == 1:  # nothing above: a document is dense if so many of its tokens lead to large nodes
+            often = large.groupBy("rep").agg((F.count("*") >= DENSE * chosen(trees())).alias("_often"))
+            large, alike = large.join(often, "rep"), F.col("_often")
         stop = alike if depth < DEEPEST else F.lit(True)
         dense.append(large.where(stop).select("node", "rep", "n"))
         nodes = large.where(~stop).select("node", "rep", "n").join(marks, "rep")
