@@ -125,10 +125,10 @@ def _reach(counts: dict[int, int], limit: int) -> int:
 def _dominated(filling: tuple[int, ...], room: int, left: dict[int, int]) -> bool:
     """Whether a longer piece that is left could replace one piece, or two, of the filling and still fit."""
     slack = room - sum(filling)
-    sums = set(filling) | {a + b for i, a in enumerate(filling) for b in filling[i + 1 :]}
     used: dict[int, int] = {}
     for x in filling:
         used[x] = used.get(x, 0) + 1
+    sums = set(used) | {a + b for a in used for b in used if a < b or (a == b and used[a] > 1)}
     for t in sums:
         single = t in used
         for x in range(t + single, min(t + slack, room) + 1):  # one piece as long as two is better than the two
@@ -158,26 +158,25 @@ def completions(room: int, left: dict[int, int], most: int, tries: int = 4000) -
     def least(space: int) -> int:
         return space - (reach & ((1 << (space + 1)) - 1)).bit_length() + 1
 
-    def go(at: int, space: int, taken: tuple[int, ...]) -> None:
-        nonlocal budget
-        budget -= 1
-        if budget < 0 or least(space) > worst() or (len(found) >= most and found[-1][0] == 0):
-            return
-        deeper = False
+    def enough() -> bool:
+        return budget < 0 or (len(found) >= most and found[-1][0] == 0)
+
+    path = [(0, room, (), False)]  # next length to try, space, pieces taken, whether one more fitted: as deep as there are pieces
+    budget -= 1
+    while path and not enough():
+        at, space, taken, deeper = path.pop()
         for k in range(at, len(lengths)):
             x = lengths[k]
-            if x <= space and left[x] > (taken.count(x) if taken else 0):
-                if least(space - x) <= worst():
-                    deeper = True
-                    go(k, space - x, (*taken, x))
-                if budget < 0 or (len(found) >= most and found[-1][0] == 0):
-                    return
-        if not deeper:
-            found.append((space, taken))
-            found.sort(key=lambda f: (f[0], len(f[1])))
-            del found[4 * most :]
-
-    go(0, room, ())
+            if x <= space and left[x] > (taken.count(x) if taken else 0) and least(space - x) <= worst():
+                path.append((k + 1, space, taken, True))
+                budget -= 1
+                path.append((k, space - x, (*taken, x), False))
+                break
+        else:
+            if not deeper:
+                found.append((space, taken))
+                found.sort(key=lambda f: (f[0], len(f[1])))
+                del found[4 * most :]
     kept = [f for _, f in found if not _dominated(f, room, left)] or [f for _, f in found]
     return kept[:most] or [()]
 

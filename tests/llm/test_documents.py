@@ -113,6 +113,17 @@ def test_packing_is_optimal_on_small_sets(seed):
     assert packing.sequences(packing.pack(dict(Counter(items)), 100)) == optimum(items, 100)
 
 
+@pytest.mark.parametrize("histogram", [{1: 5000}, {1: 5000, 2: 3, 1020: 2}, {1: 1500, 1024: 4, 700: 3}])
+def test_many_pieces_of_one_token(histogram):
+    patterns = packing.pack(histogram, 1024)
+    used = Counter()
+    for pattern, n in patterns:
+        assert sum(pattern) <= 1024
+        used.update({x: n * k for x, k in Counter(pattern).items()})
+    assert used == histogram
+    assert packing.sequences(patterns) == packing.lower_bound(histogram, 1024)
+
+
 def test_decontamination(spark, docs, rows, none):
     texts = dict(rows)
     items = [(1, texts[30][:400]), (2, None), (3, ""), (4, "One"), (5, " ".join(texts[70].split()[100:112])), (6, texts[30][:400].upper()),
