@@ -8,6 +8,9 @@ the probability that keeps the branching alive; others part quickly. Independent
 A node's documents are compared with a leader of the node first, then, where a small node still holds different classes, all
 with all. Nodes whose documents already form one class are done; large ones with several classes branch again. Candidates
 must agree in enough minwise hashes and are then confirmed on the full sets. Documents with equal sets are joined before.
+
+Nodes that further branching doesn't part are dense: all their documents are compared all with all on the full sets, block by
+block, as products of 0/1 matrices. That work grows with the square of a dense node that holds several classes.
 """
 
 from __future__ import annotations
@@ -26,10 +29,11 @@ from .frames import WORD_HASHES, bytes_of, mixed, windows_of, written
 from .graph import joined_classes
 
 SHINGLE, PERCENT, WIDTH = 5, 75, 128
-#: Nodes of up to so many documents are compared all with all; trees branch this deep at most; leaders of dense nodes.
-SMALL, DEEPEST, MORE_LEADERS = 32, 6, 8
-#: Dense nodes of up to so many documents are compared all with all too, once.
-ALL_PAIRS = 512
+#: Nodes of up to so many documents are compared all with all; trees branch this deep at most.
+SMALL, DEEPEST = 32, 6
+#: Documents, and shingles of all of them, in a block of a dense node (expected; a longer document is a block of its own or
+#: makes its block longer); shingles that are columns of a matrix at a time.
+BLOCK, BLOCK_SHINGLES, COLUMNS = 512, 1 << 20, 2048
 #: A child that keeps so much of its node is dense: its documents are too alike to part by further branching.
 DENSE = 0.6
 RECALL_DEPTH, RECALL = 3, 0.9995
@@ -205,6 +209,14 @@ class Join:
         if not true.isEmpty():
             self.labels = joined_classes(self.labels, true)
 
+    def compare_all(self, pool: DataFrame) -> None:
+        """Joins the classes that any similar pair of a node of ``pool`` (node, rep, guest, label) links."""
+        texts = self.texts.join(pool.select("rep").distinct(), "rep", "left_semi")
+        sets = written(full_sets(texts, self.kind).where(F.size("set") > 0))
+        true = written(dense_links(pool, sets, self.kind).distinct())
+        if not true.isEmpty():
+            self.labels = joined_classes(self.labels, true)
+
     def compare(self, pairs: DataFrame, best_first: bool = False) -> None:
         """Confirms candidate pairs (x, y). ``best_first``: each document's most promising pair before the others, of which
         those inside the classes so found need no test."""
@@ -220,14 +232,106 @@ class Join:
         self.confirm(found.select("a", "b"))
 
 
-def leaders(nodes: DataFrame, salt: int = 0) -> DataFrame:
-    """(node, n, leader): a leader that depends on node and salt, found by a minimum that combines before the shuffle."""
-    draw = F.xxhash64("node", F.col("rep").cast("string"), F.lit(salt))
+def links_within(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, labels: list) -> list[tuple[int, int]]:
+    """Links (row, row) that join the same rows as all similar pairs of a left and a right row with different labels do.
+
+    ``sets`` are distinct shingle hashes. Shared shingles are counted exactly, as products of 0/1 matrices.
+    """
+    sizes = np.array([len(x) for x in sets])
+    values, at, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    column = np.where(counts > 1, np.cumsum(counts > 1) - 1, -1)[at]  # a shingle of one row is in no pair
+    row = np.repeat(np.arange(len(sets)), sizes)[column >= 0]
+    column = column[column >= 0]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    both = np.zeros((len(left), len(right)), np.float32)
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        a, b = np.searchsorted(column, (start, start + COLUMNS))
+        holds = np.zeros((len(sets), COLUMNS), np.float32)
+        holds[row[a:b], column[a:b] - start] = 1
+        both += holds[left] @ holds[right].T
+    both = both.astype(np.int64)
+    kinds = {x: i for i, x in enumerate(dict.fromkeys(labels))}
+    label = np.array([kinds[x] for x in labels])
+    near = 100 * both >= PERCENT * (sizes[left][:, None] + sizes[right][None, :] - both)
+    near &= label[left][:, None] != label[right][None, :]
+    linked = np.zeros((len(sets), len(sets)), bool)
+    linked[np.ix_(left, right)] = near
+    linked |= linked.T
+    out, unseen = [], linked.any(axis=1)
+    while unseen.any():
+        ahead = [int(unseen.argmax())]
+        unseen[ahead[0]] = False
+        while ahead:
+            x = ahead.pop()
+            found = np.flatnonzero(linked[x] & unseen).tolist()
+            unseen[found] = False
+            out += [(x, y) for y in found]
+            ahead += found
+    return out
+
+
+def dense_pools(nodes: DataFrame) -> DataFrame:
+    """(node, rep, guest) of the dense ``nodes`` (node, rep, n, guest), all documents of all nodes, where nodes that hold much
+    the same documents are one: a node goes to the largest one that half of its documents or more are in.
+
+    A guest branches on, and so is only to be compared with the documents that don't.
+    """
+    hosts = nodes.where("not guest")
+    home = hosts.groupBy("rep").agg(F.max_by("node", F.struct("n", "node")).alias("home"))
+    counts = hosts.join(home, "rep").groupBy("node", "home").agg(F.count("*").alias("m"))
+    pools = counts.groupBy("node").agg(F.max(F.struct("m", "home")).alias("top"), F.sum("m").alias("all"))
+    pools = pools.select("node", F.when(2 * F.col("top.m") >= F.col("all"), F.col("top.home")).otherwise(F.col("node")).alias("pool"))
+    members = nodes.join(pools, "node").groupBy("pool", "rep").agg(F.min("guest").alias("guest"))
+    return members.withColumnRenamed("pool", "node")
+
+
+def dense_links(pool: DataFrame, sets: DataFrame, kind: str) -> DataFrame:
+    """(a, b) that link what the similar pairs of different labels in each node of ``pool`` (node, rep, guest, label) link;
+    ``sets`` (rep, set). Blocks of documents are compared with each other, each pair of blocks in a group of its own."""
+    sizes = sets.groupBy("rep").agg(F.sum(F.size("set")).alias("size"))
+    pool = written(pool.join(sizes, "rep"))
+    shares = lambda by: pool.groupBy(*by).agg(F.count("*").alias("m"), F.sum("size").alias("s"))
+    parts = F.ceil(F.greatest(F.col("m") / BLOCK, F.col("s") / BLOCK_SHINGLES))
+    # classes that fill a block have blocks of their own: these aren't compared with each other
+    large = shares(["node", "guest", "label"]).where((F.col("m") >= BLOCK) | (F.col("s") >= BLOCK_SHINGLES))
+    homes = pool.join(large.select("node", "guest", "label", F.lit(True).alias("own")), ["node", "guest", "label"], "left")
+    homes = homes.withColumn("home", F.when(F.col("own"), F.xxhash64(F.col("label").cast("string"))).otherwise(F.lit(0)))
+    homes = written(homes.select("node", "guest", "home", "rep", "label", "size"))
+    many = homes.groupBy("node", "guest", "home").agg(F.count("*").alias("m"), F.sum("size").alias("s"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    many = many.select("node", "guest", "home", parts.alias("k"), F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("one"))
+    blocks = many.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
+    key = F.xxhash64("guest", "home", "block")
+    blocks = written(blocks.select("node", key.alias("part"), "guest", "one"))
+    x, y = (blocks.select("node", F.col("part").alias(f"{c}part"), F.col("guest").alias(f"{c}guest"), F.col("one").alias(f"{c}one")) for c in "xy")
+    met = x.join(y, "node").where("xpart <= ypart and not (xguest and yguest) and (xone is null or yone is null or xone <> yone)")
+    sides = F.when(F.col("xpart") == F.col("ypart"), F.array("xpart")).otherwise(F.array("xpart", "ypart"))
+    tasks = met.select("node", "xpart", "ypart", F.explode(sides).alias("part"))
+    placed = homes.join(many.select("node", "guest", "home", "k"), ["node", "guest", "home"])
+    placed = placed.withColumn("block", F.pmod(F.xxhash64(F.col("rep").cast("string"), F.lit(1)), F.col("k")))
+    placed = placed.select("node", key.alias("part"), "rep", "label")
+    rows = placed.join(tasks, ["node", "part"]).join(sets, "rep").select("node", "xpart", "ypart", "part", "rep", "label", "set")
+
+    def run(table: pa.Table) -> pa.Table:
+        part = table.column("part").to_numpy()
+        left, right = (np.flatnonzero(part == table.column(c)[0].as_py()) for c in ("xpart", "ypart"))
+        sets = [x.values.to_numpy().view(np.uint64) for chunk in table.column("set").chunks for x in chunk]
+        links = links_within(sets, left, right, table.column("label").to_pylist())
+        reps = table.column("rep").combine_chunks()
+        a, b = (reps.take(pa.array([x[i] for x in links], pa.int64())) for i in (0, 1))
+        return pa.table({"a": a, "b": b})
+
+    return rows.groupBy("node", "xpart", "ypart").applyInArrow(run, f"a {kind}, b {kind}")
+
+
+def leaders(nodes: DataFrame) -> DataFrame:
+    """(node, n, leader): a leader that depends on the node, found by a minimum that combines before the shuffle."""
+    draw = F.xxhash64("node", F.col("rep").cast("string"), F.lit(0))
     return nodes.groupBy("node").agg(F.count("*").alias("n"), F.min_by("rep", draw).alias("leader")).where("n > 1")
 
 
 def unresolved(join: Join, nodes: DataFrame) -> DataFrame:
-    """(node, rep, label, n, above) of nodes that hold several classes."""
+    """Rows of ``nodes`` (node, rep, ...) that hold several classes, with label and n."""
     marked = join.labelled(nodes)
     several = marked.groupBy("node").agg(F.count("*").alias("n"), F.min("label").alias("_lo"), F.max("label").alias("_hi"))
     return marked.join(several.where("_lo <> _hi").select("node", "n"), "node")
@@ -262,20 +366,15 @@ def linked(marks: DataFrame, texts: DataFrame, kind: str, links: DataFrame) -> D
             often = large.groupBy("rep").agg((F.count("*") >= DENSE * chosen(trees())).alias("_often"))
             large, alike = large.join(often, "rep"), F.col("_often")
         stop = alike if depth < DEEPEST else F.lit(True)
-        dense.append(large.where(stop).select("node", "rep", "n"))
+        held = large.where(stop).select("node").distinct()
+        dense.append(large.join(held, "node").select("node", "rep", "n", (~stop).alias("guest")))
         nodes = large.where(~stop).select("node", "rep", "n").join(marks, "rep")
         if nodes.isEmpty():
             break
         nodes = branch(nodes, 0, kind)
-    # each document stays in its largest dense node, of which the smaller are compared all with all
-    pool = reduce(DataFrame.unionByName, dense) if dense else None
+    pool = written(reduce(DataFrame.unionByName, dense)) if dense else None
     if pool is not None and not pool.isEmpty():
-        pool = pool.groupBy("rep").agg(F.max_by("node", F.struct("n", "node")).alias("node"))
-        pool = written(unresolved(join, pool.withColumn("above", F.lit(None).cast("long"))))
-        few, many = pool.where(F.col("n") <= ALL_PAIRS), pool.where(F.col("n") > ALL_PAIRS).select("node", "rep")
-        led = [many.join(leaders(many, salt), "node") for salt in range(1, MORE_LEADERS + 1)]
-        stars = reduce(DataFrame.unionByName, led).select(F.col("rep").alias("x"), F.col("leader").alias("y"))
-        join.compare(neighbours(few).unionByName(stars), best_first=True)
+        join.compare_all(written(unresolved(join, dense_pools(pool))))
     return join.labels
 
 

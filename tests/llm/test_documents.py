@@ -168,6 +168,46 @@ def test_near_duplicates_in_large_nodes(spark, monkeypatch):
     assert made == components(rows)
 
 
+def test_dense_pool_just_below_the_threshold(spark):
+    """Over 512 documents of one origin, most pairs below the threshold: every link counts, and brute force finds them all."""
+    base = prose(120, 50)
+    rows = [(i, edited(base, 0.028 + 0.003 * (i % 5), i)) for i in range(700)]
+    rows += [(1000 + i, edited(base, 0.01, 5000 + i)) for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    made = {r.doc_id: r.component_id for r in neardup.near_duplicates(df).collect()}
+    assert made == components(rows)
+    assert len(set(made.values())) > 50
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_links_of_dense_blocks(spark, monkeypatch, seed):
+    """Pools of several blocks, guests and classes known before, against every pair."""
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    monkeypatch.setattr(neardup, "COLUMNS", 64)
+    rng = np.random.default_rng(seed)
+    base = rng.integers(0, 1 << 60, 100)
+    sets = {i: np.unique(np.concatenate([base[rng.random(100) < 0.86], rng.integers(0, 1 << 60, 5)])).tolist() for i in range(90)}
+    members = [(n, i, bool(i % 3 == 0), i % 40 if i < 80 else 7) for n in (5, 6) for i in range(90) if (i < 60) == (n == 5) or i % 10 == 0]
+    pool = spark.createDataFrame(members, "node long, rep long, guest boolean, label long")
+    links = neardup.dense_links(pool, spark.createDataFrame(list(sets.items()), "rep long, set array<long>"), "long").collect()
+    near = lambda a, b: 4 * len(a & b) >= 3 * len(a | b)
+    want = {
+        (i, j) for n, i, g, x in members for m, j, h, y in members
+        if n == m and i < j and not (g and h) and x != y and near(set(sets[i]), set(sets[j]))
+    }
+    made = {(min(a, b), max(a, b)) for a, b in links}
+    assert made <= want and len(want) > 20
+
+    def classes(pairs):
+        top = {i: i for i in sets}
+        for i, j in sorted(pairs):
+            lo, hi = sorted((top[i], top[j]))
+            top = {k: lo if v == hi else v for k, v in top.items()}
+        return top
+
+    assert classes(made) == classes(want)
+
+
 def test_ids_with_several_texts_join_their_groups(spark):
     a, b = prose(60, 1), prose(60, 2)
     rows = [(1, a), (2, b), (5, a), (5, b), (7, b + " z"), (8, prose(60, 3))]
