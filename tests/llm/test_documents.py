@@ -208,6 +208,12 @@ def test_links_of_dense_blocks(spark, monkeypatch, seed):
     assert classes(made) == classes(want)
 
 
+def test_pairs_at_the_threshold_pass_the_signature():
+    chance = neardup.PERCENT / 100
+    lost = sum(math.comb(neardup.WIDTH, k) * chance**k * (1 - chance) ** (neardup.WIDTH - k) for k in range(neardup.AGREE))
+    assert lost < 1e-5
+
+
 def test_ids_with_several_texts_join_their_groups(spark):
     a, b = prose(60, 1), prose(60, 2)
     rows = [(1, a), (2, b), (5, a), (5, b), (7, b + " z"), (8, prose(60, 3))]
