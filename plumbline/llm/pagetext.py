@@ -2,7 +2,8 @@
 
 Pages are ordered by host. The visible words of neighbouring pages of one host are concatenated and their suffixes ranked by
 prefix doubling; suffixes from different pages that share ``LEAST`` words or more are repeats of the host's template, and all
-words they cover are boilerplate. Runs that stay unique are text. Markup then has the last word: what it names as menu, notice
+words they cover are boilerplate. Repeats between pages that no suffix array holds together are found before, by the hashes of
+all windows of ``LEAST`` words, over all pages of a host. Runs that stay unique are text. Markup then has the last word: what it names as menu, notice
 or the like goes even if unique, and what it names as the article stays even if another page repeats it.
 """
 
@@ -14,15 +15,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .frames import WORD_HASHES, partitions
+from .frames import WORD_HASHES, mixed, partitions, windows_of, written
 
 LEAST = 8
 #: HTML of neighbouring pages of one host that one suffix array takes in; a longer page is an array of its own.
 GROUP_BYTES = 8 << 20
+#: Parts that the pages with a repeated window are dealt into.
+SALTS = 8
 ROW = "page_id {id}, url string, text string, n_chars long, n_words long, n_repeated long"
+PARSED = "_id {id}, _url string, _host string, _size long, _digest long, _texts array<string>, _wanted array<boolean>, _inside array<boolean>, _windows array<long>"
 
 # Fixed values of HTML: element names by their role.
 RAW = "script style noscript template textarea title iframe noembed noframes xmp svg math select"
@@ -126,8 +131,11 @@ def blocks(page: str) -> list[tuple[str, bool, bool]]:
     return out
 
 
-def repeated(streams: list[np.ndarray], least: int = LEAST) -> list[np.ndarray]:
-    """Which words of each stream lie in ``least`` words or more that another, different stream has too."""
+def repeated(streams: list[np.ndarray], least: int = LEAST, known: list[np.ndarray] | None = None) -> list[np.ndarray]:
+    """Which words of each stream lie in ``least`` words or more that another, different stream has too.
+
+    ``known``: of each stream, which windows of ``least`` words are known to be repeated in streams that aren't here.
+    """
     first: dict[bytes, int] = {}
     own = [first.setdefault(s.tobytes(), i) for i, s in enumerate(streams)]  # copies of a page are one page
     marks = [np.zeros(len(s), bool) for s in streams]
@@ -157,16 +165,24 @@ def repeated(streams: list[np.ndarray], least: int = LEAST) -> list[np.ndarray]:
         covered = np.cumsum(cover)[: len(text)] > 0
         for i, end, n in zip(firsts, ends, lengths):
             marks[i] = covered[end - n : end - 1]
-    return [marks[i] for i in own]
+    marks = [marks[i] for i in own]
+    for mark, starts in zip(marks, known or []):
+        for k in range(least if len(starts) else 0):
+            mark[k : k + len(starts)] |= starts
+    return marks
 
 
 def main_texts(pages: list[str], least: int = LEAST) -> list[tuple[str, int, int]]:
     """(main text, words, repeated words) of pages of one host."""
-    parsed = [blocks(p) for p in pages]
+    return texts_of_blocks([blocks(p) for p in pages], least)
+
+
+def texts_of_blocks(parsed: list[list[tuple[str, bool, bool]]], least: int = LEAST, known: list | None = None) -> list[tuple[str, int, int]]:
+    """(main text, words, repeated words) of the blocks of pages of one host; ``known`` as for ``repeated``."""
     words = [[t.encode().split() for t, _, _ in b] for b in parsed]
     streams = [WORD_HASHES.of([w for ws in page for w in ws]) for page in words]
     out = []
-    for page, page_words, mark in zip(parsed, words, repeated(streams, least)):
+    for page, page_words, mark in zip(parsed, words, repeated(streams, least, known)):
         ends = np.cumsum([len(w) for w in page_words])
         article = any(wanted and inside for _, wanted, inside in page)
         kept = []
@@ -184,6 +200,42 @@ def host_of(url: Column) -> Column:
     return F.coalesce(F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(""))
 
 
+def parsed_pages(df: DataFrame, kind: str) -> DataFrame:
+    """Blocks of the pages (id, url, html, host), a digest of host and words, and hashes of host and ``LEAST`` words from each word on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, digests, texts, wanted, inside, windows = [], [], [], [], [], []
+            for page, host in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                found = blocks(page or "")
+                stream = WORD_HASHES.of([w for t, _, _ in found for w in t.encode().split()])
+                seed = xxhash.xxh3_64_intdigest(host.encode())
+                sizes.append(len(page or ""))
+                digests.append(np.uint64(xxhash.xxh3_64_intdigest(stream.tobytes(), seed)).view(np.int64))
+                for out, k in ((texts, 0), (wanted, 1), (inside, 2)):
+                    out.append([b[k] for b in found])
+                windows.append(mixed(windows_of(stream, LEAST) ^ np.uint64(seed)).view(np.int64))
+            arrays = [batch.column(0), batch.column(1), batch.column(3), pa.array(sizes, pa.int64()), pa.array(digests, pa.int64())]
+            arrays += [pa.array(x, pa.list_(t)) for x, t in zip((texts, wanted, inside, windows), (pa.string(), pa.bool_(), pa.bool_(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, ["_id", "_url", "_host", "_size", "_digest", "_texts", "_wanted", "_inside", "_windows"])
+
+    return df.mapInArrow(run, PARSED.format(id=kind))
+
+
+def repeats(parsed: DataFrame) -> DataFrame:
+    """(_digest, _repeated): the windows of a page that a different page of the host has too, of pages with such.
+
+    Counts combine before the shuffle; a window of the template of a large host is one row of each task.
+    """
+    rows = parsed.select("_digest", F.explode(F.array_distinct("_windows")).alias("_window"))
+    several = rows.groupBy("_window").agg(F.min("_digest").alias("_lo"), F.max("_digest").alias("_hi")).where("_lo <> _hi")
+    # salted by the page, so that a template's windows don't go to one task
+    salt = F.pmod(F.xxhash64("_digest"), F.lit(SALTS)).alias("_salt")
+    several = several.select("_window", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("_salt"))
+    met = rows.select("_digest", "_window", salt).join(several, ["_window", "_salt"], "left_semi")
+    return met.groupBy("_digest").agg(F.collect_set("_window").alias("_repeated"))
+
+
 def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per row of ``df``: id, url, ``text``, ``n_chars``, ``n_words`` (visible words), ``n_repeated`` (of them, inside
     repeats of the host).
@@ -192,34 +244,40 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
     another page, the blocks outside of such whose words are mostly unique on the host. Null or empty html gives an empty
     text. Pages without a host (null url) are one host. Null ids and repeated rows stay; pages with equal words count as one
     page, so copies don't make each other boilerplate. Pages are range-partitioned by host and id: a host of any size is cut
-    into groups of ``GROUP_BYTES`` along the ids. Other columns are not read.
+    into groups of ``GROUP_BYTES`` along the ids; repeats are looked for over all of them. Other columns are not read.
     """
-    schema = ROW.format(id=df.schema[id_col].dataType.simpleString())
+    id_kind = df.schema[id_col].dataType.simpleString()
+    schema = ROW.format(id=id_kind)
     columns = ["page_id", "url", "text", "n_chars", "n_words", "n_repeated"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, urls, pages, host, size = [], [], [], None, 0
+        ids, urls, pages, known, host, size = [], [], [], [], None, 0
 
         def done() -> pa.RecordBatch:
-            texts, n_words, n_repeated = zip(*main_texts(pages))
+            texts, n_words, n_repeated = zip(*texts_of_blocks(pages, LEAST, known))
             longs = [pa.array(x, pa.int64()) for x in ([len(t) for t in texts], n_words, n_repeated)]
             return pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.array(urls, pa.string()), pa.array(texts), *longs], columns)
 
         for batch in batches:
             kind = batch.column(0).type
-            for page_id, url, page, its_host in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                page = page or ""
-                if pages and (its_host != host or size + len(page) > GROUP_BYTES):
+            values = (batch.column(i).to_pylist() for i in range(7))
+            for page_id, url, its_host, its_size, texts, wanted, inside, windows, found in zip(*values, batch.column(7), batch.column(8)):
+                if pages and (its_host != host or size + its_size > GROUP_BYTES):
                     yield done()
-                    ids, urls, pages, size = [], [], [], 0
-                host, size = its_host, size + len(page)
+                    ids, urls, pages, known, size = [], [], [], [], 0
+                host, size = its_host, size + its_size
                 ids.append(page_id)
                 urls.append(url)
-                pages.append(page)
+                pages.append(list(zip(texts, wanted, inside)))
+                at = windows.values.to_numpy()
+                known.append(np.isin(at, found.values.to_numpy()) if found.is_valid else np.zeros(len(at), bool))
         if pages:
             yield done()
 
     rows = df.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), F.col(html_col).alias("_html"), host_of(F.col(url_col)).alias("_host"))
+    parsed = written(parsed_pages(rows, id_kind))
+    rows = parsed.join(repeats(parsed), "_digest", "left")
+    rows = rows.select("_id", "_url", "_host", "_size", "_texts", "_wanted", "_inside", "_windows", "_repeated")
     rows = rows.repartitionByRange(partitions(df.sparkSession), "_host", "_id").sortWithinPartitions("_host", "_id")
     out = rows.mapInArrow(run, schema)
     return out.withColumnsRenamed({"page_id": id_col, "url": url_col})

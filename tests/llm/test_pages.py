@@ -86,6 +86,22 @@ def test_template_of_a_host(spark, pages):
     assert pagetext.extract(df.where("page_id < 0")).count() == 0
 
 
+@pytest.mark.parametrize("shuffle, group", [(1, 8 << 20), (7, 8 << 20), (7, 300), (1, 1)])
+def test_template_over_groups_and_partitions(spark, monkeypatch, shuffle, group):
+    """A page keeps the same text whichever pages are its neighbours."""
+    monkeypatch.setattr(pagetext, "GROUP_BYTES", group)
+    menu = "home about contact imprint products services and many more things to see"
+    rows = [(i, f"http://h{i % 2}.org/{i}", f"<div>{menu} on h{i % 2}</div><p>{prose(30, i)}</p><p>{prose(20, 100 + i // 12)}</p>") for i in range(24)]
+    rows += [(30, "http://alone.org/", f"<p>{menu}</p>")] + [(40 + i, "http://copies.org/", f"<p>{prose(30, 200)}</p>") for i in range(3)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(shuffle))
+    made = {r.page_id: (r.text, r.n_repeated) for r in pagetext.extract(df).collect()}
+    spark.conf.set("spark.sql.shuffle.partitions", old)
+    want = {i: (prose(30, i), len(f"{menu} on h".split()) + 20) for i in range(24)}
+    assert made == want | {30: (menu, 0)} | {40 + i: (prose(30, 200), 0) for i in range(3)}
+
+
 def judged(url):
     """host, path, (rule, verdict)"""
     m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", url or "")
