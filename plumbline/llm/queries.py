@@ -6,9 +6,10 @@ from collections.abc import Callable
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import ship
-from . import decontaminate, lines, linkgraph, neardup, packing, pagetext, quality, quotes, suffixes, tokens
+from . import countmin, decontaminate, lines, linkgraph, neardup, packing, pagetext, quality, quotes, suffixes, tokens
 from .frames import small_batches, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -127,3 +128,34 @@ def op6_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.reply_ordered(table(spark, sf_dir, "conversations"))
+
+
+@query
+def op11_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = countmin.without_repeats(table(spark, sf_dir, "documents"), width=20)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+SQL["op11_repeated_windows"] = r"""
+WITH w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
+  FROM documents
+), v AS (
+  SELECT doc_id, i, array_to_string(words[i:i + 19], ' ') AS seq
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 18)) AS i FROM w WHERE len(words) >= 20)
+), r AS (
+  SELECT doc_id, i, row_number() OVER (PARTITION BY seq ORDER BY doc_id, i) > 1 AS again FROM v
+), g AS (
+  SELECT DISTINCT doc_id, i + k AS i FROM (SELECT doc_id, i, unnest(range(0, 20)) AS k FROM r WHERE again)
+), t AS (
+  SELECT w.doc_id, u.i, u.word, g.i IS NOT NULL AS gone
+  FROM (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM w) u
+  JOIN w ON w.doc_id = u.doc_id LEFT JOIN g ON g.doc_id = u.doc_id AND g.i = u.i
+), k AS (
+  SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed,
+         coalesce(string_agg(word, ' ' ORDER BY i) FILTER (NOT gone), '') AS kept
+  FROM t GROUP BY doc_id
+)
+SELECT w.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN k ON k.doc_id = w.doc_id
+"""
