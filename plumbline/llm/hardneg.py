@@ -184,7 +184,8 @@ class Search:
         """Per query of the tile the least score that still counts, and per anchor the range that any of its queries wants."""
         queries = self.low.shape[1]
         least = np.maximum(self.low[own], self.best.limit().reshape(-1, queries)[own])
-        return least, least.min(axis=1), self.high[own].max(axis=1)
+        high = self.high[own].max(axis=1)
+        return least, least.min(axis=1), np.where(high == LONGEST, np.inf, high)  # a bound may pass the largest long, scores don't
 
     def _tile(self, own, allowed, features, norms, row_features, row_norms, vectors, rows, exact) -> None:
         least, low, high = self._limits(own)

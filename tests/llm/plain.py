@@ -111,3 +111,67 @@ def prose(n, seed, alphabet="aeinorst"):
 def edited(text, share, seed):
     r = random.Random(seed)
     return " ".join(w if r.random() > share else w + "x" for w in text.split(" "))
+
+
+def without_windows(rows, width):
+    """[(n_words, n_removed, kept words)] of (id, text) rows, in their order."""
+    words = [WORD.findall(t or "") for _, t in rows]
+    holders: dict = {}
+    for (d, _), w in zip(rows, words):
+        for i in range(len(w) - width + 1) if d is not None else ():
+            holders.setdefault(tuple(w[i : i + width]), set()).add(d)
+    out = []
+    for (d, _), w in zip(rows, words):
+        gone, seen = [False] * len(w), set()
+        for i in range(len(w) - width + 1) if d is not None else ():
+            window = tuple(w[i : i + width])
+            if window in seen or min(holders[window]) < d:
+                gone[i : i + width] = [True] * width
+            seen.add(window)
+        out.append((len(w), sum(gone), " ".join(x for x, g in zip(w, gone) if not g)))
+    return out
+
+
+def phrases(rows, top, least, share=50):
+    """(lang, rank, phrase, a, l, r, n, score) of (text, lang) rows."""
+    counts: dict = {}
+    for text, lang in rows:
+        own = counts.setdefault(lang or "und", {})
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", (text or "").translate(LOWER)):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            for k in (1, 2, 3):
+                for i in range(len(w) - k + 1):
+                    own[tuple(w[i : i + k])] = own.get(tuple(w[i : i + k]), 0) + 1
+    out = []
+    for lang, f in counts.items():
+        n = sum(c for p, c in f.items() if len(p) == 1)
+        candidates = {p: c for p, c in f.items() if len(p) > 1 and c >= least}
+        longer: dict = {}
+        for p, c in candidates.items():
+            for pair in (p[:2], p[1:]) if len(p) == 3 else ():
+                longer[pair] = max(longer.get(pair, 0), c)
+        scored = []
+        for p, a in candidates.items():
+            if 100 * longer.get(p, 0) < share * a:
+                score, _, left, right = min((1_000_000 * a * a // (f[p[:k]] * f[p[k:]]), k, f[p[:k]], f[p[k:]]) for k in range(1, len(p)))
+                scored.append((-score, -a, " ".join(p).encode(), left, right))
+        for i, (s, a, p, left, right) in enumerate(sorted(scored)[:top]):
+            out.append((lang, i + 1, p.decode(), -a, left, right, n, -s))
+    return out
+
+
+def negatives(rows, is_anchor, positives=5, k=5, percent=80):
+    """(anchor, positive, rank, negative, scores) of (id, label, vector) rows."""
+    first: dict = {}
+    for d, label, v in rows:
+        if d is not None and label is not None and v is not None and None not in v:
+            first[d] = min(first.get(d, (str(label), v)), (str(label), v))
+    out = []
+    for a, (label, v) in first.items():
+        if is_anchor(a):
+            clip = lambda s: min(max(s, -(2**63) + 1), 2**63 - 1)
+            scored = sorted((-clip(sum(x * y for x, y in zip(v, w))), b, other) for b, (other, w) in first.items() if b != a)
+            for s, p, _ in [x for x in scored if x[2] == label][:positives]:
+                fits = [(-n, b) for n, b, other in scored if other != label and percent * -s <= 100 * -n <= 100 * -s]
+                out += [(a, p, i + 1, b, -s, n) for i, (n, b) in enumerate(fits[:k])]
+    return out
