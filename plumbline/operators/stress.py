@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import arrays, keyed, text
+from ..session import small_frame
 from . import evaluate, scoring
 from .selection import NOTHING, cuts
 
@@ -67,6 +68,9 @@ CORRUPTION_TYPES = ("zero", "mean", "random", "extreme")
 SHIFT_TYPES = ("mean", "variance")
 
 _SLOTS = 3
+_PART = "__part"
+# Settings of a suite up to this size are broadcast: parts x tests x features x 48 bytes.
+SETTINGS_BYTES = 64 << 20
 _RANDOM = ("gaussian_noise", "uniform_noise", "feature_dropout", "feature_corruption")
 
 
@@ -104,23 +108,23 @@ def usable(tests: Sequence[StressTest]) -> list[StressTest]:
     return list(by_name.values())
 
 
-def feature_stats(df: DataFrame, features: Sequence[str]) -> dict:
-    """Row count and mean, population deviation, minimum, maximum of each feature: one aggregate."""
+def feature_stats(df: DataFrame, features: Sequence[str], part: str) -> dict:
+    """Per value of ``part`` the row count and each feature's mean, population deviation, minimum, maximum: one aggregate."""
     aggs = [F.count(F.lit(1)).alias("n")]
     for i, f in enumerate(features):
-        x = F.col(f).cast("double")
+        x = F.col(f"`{f}`").cast("double")
         aggs += [
             F.avg(x).alias(f"mean_{i}"),
             F.stddev_pop(x).alias(f"std_{i}"),
             F.min(x).alias(f"min_{i}"),
             F.max(x).alias(f"max_{i}"),
         ]
-    row = df.agg(*aggs).first()
     return {
-        "n": row["n"],
-        **{
-            f: {m: row[f"{m}_{i}"] for m in ("mean", "std", "min", "max")} for i, f in enumerate(features)
-        },
+        r[part]: {
+            "n": r["n"],
+            **{f: {m: r[f"{m}_{i}"] for m in ("mean", "std", "min", "max")} for i, f in enumerate(features)},
+        }
+        for r in df.groupBy(part).agg(*aggs).collect()
     }
 
 
@@ -137,6 +141,8 @@ def test_coefficients(test: StressTest, seed: int) -> list[list[int]]:
 
 _TERMS = [f"__t_{r}" for r in range(keyed.WORDS)]
 _WORDS = [f"__w_{i}" for i in range(keyed.WORDS)]
+_MAPS = [f"__c_{r}" for r in range(keyed.WORDS)]
+_CELL = ("mul", "add", "amp", "cut", "base", "span")
 
 
 def _with_words(df: DataFrame, key: str, seed: int) -> DataFrame:
@@ -145,31 +151,45 @@ def _with_words(df: DataFrame, key: str, seed: int) -> DataFrame:
     )
 
 
-def _corruption_cuts(df, features, tests, key, seed, n) -> dict:
-    """Cut-off of the exact int(n * rate) rows for every (corruption test, feature)."""
+def _with_draws(rows: DataFrame, features: Sequence[str], slots: int, when: str) -> DataFrame:
+    """``__h_0`` ..: one array of draws per slot with an entry per feature, null unless ``when`` holds.
+
+    The labels' coefficients are a constant array over the features, so the code is the same for any number of them.
+    """
+    kept = [f"`{c}`" for c in rows.columns if c not in (*_WORDS, *_MAPS)]
+    terms = [keyed.mix(_WORDS, [f"get({m}, {k})" for k in range(keyed.WORDS)]) for m in _MAPS]
+    rows = rows.selectExpr(*kept, *[f"CASE WHEN {when} THEN {x} END AS {t}" for x, t in zip(terms, _TERMS)])
+    drawn = []
+    for slot in range(slots):
+        label = [keyed.coefficients(f, slot) for f in features]
+        listed = ", ".join(f"array({', '.join(f'{c}L' for c in own)})" for own in label)
+        line = keyed.mix(_TERMS, [f"get(c, {k})" for k in range(keyed.WORDS)])
+        drawn.append(f"CASE WHEN {when} THEN transform(array({listed}), c -> {line}) END AS __h_{slot}")
+    rows = rows.selectExpr(*kept, *drawn)
+    return rows.selectExpr(*kept, *[f"transform(__h_{slot}, h -> {keyed.bent('h')}) AS __h_{slot}" for slot in range(slots)])
+
+
+def _joined(rows: DataFrame, table: DataFrame, size: int, on: str) -> DataFrame:
+    """Settings made on the driver, put to the rows: broadcast while they are known to be small."""
+    return rows.join(F.broadcast(table) if size <= SETTINGS_BYTES else table, on)
+
+
+def _corruption_cuts(df, features, tests, key, seed, sizes) -> dict:
+    """Cut-off of the exact int(n * rate) rows for every (part, corruption test, feature)."""
     hit = [t for t in tests if t.type == "feature_corruption"]
     if not hit:
         return {}
-    names = [[f"__t_{k}_{r}" for r in range(keyed.WORDS)] for k in range(len(hit))]
-    mixed = _with_words(df.select(key), key, seed).selectExpr(
-        f"`{key}`",
-        *[
-            f"{keyed.mix(_WORDS, coefs)} AS {name}"
-            for t, own in zip(hit, names)
-            for name, coefs in zip(own, test_coefficients(t, seed))
-        ],
-    )
-    lines = [
-        f"struct({k * len(features) + j} AS cell, {keyed.line(names[k], f, 0)} AS high, {keyed.line(names[k], f, 1)} AS low)"
-        for k in range(len(hit))
-        for j, f in enumerate(features)
-    ]
-    drawn = mixed.selectExpr(f"`{key}`", f"inline(array({', '.join(lines)}))")
-    drawn = drawn.selectExpr(f"`{key}`", "cell", f"{keyed.bent('high')} AS high", f"{keyed.bent('low')} AS low")
-    draws = drawn.selectExpr(f"`{key}`", "cell", f"{keyed.fine_uniform('high', 'low')} AS draw")
-    takes = {(k * len(features) + j,): [int(n * amount(t))] for k, t in enumerate(hit) for j in range(len(features))}
-    found = cuts(draws, ["cell"], "draw", key, takes, {g: n for g in takes})
-    return {(hit[g // len(features)].title, features[g % len(features)]): cut for ((g,), _), cut in found.items()}
+    maps = T.StructType([T.StructField("__test", T.IntegerType()), *[T.StructField(m, T.ArrayType(T.LongType())) for m in _MAPS]])
+    table = small_frame(df.sparkSession, [(k, *test_coefficients(t, seed)) for k, t in enumerate(hit)], maps)
+    every = F.explode(F.array(*[F.lit(k) for k in range(len(hit))])).alias("__test")
+    rows = _joined(_with_words(df.select(_PART, key), key, seed).select("*", every), table, 0, "__test")
+    rows = _with_draws(rows, features, 2, "true")
+    order = f"zip_with(__h_0, __h_1, (a, b) -> {keyed.fine_uniform('a', 'b')})"
+    draws = rows.selectExpr(_PART, f"`{key}`", "__test", f"posexplode({order}) AS (__at, draw)")
+    draws = draws.selectExpr(_PART, f"`{key}`", f"__test * {len(features)} + __at AS cell", "draw")
+    takes = {(p, k * len(features) + j): [int(n * amount(t))] for p, n in sizes.items() for k, t in enumerate(hit) for j in range(len(features))}
+    found = cuts(draws, [_PART, "cell"], "draw", key, takes, {g: sizes[g[0]] for g in takes})
+    return {(p, hit[c // len(features)].title, features[c % len(features)]): cut for ((p, c), _), cut in found.items()}
 
 
 def perturb(
@@ -186,7 +206,8 @@ def perturb(
     """
     tests = usable(tests)
     named = text.lookup([t.title for t in tests], "test_seq")
-    return _perturb(df, features, tests, key, seed).withColumn("test_name", named)
+    moved = _perturb(df.withColumn(_PART, F.lit(0)), features, tests, key, seed)
+    return moved.drop(_PART).withColumn("test_name", named)
 
 
 def cell_settings(test: StressTest, feature: str, stat: Mapping[str, float], cut: float, seed: int) -> dict:
@@ -216,89 +237,94 @@ def cell_settings(test: StressTest, feature: str, stat: Mapping[str, float], cut
     return {**cell, **change[kind]()}
 
 
+def _settings(tests: list[StressTest], features: Sequence[str], stats: Mapping, cut_of: Mapping, seed: int) -> tuple[list, T.StructType]:
+    """One row per part and test: kind flags, the number arrays over the features and the maps of the draws."""
+    numbers = T.ArrayType(T.DoubleType())
+    flags = ("__bell", "__ends", "__drop", "__draws")
+    fields = [(_PART, T.IntegerType()), ("test_seq", T.IntegerType()), *[(c, T.BooleanType()) for c in flags]]
+    fields += [*[(f"__{c}", numbers) for c in _CELL], *[(m, T.ArrayType(T.LongType())) for m in _MAPS]]
+    rows = []
+    for part, stat in stats.items():
+        for i, t in enumerate(tests):
+            kind = flavour(t)
+            cells = [cell_settings(t, f, stat[f], cut_of.get((part, t.title, f), NOTHING).value, seed) for f in features]
+            kinds = (kind == "gaussian_noise", kind == "corrupt_extreme", kind == "feature_dropout", t.type in _RANDOM)
+            rows.append((part, i, *kinds, *[[float(c[name]) for c in cells] for name in _CELL], *test_coefficients(t, seed)))
+    return rows, T.StructType([T.StructField(*f) for f in fields])
+
+
 def _perturb(df: DataFrame, features: Sequence[str], tests: list[StressTest], key: str, seed: int) -> DataFrame:
+    """Every row once per test. Rows of one ``_PART`` are perturbed with its statistics and exact numbers of cells.
+
+    A row's features are one array and so are the settings of a test: one expression serves every column and every test.
+    """
     if not tests:
         raise ValueError("no usable stress tests")
-    stats = feature_stats(df, features)
-    blank = [f for f in features if stats[f]["mean"] is None]
-    if blank:
-        raise ValueError(f"features without values: {blank}")
-    cut_of = _corruption_cuts(df, features, tests, key, seed, stats["n"])
-    random = any(t.type in _RANDOM for t in tests)
-
-    def settings(i: int, t: StressTest) -> str:
-        kind = flavour(t)
-        fields = [
-            f"{i} AS test_seq",
-            f"{str(kind == 'gaussian_noise').lower()} AS __bell",
-            f"{str(kind == 'corrupt_extreme').lower()} AS __ends",
-            f"{str(kind == 'feature_dropout').lower()} AS __drop",
-        ]
-        for j, f in enumerate(features):
-            cell = cell_settings(t, f, stats[f], cut_of.get((t.title, f), NOTHING).value, seed)
-            fields += [f"{v!r}D AS __{name}_{j}" for name, v in cell.items()]
-        if random:
-            fields += [
-                f"{c}L AS __c_{r}_{k}" for r, coefs in enumerate(test_coefficients(t, seed)) for k, c in enumerate(coefs)
-            ]
-        return f"struct({', '.join(fields)})"
-
-    suite = f"inline(array({', '.join(settings(i, t) for i, t in enumerate(tests))}))"
+    stats = feature_stats(df, features, _PART)
+    blank = sorted({f for f in features for s in stats.values() if s[f]["mean"] is None})
+    if blank or not stats:
+        raise ValueError(f"features without values: {blank or list(features)}")
+    cut_of = _corruption_cuts(df, features, tests, key, seed, {p: s["n"] for p, s in stats.items()})
+    settings, schema = _settings(tests, features, stats, cut_of, seed)
+    size = len(settings) * len(features) * len(_CELL) * 8
     kept = [f"`{c}`" for c in df.columns]
+    random = any(t.type in _RANDOM for t in tests)
+    rows = _with_words(df, key, seed) if random else df
+    rows = _joined(rows, small_frame(df.sparkSession, settings, schema), size, _PART)
     if random:
-        rows = _with_words(df, key, seed).selectExpr("*", suite)
-        given = [*kept, *[c for c in rows.columns if c not in df.columns and not c.startswith(("__w_", "__c_"))]]
-        maps = [[f"__c_{r}_{k}" for k in range(keyed.WORDS)] for r in range(keyed.WORDS)]
-        rows = rows.selectExpr(*given, *[f"{keyed.mix(_WORDS, m)} AS {t}" for t, m in zip(_TERMS, maps)])
-        lines = {f"__h_{j}_{s}": keyed.line(_TERMS, f, s) for j, f in enumerate(features) for s in range(_SLOTS)}
-        rows = rows.selectExpr(*given, *[f"{line} AS {h}" for h, line in lines.items()])
-        rows = rows.selectExpr(*given, *[f"{keyed.bent(h)} AS {h}" for h in lines])
-    else:
-        rows = df.selectExpr("*", suite)
-    ties = {(tests.index(t), f): c.keys for t in tests for f in features if (c := cut_of.get((t.title, f))) and c.keys}
-    moved = {
-        f: f"{_perturbed(j, f, ties, key) if random else _shifted(j, f)} AS `{f}`" for j, f in enumerate(features)
-    }
-    return rows.selectExpr(*[moved.get(c, f"`{c}`") for c in df.columns], "test_seq")
+        rows = _with_draws(rows, features, _SLOTS, "__draws")
+    ties = [
+        (tests.index(t), p, j, c.keys)
+        for t in tests
+        for j, f in enumerate(features)
+        for p in stats
+        if (c := cut_of.get((p, t.title, f))) and c.keys
+    ]
+    values = f"array({', '.join(f'cast(`{f}` AS double)' for f in features)})"
+    moved = f"transform(__x, (x, j) -> {_perturbed(ties, key) if random else _SHIFTED}) AS __moved"
+    rows = rows.selectExpr("*", f"{values} AS __x").selectExpr(*kept, "test_seq", moved)
+    out = {f: f"get(__moved, {j}) AS `{f}`" for j, f in enumerate(features)}
+    return rows.selectExpr(*[out.get(c, f"`{c}`") for c in df.columns], "test_seq")
 
 
-def _shifted(j: int, feature: str) -> str:
-    return f"cast(`{feature}` AS double) * __mul_{j} + __add_{j}"
+_SHIFTED = "x * get(__mul, j) + get(__add, j)"
 
 
-def _perturbed(j: int, feature: str, ties: Mapping, key: str) -> str:
-    high, low, third = (f"__h_{j}_{slot}" for slot in range(_SLOTS))
+def _perturbed(ties: Sequence[tuple], key: str) -> str:
+    """The new value of the feature ``x`` at place ``j``."""
+    high, low, third = (f"get(__h_{slot}, j)" for slot in range(_SLOTS))
     order = keyed.fine_uniform(high, low)
-    chosen = f"{order} <= __cut_{j} AND (`{feature}` IS NOT NULL OR NOT __drop)"
-    for (seq, f), keys in ties.items():
-        if f == feature:
-            listed = ", ".join(text.quoted(k) for k in keys)
-            chosen += f" AND (test_seq <> {seq} OR {order} < __cut_{j} OR cast(`{key}` AS string) IN ({listed}))"
+    chosen = f"{order} <= get(__cut, j) AND (x IS NOT NULL OR NOT __drop)"
+    for seq, part, j, keys in ties:
+        listed = ", ".join(text.quoted(k) for k in keys)
+        elsewhere = f"test_seq <> {seq} OR {_PART} <> {part} OR j <> {j}"
+        chosen += f" AND ({elsewhere} OR {order} < get(__cut, j) OR cast(`{key}` AS string) IN ({listed}))"
     w = keyed.open_uniform(third)
     u = keyed.open_uniform(high)
     step = f"CASE WHEN __ends THEN CASE WHEN {w} < 0.5D THEN 0.0D ELSE 1.0D END ELSE {w} END"
     noise = f"CASE WHEN __bell THEN {keyed.normal(u, keyed.open_uniform(low))} ELSE {u} * 2.0D - 1.0D END"
-    moved = f"{_shifted(j, feature)} + CASE WHEN __amp_{j} = 0 THEN 0.0D ELSE ({noise}) * __amp_{j} END"
-    return f"CASE WHEN {chosen} THEN __base_{j} + __span_{j} * ({step}) ELSE {moved} END"
+    moved = f"{_SHIFTED} + CASE WHEN get(__amp, j) = 0 THEN 0.0D ELSE ({noise}) * get(__amp, j) END"
+    replaced = f"get(__base, j) + CASE WHEN get(__span, j) = 0 THEN 0.0D ELSE get(__span, j) * ({step}) END"
+    return f"CASE WHEN NOT __draws THEN {_SHIFTED} WHEN {chosen} THEN {replaced} ELSE {moved} END"
+
+
+def _parted(df: DataFrame, split: str) -> DataFrame:
+    """``df`` with a number for its split; the splits are the few names of the ``split`` column."""
+    kind = df.schema[split].dataType
+    names = [r[0] for r in df.select(split).distinct().orderBy(split).collect()]
+    schema = T.StructType([T.StructField("__name", kind), T.StructField(_PART, T.IntegerType())])
+    table = small_frame(df.sparkSession, [(n, i) for i, n in enumerate(names)], schema)
+    return df.join(table, F.col(split).eqNullSafe(F.col("__name"))).drop("__name")
 
 
 def _scored_tests(scorers, df, features, tests, key, target, split, seed) -> DataFrame:
     """One row per (row, test) with the label before and after of every scorer, side by side.
 
-    Each split is perturbed with its own statistics and selection sizes. The splits are few and named
-    by the ``split`` column, so they are listed and their plans put under one another.
+    Each split is perturbed with its own statistics and selection sizes, all splits in one pass.
     """
-    names = [r[0] for r in df.select(split).distinct().orderBy(split).collect()]
-    parts = [
-        _scored_split(scorers, df.filter(F.col(split).eqNullSafe(F.lit(n))), features, tests, key, target, split, seed)
-        for n in names
-    ]
-    return reduce(DataFrame.unionByName, parts or [_scored_split(scorers, df, features, tests, key, target, split, seed)])
-
-
-def _scored_split(scorers, df, features, tests, key, target, split, seed) -> DataFrame:
-    scored = scoring.attach_all(scorers, df, features, "__o_")
+    scored = scoring.attach_all(scorers, _parted(df, split), features, "__o_")
     base = scored.select(
+        _PART,
         F.col(key).alias("row_id"),
         F.col(split).alias("split"),
         F.col(target).cast("int").alias("y_true"),
