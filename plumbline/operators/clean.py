@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .blocks import BLOCK, range_blocks
-from .order_stats import quantile_values
+from .order_stats import column_quantiles
 
 # Strategy names and which column kinds offer them.
 STATISTICS = ("mean", "median", "mode")
@@ -80,14 +80,12 @@ def _fill_group(df: DataFrame, steps: list[tuple[str, object]], order_by) -> Dat
         return df
     values: dict[str, object] = {}
     means = [c for c, m in steps if m == "mean"]
-    if means:
-        row = df.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(means)]).first()
-        values.update({c: row[f"m{i}"] for i, c in enumerate(means)})
     medians = [c for c, m in steps if m == "median"]
-    if medians:
-        cells = F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in medians])
-        found = quantile_values(df.select(F.inline(cells)), ["c"], "v", [0.5])
-        values.update({c: found.get((c,), [None])[0] for c in medians})
+    averages = [F.avg(f"`{c}`").alias(f"m{i}") for i, c in enumerate(means)]
+    if averages or medians:
+        row, middle = column_quantiles(df, medians, (0.5,), averages)
+        values.update({c: row[f"m{i}"] for i, c in enumerate(means)})
+        values.update({c: found[0] for c, found in middle.items()})
     for column, method in steps:
         if method == "mode":
             values[column] = most_frequent(df, column)

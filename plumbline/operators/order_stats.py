@@ -4,6 +4,9 @@
 sketch narrows each wanted rank to a bracket (map-side combined, no shuffle of rows) until the
 bracket is small; only the bracket's values are then counted, sorted and indexed exactly.
 Ranks are always verified against exact counts, so the sketch only affects speed.
+
+Two scans do for most tables: the sketch rides along with whatever else is aggregated in the first, and the second counts the
+brackets' values. ``column_quantiles`` does so for many columns at once without a row per cell.
 """
 
 from __future__ import annotations
@@ -11,7 +14,7 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -21,6 +24,8 @@ from ..session import small_frame
 BRACKET_ROWS = 250_000
 GRID = 1000
 SKETCH_ACCURACY = 10_000
+# Fewer values than this are all counted: brackets would hold most of them.
+SMALL_GROUP = 4 * SKETCH_ACCURACY
 _MARGIN = 2
 _ROUNDS = 12
 
@@ -73,11 +78,12 @@ def select_ranks(
     start: Mapping[tuple, tuple[float, float]] | None = None,
     counts: Mapping[tuple, int] | None = None,
     bracket_rows: int = BRACKET_ROWS,
+    inside: Mapping[tuple, float] | None = None,
 ) -> dict[tuple[tuple, int], tuple[float, int, int]]:
     """{(group, rank): (value, rows below it, rows equal to it)} for 0-based ranks.
 
-    ``start`` may give a first bracket per (group, rank) when the distribution is known, and
-    ``counts`` the group sizes. Null group keys are not selected.
+    ``start`` may give a first bracket per (group, rank), taken as narrow enough unless ``inside`` says how many rows it may
+    hold, and ``counts`` the group sizes. Null group keys are not selected.
     """
     by = list(by)
     values = df.select(*by, F.col(value).cast("double").alias("__v")).filter(F.col("__v").isNotNull())
@@ -86,8 +92,8 @@ def select_ranks(
         return {}
     known = dict(counts or {})
     bracket = {w: (start or {}).get(w, (None, None)) for w in wanted}
-    exact_start = bool(start)
-    estimate = {w: known.get(w[0], math.inf) for w in wanted}
+    exact_start = bool(start) and inside is None
+    estimate = {w: (inside or {}).get(w, known.get(w[0], math.inf)) for w in wanted}
     found: dict = {}
 
     for _ in range(_ROUNDS):
@@ -202,6 +208,21 @@ def _pick(values: DataFrame, by: list[str], pending: Mapping) -> dict:
     }
 
 
+def rank_range(n: int, p: float) -> tuple[int, int]:
+    """The 0-based ranks that the quantile ``p`` of ``n`` values lies between."""
+    return math.floor((n - 1) * p), math.ceil((n - 1) * p)
+
+
+def interpolated(n: int, p: float, low: float, high: float) -> float:
+    return low + (high - low) * ((n - 1) * p - math.floor((n - 1) * p))
+
+
+def around(probabilities: Sequence[float]) -> list[float]:
+    """Fractions on both sides of each probability, two sketch errors away."""
+    gap = 2.0 / SKETCH_ACCURACY
+    return [f for p in probabilities for f in (max(p - gap, 0.0), min(p + gap, 1.0))]
+
+
 def quantile_values(
     df: DataFrame,
     by: Sequence[str],
@@ -211,26 +232,118 @@ def quantile_values(
 ) -> dict[tuple, list[float | None]]:
     """Linear-interpolated exact quantiles per group, keyed by the group tuple."""
     by = list(by)
-    sizes = df.groupBy(*by).agg(F.count(F.col(value).cast("double")).alias("__size")).collect()
-    counts = {tuple(r[c] for c in by): r["__size"] for r in sizes}
-    ranks = {
-        g: sorted({k for p in probabilities for k in (math.floor((n - 1) * p), math.ceil((n - 1) * p))})
+    sketched = sketch("__v", around(probabilities), SKETCH_ACCURACY).alias("__grid")
+    valued = df.select(*by, F.col(value).cast("double").alias("__v"))
+    rows = valued.groupBy(*by).agg(F.count("__v").alias("__size"), sketched).collect()
+    counts, ranks, start, inside = {}, {}, {}, {}
+    for r in rows:
+        g = tuple(r[c] for c in by)
+        n = counts[g] = r["__size"]
+        for i, p in enumerate(probabilities if n else ()):
+            for k in rank_range(n, p):
+                ranks.setdefault(g, []).append(k)
+                few = n <= min(SMALL_GROUP, bracket_rows)
+                start.setdefault((g, k), (None, None) if few else tuple(r["__grid"][2 * i : 2 * i + 2]))
+                inside[(g, k)] = n if few else 6 * n / SKETCH_ACCURACY
+    picked = select_ranks(df, by, value, ranks, start, counts, bracket_rows, inside)
+    return {
+        g: [interpolated(n, p, *(picked[(g, k)][0] for k in rank_range(n, p))) if n else None for p in probabilities]
         for g, n in counts.items()
-        if n > 0
     }
-    picked = select_ranks(df, by, value, ranks, counts=counts, bracket_rows=bracket_rows)
-    out: dict = {}
-    for g, n in counts.items():
-        if n == 0:
-            out[g] = [None] * len(probabilities)
-            continue
-        row = []
-        for p in probabilities:
-            h = (n - 1) * p
-            a, b = picked[(g, math.floor(h))][0], picked[(g, math.ceil(h))][0]
-            row.append(a + (b - a) * (h - math.floor(h)))
-        out[g] = row
-    return out
+
+
+def column_quantiles(
+    df: DataFrame,
+    columns: Sequence[str],
+    probabilities: Sequence[float],
+    extra: Sequence[Column] = (),
+    bracket_rows: int = BRACKET_ROWS,
+) -> tuple[Row, dict[str, list[float | None]]]:
+    """The ``extra`` aggregates of ``df``, and the linear-interpolated exact quantiles of its columns, nulls left out.
+
+    One scan aggregates and sketches all columns, one more counts the values in the brackets; only a bracket that may hold more
+    than ``bracket_rows`` rows (beyond some 4 * 10^8 rows of a column) takes further scans to narrow.
+    """
+    values = [f"cast(`{c}` AS double)" for c in columns]
+    found = [x for i, v in enumerate(values) for x in (F.expr(f"count({v})").alias(f"__n_{i}"), sketch(v, around(probabilities), SKETCH_ACCURACY).alias(f"__grid_{i}"))]
+    first = df.agg(*extra, *found).first()
+    sizes = [first[f"__n_{i}"] for i in range(len(columns))]
+    slots = [_Slot(i, p, n, first[f"__grid_{i}"], j, bracket_rows) for i, n in enumerate(sizes) if n for j, p in enumerate(probabilities)]
+    for _ in range(_ROUNDS):
+        wide = [s for s in slots if s.rows > bracket_rows and not s.settled]
+        if not wide:
+            break
+        _narrow_slots(df, values, wide)
+    at = _ranks_of_slots(df, values, slots)
+    lost = [k for k, s in enumerate(slots) for r in rank_range(s.n, s.p) if (k, r) not in at]
+    if lost:  # a sketch outside its stated error
+        for k in lost:
+            slots[k].low = slots[k].high = None
+        at = _ranks_of_slots(df, values, slots)
+    out: dict = {c: [None] * len(probabilities) for c in columns}
+    for k, s in enumerate(slots):
+        out[columns[s.column]][s.place] = interpolated(s.n, s.p, *(at[(k, r)] for r in rank_range(s.n, s.p)))
+    return first, out
+
+
+class _Slot:
+    """The bracket of one quantile of one column; None is no limit."""
+
+    def __init__(self, column: int, p: float, n: int, grid: Sequence[float], place: int, bracket_rows: int):
+        self.column, self.p, self.n, self.place, self.settled = column, p, n, place, False
+        few = n <= min(SMALL_GROUP, bracket_rows)
+        self.low, self.high = (None, None) if few else (grid[2 * place], grid[2 * place + 1])
+        self.rows: float = n if few else 6 * n / SKETCH_ACCURACY
+
+    def below(self, v: str) -> str:
+        return "false" if self.low is None else f"{v} < double('{self.low!r}')"
+
+    def holds(self, v: str) -> str:
+        limits = [f"{v} {op} double('{x!r}')" for op, x in ((">=", self.low), ("<=", self.high)) if x is not None]
+        return " AND ".join([f"{v} IS NOT NULL", *limits])
+
+
+def _narrow_slots(df: DataFrame, values: Sequence[str], wide: Sequence[_Slot]) -> None:
+    """One scan: a finer sketch inside each bracket."""
+    grid = [i / GRID for i in range(GRID + 1)]
+    aggs = []
+    for k, s in enumerate(wide):
+        v = values[s.column]
+        aggs += [F.expr(f"count_if({s.below(v)})").alias(f"below_{k}"), F.expr(f"count_if({s.holds(v)})").alias(f"inside_{k}")]
+        aggs.append(sketch(f"CASE WHEN {s.holds(v)} THEN {v} END", grid, SKETCH_ACCURACY).alias(f"grid_{k}"))
+    row = df.agg(*aggs).first()
+    for k, s in enumerate(wide):
+        first, last = (r - row[f"below_{k}"] for r in rank_range(s.n, s.p))
+        inside = row[f"inside_{k}"]
+        s.rows, s.settled = inside, True
+        if 0 <= first and last < inside:
+            lo_at = max(math.floor(first / inside * GRID) - _MARGIN, 0)
+            hi_at = min(math.ceil((last + 1) / inside * GRID) + _MARGIN, GRID)
+            new = (row[f"grid_{k}"][lo_at], row[f"grid_{k}"][hi_at])
+            s.settled = new == (s.low, s.high)  # one hot value: nothing narrower, and few distinct values
+            s.low, s.high = new
+            s.rows = inside * (hi_at - lo_at + 1) / GRID
+
+
+def _ranks_of_slots(df: DataFrame, values: Sequence[str], slots: Sequence[_Slot]) -> dict[tuple[int, int], float]:
+    """{(slot, rank): value}. One scan: a row makes one row for the counts below all brackets and one per bracket it lies in."""
+    if not slots:
+        return {}
+    names = [f"__v_{i}" for i in range(len(values))]
+    cells = ", ".join(f"CASE WHEN {s.holds(names[s.column])} THEN struct({k} AS slot, {names[s.column]} AS v) END" for k, s in enumerate(slots))
+    every = "array(struct(-1 AS slot, cast(null AS double) AS v))"
+    rows = df.selectExpr(*[f"{v} AS {n}" for v, n in zip(values, names)])
+    rows = rows.selectExpr(*names, f"inline(concat({every}, filter(array({cells}), c -> c IS NOT NULL)))")
+    below = [F.expr(f"count_if(slot = -1 AND {s.below(names[s.column])})").alias(f"__below_{k}") for k, s in enumerate(slots)]
+    counted = rows.groupBy("slot", "v").agg(F.count(F.lit(1)).alias("n"), *below)
+    under = ", ".join(f"struct({k} AS slot, cast(null AS double) AS v, __below_{k} AS n)" for k in range(len(slots)))
+    counted = counted.selectExpr(f"inline(CASE WHEN slot = -1 THEN array({under}) ELSE array(struct(slot, v, n)) END)")
+    order = Window.partitionBy("slot").orderBy(F.col("v").asc_nulls_first())
+    running = counted.withColumn("end", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    schema = T.StructType([T.StructField("slot", T.IntegerType()), T.StructField("rank", T.LongType())])
+    wanted = sorted({(k, r) for k, s in enumerate(slots) for r in rank_range(s.n, s.p)})
+    hits = running.join(small_frame(df.sparkSession, wanted, schema), "slot").where("v IS NOT NULL AND end > rank AND end - n <= rank")
+    return {(h["slot"], h["rank"]): h["v"] for h in hits.collect()}
 
 
 def quantiles(

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text
-from .order_stats import quantiles
+from ..session import small_frame
+from .order_stats import column_quantiles
 
 MEGABYTE = 1024.0**2
 LONG_TEXT = 64
@@ -188,23 +189,17 @@ def totals(df: DataFrame) -> DataFrame:
 def describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """count, mean, sample deviation, minimum, exact quartiles and maximum of numeric columns."""
     names = list(columns) if columns is not None else numeric_columns(df)
-    cells = F.array(
-        *[F.struct(F.lit(c).alias("column"), _col(c).cast("double").alias("value")) for c in names]
-    )
-    long = df.select(F.inline(cells))
-    row = df.agg(
-        *[
-            measure(_col(c).cast("double")).alias(f"{name}_{i}")
-            for i, c in enumerate(names)
-            for name, measure in _MOMENTS.items()
-        ]
-    )
-    quartiles = quantiles(long, ["column"], "value", {"p25": 0.25, "p50": 0.5, "p75": 0.75})
-    return (
-        _unpivot_row(row, names, list(_MOMENTS))
-        .join(quartiles, "column", "left")
-        .select("column", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
-    )
+    moments = [
+        measure(_col(c).cast("double")).alias(f"{name}_{i}") for i, c in enumerate(names) for name, measure in _MOMENTS.items()
+    ]
+    row, quartiles = column_quantiles(df, names, (0.25, 0.5, 0.75), moments)
+    measured = {name: [row[f"{name}_{i}"] for i in range(len(names))] for name in _MOMENTS}
+    rows = [
+        (c, *[measured[m][i] for m in ("count", "mean", "std", "min")], *quartiles[c], measured["max"][i]) for i, c in enumerate(names)
+    ]
+    numbers = ("mean", "std", "min", "p25", "p50", "p75", "max")
+    fields = [T.StructField("column", T.StringType()), T.StructField("count", T.LongType())]
+    return small_frame(df.sparkSession, rows, T.StructType([*fields, *[T.StructField(c, T.DoubleType()) for c in numbers]]))
 
 
 _MOMENTS = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}

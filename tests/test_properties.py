@@ -252,3 +252,50 @@ def test_distinct_counts_and_duplicates_with_long_text(spark):
     assert profile.duplicates(df).first()[0] == 2
     totals = profile.totals(df).first()
     assert (totals.rows, totals.missing, totals.duplicates) == (5, 4, 2)
+
+
+@pytest.mark.parametrize("bracket_rows", [order_stats.BRACKET_ROWS, 5000, 300])
+def test_column_quantiles_are_exact(spark, bracket_rows, monkeypatch):
+    monkeypatch.setattr(order_stats, "SMALL_GROUP", 1000)
+    rng = np.random.default_rng(3)
+    n = 60_000
+    pdf = pd.DataFrame({"a b": rng.normal(size=n), "hot": np.where(rng.random(n) < 0.7, 3.0, rng.integers(0, 9, n)), "wild": rng.standard_cauchy(n) * 1e9})
+    pdf["few"] = pd.Series([1.5, -2.5, 7.0] + [None] * (n - 3))
+    df = spark.createDataFrame(pdf.replace({np.nan: None}).astype(object).where(pdf.notna(), None), "`a b` double, hot double, wild double, few double").repartition(7)
+    probabilities = (0.0, 0.01, 0.25, 0.5, 0.75, 1.0)
+    row, got = order_stats.column_quantiles(df, list(pdf), probabilities, [F.sum("hot").alias("total")], bracket_rows)
+    assert row["total"] == pdf.hot.sum()
+    for c in pdf:
+        assert np.allclose(got[c], np.quantile(pdf[c].dropna(), probabilities), rtol=1e-12)
+
+
+def test_column_quantiles_survive_a_wrong_sketch(spark, monkeypatch):
+    monkeypatch.setattr(order_stats, "SMALL_GROUP", 10)
+    monkeypatch.setattr(order_stats, "around", lambda ps: [0.9, 0.95] * len(ps))  # brackets that miss the ranks
+    df = spark.range(5000).selectExpr("cast(id AS double) AS v", "cast(null AS double) AS none")
+    assert order_stats.column_quantiles(df, ["v", "none"], [0.5])[1] == {"v": [2499.5], "none": [None]}
+    assert order_stats.column_quantiles(df.limit(0), ["v"], [0.5])[1] == {"v": [None]}
+
+
+def test_wide_rows_are_perturbed_as_narrow_ones(spark):
+    """A column's cells depend on its own name, values and tests only, however many columns there are."""
+    wide = spark.range(300).selectExpr("id AS row_id", "'x' AS split", *[f"sin(id * {i + 1}) AS x_{i}" for i in range(150)])
+    moved = stress.perturb(wide, [f"x_{i}" for i in range(150)], stress.DEFAULT_SUITE).select("row_id", "test_seq", "x_7", "x_149")
+    few = stress.perturb(wide.select("row_id", "split", "x_149", "x_7"), ["x_149", "x_7"], stress.DEFAULT_SUITE)
+    key = ["row_id", "test_seq"]
+    a, b = moved.toPandas().sort_values(key), few.select(moved.columns).toPandas().sort_values(key)
+    assert len(a) == 300 * 19 and np.allclose(a.values.astype(float), b.values.astype(float), rtol=1e-12)
+
+
+def test_each_part_has_its_own_exact_number_of_cells(spark):
+    rows = spark.range(900).selectExpr("id AS row_id", "CASE WHEN id % 9 = 0 THEN null WHEN id % 3 = 0 THEN 'a' ELSE 'b' END AS split", "1 AS y", "id + 1.0 AS x")
+    test = [StressTest("feature_corruption", {"corruption_rate": 0.3, "corruption_type": "zero"})]
+
+    class Sign:
+        name = "sign"
+
+        def attach(self, df, features, column):
+            return df.withColumn(column, F.when(F.col("x") > 0, F.array(F.lit(0.0), F.lit(1.0))).otherwise(F.array(F.lit(1.0), F.lit(0.0))))
+
+    got = {r["split"]: (r["accuracy_original"], round(r["accuracy_stressed"], 9)) for r in stress.run([Sign()], rows, ["x"], test).collect()}
+    assert got == {s: (1.0, round(1 - int(n * 0.3) / n, 9)) for s, n in ((None, 100), ("a", 200), ("b", 600))}
