@@ -28,6 +28,7 @@ from .wordids import WordIds, slices
 SCALE = 1_000_000
 #: Bits of a bit set (4 MB), and how many times the wanted phrases a round's threshold is aimed at; then no threshold.
 FILTER_BITS, DEPTHS = 25, (4, 32)
+FEW_LANGUAGES = 10_000
 LOWERED = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 9 + b" ")
 BREAK = re.compile(rb"[ \n]")
 NOTHING, END = 0, 1  # the numbers of the empty word and of a break between pieces
@@ -178,6 +179,13 @@ def scored_triples(counts: DataFrame, pairs: DataFrame) -> DataFrame:
     return rows.select("lang", "x", "y", "z", "f", *(c.alias(k) for k, c in lowest.items()))
 
 
+def per_language(df: DataFrame) -> DataFrame:
+    """A table with a row per language, to be joined without dealing the other side out by language: broadcast while the
+    languages are few, which is checked, and joined as any table beyond."""
+    rows = written(df)
+    return F.broadcast(rows) if rows.count() <= FEW_LANGUAGES else rows
+
+
 def thresholds(pairs: DataFrame, depth: int | None) -> DataFrame:
     """(lang, least): the score of the ``depth``-th pair of each language; 0 where there are fewer, or without a depth."""
     if depth is None:
@@ -200,25 +208,26 @@ def collocations(
     """
     texts = docs.select(F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit("und")).alias("lang"), F.col(f"`{text}`").alias("text"))
     words = written(counted(texts, 1, {}))
-    totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
+    totals = per_language(words.groupBy("lang").agg(F.sum("f").alias("n")))
     frequent = words.where(F.col("f") >= least_count)
     counts = counted(texts, 2, {"word": bit_set(frequent, "x")}).where(F.col("f") >= least_count)
     pairs = written(scored_pairs(counts, frequent))
     known = bit_set(pairs, "xy")
     unsettled, found = pairs, None
     for depth in (*(d * top for d in depths), None):
-        rows = unsettled.join(thresholds(unsettled, depth), "lang")
+        low = per_language(thresholds(unsettled, depth))
+        rows = unsettled.join(low, "lang")
         marks = [reaches("f", "fx").alias("prefix"), reaches("f", "fy").alias("suffix"), (F.col("score") >= F.col("least")).alias("settles")]
         marked = written(rows.select(*unsettled.columns, "least", *marks))
         sets = {name: bit_set(marked.where(name), "xy") for name in ("prefix", "suffix", "settles")} | {"frequent": known}
         triples = written(scored_triples(counted(texts, 3, sets).where(F.col("f") >= least_count), pairs))
-        survivors = written(surviving(marked, triples, share))
+        survivors = written(surviving(marked, triples, low, share))
         enough = survivors.groupBy("lang").agg(F.count("*").alias("n"))
-        low = marked.groupBy("lang").agg(F.first("least").alias("least"))
-        state = written(low.join(enough, "lang", "left").select("lang", ((F.col("least") == 0) | (F.coalesce("n", F.lit(0)) >= top)).alias("settled")))
-        own = survivors.join(state.where("settled").select("lang"), "lang", "left_semi")
+        state = low.join(enough, "lang", "left").select("lang", ((F.col("least") == 0) | (F.coalesce("n", F.lit(0)) >= top)).alias("settled"))
+        state = written(state)
+        own = survivors.join(per_language(state.where("settled").select("lang")), "lang", "left_semi")
         found = own if found is None else found.unionByName(own)
-        again = state.where("not settled").select("lang")
+        again = per_language(state.where("not settled").select("lang"))
         if again.isEmpty():
             break
         unsettled = pairs.join(again, "lang", "left_semi")
@@ -227,12 +236,11 @@ def collocations(
     return best.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
-def surviving(pairs: DataFrame, triples: DataFrame, share: int) -> DataFrame:
+def surviving(pairs: DataFrame, triples: DataFrame, low: DataFrame, share: int) -> DataFrame:
     """(lang, phrase, a, l, r, score) at or above each language's threshold, without pairs that a longer phrase holds."""
     inside = triples.select("lang", "x", "y", "f").unionByName(triples.select("lang", F.col("y").alias("x"), F.col("z").alias("y"), "f"))
     longest = inside.groupBy("lang", "x", "y").agg(F.max("f").alias("longer"))
     left = pairs.where("settles").join(longest, ["lang", "x", "y"], "left").where(F.coalesce(100 * F.col("longer") < share * F.col("f"), F.lit(True)))
     two = left.select("lang", F.concat_ws(" ", "x", "y").alias("phrase"), F.col("f").alias("a"), F.col("fx").alias("l"), F.col("fy").alias("r"), "score")
-    low = pairs.groupBy("lang").agg(F.first("least").alias("least"))
     three = triples.join(low, "lang").where(F.col("score") >= F.col("least"))
     return two.unionByName(three.select("lang", F.concat_ws(" ", "x", "y", "z").alias("phrase"), F.col("f").alias("a"), "l", "r", "score"))
