@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .records import records
+
 
 def nan_to_null(df: DataFrame) -> DataFrame:
     floats = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
@@ -28,18 +30,22 @@ MISSING_WORDS = (
 _CASTS = ("bigint", "double", "boolean")
 
 
-def read_csv(
-    spark: SparkSession, path: str, schema: T.StructType | str | None = None, multi_line: bool = True
-) -> DataFrame:
+# Cells are parsed one record at a time; line breaks inside quotes stay as they are.
+_CELLS = {"quote": '"', "escape": '"', "multiLine": "true", "mode": "PERMISSIVE"}
+
+
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
     """Headed CSV with doubled quotes inside quoted cells, and missing-value words as NULL.
 
-    Cells may hold line breaks, for which Spark reads a file as a whole; pass ``multi_line=False`` for
-    large files without any, which are then read in splits. Every cell is read as text first. Without a
-    schema a column becomes bigint, double or boolean if all its values are such, else text; that costs
-    one extra pass.
+    Cells may hold line breaks; files are read in splits all the same (``records``). Every cell is read as text first. Without
+    a schema a column becomes bigint, double or boolean if all its values are such, else text; that costs one extra pass.
     """
-    reader = spark.read.options(header=True, quote='"', escape='"', multiLine=multi_line, inferSchema=False)
-    cells = reader.csv(path)
+    names = spark.read.options(header=True, inferSchema=False, **_CELLS).csv(path).columns  # reads the first header only
+    if not names:
+        return spark.createDataFrame([], T.StructType([]))
+    kinds = ", ".join(f"c{i} STRING" for i in range(len(names)))
+    parsed = records(spark, path).select(F.from_csv(F.regexp_replace("record", r"\r\z", ""), kinds, _CELLS).alias("r"))
+    cells = parsed.select(*[F.col(f"r.c{i}").alias(n) for i, n in enumerate(names)])
     missing = [F.when(~F.col(f"`{c}`").isin(*MISSING_WORDS), F.col(f"`{c}`")).alias(c) for c in cells.columns]
     rows = cells.select(*missing)
     if schema is not None:

@@ -2,9 +2,11 @@
 
 import json
 
+import pytest
+
 from plumbline.operators import confidence, models, report, robustness
 from plumbline.plans import scorecard
-from plumbline.sources import artifacts, readers, sinks
+from plumbline.sources import artifacts, readers, records, sinks
 
 
 def test_csv_turns_nan_into_null(spark, tmp_path):
@@ -92,3 +94,81 @@ def test_models_train_score_save_and_list(spark, tmp_path):
         book.predict("nobody", df)
     with pytest.raises(ValueError, match="not trained"):
         book.save("nobody", str(tmp_path / "x"))
+
+
+CSV_LINES = [
+    'a,b,"c ""d"" e"',
+    "1,2,3",
+    '4,"two\nlines",x',
+    "",
+    '5,"a ""quote"", a comma\n\n\nand ""more""",',
+    '6,5" pipe,not a "quote" here',
+    '7,"","x"',
+    '8,"closed" early,"y"',
+    '9,"\n",z',
+    '"a","b","c"',
+    '10,"' + "long text\n" * 40 + '",end',
+    "11,NA,é日本",
+    '12,only two',
+]
+
+
+def csv_cells(text):
+    """Cells by the rules of the format: the way the reader must see the text, whatever its splits."""
+    rows, cell, row, i, quoted, fresh = [], "", [], 0, False, True
+    while i < len(text):
+        c = text[i]
+        if quoted:
+            if c == '"' and text[i + 1 : i + 2] == '"':
+                cell, i = cell + '"', i + 1
+            elif c == '"':
+                quoted = False
+            else:
+                cell += c
+        elif c == '"' and fresh:
+            quoted = True
+        elif c in ",\n":
+            row.append(cell)
+            cell = ""
+            if c == "\n":
+                rows.append(row)
+                row = []
+        else:
+            cell += c
+        fresh = not quoted and c in ",\n"
+        i += 1
+    return [r for r in rows if r != [""]]
+
+
+@pytest.mark.parametrize("width", [16, 100, 1 << 20])
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_csv_in_splits(spark, tmp_path, width, end):
+    text = "\n".join(CSV_LINES + ["13,last,row"]) + "\n"
+    for i in range(2):
+        (tmp_path / f"part-{i}.csv").write_text(text.replace("\n", end) if i else text, encoding="utf-8", newline="")
+    want = []
+    for e in ("\n", end):
+        for row in csv_cells(text)[1:]:
+            cells = [c.replace("\n", e) for c in [*row, "", ""][:3]]
+            want.append(tuple(None if c in readers.MISSING_WORDS else c for c in cells))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(width))
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        out = readers.read_csv(spark, str(tmp_path), "a string, b string, `c \"d\" e` string")
+        got = sorted((tuple(r) for r in out.collect()), key=repr)
+        tasks = records.records(spark, str(tmp_path)).rdd.getNumPartitions()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    plain = [tuple("closed early" if x == '"closed" early' else x for x in r) for r in got]  # such a cell keeps its quotes
+    assert sorted(plain, key=repr) == sorted(want, key=repr)
+    assert width > 1000 or tasks > 8
+
+
+@pytest.mark.parametrize("line, inside, after", [
+    ("a,b", False, False), ("a,b", True, True), ('"a', False, True), ('a"', True, False), ('a""b', True, True), ('a""",x', True, False),
+    ('5" pipe', False, False), ('x,"y""z', False, True), ('x,"y"""', False, False), ('","', False, False), ('","', True, True), ('"",""', False, False),
+    ("", False, False), ("", True, True), ('"x" y "z,"w', False, True),
+])
+def test_line_ends(line, inside, after):
+    assert records.ends_inside(line, inside) is after
