@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 import math
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -103,3 +104,23 @@ def normal(u1: str, u2: str) -> str:
 def driver_uniform(*label: object) -> float:
     """A uniform on the driver, for decisions made once per column."""
     return (coefficients(*label)[0] - 0.5) / (2**_COEFFICIENT_BITS - 1)
+
+
+# The same draws for a whole matrix at once, bit for bit.
+
+
+def fifth_powers(drawn: np.ndarray) -> np.ndarray:
+    square = drawn * drawn % PRIME
+    return square * square % PRIME * drawn % PRIME
+
+
+def open_uniforms(drawn: np.ndarray) -> np.ndarray:
+    return (drawn + 0.5) / float(PRIME)
+
+
+def fine_uniforms(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    return (high * float(_FINE) + low % _FINE) / LONG_WORD
+
+
+def normals(u1: np.ndarray, u2: np.ndarray) -> np.ndarray:
+    return np.sqrt(-2.0 * np.log(u1)) * np.cos(2.0 * math.pi * u2)

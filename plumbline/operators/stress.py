@@ -1,20 +1,24 @@
 """Perturbation of feature columns and the damage it does to predictions.
 
-A suite is a constant table of tests exploded onto each row inside the scan stage; the rows
-stay in that stage through perturbing and scoring, and only confusion counts are shuffled.
+A row is perturbed once per test of the suite inside the scan stage, by an array kernel on Arrow batches: a batch's features
+are one matrix and a test's settings are rows of numbers, so neither code nor plans grow with features or tests. The rows stay
+in that stage through scoring, and only confusion counts are shuffled.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import arrays, keyed, text
-from ..session import small_frame
+from ..session import ship, small_frame
 from . import evaluate, scoring
 from .selection import NOTHING, cuts
 
@@ -69,8 +73,8 @@ SHIFT_TYPES = ("mean", "variance")
 
 _SLOTS = 3
 _PART = "__part"
-# Settings of a suite up to this size are broadcast: parts x tests x features x 48 bytes.
-SETTINGS_BYTES = 64 << 20
+# Bytes of settings that go to the tasks at once (parts x tests x features x 48), and cells worked on at once.
+SETTINGS_BYTES, STEP_CELLS = 64 << 20, 1 << 18
 _RANDOM = ("gaussian_noise", "uniform_noise", "feature_dropout", "feature_corruption")
 
 
@@ -109,23 +113,18 @@ def usable(tests: Sequence[StressTest]) -> list[StressTest]:
 
 
 def feature_stats(df: DataFrame, features: Sequence[str], part: str) -> dict:
-    """Per value of ``part`` the row count and each feature's mean, population deviation, minimum, maximum: one aggregate."""
-    aggs = [F.count(F.lit(1)).alias("n")]
-    for i, f in enumerate(features):
-        x = F.col(f"`{f}`").cast("double")
-        aggs += [
-            F.avg(x).alias(f"mean_{i}"),
-            F.stddev_pop(x).alias(f"std_{i}"),
-            F.min(x).alias(f"min_{i}"),
-            F.max(x).alias(f"max_{i}"),
-        ]
-    return {
-        r[part]: {
-            "n": r["n"],
-            **{f: {m: r[f"{m}_{i}"] for m in ("mean", "std", "min", "max")} for i, f in enumerate(features)},
-        }
-        for r in df.groupBy(part).agg(*aggs).collect()
-    }
+    """Per value of ``part`` the row count and each feature's mean, population deviation, minimum, maximum.
+
+    One aggregate over the cells of a row: the same five functions, combined map-side, for any number of features.
+    """
+    cells = f"posexplode(array({', '.join(f'cast(`{f}` AS double)' for f in features)})) AS (__at, x)"
+    found = df.selectExpr(part, cells).groupBy(part, "__at")
+    measures = {"mean": F.avg, "std": F.stddev_pop, "min": F.min, "max": F.max}
+    out: dict = {}
+    for r in found.agg(F.count(F.lit(1)).alias("n"), *[f("x").alias(m) for m, f in measures.items()]).collect():
+        own = out.setdefault(r[part], {"n": r["n"]})
+        own[features[r["__at"]]] = {m: r[m] for m in measures}
+    return out
 
 
 def coin_factor(test: StressTest, feature: str, seed: int) -> float:
@@ -139,10 +138,7 @@ def test_coefficients(test: StressTest, seed: int) -> list[list[int]]:
     return [keyed.coefficients(seed, "test", test.title, i) for i in range(keyed.WORDS)]
 
 
-_TERMS = [f"__t_{r}" for r in range(keyed.WORDS)]
 _WORDS = [f"__w_{i}" for i in range(keyed.WORDS)]
-_MAPS = [f"__c_{r}" for r in range(keyed.WORDS)]
-_CELL = ("mul", "add", "amp", "cut", "base", "span")
 
 
 def _with_words(df: DataFrame, key: str, seed: int) -> DataFrame:
@@ -151,27 +147,15 @@ def _with_words(df: DataFrame, key: str, seed: int) -> DataFrame:
     )
 
 
-def _with_draws(rows: DataFrame, features: Sequence[str], slots: int, when: str) -> DataFrame:
-    """``__h_0`` ..: one array of draws per slot with an entry per feature, null unless ``when`` holds.
-
-    The labels' coefficients are a constant array over the features, so the code is the same for any number of them.
-    """
-    kept = [f"`{c}`" for c in rows.columns if c not in (*_WORDS, *_MAPS)]
-    terms = [keyed.mix(_WORDS, [f"get({m}, {k})" for k in range(keyed.WORDS)]) for m in _MAPS]
-    rows = rows.selectExpr(*kept, *[f"CASE WHEN {when} THEN {x} END AS {t}" for x, t in zip(terms, _TERMS)])
-    drawn = []
-    for slot in range(slots):
-        label = [keyed.coefficients(f, slot) for f in features]
-        listed = ", ".join(f"array({', '.join(f'{c}L' for c in own)})" for own in label)
-        line = keyed.mix(_TERMS, [f"get(c, {k})" for k in range(keyed.WORDS)])
-        drawn.append(f"CASE WHEN {when} THEN transform(array({listed}), c -> {line}) END AS __h_{slot}")
-    rows = rows.selectExpr(*kept, *drawn)
-    return rows.selectExpr(*kept, *[f"transform(__h_{slot}, h -> {keyed.bent('h')}) AS __h_{slot}" for slot in range(slots)])
+class _Draws:
+    """Draws of rows (four words each) under the labels (test, feature, slot): matrices of rows by features."""
 
+    def __init__(self, features: Sequence[str], slots: int):
+        self.lines = [np.array([keyed.coefficients(f, s) for f in features], np.int64).reshape(-1, keyed.WORDS) for s in range(slots)]
 
-def _joined(rows: DataFrame, table: DataFrame, size: int, on: str) -> DataFrame:
-    """Settings made on the driver, put to the rows: broadcast while they are known to be small."""
-    return rows.join(F.broadcast(table) if size <= SETTINGS_BYTES else table, on)
+    def of(self, words: np.ndarray, own: Sequence[Sequence[int]], slots: int) -> list[np.ndarray]:
+        terms = words @ np.array(own, np.int64).T % keyed.PRIME
+        return [keyed.fifth_powers(terms @ line.T % keyed.PRIME) for line in self.lines[:slots]]
 
 
 def _corruption_cuts(df, features, tests, key, seed, sizes) -> dict:
@@ -179,17 +163,36 @@ def _corruption_cuts(df, features, tests, key, seed, sizes) -> dict:
     hit = [t for t in tests if t.type == "feature_corruption"]
     if not hit:
         return {}
-    maps = T.StructType([T.StructField("__test", T.IntegerType()), *[T.StructField(m, T.ArrayType(T.LongType())) for m in _MAPS]])
-    table = small_frame(df.sparkSession, [(k, *test_coefficients(t, seed)) for k, t in enumerate(hit)], maps)
-    every = F.explode(F.array(*[F.lit(k) for k in range(len(hit))])).alias("__test")
-    rows = _joined(_with_words(df.select(_PART, key), key, seed).select("*", every), table, 0, "__test")
-    rows = _with_draws(rows, features, 2, "true")
-    order = f"zip_with(__h_0, __h_1, (a, b) -> {keyed.fine_uniform('a', 'b')})"
-    draws = rows.selectExpr(_PART, f"`{key}`", "__test", f"posexplode({order}) AS (__at, draw)")
-    draws = draws.selectExpr(_PART, f"`{key}`", f"__test * {len(features)} + __at AS cell", "draw")
-    takes = {(p, k * len(features) + j): [int(n * amount(t))] for p, n in sizes.items() for k, t in enumerate(hit) for j in range(len(features))}
+    drawn, maps, m = _Draws(features, 2), [test_coefficients(t, seed) for t in hit], len(features)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _steps(batch, m):
+                words = _matrix(part, _WORDS, np.int64)
+                rows = pa.array(np.repeat(np.arange(part.num_rows), m))
+                own = part.select([_PART, key]).take(rows)
+                for k, coefs in enumerate(maps):
+                    order = keyed.fine_uniforms(*drawn.of(words, coefs, 2)).ravel()
+                    cell = np.tile(np.arange(k * m, (k + 1) * m), part.num_rows)
+                    yield pa.RecordBatch.from_arrays([*own.columns, pa.array(cell), pa.array(order)], [_PART, key, "cell", "draw"])
+
+    own = df.select(_PART, key)
+    schema = T.StructType([*own.schema.fields, T.StructField("cell", T.LongType()), T.StructField("draw", T.DoubleType())])
+    draws = _with_words(own, key, seed).mapInArrow(run, schema)
+    takes = {(p, k * m + j): [int(n * amount(t))] for p, n in sizes.items() for k, t in enumerate(hit) for j in range(m)}
     found = cuts(draws, [_PART, "cell"], "draw", key, takes, {g: sizes[g[0]] for g in takes})
-    return {(p, hit[c // len(features)].title, features[c % len(features)]): cut for ((p, c), _), cut in found.items()}
+    return {(p, hit[c // m].title, features[c % m]): cut for ((p, c), _), cut in found.items()}
+
+
+def _steps(batch: pa.RecordBatch, width: int) -> Iterator[pa.RecordBatch]:
+    rows = max(1, STEP_CELLS // max(1, width))
+    for a in range(0, batch.num_rows, rows):
+        yield batch.slice(a, rows)
+
+
+def _matrix(batch: pa.RecordBatch, columns: Sequence[str], kind) -> np.ndarray:
+    """Rows by columns; a null is NaN in a matrix of doubles."""
+    return np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in columns]).astype(kind, copy=False)
 
 
 def perturb(
@@ -237,75 +240,88 @@ def cell_settings(test: StressTest, feature: str, stat: Mapping[str, float], cut
     return {**cell, **change[kind]()}
 
 
-def _settings(tests: list[StressTest], features: Sequence[str], stats: Mapping, cut_of: Mapping, seed: int) -> tuple[list, T.StructType]:
-    """One row per part and test: kind flags, the number arrays over the features and the maps of the draws."""
-    numbers = T.ArrayType(T.DoubleType())
-    flags = ("__bell", "__ends", "__drop", "__draws")
-    fields = [(_PART, T.IntegerType()), ("test_seq", T.IntegerType()), *[(c, T.BooleanType()) for c in flags]]
-    fields += [*[(f"__{c}", numbers) for c in _CELL], *[(m, T.ArrayType(T.LongType())) for m in _MAPS]]
-    rows = []
-    for part, stat in stats.items():
-        for i, t in enumerate(tests):
-            kind = flavour(t)
-            cells = [cell_settings(t, f, stat[f], cut_of.get((part, t.title, f), NOTHING).value, seed) for f in features]
-            kinds = (kind == "gaussian_noise", kind == "corrupt_extreme", kind == "feature_dropout", t.type in _RANDOM)
-            rows.append((part, i, *kinds, *[[float(c[name]) for c in cells] for name in _CELL], *test_coefficients(t, seed)))
-    return rows, T.StructType([T.StructField(*f) for f in fields])
+class _Kernel:
+    """Perturbs batches: the rows once for each test, with the settings of their part."""
+
+    def __init__(self, features, tests, stats, cut_of, seed, columns, key):
+        self.features, self.columns, self.key = list(features), columns, key
+        self.draws = _Draws(features, _SLOTS)
+        self.maps = [test_coefficients(t, seed) for t in tests]
+        self.kinds = [flavour(t) for t in tests]
+        self.random = [t.type in _RANDOM for t in tests]
+        self.cells, self.ties = {}, {}
+        for part, stat in stats.items():
+            for i, t in enumerate(tests):
+                found = [cut_of.get((part, t.title, f), NOTHING) for f in features]
+                cells = [cell_settings(t, f, stat[f], cut.value, seed) for f, cut in zip(features, found)]
+                self.cells[part, i] = {name: np.array([c[name] for c in cells], np.float64) for name in cells[0]}
+                self.ties[part, i] = [(j, cut.keys) for j, cut in enumerate(found) if cut.keys]
+
+    def run(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for step in _steps(batch, len(self.features)):
+                parts = step.column(_PART).to_numpy()
+                for part in np.unique(parts).tolist():
+                    rows = step if (parts == part).all() else step.take(pa.array(np.flatnonzero(parts == part)))
+                    yield from self.moved(rows, part)
+
+    def moved(self, rows: pa.RecordBatch, part: int) -> Iterator[pa.RecordBatch]:
+        x = _matrix(rows, self.features, np.float64)
+        blank = np.column_stack([rows.column(f).is_null().to_numpy(zero_copy_only=False) for f in self.features])
+        words = _matrix(rows, _WORDS, np.int64) if any(self.random) else None
+        for i in range(len(self.kinds)):
+            value, empty = self.value(x, blank, words, part, i, rows)
+            new = {f: pa.array(value[:, j], mask=empty[:, j]) for j, f in enumerate(self.features)}
+            new["test_seq"] = pa.array(np.full(len(x), i, np.int32))
+            yield pa.RecordBatch.from_arrays([new[c] if c in new else rows.column(c) for c in self.columns], self.columns)
+
+    def value(self, x, blank, words, part, i, rows) -> tuple[np.ndarray, np.ndarray]:
+        """The new cells, and which of them are null."""
+        cell, kind = self.cells[part, i], self.kinds[i]
+        kept = x * cell["mul"] + cell["add"]
+        if not self.random[i]:
+            return kept, blank
+        high, low, third = self.draws.of(words, self.maps[i], _SLOTS)
+        u = keyed.open_uniforms(high)
+        if cell["amp"].any():
+            noise = keyed.normals(u, keyed.open_uniforms(low)) if kind == "gaussian_noise" else u * 2.0 - 1.0
+            kept = kept + np.where(cell["amp"] == 0, 0.0, noise * cell["amp"])
+        order = keyed.fine_uniforms(high, low)
+        chosen = order <= cell["cut"]
+        if kind == "feature_dropout":
+            chosen &= ~blank
+        for j, keys in self.ties[part, i]:
+            listed = np.isin(np.array([str(k) for k in rows.column(self.key).to_pylist()]), keys)
+            chosen[:, j] &= (order[:, j] < cell["cut"][j]) | listed
+        w = keyed.open_uniforms(third)
+        replaced = cell["base"] + cell["span"] * (w >= 0.5 if kind == "corrupt_extreme" else w)
+        return np.where(chosen, replaced, kept), blank & ~chosen
 
 
 def _perturb(df: DataFrame, features: Sequence[str], tests: list[StressTest], key: str, seed: int) -> DataFrame:
     """Every row once per test. Rows of one ``_PART`` are perturbed with its statistics and exact numbers of cells.
 
-    A row's features are one array and so are the settings of a test: one expression serves every column and every test.
+    The settings go to the tasks with the kernel; a suite whose settings would pass ``SETTINGS_BYTES`` is run in groups of tests.
     """
     if not tests:
         raise ValueError("no usable stress tests")
+    ship(df.sparkSession)
     stats = feature_stats(df, features, _PART)
     blank = sorted({f for f in features for s in stats.values() if s[f]["mean"] is None})
     if blank or not stats:
         raise ValueError(f"features without values: {blank or list(features)}")
     cut_of = _corruption_cuts(df, features, tests, key, seed, {p: s["n"] for p, s in stats.items()})
-    settings, schema = _settings(tests, features, stats, cut_of, seed)
-    size = len(settings) * len(features) * len(_CELL) * 8
-    kept = [f"`{c}`" for c in df.columns]
-    random = any(t.type in _RANDOM for t in tests)
-    rows = _with_words(df, key, seed) if random else df
-    rows = _joined(rows, small_frame(df.sparkSession, settings, schema), size, _PART)
-    if random:
-        rows = _with_draws(rows, features, _SLOTS, "__draws")
-    ties = [
-        (tests.index(t), p, j, c.keys)
-        for t in tests
-        for j, f in enumerate(features)
-        for p in stats
-        if (c := cut_of.get((p, t.title, f))) and c.keys
-    ]
-    values = f"array({', '.join(f'cast(`{f}` AS double)' for f in features)})"
-    moved = f"transform(__x, (x, j) -> {_perturbed(ties, key) if random else _SHIFTED}) AS __moved"
-    rows = rows.selectExpr("*", f"{values} AS __x").selectExpr(*kept, "test_seq", moved)
-    out = {f: f"get(__moved, {j}) AS `{f}`" for j, f in enumerate(features)}
-    return rows.selectExpr(*[out.get(c, f"`{c}`") for c in df.columns], "test_seq")
-
-
-_SHIFTED = "x * get(__mul, j) + get(__add, j)"
-
-
-def _perturbed(ties: Sequence[tuple], key: str) -> str:
-    """The new value of the feature ``x`` at place ``j``."""
-    high, low, third = (f"get(__h_{slot}, j)" for slot in range(_SLOTS))
-    order = keyed.fine_uniform(high, low)
-    chosen = f"{order} <= get(__cut, j) AND (x IS NOT NULL OR NOT __drop)"
-    for seq, part, j, keys in ties:
-        listed = ", ".join(text.quoted(k) for k in keys)
-        elsewhere = f"test_seq <> {seq} OR {_PART} <> {part} OR j <> {j}"
-        chosen += f" AND ({elsewhere} OR {order} < get(__cut, j) OR cast(`{key}` AS string) IN ({listed}))"
-    w = keyed.open_uniform(third)
-    u = keyed.open_uniform(high)
-    step = f"CASE WHEN __ends THEN CASE WHEN {w} < 0.5D THEN 0.0D ELSE 1.0D END ELSE {w} END"
-    noise = f"CASE WHEN __bell THEN {keyed.normal(u, keyed.open_uniform(low))} ELSE {u} * 2.0D - 1.0D END"
-    moved = f"{_SHIFTED} + CASE WHEN get(__amp, j) = 0 THEN 0.0D ELSE ({noise}) * get(__amp, j) END"
-    replaced = f"get(__base, j) + CASE WHEN get(__span, j) = 0 THEN 0.0D ELSE get(__span, j) * ({step}) END"
-    return f"CASE WHEN NOT __draws THEN {_SHIFTED} WHEN {chosen} THEN {replaced} ELSE {moved} END"
+    doubles = {f: T.StructField(f, T.DoubleType()) for f in features}
+    schema = T.StructType([*[doubles.get(f.name, f) for f in df.schema.fields], T.StructField("test_seq", T.IntegerType())])
+    values = df.select(*[F.col(f"`{c}`").cast("double").alias(c) if c in doubles else F.col(f"`{c}`") for c in df.columns])
+    rows = _with_words(values, key, seed) if any(t.type in _RANDOM for t in tests) else values
+    together = max(1, SETTINGS_BYTES // (48 * len(stats) * max(1, len(features))))
+    groups = []
+    for a in range(0, len(tests), together):
+        kernel = _Kernel(features, tests[a : a + together], stats, cut_of, seed, schema.names, key)
+        moved = rows.mapInArrow(kernel.run, schema)
+        groups.append(moved.withColumn("test_seq", F.col("test_seq") + a) if a else moved)
+    return reduce(DataFrame.unionByName, groups)
 
 
 def _parted(df: DataFrame, split: str) -> DataFrame:

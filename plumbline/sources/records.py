@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import settle
+from ..session import settle, ship
 
 QUOTE, COMMA = '"', ","
 #: Splits up to which the table of them is broadcast (about 100 bytes each).
@@ -122,6 +122,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def records(spark: SparkSession, path: str) -> DataFrame:
     """(record) of headed CSV files, without the headers and empty lines. A record ends at a line feed outside quoted cells."""
+    ship(spark)
     text = spark.read.option("lineSep", "\n").text(path)
     lines = text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
     known = settle(splits(lines))
