@@ -67,9 +67,8 @@ def upsert(old: DataFrame, new: DataFrame, replace: bool = False) -> DataFrame:
     return kept.unionByName(new)
 
 
-def scores(results: DataFrame, weights: Mapping[str, float] | None = None) -> DataFrame:
-    """overall_score and its three dimensions (0-100) per model."""
-    w = dict(weights or WEIGHTS)
+def _dimensions() -> list[Column]:
+    """The aggregates over a model's tests that its score is made of."""
     before, after = F.col("accuracy_original"), F.col("accuracy_stressed")
     kept = F.when(before > 0, F.least(after / before, F.lit(1.0)))
     mean = F.avg(after)
@@ -77,21 +76,30 @@ def scores(results: DataFrame, weights: Mapping[str, float] | None = None) -> Da
     steady = F.when(
         F.count(F.lit(1)) > 1, F.greatest(F.lit(0.0), F.least(spread, F.lit(1.0)))
     ).otherwise(F.lit(1.0))
-    parts = results.groupBy("model", "model_seq").agg(
+    return [
         F.coalesce(F.avg(kept), F.lit(0.0)).alias("retention"),
         F.avg("prediction_agreement").alias("stability"),
         steady.alias("consistency"),
-    )
-    hundred = F.lit(100.0)
+    ]
+
+
+def _overall(weights: Mapping[str, float] | None = None) -> Column:
+    w = dict(weights or WEIGHTS)
     total = (
         F.lit(w["accuracy_retention"]) * F.col("retention")
         + F.lit(w["prediction_stability"]) * F.col("stability")
         + F.lit(w["performance_consistency"]) * F.col("consistency")
     )
-    return parts.select(
+    return (total * F.lit(100.0)).alias("overall_score")
+
+
+def scores(results: DataFrame, weights: Mapping[str, float] | None = None) -> DataFrame:
+    """overall_score and its three dimensions (0-100) per model."""
+    hundred = F.lit(100.0)
+    return results.groupBy("model", "model_seq").agg(*_dimensions()).select(
         "model",
         "model_seq",
-        (total * hundred).alias("overall_score"),
+        _overall(weights),
         (F.col("retention") * hundred).alias("accuracy_retention"),
         (F.col("stability") * hundred).alias("prediction_stability"),
         (F.col("consistency") * hundred).alias("performance_consistency"),
@@ -199,27 +207,45 @@ def most_robust(score_table: DataFrame) -> DataFrame:
 def recommendations(results: DataFrame, models: DataFrame | None = None) -> DataFrame:
     """Ordered lines (model, line, text); listed models without results get the no-data line.
 
-    ``results`` is read several times: pass a stored table or one kept with ``held``.
+    ``results`` is read once: the worst tests are ranked in the partitioning by model that the one aggregate uses too.
     """
     drop = F.col("performance_drop_pct")
     severe = bands.severity(drop).isin("High", "Critical")
     lowered = F.lower("test_name")
-    flags = results.groupBy("model").agg(
-        F.max(severe).alias("any"),
-        *[F.max(severe & lowered.contains(word)).alias(word) for word in ACTIONS],
-        F.avg("prediction_agreement").alias("agreement"),
+    order = Window.partitionBy("model").orderBy(F.desc("performance_drop_pct"), "test_seq")
+    worst_line = F.concat(
+        F.lit("- **"), F.col("test_name"), F.lit("**: "), text.fixed(drop, 1), F.lit("% drop ("), bands.severity(drop), F.lit(" severity)")
+    )
+    summary = (
+        results.withColumn("rank", F.row_number().over(order))
+        .groupBy("model", "model_seq")
+        .agg(
+            *_dimensions(),
+            F.max(severe).alias("any"),
+            *[F.max(severe & lowered.contains(word)).alias(word) for word in ACTIONS],
+            F.avg("prediction_agreement").alias("agreement"),
+            *[
+                F.max(F.when((F.col("rank") == r) & (drop > F.lit(NOTABLE_DROP)), worst_line)).alias(f"worst_{r}")
+                for r in range(1, WORST_SHOWN + 1)
+            ],
+        )
+        .select("*", _overall())
     )
-    summary = scores(results).join(flags, "model")
+    if models is None:
+        listed = summary
+    else:
+        listed = models.select("model").distinct().join(summary, "model", "full")
     score = F.col("overall_score")
     shown = text.fixed(score, 1)
     band = bands.score_band(score)
-    band_line = F
+    band_line = F.when(score.isNull(), F.lit(NO_RESULTS))
     for name, (head, tail) in BAND_LINES.items():
         band_line = band_line.when(band == name, F.concat(F.lit(head), shown, F.lit(tail)))
     shaky = F.col("agreement") < F.lit(STABLE_FROM)
     lines: list[tuple[int, Column]] = [
         (0, band_line),
-        (1, F.lit(KEY_HEADER)),
+        (1, F.when(score.isNotNull(), F.lit(KEY_HEADER))),
+        *[(9 + r, F.col(f"worst_{r}")) for r in range(1, WORST_SHOWN + 1)],
         (20, F.when(F.col("any"), F.lit(ACTION_HEADER))),
     ]
     at = 30
@@ -237,33 +263,8 @@ def recommendations(results: DataFrame, models: DataFrame | None = None) -> Data
         )
     )
     lines += [(41 + i, F.when(shaky, F.lit(advice))) for i, advice in enumerate(STABILITY_ADVICE)]
-    fixed_part = summary.select(
-        "model",
-        F.inline(F.array(*[F.struct(F.lit(n).alias("line"), c.alias("text")) for n, c in lines])),
-    ).filter(F.col("text").isNotNull())
-    order = Window.partitionBy("model").orderBy(F.desc("performance_drop_pct"), "test_seq")
-    worst = (
-        results.withColumn("rank", F.row_number().over(order))
-        .filter((F.col("rank") <= WORST_SHOWN) & (drop > F.lit(NOTABLE_DROP)))
-        .select(
-            "model",
-            (F.lit(9) + F.col("rank")).alias("line"),
-            F.concat(
-                F.lit("- **"),
-                F.col("test_name"),
-                F.lit("**: "),
-                text.fixed(drop, 1),
-                F.lit("% drop ("),
-                bands.severity(drop),
-                F.lit(" severity)"),
-            ).alias("text"),
-        )
-    )
-    out = fixed_part.unionByName(worst)
-    if models is not None:
-        absent = models.select("model").join(results.select("model").distinct(), "model", "left_anti")
-        out = out.unionByName(absent.select("model", F.lit(0).alias("line"), F.lit(NO_RESULTS).alias("text")))
-    return out
+    placed = F.inline(F.array(*[F.struct(F.lit(n).alias("line"), c.alias("text")) for n, c in lines]))
+    return listed.select("model", placed).filter(F.col("text").isNotNull())
 
 
 def radar(score_table: DataFrame) -> DataFrame:
