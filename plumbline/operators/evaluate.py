@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -110,15 +110,19 @@ def confusion_matrix(pred: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Every (true, predicted) pair over the union of labels of the key, zeros included.
 
     The dense form has a cell per pair of labels; with many labels use ``confusion_counts``, which has the cells that
-    occur. The counts of a key become one map, so the predictions are read once.
+    occur. The predictions are read once: each label's row of counts is put beside one zero per label of the key, and
+    the two are summed.
     """
-    pair = F.struct("y_true", "y_pred")
-    cells = F.map_from_entries(F.collect_list(F.struct(pair, "n")))
-    seen = F.array_distinct(F.flatten(F.collect_list(F.array("y_true", "y_pred"))))
-    each = confusion_counts(pred, keys).groupBy(*keys).agg(cells.alias("__cells"), seen.alias("__labels"))
-    rows = each.select("*", F.explode("__labels").alias("y_true")).select("*", F.explode("__labels").alias("y_pred"))
-    n = F.coalesce(F.try_element_at("__cells", pair), F.lit(0))
-    return rows.select(*keys, "y_true", "y_pred", n.alias("n"))
+    counts = confusion_counts(pred, keys)
+    sides = F.array(
+        F.struct(F.col("y_true").alias("label"), F.struct(F.col("y_pred"), F.col("n")).alias("cell")),
+        F.struct(F.col("y_pred").alias("label"), F.lit(None).alias("cell")),
+    )
+    rows = counts.select(*keys, F.inline(sides)).groupBy(*keys, "label").agg(F.collect_list("cell").alias("cells"))
+    every = F.collect_list(F.struct(F.col("label").alias("y_pred"), F.lit(0).cast("bigint").alias("n")))
+    filled = rows.withColumn("zeros", every.over(Window.partitionBy(*keys)))
+    cells = filled.select(*keys, F.col("label").alias("y_true"), F.inline(F.concat("cells", "zeros")))
+    return cells.groupBy(*keys, "y_true", "y_pred").agg(F.sum("n").alias("n"))
 
 
 def confusion_wide(pred: DataFrame, labels: Sequence[int], keys: Sequence[str] = KEYS) -> DataFrame:

@@ -299,3 +299,17 @@ def test_each_part_has_its_own_exact_number_of_cells(spark):
 
     got = {r["split"]: (r["accuracy_original"], round(r["accuracy_stressed"], 9)) for r in stress.run([Sign()], rows, ["x"], test).collect()}
     assert got == {s: (1.0, round(1 - int(n * 0.3) / n, 9)) for s, n in ((None, 100), ("a", 200), ("b", 600))}
+
+
+def test_dense_confusion_of_many_labels(spark):
+    from plumbline.operators import evaluate
+
+    k = 400
+    rows = spark.range(20_000).selectExpr("cast(id % 2 AS string) AS model", f"cast(id % {k} AS int) AS y_true", f"cast(id * id % {k + 7} AS int) AS y_pred")
+    got = evaluate.confusion_matrix(rows, ("model",)).toPandas()
+    pdf = rows.toPandas()
+    for model, own in pdf.groupby("model"):
+        labels = sorted(set(own.y_true) | set(own.y_pred))
+        want = pd.crosstab(own.y_true, own.y_pred).reindex(index=labels, columns=labels, fill_value=0)
+        dense = got[got.model == model].pivot(index="y_true", columns="y_pred", values="n")
+        assert (dense.loc[labels, labels].values == want.values).all() and len(dense) == len(labels)
