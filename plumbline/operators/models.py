@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 from operator import add
 
 from pyspark.ml import PipelineModel
@@ -23,7 +24,9 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
+from ..session import held
 from . import evaluate, scoring
 
 LOGISTIC, FOREST, BOOSTED = "Logistic Regression", "Random Forest", "XGBoost"
@@ -34,6 +37,9 @@ DEEPEST = 30
 
 _FEATURES = "__features"
 
+# Classifiers of one model that are fitted at the same time.
+SIDE_BY_SIDE = 16
+
 
 @dataclass(frozen=True)
 class TrainedModel:
@@ -141,15 +147,20 @@ def fit(
         rows = rows.select(
             "*", *[(F.col(target) == c).cast("double").alias(f"__is_{c}") for c in range(n_classes)]
         )
-    fitted = []
-    for i, estimator in enumerate(chosen):
-        tag = f"__{i}" if one_vs_rest else ""
-        fitted.append(
-            estimator.setPredictionCol(f"__prediction{tag}")
-            .setRawPredictionCol(f"__raw{tag}")
-            .setProbabilityCol(f"__probability{tag}")
-            .fit(rows)
-        )
+    tags = [f"__{i}" for i in range(len(chosen))] if one_vs_rest else [""]
+    named = [
+        e.setPredictionCol(f"__prediction{tag}").setRawPredictionCol(f"__raw{tag}").setProbabilityCol(f"__probability{tag}")
+        for e, tag in zip(chosen, tags)
+    ]
+    if not one_vs_rest:
+        return TrainedModel(name or kind, PipelineModel([assembler, named[0].fit(rows)]))
+    # the classes are fitted side by side on one kept feature matrix: a boosting round alone is too little work for a cluster
+    kept = held(rows)
+    try:
+        with ThreadPool(min(len(named), SIDE_BY_SIDE)) as pool:
+            fitted = pool.map(inheritable_thread_target(df.sparkSession)(lambda e: e.fit(kept)), named, chunksize=1)
+    finally:
+        kept.unpersist()
     return TrainedModel(name or kind, PipelineModel([assembler, *fitted]))
 
 
