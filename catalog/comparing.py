@@ -60,7 +60,7 @@ def composites(spark, sf):
     counted = cells(spark, sf)
     return compare.composite(
         performances(spark, sf, counted),
-        compare.linear_robustness(fx.stress_results(spark, sf)),
+        compare.linear_robustness(fx.stored_results(spark, sf)),
         scorecard.certainty(counted),
     )
 
@@ -90,7 +90,7 @@ def d2(spark, sf):
     FROM stress_results GROUP BY model""",
 )
 def d3(spark, sf):
-    return tidy(compare.linear_robustness(fx.stress_results(spark, sf)))
+    return tidy(compare.linear_robustness(fx.stored_results(spark, sf)))
 
 
 @query("d4_composite_score", f"WITH {COMPOSITE} SELECT model, {r6('composite')} AS composite FROM comp")
@@ -159,7 +159,7 @@ def d8(spark, sf):
     {at_least('robustness', bands.RATING_FROM, bands.RATING_ELSE)} AS rating FROM lin""",
 )
 def d9(spark, sf):
-    return compare.robustness_rating(compare.linear_robustness(fx.stress_results(spark, sf)))
+    return compare.robustness_rating(compare.linear_robustness(fx.stored_results(spark, sf)))
 
 
 @query(

@@ -10,7 +10,7 @@ from plumbline.functions import arrays
 from plumbline.operators import calibration, clean, confidence, features, models, profile, report, robustness, stress
 from plumbline.operators.stress import StressTest
 from plumbline.plans import scorecard
-from plumbline.session import held, shared_folder
+from plumbline.session import shared_folder
 from plumbline.sources import artifacts, readers, sinks
 
 from . import calibrating, fixtures as fx, reporting, robustness as robustness_queries, stressing, training
@@ -56,7 +56,7 @@ def s1(spark, sf):
 )
 def s4(spark, sf):
     book, root = models.ModelBook(), scratch(spark)
-    book.train(models.LOGISTIC, training.train_rows(training.rows(spark, sf)), training.COLUMNS, max_iter=5)
+    book.train(models.LOGISTIC, training.train_rows(training.rows(spark, sf)), training.COLUMNS)
     for name in ("Logistic Regression", "Second Model"):
         book.save(models.LOGISTIC, artifacts.artifact_path(root, name))
     return artifacts.list_models(spark, root)
@@ -88,7 +88,7 @@ def s9(spark, sf):
 @query("s10_recommendations_export", f"SELECT unnest(string_split(text, chr(10))) AS value FROM ({REGISTRY['v10_recommendations'].sql})")
 def s10(spark, sf):
     path = scratch(spark)
-    lines = robustness.recommendations(held(robustness_queries.results(spark, sf)), fx.models(spark))
+    lines = robustness.recommendations(robustness_queries.results(spark, sf), fx.models(spark))
     sinks.write_lines(lines, "text", ["model", "line"], path)
     return spark.read.text(path)
 
@@ -101,7 +101,7 @@ def s12_performance(spark, sf):
 
 @query("s12_robustness_export", REGISTRY["x2_robustness_section"].sql)
 def s12_robustness(spark, sf):
-    return tidy(returned(spark, report.robustness(fx.models(spark), fx.stress_results(spark, sf))))
+    return tidy(returned(spark, report.robustness(fx.models(spark), fx.stored_results(spark, sf))))
 
 
 @query("s12_reliability_export", REGISTRY["x4_reliability_section"].sql)

@@ -6,6 +6,7 @@ of ``orders`` are scored; the split of a row is a keyed draw on its order key.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,8 @@ from pyspark.sql import types as T
 
 from plumbline.functions import keyed
 from plumbline.operators import scoring, stress
-from plumbline.session import small_frame
+from plumbline.session import shared_folder, small_frame
+from plumbline.sources.stored import StoredTable
 
 from .base import (
     digest,
@@ -88,10 +90,33 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+_STORED: dict[tuple, StoredTable] = {}
+
+
+def _stored(spark: SparkSession, sf_dir: str, name: str, by: list[str], rows) -> DataFrame:
+    """The table of that name, made once per session and input and then read by every query that needs it."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _STORED:
+        made = rows()
+        path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        _STORED[key] = StoredTable(spark, path, made.schema, by).put(made)
+    return _STORED[key].read()
+
+
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.score(SCORERS, features(spark, sf_dir), FEATURES)
 
 
+def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored predictions of the scorers, by model."""
+    return _stored(spark, sf_dir, "predictions", ["model"], lambda: scored(spark, sf_dir))
+
+
+def stored_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored results of the default suite, by model and test."""
+    return _stored(spark, sf_dir, "stress_results", ["model", "test_name"], lambda: stress_results(spark, sf_dir))
+
+
 def evaluation_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole table as one evaluation set for the stress suite.
 

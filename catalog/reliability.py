@@ -45,7 +45,7 @@ SCORES = scores_sql()
 
 def evidence(spark, sf):
     cells = held(scorecard.evidence_cells(fx.predictions(spark, sf), fx.K))
-    return scorecard.evidence(fx.models(spark), cells, fx.stress_results(spark, sf))
+    return scorecard.evidence(fx.models(spark), cells, fx.stored_results(spark, sf))
 
 
 def scores(spark, sf):

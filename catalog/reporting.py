@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.functions import bands
 from plumbline.operators import reliability, report
 from plumbline.operators.stress import DEFAULT_SUITE
 from plumbline.plans import scorecard
-from plumbline.session import held
+from plumbline.session import held, shared_folder
 from plumbline.sources import sinks
 
 from . import fixtures as fx
@@ -29,7 +32,7 @@ def cells(spark, sf):
 
 
 def everything(spark, sf):
-    counted, results = cells(spark, sf), held(fx.stress_results(spark, sf))
+    counted, results = cells(spark, sf), fx.stored_results(spark, sf)
     models = fx.models(spark)
     scores = reliability.score(scorecard.evidence(models, counted, results))
     return models, scorecard.sections(models, counted, results, scores)
@@ -51,7 +54,7 @@ def x1(spark, sf):
 
 @query("x2_robustness_section", f"{ALL} SELECT {shown(ROB_COLS, ROB_COLS[2:])} FROM sec_rob")
 def x2(spark, sf):
-    return tidy(report.robustness(fx.models(spark), fx.stress_results(spark, sf)))
+    return tidy(report.robustness(fx.models(spark), fx.stored_results(spark, sf)))
 
 
 @query("x3_calibration_section", f"""{ALL} SELECT "Model", {r6('"ECE"')} AS "ECE", "Quality" FROM sec_cal""")
@@ -64,15 +67,14 @@ def x4(spark, sf):
     return tidy(everything(spark, sf)[1]["reliability"])
 
 
-@query(
-    "x5_summary",
-    f"""{ALL} SELECT
-    (SELECT sec_perf."Model" FROM sec_perf JOIN trained ON trained.model = sec_perf."Model" ORDER BY "F1" DESC, model_seq LIMIT 1) AS best_performance,
+SUMMARY = f"""(SELECT sec_perf."Model" FROM sec_perf JOIN trained ON trained.model = sec_perf."Model" ORDER BY "F1" DESC, model_seq LIMIT 1) AS best_performance,
     (SELECT sec_rel."Model" FROM sec_rel JOIN trained ON trained.model = sec_rel."Model" ORDER BY "Total" DESC, model_seq LIMIT 1) AS best_reliability,
     (SELECT sec_rob."Model" FROM sec_rob JOIN trained ON trained.model = sec_rob."Model" GROUP BY sec_rob."Model", model_seq ORDER BY avg("Drop"), model_seq LIMIT 1) AS most_robust,
     {big('(SELECT count(*) FROM trained)')} AS num_models, {big('(SELECT count(DISTINCT "Model") FROM sec_rob)')} AS num_stressed,
-    {big('(SELECT count(*) FROM sec_cal)')} AS num_calibrated""",
-)
+    {big('(SELECT count(*) FROM sec_cal)')} AS num_calibrated"""
+
+
+@query("x5_summary", f"{ALL} SELECT {SUMMARY}")
 def x5(spark, sf):
     models, sections = everything(spark, sf)
     return tidy(report.summary(models, sections))
@@ -88,7 +90,7 @@ TESTS = [t.title for t in DEFAULT_SUITE]
     + ' FROM sec_rob GROUP BY "Model"',
 )
 def x6(spark, sf):
-    return tidy(report.heatmap(report.robustness(fx.models(spark), fx.stress_results(spark, sf)), TESTS))
+    return tidy(report.heatmap(report.robustness(fx.models(spark), fx.stored_results(spark, sf)), TESTS))
 
 
 @query(
@@ -134,22 +136,58 @@ def _section_sql(label: str, source: str, columns: list[str]) -> str:
     return f"SELECT {', '.join(cells_sql)} FROM {source}"
 
 
-@query(
-    "s13_export_all_sections",
-    f"{ALL} "
-    + " UNION ALL ".join(
-        [
-            _section_sql("Performance", "sec_perf", PERF_COLS),
-            _section_sql("Robustness", "sec_rob", ROB_COLS),
-            _section_sql("Calibration", "sec_cal", ["Model", "ECE", "Quality"]),
-            _section_sql("Reliability", "sec_rel", REL_COLS),
-        ]
-    ),
+ALL_SECTIONS = f"{ALL} " + " UNION ALL ".join(
+    [
+        _section_sql("Performance", "sec_perf", PERF_COLS),
+        _section_sql("Robustness", "sec_rob", ROB_COLS),
+        _section_sql("Calibration", "sec_cal", ["Model", "ECE", "Quality"]),
+        _section_sql("Reliability", "sec_rel", REL_COLS),
+    ]
 )
+
+
+@query("s13_export_all_sections", ALL_SECTIONS)
 def s13(spark, sf):
     return tidy(sinks.all_sections(everything(spark, sf)[1]))
 
 
+def compiled(spark, sf):
+    return scorecard.compile_report(fx.models(spark), fx.predictions(spark, sf), fx.stored_results(spark, sf), n_classes=fx.K)
+
+
+@query("x8_report_sections", ALL_SECTIONS)
+def x8_sections(spark, sf):
+    """The sections of the assembled report."""
+    return tidy(sinks.all_sections(compiled(spark, sf)["sections"]))
+
+
+@query("x8_report_summary", f"{ALL} SELECT 'Test' AS dataset_name, true AS stamped, {SUMMARY}")
+def x8_summary(spark, sf):
+    """The summary of the assembled report; the time of its making only has to be there."""
+    found = compiled(spark, sf)["summary"]
+    return tidy(found.withColumn("stamped", F.col("generated_at").isNotNull()).drop("generated_at"))
+
+
+def read_document(spark, path, sections):
+    """{name: rows} of the written report: its lines in their order, parsed as one document."""
+    kinds = {name: section.schema for name, section in sections.items()}
+    lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at"), "value")
+    whole = lines.agg(F.array_sort(F.collect_list(F.struct("file", "at", "value"))).alias("l"))
+    schema = T.StructType([T.StructField(name, T.ArrayType(kind)) for name, kind in kinds.items()])
+    text_ = F.array_join(F.transform("l", lambda x: x["value"]), "")
+    return whole.select(F.from_json(text_, schema).alias("d")), list(kinds)
+
+
+@query("s11_report_document", ALL_SECTIONS)
+def s11_document(spark, sf):
+    """The report written as a JSON document, and its sections read back from that."""
+    models, sections = everything(spark, sf)
+    path = f"{shared_folder(spark).rstrip('/')}/{uuid.uuid4().hex}"
+    sinks.write_document(report.summary(models, sections), sections, path)
+    document, names = read_document(spark, path, sections)
+    return tidy(sinks.all_sections({n: document.select(F.inline(f"d.{n}")) for n in names}))
+
+
 @query("s11_report_json")
 def s11(spark, sf):
     """Rows-only: one nested JSON document."""

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from plumbline.functions import bands
 from plumbline.operators import robustness as rb
-from plumbline.session import held
+from plumbline.session import shared_folder
+from plumbline.sources.stored import StoredTable
 
 from . import fixtures as fx
 from .base import at_least, below, big, fixed, percent, query, r6, text, tidy
@@ -16,7 +19,7 @@ SEVERITY = below("performance_drop_pct", bands.SEVERITY_BELOW, bands.SEVERITY_EL
 
 
 def results(spark, sf):
-    return fx.stress_results(spark, sf)
+    return fx.stored_results(spark, sf)
 
 
 def score_cte(weights=rb.WEIGHTS, name: str = "rs", source: str = "stress_results") -> str:
@@ -45,12 +48,26 @@ SCORES = f"{SUITE}, {score_cte()}"
 )
 def v1(spark, sf):
     """Earlier results of tests 0-5, then a rerun of tests 3-8 that lost no accuracy."""
-    table = held(results(spark, sf)).select("model", "test_seq", "test_name", "accuracy_original", "accuracy_stressed")
+    table = results(spark, sf).select("model", "test_seq", "test_name", "accuracy_original", "accuracy_stressed")
     old = table.filter(F.col("test_seq") < 6)
     new = table.filter(F.col("test_seq").between(3, 8)).withColumn("accuracy_stressed", F.col("accuracy_original"))
     return tidy(rb.upsert(old, new).select("model", "test_name", "accuracy_stressed"))
 
 
+@query(
+    "v1_stored_upsert",
+    f"""{SUITE} SELECT model, test_name, {r6('CASE WHEN test_seq BETWEEN 3 AND 8 THEN accuracy_original ELSE accuracy_stressed END')} AS accuracy_stressed
+    FROM stress_results WHERE test_seq <= 8""",
+)
+def v1_stored(spark, sf):
+    """The same in a stored table, of which the rerun rewrites its own partitions only."""
+    found = results(spark, sf).select("model", "test_seq", "test_name", "accuracy_original", "accuracy_stressed")
+    path = f"{shared_folder(spark).rstrip('/')}/{uuid.uuid4().hex}"
+    store = StoredTable(spark, path, found.schema, ["model", "test_name"]).put(found.filter(F.col("test_seq") < 6))
+    store.put(found.filter(F.col("test_seq").between(3, 8)).withColumn("accuracy_stressed", F.col("accuracy_original")))
+    return tidy(store.read().select("model", "test_name", "accuracy_stressed"))
+
+
 @query("v2_robustness_score", f"{SCORES} SELECT model, {', '.join(f'{r6(c)} AS {c}' for c in DIMENSIONS)} FROM rs")
 def v2(spark, sf):
     return tidy(rb.scores(results(spark, sf)).select("model", *DIMENSIONS))

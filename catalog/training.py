@@ -6,9 +6,10 @@ import uuid
 from functools import reduce
 from operator import and_
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from plumbline.operators import evaluate, features, models, reliability, stress
+from plumbline.operators import compiled, evaluate, features, models, reliability, scoring, stress
 from plumbline.plans import scorecard
 from plumbline.session import held, shared_folder
 from plumbline.sources.artifacts import artifact_path
@@ -68,6 +69,40 @@ def m4(spark, sf):
     return tidy(pred.select("row_id", "split", "y_true", "y_pred", F.array_max("proba").alias("confidence")))
 
 
+@query(
+    "m4_predictions_by_arrays",
+    """SELECT kind AS model, vec_id AS row_id, true AS same_label, true AS same_probabilities
+    FROM embeddings CROSS JOIN (SELECT unnest(['Logistic Regression', 'Random Forest']) AS kind)""",
+)
+def m4_arrays(spark, sf):
+    """Every row's label and probabilities from the pipeline against those from the models' own arrays and nodes."""
+    df = rows(spark, sf)
+    fitted = [models.fit(kind, train_rows(df), COLUMNS) for kind in (models.LOGISTIC, models.FOREST)]
+    key = ["model", "row_id"]
+    one = models.score(fitted, df).select(*key, F.col("y_pred").alias("a"), F.col("proba").alias("p"))
+    other = scoring.score([compiled.Compiled(spark, m) for m in fitted], df, COLUMNS)
+    both = one.join(other.select(*key, F.col("y_pred").alias("b"), F.col("proba").alias("q")), key)
+    gap = F.aggregate(F.zip_with("p", "q", lambda x, y: F.abs(x - y)), F.lit(0.0), lambda a, x: a + x)
+    return both.select(*key, (F.col("a") == F.col("b")).alias("same_label"), (gap < 1e-9).alias("same_probabilities"))
+
+
+@query(
+    "m13_top_features_by_nodes",
+    """SELECT unnest(range(1, 11))::BIGINT AS place, true AS same_feature, true AS same_importance, 10::BIGINT AS shown
+    FROM (SELECT count(*) AS n FROM embeddings) WHERE n > 0""",
+)
+def m13_nodes(spark, sf):
+    """The ten features that weigh most, against those recomputed from the gains of the forest's nodes."""
+    model = models.fit(models.FOREST, train_rows(rows(spark, sf)), COLUMNS)
+    found = compiled.importances(compiled.node_table(spark, model), COLUMNS, per_tree=True)
+    told = models.importance_frame(spark, model, 10)
+    order = Window.orderBy(F.desc(F.round("importance", 12)), "feature")
+    ranked = [t.withColumn("place", F.row_number().over(order).cast("long")).filter("place <= 10") for t in (told, found)]
+    pairs = ranked[0].toDF("f", "x", "place").join(ranked[1].toDF("g", "y", "place"), "place")
+    same = [(F.col("f") == F.col("g")).alias("same_feature"), (F.abs(F.col("x") - F.col("y")) < 1e-9).alias("same_importance")]
+    return pairs.select("place", *same, F.count("*").over(Window.partitionBy()).alias("shown"))
+
+
 @query("m12_feature_importance")
 def m12(spark, sf):
     model = models.fit(models.FOREST, train_rows(rows(spark, sf)), COLUMNS)
@@ -106,9 +141,9 @@ def m2_sound(spark, sf):
 
 @query("m3_boosting_by_class_soundness", SOUND)
 def m3_sound(spark, sf):
-    """Boosting with a model for each of three classes."""
-    df = rows(spark, sf).withColumn("y", F.col("y") % 3)
-    return soundness(models.fit(models.BOOSTED, train_rows(df), COLUMNS, n_estimators=20), df)
+    """Boosting at its default size with a model for each of the ten classes."""
+    df = rows(spark, sf)
+    return soundness(models.fit(models.BOOSTED, train_rows(df), COLUMNS), df)
 
 
 @query("m12_importance_soundness", "SELECT max(len(embedding))::BIGINT AS features, 1e0 AS total, 0::BIGINT AS negative FROM embeddings")

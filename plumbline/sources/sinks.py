@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import settle
+
 # Column order and headings of the stress export.
 STRESS_COLUMNS = {
     "model": "Model",
@@ -83,3 +86,33 @@ def write_sections(sections: Mapping[str, DataFrame], folder: str) -> None:
     combined = all_sections(sections)
     if combined is not None:
         write_csv(combined, f"{folder}/all")
+
+
+def document_lines(summary_row: DataFrame, sections: Mapping[str, DataFrame]) -> DataFrame:
+    """The report as JSON, a line per row: (place, line) in the order of ``place``.
+
+    No section is gathered into one value: what tells a section's first line from the others is the least of its lines.
+    """
+    order = "place struct<section:int, part:int, text:string, copy:bigint>"
+    spark = summary_row.sparkSession
+    parts = [summary_row.select(F.lit(0).alias("section"), _as_json().alias("text"))]
+    parts += [sections[name].select(F.lit(i + 1).alias("section"), _as_json().alias("text")) for i, name in enumerate(sections)]
+    rows = reduce(DataFrame.unionByName, parts)
+    kept = settle(rows.withColumn("copy", F.monotonically_increasing_id()))
+    first = kept.groupBy("section").agg(F.min(F.struct("text", "copy")).alias("first"))
+    place = F.struct("section", F.lit(1).alias("part"), "text", "copy").alias("place")
+    comma = F.when(F.struct("text", "copy") == F.col("first"), F.lit("")).otherwise(F.lit(","))
+    body = kept.join(first, "section").select(place, F.concat(comma, "text").alias("line"))
+    heads = [((0, 0, "", 0), '{"summary":')]
+    heads += [((i + 1, 0, "", 0), f'],"{name}":[' if i else f',"{name}":[') for i, name in enumerate(sections)]
+    heads.append(((len(sections) + 1, 0, "", 0), "]}" if sections else "}"))
+    return body.unionByName(spark.createDataFrame(heads, f"{order}, line string"))
+
+
+def _as_json():
+    return F.to_json(F.struct("*"), {"ignoreNullFields": "false"})
+
+
+def write_document(summary_row: DataFrame, sections: Mapping[str, DataFrame], path: str) -> None:
+    """The report as one JSON document in ordered part files: read one after the other they are the document."""
+    document_lines(summary_row, sections).orderBy("place").select("line").write.mode("overwrite").text(path)

@@ -6,7 +6,7 @@ import pytest
 
 from plumbline.operators import confidence, models, report, robustness
 from plumbline.plans import scorecard
-from plumbline.sources import artifacts, readers, records, sinks
+from plumbline.sources import artifacts, readers, records, sinks, stored
 
 
 def test_csv_turns_nan_into_null(spark, tmp_path):
@@ -172,3 +172,28 @@ def test_csv_in_splits(spark, tmp_path, width, end):
 ])
 def test_line_ends(line, inside, after):
     assert records.ends_inside(line, inside) is after
+
+
+def test_stored_table_rewrites_its_own_partitions(spark, tmp_path):
+    schema = spark.createDataFrame([], "model string, test_name string, drop double").schema
+    store = stored.StoredTable(spark, str(tmp_path / "t"), schema, ["model", "test_name"])
+    store.put(spark.createDataFrame([("1", "Corruption (5%, zero)", 1.0), ("b", "x/y", 2.0), (None, "x/y", 3.0)], schema))
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "t").rglob("*.parquet")}
+    store.put(spark.createDataFrame([("b", "x/y", 9.0), ("b", "new", 4.0)], schema))
+    after = {p: p.stat().st_mtime_ns for p in (tmp_path / "t").rglob("*.parquet")}
+    rows = {tuple(r) for r in store.read().collect()}
+    assert rows == {("1", "Corruption (5%, zero)", 1.0), ("b", "x/y", 9.0), (None, "x/y", 3.0), ("b", "new", 4.0)}
+    assert len(set(before.items()) & set(after.items())) == 2
+
+
+def test_document_in_part_files_is_one_json(spark, tmp_path):
+    section = spark.createDataFrame([("a", 1.5, None), ("b", None, 'q"\n'), ("a", 1.5, None)], "Model string, F1 double, Note string").repartition(3)
+    sections = {"performance": section, "robustness": section.limit(0), "reliability": section.limit(1)}
+    one = spark.createDataFrame([("a", 2)], "best string, n int")
+    sinks.write_document(one, sections, str(tmp_path / "doc"))
+    text = "".join(p.read_text() for p in sorted((tmp_path / "doc").glob("part-*")))
+    found = json.loads(text)
+    assert found["summary"] == {"best": "a", "n": 2} and found["robustness"] == [] and len(found["reliability"]) == 1
+    assert sorted(str(r) for r in found["performance"]) == sorted(str(r.asDict()) for r in section.collect())
+    sinks.write_document(one, {}, str(tmp_path / "none"))
+    assert json.loads("".join(p.read_text() for p in sorted((tmp_path / "none").glob("part-*")))) == {"summary": {"best": "a", "n": 2}}
