@@ -12,14 +12,16 @@ brackets' values. ``column_quantiles`` does so for many columns at once without
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..session import small_frame
+from ..session import ship, small_frame
 
 BRACKET_ROWS = 250_000
 GRID = 1000
@@ -326,18 +328,27 @@ def _narrow_slots(df: DataFrame, values: Sequence[str], wide: Sequence[_Slot]) -
 
 
 def _ranks_of_slots(df: DataFrame, values: Sequence[str], slots: Sequence[_Slot]) -> dict[tuple[int, int], float]:
-    """{(slot, rank): value}. One scan: a row makes one row for the counts below all brackets and one per bracket it lies in."""
+    """{(slot, rank): value}. One scan: each Arrow batch becomes a count of what lies below each bracket and the distinct values
+    inside it with their counts; these few rows are summed up and ranked."""
     if not slots:
         return {}
-    names = [f"__v_{i}" for i in range(len(values))]
-    cells = ", ".join(f"CASE WHEN {s.holds(names[s.column])} THEN struct({k} AS slot, {names[s.column]} AS v) END" for k, s in enumerate(slots))
-    every = "array(struct(-1 AS slot, cast(null AS double) AS v))"
-    rows = df.selectExpr(*[f"{v} AS {n}" for v, n in zip(values, names)])
-    rows = rows.selectExpr(*names, f"inline(concat({every}, filter(array({cells}), c -> c IS NOT NULL)))")
-    below = [F.expr(f"count_if(slot = -1 AND {s.below(names[s.column])})").alias(f"__below_{k}") for k, s in enumerate(slots)]
-    counted = rows.groupBy("slot", "v").agg(F.count(F.lit(1)).alias("n"), *below)
-    under = ", ".join(f"struct({k} AS slot, cast(null AS double) AS v, __below_{k} AS n)" for k in range(len(slots)))
-    counted = counted.selectExpr(f"inline(CASE WHEN slot = -1 THEN array({under}) ELSE array(struct(slot, v, n)) END)")
+    ship(df.sparkSession)
+    brackets = [(k, s.column, s.low, s.high) for k, s in enumerate(slots)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [c.drop_null().to_numpy() for c in batch.columns]
+            out: list[tuple[np.ndarray, ...]] = []
+            for k, column, low, high in brackets:
+                below, distinct, n = counted_in(columns[column], low, high)
+                out.append((np.full(len(n), k), distinct, n, np.zeros(len(n), bool)))
+                out.append((np.array([k]), np.zeros(1), np.array([below]), np.ones(1, bool)))
+            slot, v, n, under = (np.concatenate(x) for x in zip(*out))
+            columns_out = [pa.array(slot.astype(np.int32)), pa.array(v, mask=under), pa.array(n.astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns_out, ["slot", "v", "n"])
+
+    rows = df.selectExpr(*[f"{v} AS __v_{i}" for i, v in enumerate(values)]).mapInArrow(run, "slot int, v double, n long")
+    counted = rows.groupBy("slot", "v").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("slot").orderBy(F.col("v").asc_nulls_first())
     running = counted.withColumn("end", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     schema = T.StructType([T.StructField("slot", T.IntegerType()), T.StructField("rank", T.LongType())])
@@ -346,6 +357,15 @@ def _ranks_of_slots(df: DataFrame, values: Sequence[str], slots: Sequence[_Slot]
     return {(h["slot"], h["rank"]): h["v"] for h in hits.collect()}
 
 
+def counted_in(v: np.ndarray, low: float | None, high: float | None) -> tuple[int, np.ndarray, np.ndarray]:
+    """How many values lie below the bracket, and its distinct values with their counts. NaN is the largest value."""
+    nan = np.isnan(v)
+    below = np.zeros(len(v), bool) if low is None else ~nan if math.isnan(low) else v < low
+    inside = ~below if high is None or math.isnan(high) else ~below & (v <= high)
+    distinct, n = np.unique(v[inside], return_counts=True)
+    return int(below.sum()), distinct, n
+
+
 def quantiles(
     df: DataFrame,
     by: Sequence[str],

@@ -313,3 +313,15 @@ def test_dense_confusion_of_many_labels(spark):
         want = pd.crosstab(own.y_true, own.y_pred).reindex(index=labels, columns=labels, fill_value=0)
         dense = got[got.model == model].pivot(index="y_true", columns="y_pred", values="n")
         assert (dense.loc[labels, labels].values == want.values).all() and len(dense) == len(labels)
+
+
+def test_column_quantiles_with_nan_and_infinities(spark, monkeypatch):
+    monkeypatch.setattr(order_stats, "SMALL_GROUP", 100)
+    n = 3000
+    df = spark.range(n).selectExpr("CASE WHEN id % 3 = 0 THEN double('NaN') WHEN id % 3 = 1 THEN double('-inf') ELSE cast(id AS double) END AS v")
+    got = order_stats.column_quantiles(df, ["v"], [0.1, 0.5, 0.9, 1.0])[1]["v"]
+    finite = sorted(float(i) for i in range(n) if i % 3 == 2)
+    assert got[0] == -math.inf or math.isnan(got[0])
+    h = (n - 1) * 0.5 - 1000
+    assert got[1] == pytest.approx(finite[math.floor(h)] + (finite[math.ceil(h)] - finite[math.floor(h)]) * (h - math.floor(h)))
+    assert math.isnan(got[2]) and math.isnan(got[3])
