@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import arrays
@@ -15,6 +17,7 @@ from plumbline.sources import artifacts, readers, sinks
 
 from . import calibrating, fixtures as fx, reporting, robustness as robustness_queries, stressing, training
 from .base import REGISTRY, big, query, r6, table, tidy
+from .profiling import EVENTS_SQL, events_missing
 
 
 def scratch(spark) -> str:
@@ -109,29 +112,64 @@ def s12_reliability(spark, sf):
     return tidy(returned(spark, reporting.everything(spark, sf)[1]["reliability"]))
 
 
-@query(
-    "p7_column_classes",
-    """SELECT column_name AS "column", CASE WHEN data_type IN ('BIGINT', 'INTEGER', 'DOUBLE', 'FLOAT') THEN 'numeric' ELSE 'categorical' END AS class,
-    (SELECT count(*) FROM orders) AS rows FROM (DESCRIBE SELECT * FROM orders) AS d(column_name, data_type, a, b, c, e)
-    WHERE data_type IN ('BIGINT', 'INTEGER', 'DOUBLE', 'FLOAT', 'VARCHAR')""",
-)
-def p7(spark, sf):
-    orders = table(spark, sf, "orders")
-    numeric, categorical = profile.numeric_columns(orders), profile.categorical_columns(orders)
-    names = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(k).alias("class")) for k, cs in (("numeric", numeric), ("categorical", categorical)) for c in cs])
-    return orders.agg(F.count(F.lit(1)).alias("rows")).select(F.inline(names), "rows")
+def _class_sql(column: str, kind: str) -> str:
+    total = r6(f"sum({column})") if kind == "numeric" else "NULL::DOUBLE"
+    values = "NULL::BIGINT" if kind == "numeric" else big(f"count(DISTINCT {column})")
+    return f"""SELECT '{column}' AS "column", '{kind}' AS class, {big(f'count({column})')} AS filled, {total} AS total, {values} AS distinct_values FROM events_missing"""
 
 
 @query(
-    "c10_strategy_menu",
-    """SELECT column_name AS "column", strategy, (SELECT count(*) FROM orders) AS rows FROM
-    (DESCRIBE SELECT * FROM orders) AS d(column_name, data_type, a, b, c, e), (VALUES ('mean'), ('median'), ('mode'), ('drop'), ('forward_fill'), ('backward_fill')) AS s(strategy)
-    WHERE CASE WHEN data_type IN ('BIGINT', 'INTEGER', 'DOUBLE', 'FLOAT') THEN strategy <> 'mode' ELSE strategy NOT IN ('mean', 'median') END""",
+    "p7_column_classes",
+    f"WITH {EVENTS_SQL} "
+    + " UNION ALL ".join(
+        _class_sql(c, k)
+        for c, k in (("event_id", "numeric"), ("user_id", "numeric"), ("value_n", "numeric"), ("event_type_n", "categorical"), ("props", "categorical"))
+    ),
 )
+def p7(spark, sf):
+    """Numeric and categorical columns with what can be said of each kind: filled values, and their sum or how many there are."""
+    rows = events_missing(spark, sf)
+    parts = []
+    for kind, columns in (("numeric", profile.numeric_columns(rows)), ("categorical", profile.categorical_columns(rows))):
+        for c in columns:
+            total = F.sum(c).cast("double") if kind == "numeric" else F.lit(None).cast("double")
+            values = F.lit(None).cast("long") if kind == "numeric" else F.count_distinct(c)
+            part = rows.agg(F.count(c).alias("filled"), total.alias("total"), values.alias("distinct_values"))
+            parts.append(part.select(F.lit(c).alias("column"), F.lit(kind).alias("class"), "*"))
+    return tidy(reduce(DataFrame.unionByName, parts))
+
+
+_STATES = {
+    "mean": "coalesce(value_n, (SELECT avg(value_n) FROM events_missing))",
+    "median": "coalesce(value_n, (SELECT quantile_cont(value_n, 0.5) FROM events_missing))",
+    "mode": "coalesce(event_type_n, (SELECT event_type_n FROM events_missing WHERE event_type_n IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1))",
+    "drop": "{c}",
+    "forward_fill": "coalesce({c}, last_value({c} IGNORE NULLS) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING))",
+    "backward_fill": "coalesce({c}, first_value({c} IGNORE NULLS) OVER (ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))",
+}
+_MENUS = {"value_n": ("mean", "median", "drop", "forward_fill", "backward_fill"), "event_type_n": ("mode", "drop", "forward_fill", "backward_fill")}
+
+
+def _menu_sql(column: str, strategy: str) -> str:
+    value = _STATES[strategy].format(c=column)
+    where = f"WHERE {column} IS NOT NULL" if strategy == "drop" else ""
+    total = r6("sum(v)") if column == "value_n" else r6("sum(length(v) * (event_id % 13))")
+    return f"""SELECT '{column}' AS "column", '{strategy}' AS strategy, {big('count(*)')} AS rows, {big('count(*) - count(v)')} AS missing,
+    {total} AS total FROM (SELECT event_id, {value} AS v FROM events_missing {where})"""
+
+
+@query("c10_strategy_menu", f"WITH {EVENTS_SQL} " + " UNION ALL ".join(_menu_sql(c, m) for c, ms in _MENUS.items() for m in ms))
 def c10(spark, sf):
-    orders = table(spark, sf, "orders")
-    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(m).alias("strategy")) for c in orders.columns for m in clean.menu(orders, c)])
-    return orders.agg(F.count(F.lit(1)).alias("rows")).select(F.inline(pairs), "rows")
+    """Every strategy that a column's menu offers, carried out: rows, values still missing and a sum over the result."""
+    rows = events_missing(spark, sf).select("event_id", "event_type_n", "value_n")
+    parts = []
+    for c in ("value_n", "event_type_n"):
+        for m in clean.menu(rows, c):
+            done = clean.fill(rows, {c: m}, order_by=["event_id"])
+            total = F.sum(c) if c == "value_n" else F.sum(F.length(c) * (F.col("event_id") % 13)).cast("double")
+            part = done.agg(F.count(F.lit(1)).alias("rows"), (F.count(F.lit(1)) - F.count(c)).alias("missing"), total.alias("total"))
+            parts.append(part.select(F.lit(c).alias("column"), F.lit(m).alias("strategy"), "*"))
+    return tidy(reduce(DataFrame.unionByName, parts))
 
 
 @query("f3_select_features", "SELECT * EXCLUDE (o_orderstatus) REPLACE (round(o_totalprice, 6) AS o_totalprice, o_orderdate::VARCHAR AS o_orderdate) FROM orders")
@@ -153,15 +191,16 @@ def m3b(spark, sf):
 
 @query(
     "t9_default_suite",
-    """SELECT test_name, (SELECT count(*) FROM orders) AS rows FROM (VALUES
-    ('Gaussian Noise (Low)'), ('Gaussian Noise (Medium)'), ('Gaussian Noise (High)'), ('Uniform Noise (Low)'), ('Uniform Noise (Medium)'),
-    ('Uniform Noise (High)'), ('Feature Dropout (10%)'), ('Feature Dropout (20%)'), ('Feature Dropout (30%)'), ('Corruption (5%, zero)'),
-    ('Corruption (15%, random)'), ('Corruption (25%, extreme)'), ('Scale Perturbation (1.5x)'), ('Scale Perturbation (2.0x)'),
-    ('Scale Perturbation (2.5x)'), ('Mean Shift (0.5)'), ('Mean Shift (1.0)'), ('Variance Shift (0.5)'), ('Variance Shift (1.5)')) AS t(test_name)""",
+    f"""WITH {fx.SQL_FEATURES}, {fx.stressed_features_sql()} SELECT test_name, {big('count(*)')} AS rows,
+    {', '.join(f"{r6(f'avg(s{j})')} AS mean_{j}, {r6(f'stddev_pop(s{j})')} AS spread_{j}, {r6(f'max(s{j})')} AS top_{j}" for j in (1, 2, 3))}
+    FROM stressed GROUP BY test_name""",
 )
 def t9(spark, sf):
+    """Mean, deviation and maximum of every perturbed feature under each of the 19 tests."""
     moved = stress.perturb(fx.evaluation_rows(spark, sf), fx.FEATURES, stress.DEFAULT_SUITE, seed=fx.SEED)
-    return moved.groupBy("test_name").agg(F.count(F.lit(1)).alias("rows"))
+    measures = {"mean": F.avg, "spread": F.stddev_pop, "top": F.max}
+    aggs = [f(c).alias(f"{m}_{j}") for j, c in enumerate(fx.FEATURES, 1) for m, f in measures.items()]
+    return tidy(moved.groupBy("test_name").agg(F.count(F.lit(1)).alias("rows"), *aggs))
 
 
 @query("t10_single_test", REGISTRY["t7_evaluate_stress_test"].sql)
