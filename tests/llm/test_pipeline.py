@@ -105,4 +105,4 @@ def test_entry_point(tmp_path, absent):
     said = subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, capture_output=True, text=True, env=os.environ | {"PYTHONPATH": ""}, check=True)
     names = said.stdout.split()
     assert names[-1] == "True"
-    assert names[:-1] == [] if absent else {n.split("_")[0] for n in names[:-1]} == {*(f"op{i}" for i in range(1, 11)), "pipeline"}
+    assert names[:-1] == [] if absent else {n.split("_")[0] for n in names[:-1]} == {*(f"op{i}" for i in range(1, 14)), "pipeline"}
