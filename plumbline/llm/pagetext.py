@@ -1,10 +1,11 @@
 """Main text of web pages: markup blocks, and a suffix array over the token streams of each host.
 
-Pages are ordered by host. The visible words of neighbouring pages of one host are concatenated and their suffixes ranked by
-prefix doubling; suffixes from different pages that share ``LEAST`` words or more are repeats of the host's template, and all
-words they cover are boilerplate. Repeats between pages that no suffix array holds together are found before, by the hashes of
-all windows of ``LEAST`` words, over all pages of a host. Runs that stay unique are text. Markup then has the last word: what it names as menu, notice
-or the like goes even if unique, and what it names as the article stays even if another page repeats it.
+Pages are dealt into groups of some ``GROUP_BYTES`` by host; a larger host is cut into several. The visible words of a host's
+pages in a group are concatenated and their suffixes ranked by prefix doubling; suffixes from different pages that share
+``LEAST`` words or more are repeats of the host's template, and all words they cover are boilerplate. Only the groups of hosts
+that were cut tell each other their windows of ``LEAST`` words: first a few bits of each, packed, then the whole hashes of
+those whose bits another group has too. Runs that stay unique are text. Markup then has the last word: what it names as menu,
+notice or the like goes even if unique, and what it names as the article stays even if another page repeats it.
 """
 
 from __future__ import annotations
@@ -19,15 +20,20 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .frames import WORD_HASHES, mixed, partitions, windows_of, written
+from .frames import WORD_HASHES, mixed, partitions, windows_of
 
 LEAST = 8
-#: HTML of neighbouring pages of one host that one suffix array takes in; a longer page is an array of its own.
+#: HTML of the pages of a group, as expected; a longer page makes its group longer.
 GROUP_BYTES = 8 << 20
-#: Parts that the pages with a repeated window are dealt into.
-SALTS = 8
+#: Hosts are counted by so many buckets of their hash; a bucket of more than a group is cut by page.
+BUCKETS = 1 << 16
+#: Groups of a bucket whose windows one task compares (a slice holds as much as so many groups).
+SLICE_GROUPS = 4
 ROW = "page_id {id}, url string, text string, n_chars long, n_words long, n_repeated long"
-PARSED = "_id {id}, _url string, _host string, _size long, _digest long, _texts array<string>, _wanted array<boolean>, _inside array<boolean>, _windows array<long>"
+PAGE = "key long, parts long, _id {id}, _url string, _host string, _flags binary, _size long, _text binary"
+SENT = "bucket long, slice long, key long, n long, data binary"
+EXACT = "bucket long, slice long, key long, pages binary, counts binary, data binary"
+FLAGS = "key long, slice long, n long, data binary"
 
 # Fixed values of HTML: element names by their role.
 RAW = "script style noscript template textarea title iframe noembed noframes xmp svg math select"
@@ -201,39 +207,160 @@ def host_of(url: Column) -> Column:
 
 
 def parsed_pages(df: DataFrame, kind: str) -> DataFrame:
-    """Blocks of the pages (id, url, html, host), a digest of host and words, and hashes of host and ``LEAST`` words from each word on."""
+    """Pages (key, parts, id, url, host, html) with their blocks instead of the html: flags (1 wanted, 2 inside an article) and
+    the compressed texts, a line each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, digests, texts, wanted, inside, windows = [], [], [], [], [], []
-            for page, host in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            flags, sizes, texts = [], [], []
+            for page in batch.column(5).to_pylist():
                 found = blocks(page or "")
-                stream = WORD_HASHES.of([w for t, _, _ in found for w in t.encode().split()])
-                seed = xxhash.xxh3_64_intdigest(host.encode())
-                sizes.append(len(page or ""))
-                digests.append(np.uint64(xxhash.xxh3_64_intdigest(stream.tobytes(), seed)).view(np.int64))
-                for out, k in ((texts, 0), (wanted, 1), (inside, 2)):
-                    out.append([b[k] for b in found])
-                windows.append(mixed(windows_of(stream, LEAST) ^ np.uint64(seed)).view(np.int64))
-            arrays = [batch.column(0), batch.column(1), batch.column(3), pa.array(sizes, pa.int64()), pa.array(digests, pa.int64())]
-            arrays += [pa.array(x, pa.list_(t)) for x, t in zip((texts, wanted, inside, windows), (pa.string(), pa.bool_(), pa.bool_(), pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, ["_id", "_url", "_host", "_size", "_digest", "_texts", "_wanted", "_inside", "_windows"])
+                text = "\n".join(t for t, _, _ in found).encode()
+                flags.append(bytes(wanted + 2 * inside for _, wanted, inside in found))
+                sizes.append(len(text))
+                texts.append(pa.compress(text, codec="zstd", asbytes=True) if text else b"")
+            arrays = [*batch.columns[:5], pa.array(flags, pa.binary()), pa.array(sizes, pa.int64()), pa.array(texts, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, ["key", "parts", "_id", "_url", "_host", "_flags", "_size", "_text"])
 
-    return df.mapInArrow(run, PARSED.format(id=kind))
+    return df.select("key", "parts", "_id", "_url", "_host", "_html").mapInArrow(run, PAGE.format(id=kind))
 
 
-def repeats(parsed: DataFrame) -> DataFrame:
-    """(_digest, _repeated): the windows of a page that a different page of the host has too, of pages with such.
+def texts_in(pages: pa.Table) -> list[bytes]:
+    rows = zip(pages.column("_size").to_pylist(), pages.column("_text").to_pylist())
+    return [pa.decompress(x, decompressed_size=n, codec="zstd", asbytes=True) if n else b"" for n, x in rows]
 
-    Counts combine before the shuffle; a window of the template of a large host is one row of each task.
+
+def host_seed(host: str) -> int:
+    return xxhash.xxh3_64_intdigest(host.encode())
+
+
+def windows_in(pages: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of host and ``LEAST`` words from each word on, and of each the digest of its page (host and words)."""
+    windows, owners = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
+    for host, text in zip(pages.column("_host").to_pylist(), texts_in(pages)):
+        stream, seed = WORD_HASHES.of(text.split()), host_seed(host)
+        own = mixed(windows_of(stream, LEAST) ^ np.uint64(seed))
+        windows.append(own)
+        owners.append(np.full(len(own), xxhash.xxh3_64_intdigest(stream.tobytes(), seed), np.uint64))
+    return np.concatenate(windows), np.concatenate(owners)
+
+
+def parts_of(pages: pa.Table) -> int:
+    """Groups that the bucket of these pages is cut into."""
+    return pages.column("parts")[0].as_py() if pages.num_rows else 1
+
+
+def slices_of(windows: np.ndarray, parts: int) -> tuple[np.ndarray, int]:
+    """Slice of each window, by its first 24 bits, and how many slices there are."""
+    n = -(-parts // SLICE_GROUPS)
+    return ((windows >> np.uint64(40)) * np.uint64(n)) >> np.uint64(24), n
+
+
+def short(windows: np.ndarray, parts: int) -> np.ndarray:
+    """The first bits of windows: so many that few of all groups' windows share them by chance."""
+    return windows >> np.uint64(64 - min(64, 27 + parts.bit_length()))
+
+
+def packed_numbers(x: np.ndarray) -> bytes:
+    """Ascending numbers as their differences, first all lowest bytes, then all second bytes and so on, compressed."""
+    planes = np.diff(x, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T
+    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked_numbers(data: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, decompressed_size=8 * n, codec="zstd", asbytes=True), np.uint8).reshape(8, n)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
+
+
+def slices_sent(pages: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
+    """(slice, ascending short windows) of the pages of a group."""
+    parts = parts_of(pages)
+    windows = np.unique(windows_in(pages)[0])
+    at, n = slices_of(windows, parts)
+    cuts = np.searchsorted(at, np.arange(n + 1, dtype=np.uint64))
+    for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
+        if a < b:
+            yield k, np.unique(short(windows[a:b], parts))
+
+
+def met_elsewhere(pages: DataFrame) -> DataFrame:
+    """(key, slice, n, data): which of the n short windows of a slice of a group another group of the bucket has, as bits."""
+
+    def send(group: pa.Table) -> pa.Table:
+        rows = list(slices_sent(group)) if parts_of(group) > 1 else []
+        key = group.column("key")[0].as_py()
+        made = {"bucket": [key >> 32] * len(rows), "slice": [k for k, _ in rows], "key": [key] * len(rows)}
+        made |= {"n": [len(x) for _, x in rows], "data": [packed_numbers(x) for _, x in rows]}
+        return pa.table(made, schema=pa.schema([(c, pa.binary() if c == "data" else pa.int64()) for c in made]))
+
+    def count(table: pa.Table) -> pa.Table:
+        sizes = table.column("n").to_pylist()
+        own = [unpacked_numbers(x, n) for x, n in zip(table.column("data").to_pylist(), sizes)]
+        values = np.sort(np.concatenate(own))
+        several = values[1:][values[1:] == values[:-1]]
+        bits = [np.packbits(np.isin(x, several)).tobytes() for x in own]
+        return pa.table({"key": table.column("key"), "slice": table.column("slice"), "n": table.column("n"), "data": pa.array(bits, pa.binary())})
+
+    return pages.groupBy("key").applyInArrow(send, SENT).groupBy("bucket", "slice").applyInArrow(count, FLAGS)
+
+
+def repeats(pages: DataFrame) -> DataFrame:
+    """(key, data): windows of a group's pages, as 64-bit hashes, that are in different pages of the host, in several groups
+    or in one; of groups of cut buckets, those only that other groups may have. Copies of a page are one page."""
+
+    def send(group: pa.Table, flags: pa.Table) -> pa.Table:
+        rows, key = [], group.column("key")[0].as_py() if group.num_rows else 0
+        if flags.num_rows and group.num_rows:
+            parts, marks = parts_of(group), {}
+            for k, n, data in zip(*(flags.column(c).to_pylist() for c in ("slice", "n", "data"))):
+                marks[k] = np.unpackbits(np.frombuffer(data, np.uint8), count=n).astype(bool)
+            kept = [np.empty(0, np.uint64)] + [x[marks[k]] for k, x in slices_sent(group)]
+            windows, owners = windows_in(group)
+            found = np.isin(short(windows, parts), np.concatenate(kept))
+            windows, owners = windows[found], owners[found]
+            order = np.lexsort((windows, owners))  # by page
+            windows, owners = windows[order], owners[order]
+            new = np.append(True, (windows[1:] != windows[:-1]) | (owners[1:] != owners[:-1]))[: len(windows)]
+            windows, owners = windows[new], owners[new]
+            at, _ = slices_of(windows, parts)
+            for k in np.unique(at):
+                names, counts = np.unique(owners[at == k], return_counts=True)
+                rows.append((key >> 32, int(k), key, names.tobytes(), counts.astype(np.int64).tobytes(), windows[at == k].tobytes()))
+        kinds = [("bucket", pa.int64()), ("slice", pa.int64()), ("key", pa.int64()), ("pages", pa.binary()), ("counts", pa.binary()), ("data", pa.binary())]
+        return pa.table([pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(kinds)], schema=pa.schema(kinds))
+
+    def count(table: pa.Table) -> pa.Table:
+        numbers = lambda c, t: [np.frombuffer(x, t) for x in table.column(c).to_pylist()]
+        own, names, counts = numbers("data", np.uint64), numbers("pages", np.uint64), numbers("counts", np.int64)
+        windows, pages = np.concatenate(own), np.concatenate([np.repeat(x, n) for x, n in zip(names, counts)])
+        order = np.argsort(windows, kind="stable")
+        windows, pages = windows[order], pages[order]
+        begin = np.flatnonzero(np.append(True, windows[1:] != windows[:-1]))
+        several = windows[begin[np.minimum.reduceat(pages, begin) != np.maximum.reduceat(pages, begin)]]
+        found = [np.unique(x[np.isin(x, several)]).tobytes() for x in own]
+        return pa.table({"key": table.column("key"), "data": pa.array(found, pa.binary())})
+
+    sent = pages.groupBy("key").cogroup(met_elsewhere(pages).groupBy("key")).applyInArrow(send, EXACT)
+    return sent.groupBy("bucket", "slice").applyInArrow(count, "key long, data binary")
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """Pages (_id, _url, _html, _host) with the ``key`` of their group and the ``parts`` of their host's bucket.
+
+    Buckets of up to ``GROUP_BYTES`` share groups; a larger one is cut by a hash of the whole page, so copies part by id.
+    The bytes of at most ``BUCKETS`` buckets are all that is broadcast.
     """
-    rows = parsed.select("_digest", F.explode(F.array_distinct("_windows")).alias("_window"))
-    several = rows.groupBy("_window").agg(F.min("_digest").alias("_lo"), F.max("_digest").alias("_hi")).where("_lo <> _hi")
-    # salted by the page, so that a template's windows don't go to one task
-    salt = F.pmod(F.xxhash64("_digest"), F.lit(SALTS)).alias("_salt")
-    several = several.select("_window", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("_salt"))
-    met = rows.select("_digest", "_window", salt).join(several, ["_window", "_salt"], "left_semi")
-    return met.groupBy("_digest").agg(F.collect_set("_window").alias("_repeated"))
+    bucket = F.pmod(F.xxhash64("_host"), F.lit(BUCKETS))
+    bytes_in = rows.groupBy(bucket.alias("_in")).agg(F.sum(F.coalesce(F.octet_length("_html"), F.lit(0)).cast("long")).alias("_bytes"))
+    sizes = bytes_in.collect()  # at most BUCKETS rows
+    groups = max(1, -(-sum(r["_bytes"] for r in sizes) // GROUP_BYTES))
+    cut = [(r["_in"], -(-r["_bytes"] // GROUP_BYTES)) for r in sizes if r["_bytes"] > GROUP_BYTES]
+    parts = rows.sparkSession.createDataFrame(cut, "_in long, _parts long")
+    rows = rows.withColumn("_bucket", bucket).join(F.broadcast(parts), F.col("_bucket") == F.col("_in"), "left")
+    rows = rows.withColumn("parts", F.coalesce("_parts", F.lit(1).cast("long")))
+    part = F.pmod(F.xxhash64("_id", "_url", "_html"), F.col("parts"))
+    key = F.when(F.col("parts") > 1, F.shiftleft(F.col("_bucket") + (groups >> 32) + 1, 32) + part).otherwise(F.pmod("_bucket", F.lit(groups)))
+    return rows.withColumn("key", key)
 
 
 def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -243,41 +370,30 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
     ``text``: of a page with an ``article`` or ``main`` element, its blocks but for menus, notices and the like inside; of
     another page, the blocks outside of such whose words are mostly unique on the host. Null or empty html gives an empty
     text. Pages without a host (null url) are one host. Null ids and repeated rows stay; pages with equal words count as one
-    page, so copies don't make each other boilerplate. Pages are range-partitioned by host and id: a host of any size is cut
-    into groups of ``GROUP_BYTES`` along the ids; repeats are looked for over all of them. Other columns are not read.
+    page, so copies don't make each other boilerplate. A host of any size is cut into groups of ``GROUP_BYTES``; repeats are
+    looked for over all of them. Other columns are not read.
     """
     id_kind = df.schema[id_col].dataType.simpleString()
-    schema = ROW.format(id=id_kind)
     columns = ["page_id", "url", "text", "n_chars", "n_words", "n_repeated"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, urls, pages, known, host, size = [], [], [], [], None, 0
-
-        def done() -> pa.RecordBatch:
-            texts, n_words, n_repeated = zip(*texts_of_blocks(pages, LEAST, known))
-            longs = [pa.array(x, pa.int64()) for x in ([len(t) for t in texts], n_words, n_repeated)]
-            return pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.array(urls, pa.string()), pa.array(texts), *longs], columns)
-
-        for batch in batches:
-            kind = batch.column(0).type
-            values = (batch.column(i).to_pylist() for i in range(7))
-            for page_id, url, its_host, its_size, texts, wanted, inside, windows, found in zip(*values, batch.column(7), batch.column(8)):
-                if pages and (its_host != host or size + its_size > GROUP_BYTES):
-                    yield done()
-                    ids, urls, pages, known, size = [], [], [], [], 0
-                host, size = its_host, size + its_size
-                ids.append(page_id)
-                urls.append(url)
-                pages.append(list(zip(texts, wanted, inside)))
-                at = windows.values.to_numpy()
-                known.append(np.isin(at, found.values.to_numpy()) if found.is_valid else np.zeros(len(at), bool))
-        if pages:
-            yield done()
+    def run(group: pa.Table, found: pa.Table) -> pa.Table:
+        known = np.unique(np.concatenate([np.empty(0, np.uint64)] + [np.frombuffer(x, np.uint64) for x in found.column("data").to_pylist()]))
+        hosts, flags, rows = group.column("_host").to_pylist(), group.column("_flags").to_pylist(), texts_in(group)
+        made: list = [("", 0, 0)] * len(hosts)
+        for host in set(hosts):
+            at = [i for i, h in enumerate(hosts) if h == host]
+            parsed = [[(t, bool(f & 1), bool(f & 2)) for t, f in zip(rows[i].decode().split("\n"), flags[i])] for i in at]
+            repeated_at = None
+            if len(known):
+                seed = np.uint64(host_seed(host))
+                repeated_at = [np.isin(mixed(windows_of(WORD_HASHES.of(rows[i].split()), LEAST) ^ seed), known) for i in at]
+            for i, out in zip(at, texts_of_blocks(parsed, LEAST, repeated_at)):
+                made[i] = out
+        texts, n_words, n_repeated = zip(*made) if made else ((), (), ())
+        longs = [pa.array(x, pa.int64()) for x in ([len(t) for t in texts], n_words, n_repeated)]
+        return pa.table([group.column("_id"), group.column("_url"), pa.array(texts, pa.string()), *longs], columns)
 
     rows = df.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), F.col(html_col).alias("_html"), host_of(F.col(url_col)).alias("_host"))
-    parsed = written(parsed_pages(rows, id_kind))
-    rows = parsed.join(repeats(parsed), "_digest", "left")
-    rows = rows.select("_id", "_url", "_host", "_size", "_texts", "_wanted", "_inside", "_windows", "_repeated")
-    rows = rows.repartitionByRange(partitions(df.sparkSession), "_host", "_id").sortWithinPartitions("_host", "_id")
-    out = rows.mapInArrow(run, schema)
+    pages = parsed_pages(dealt(rows), id_kind).repartition(partitions(df.sparkSession), "key")
+    out = pages.groupBy("key").cogroup(repeats(pages).groupBy("key")).applyInArrow(run, ROW.format(id=id_kind))
     return out.withColumnsRenamed({"page_id": id_col, "url": url_col})
