@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .frames import WORD_HASHES, mixed, partitions, windows_of
+from .frames import WORD_HASHES, mixed, partitions, ranges, windows_of
 
 LEAST = 8
 #: HTML of the pages of a group, as expected; a longer page makes its group longer.
@@ -234,15 +234,24 @@ def host_seed(host: str) -> int:
     return xxhash.xxh3_64_intdigest(host.encode())
 
 
-def windows_in(pages: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of host and ``LEAST`` words from each word on, and of each the digest of its page (host and words)."""
-    windows, owners = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
-    for host, text in zip(pages.column("_host").to_pylist(), texts_in(pages)):
-        stream, seed = WORD_HASHES.of(text.split()), host_seed(host)
-        own = mixed(windows_of(stream, LEAST) ^ np.uint64(seed))
-        windows.append(own)
-        owners.append(np.full(len(own), xxhash.xxh3_64_intdigest(stream.tobytes(), seed), np.uint64))
-    return np.concatenate(windows), np.concatenate(owners)
+def windows_in(pages: pa.Table, texts: list[bytes] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of host and ``LEAST`` words from each word on, page after page; how many each page has; the pages' digests (host
+    and words)."""
+    words = [t.split() for t in (texts_in(pages) if texts is None else texts)]
+    seeds = np.array([host_seed(h) for h in pages.column("_host").to_pylist()], np.uint64)
+    sizes = np.array([len(w) for w in words], np.int64)
+    ends = np.cumsum(sizes)
+    stream = WORD_HASHES.of([x for w in words for x in w])
+    own = [stream[e - n : e].tobytes() for e, n in zip(ends, sizes)]
+    digests = np.array([xxhash.xxh3_64_intdigest(x, int(seed)) for x, seed in zip(own, seeds)], np.uint64)
+    counts = np.maximum(sizes - LEAST + 1, 0)
+    windows = windows_of(stream, LEAST)[ranges(ends - sizes, counts)]  # none that crosses pages
+    return mixed(windows ^ np.repeat(seeds, counts)), counts, digests
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])[: len(x)]]
 
 
 def parts_of(pages: pa.Table) -> int:
@@ -272,22 +281,22 @@ def unpacked_numbers(data: bytes, n: int) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
 
 
-def slices_sent(pages: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
-    """(slice, ascending short windows) of the pages of a group."""
-    parts = parts_of(pages)
-    windows = np.unique(windows_in(pages)[0])
+def slices_sent(windows: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(slice, ascending short windows) of a group."""
+    windows = distinct(windows)
     at, n = slices_of(windows, parts)
     cuts = np.searchsorted(at, np.arange(n + 1, dtype=np.uint64))
     for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
         if a < b:
-            yield k, np.unique(short(windows[a:b], parts))
+            yield k, distinct(short(windows[a:b], parts))
 
 
 def met_elsewhere(pages: DataFrame) -> DataFrame:
     """(key, slice, n, data): which of the n short windows of a slice of a group another group of the bucket has, as bits."""
 
     def send(group: pa.Table) -> pa.Table:
-        rows = list(slices_sent(group)) if parts_of(group) > 1 else []
+        parts = parts_of(group)
+        rows = list(slices_sent(windows_in(group)[0], parts)) if parts > 1 else []
         key = group.column("key")[0].as_py()
         made = {"bucket": [key >> 32] * len(rows), "slice": [k for k, _ in rows], "key": [key] * len(rows)}
         made |= {"n": [len(x) for _, x in rows], "data": [packed_numbers(x) for _, x in rows]}
@@ -314,8 +323,9 @@ def repeats(pages: DataFrame) -> DataFrame:
             parts, marks = parts_of(group), {}
             for k, n, data in zip(*(flags.column(c).to_pylist() for c in ("slice", "n", "data"))):
                 marks[k] = np.unpackbits(np.frombuffer(data, np.uint8), count=n).astype(bool)
-            kept = [np.empty(0, np.uint64)] + [x[marks[k]] for k, x in slices_sent(group)]
-            windows, owners = windows_in(group)
+            windows, counts, digests = windows_in(group)
+            owners = np.repeat(digests, counts)
+            kept = [np.empty(0, np.uint64)] + [x[marks[k]] for k, x in slices_sent(windows, parts)]
             found = np.isin(short(windows, parts), np.concatenate(kept))
             windows, owners = windows[found], owners[found]
             order = np.lexsort((windows, owners))  # by page
@@ -378,15 +388,17 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
 
     def run(group: pa.Table, found: pa.Table) -> pa.Table:
         known = np.unique(np.concatenate([np.empty(0, np.uint64)] + [np.frombuffer(x, np.uint64) for x in found.column("data").to_pylist()]))
-        hosts, flags, rows = group.column("_host").to_pylist(), group.column("_flags").to_pylist(), texts_in(group)
-        made: list = [("", 0, 0)] * len(hosts)
-        for host in set(hosts):
-            at = [i for i, h in enumerate(hosts) if h == host]
+        flags, rows = group.column("_flags").to_pylist(), texts_in(group)
+        made: list = [("", 0, 0)] * len(rows)
+        by_host: dict[str, list[int]] = {}
+        for i, host in enumerate(group.column("_host").to_pylist()):
+            by_host.setdefault(host, []).append(i)
+        for host, at in by_host.items():
             parsed = [[(t, bool(f & 1), bool(f & 2)) for t, f in zip(rows[i].decode().split("\n"), flags[i])] for i in at]
             repeated_at = None
-            if len(known):
-                seed = np.uint64(host_seed(host))
-                repeated_at = [np.isin(mixed(windows_of(WORD_HASHES.of(rows[i].split()), LEAST) ^ seed), known) for i in at]
+            if len(known):  # all pages at once: the known windows are sorted once
+                windows, counts, _ = windows_in(group.take(pa.array(at)), [rows[i] for i in at])
+                repeated_at = np.split(np.isin(windows, known), np.cumsum(counts)[:-1])
             for i, out in zip(at, texts_of_blocks(parsed, LEAST, repeated_at)):
                 made[i] = out
         texts, n_words, n_repeated = zip(*made) if made else ((), (), ())
