@@ -198,3 +198,19 @@ def test_one_long_conversation_with_one_common_line(spark, monkeypatch):
             assert made[t].parent == (t - 5 if t else None)
         else:
             assert made[t].parent == (t - 3 if (t - 3) % 5 and t >= 3 else None)
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_packed_windows(seed):
+    """Numbers come back whole; short windows of a slice stay in order; a window's slice follows from its short form."""
+    rng = np.random.default_rng(seed)
+    windows = rng.integers(0, 1 << 64, 500 * seed, np.uint64, endpoint=False)
+    windows = np.concatenate([windows, windows[:50], np.array([0, (1 << 64) - 1], np.uint64)])
+    assert pagetext.unpacked_numbers(pagetext.packed_numbers(pagetext.distinct(windows)), len(set(windows.tolist()))).tolist() == sorted(set(windows.tolist()))
+    for parts in (2, 9, 70):
+        at, n = pagetext.slices_of(windows, parts)
+        sent = dict(pagetext.slices_sent(windows, parts))
+        assert max(sent) < n
+        want = {int(k): sorted(set(pagetext.short(windows[at == k], parts).tolist())) for k in np.unique(at)}
+        assert {k: x.tolist() for k, x in sent.items()} == want
+    assert not list(pagetext.slices_sent(np.empty(0, np.uint64), 3))
