@@ -81,16 +81,6 @@ def percent(expr: str, digits: int) -> str:
     return fixed(f"({expr}) * 100e0", digits, "%")
 
 
-def below(expr: str, steps, otherwise: str) -> str:
-    whens = " ".join(f"WHEN {expr} < {num(t)} THEN {text(l)}" for t, l in steps)
-    return f"CASE {whens} ELSE {text(otherwise)} END"
-
-
-def at_least(expr: str, steps, otherwise: str) -> str:
-    whens = " ".join(f"WHEN {expr} >= {num(t)} THEN {text(l)}" for t, l in steps)
-    return f"CASE {whens} ELSE {text(otherwise)} END"
-
-
 def digest(seed: int, tag: str, part: str, key: str) -> str:
     """``tag``, ``part`` and ``key`` are SQL expressions."""
     return f"md5(concat_ws('|', '{seed}', {tag}, {part}, ({key})::VARCHAR))"

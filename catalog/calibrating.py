@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumbline.functions import arrays, bands, binning
+from plumbline.functions import arrays, binning
 from plumbline.operators import calibration
 
+from . import expected
 from . import fixtures as fx
-from .base import at_least, below, bin_sql, big, num, query, r6, tidy
+from .base import bin_sql, big, num, query, r6, tidy
 
 KEYS = ["model", "split"]
 EDGES = binning.edges(10)
@@ -26,7 +27,7 @@ def bins_cte(source: str, keys: str, confidence: str = "confidence", hit: str =
 
 
 BASE = f"{fx.SQL_PREDICTIONS}, {bins_cte('pred', 'model, model_seq, split', brier=fx.brier_sql())}"
-QUALITY = below("ece", bands.QUALITY_BELOW, bands.QUALITY_ELSE)
+QUALITY = expected.quality("ece")
 
 
 def measures(spark, sf, keys=("model", "model_seq", "split")):
@@ -176,8 +177,8 @@ def _before_after_sql() -> str:
     return f"""WITH {BASE}, {tempered_ctes(num(GLOBAL_T))},
     {bins_cte('kt', 'model, split', confidence='greatest(q0, q1, q2)', name='ka', brier=fx.brier_sql('q'))}
     SELECT b.model, b.split, {', '.join(f'{r6(f"b.{c}")} AS {c}_before, {r6(f"a.{c}")} AS {c}_after, {r6(f"a.{c} - b.{c}")} AS {c}_delta' for c in names)},
-    {below('b.ece', bands.QUALITY_BELOW, bands.QUALITY_ELSE)} AS quality_before,
-    {below('a.ece', bands.QUALITY_BELOW, bands.QUALITY_ELSE)} AS quality_after
+    {expected.quality('b.ece')} AS quality_before,
+    {expected.quality('a.ece')} AS quality_after
     FROM kb_metrics b JOIN ka_metrics a ON a.model = b.model AND a.split = b.split"""
 
 

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumbline.functions import bands
 from plumbline.functions.rounding import nearest
 from plumbline.operators import compare
 from plumbline.plans import scorecard
 from plumbline.session import held
 
+from . import expected
 from . import fixtures as fx
-from .base import at_least, below, big, fixed, query, r6, text, tidy
+from .base import big, fixed, query, r6, text, tidy
 
 NAMES = [s.name for s in fx.SCORERS]
 M = compare.METRICS
@@ -156,7 +156,7 @@ def d8(spark, sf):
 @query(
     "d9_robustness_rating",
     f"""WITH {fx.SQL_FEATURES}, {fx.SQL_MODELS}, {ROBUST} SELECT model, {fixed('robustness', 1, ' / 100')} AS score,
-    {at_least('robustness', bands.RATING_FROM, bands.RATING_ELSE)} AS rating FROM lin""",
+    {expected.rating('robustness')} AS rating FROM lin""",
 )
 def d9(spark, sf):
     return compare.robustness_rating(compare.linear_robustness(fx.stored_results(spark, sf)))
@@ -165,7 +165,7 @@ def d9(spark, sf):
 @query(
     "d10_ece_table",
     f"""WITH {fx.SQL_PREDICTIONS}, {CERT} SELECT model, {fixed('ece', 4)} AS ece,
-    {below('ece', bands.QUALITY_BELOW, bands.QUALITY_ELSE)} AS quality FROM cert""",
+    {expected.quality('ece')} AS quality FROM cert""",
 )
 def d10(spark, sf):
     return compare.ece_table(scorecard.certainty(cells(spark, sf)))

@@ -6,14 +6,14 @@ import math
 
 from pyspark.sql import functions as F
 
-from plumbline.functions import bands
 from plumbline.functions.rounding import nearest
 from plumbline.operators import reliability as rl
 from plumbline.plans import scorecard
 from plumbline.session import held
 
+from . import expected
 from . import fixtures as fx
-from .base import at_least, big, fixed, query, r6, text, tidy
+from .base import big, fixed, query, r6, text, tidy
 from .comparing import CERT, PERF_CTES, ROBUST
 
 PARTS = [c.lower() for c in rl.COMPONENTS]
@@ -37,7 +37,7 @@ raw_tot AS (SELECT *, performance + calibration + robustness + confidence AS poi
 tot AS (SELECT *, {nearest('points', 2)} AS total,
   concat_ws(', ', CASE WHEN accuracy IS NULL OR f1 IS NULL THEN 'Performance' END, CASE WHEN ece IS NULL THEN 'Calibration' END,
     CASE WHEN avg_drop IS NULL THEN 'Robustness' END, CASE WHEN avg_entropy IS NULL OR hce_rate IS NULL THEN 'Confidence' END) AS lacking FROM raw_tot),
-sc AS (SELECT *, {at_least('total', bands.GRADE_FROM, bands.GRADE_ELSE)} AS grade FROM tot)"""
+sc AS (SELECT *, {expected.grade('total')} AS grade FROM tot)"""
 
 
 SCORES = scores_sql()
@@ -172,7 +172,7 @@ def r14_stacked(spark, sf):
     return tidy(rl.stacked(scores(spark, sf)))
 
 
-COLOURS = "CASE grade " + " ".join(f"WHEN '{g}' THEN '{c}'" for g, c in bands.GRADE_COLOUR.items()) + " END"
+COLOURS = expected.grade_colour("grade")
 
 
 @query("r14_total_data", f"WITH {SCORES} SELECT model, {r6('total')} AS total, grade, {COLOURS} AS colour FROM sc")

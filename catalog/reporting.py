@@ -7,21 +7,21 @@ import uuid
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.functions import bands
 from plumbline.operators import reliability, report
 from plumbline.operators.stress import DEFAULT_SUITE
 from plumbline.plans import scorecard
 from plumbline.session import held, shared_folder
 from plumbline.sources import sinks
 
+from . import expected
 from . import fixtures as fx
-from .base import below, big, query, r6, text, tidy
+from .base import big, query, r6, text, tidy
 from .reliability import SCORES
 
 PERF = """sec_perf AS (SELECT model AS "Model", accuracy AS "Accuracy", precision AS "Precision", recall AS "Recall", f1 AS "F1" FROM perf WHERE has_data)"""
 ROB = """sec_rob AS (SELECT model AS "Model", test_name AS "Stress Type", round(accuracy_original, 4) AS "Orig Acc",
   round(accuracy_stressed, 4) AS "Stress Acc", round(performance_drop, 4) AS "Drop", round(performance_drop_pct, 2) AS "Drop %" FROM stress_results)"""
-CAL = f"""sec_cal AS (SELECT model AS "Model", round(ece, 4) AS "ECE", {below('ece', bands.QUALITY_BELOW, bands.QUALITY_ELSE)} AS "Quality" FROM cert)"""
+CAL = f"""sec_cal AS (SELECT model AS "Model", round(ece, 4) AS "ECE", {expected.quality('ece')} AS "Quality" FROM cert)"""
 REL = """sec_rel AS (SELECT model AS "Model", total AS "Total", grade AS "Grade", performance AS "Performance",
   calibration AS "Calibration", robustness AS "Robustness", confidence AS "Confidence" FROM sc)"""
 ALL = f"WITH {SCORES}, {PERF}, {ROB}, {CAL}, {REL}"

@@ -11,11 +11,12 @@ from plumbline.operators import robustness as rb
 from plumbline.session import shared_folder
 from plumbline.sources.stored import StoredTable
 
+from . import expected
 from . import fixtures as fx
-from .base import at_least, below, big, fixed, percent, query, r6, text, tidy
+from .base import big, fixed, percent, query, r6, text, tidy
 
 SUITE = f"WITH {fx.stress_results_ctes()}"
-SEVERITY = below("performance_drop_pct", bands.SEVERITY_BELOW, bands.SEVERITY_ELSE)
+SEVERITY = expected.severity("performance_drop_pct")
 
 
 def results(spark, sf):
@@ -109,7 +110,7 @@ cats AS (SELECT model, category, count(*) AS n, avg(performance_drop_pct) AS mea
     "v5_category_summary",
     f"""{SUITE}, {CATEGORY_SQL} SELECT model, category, {big('n')} AS num_tests, {r6('mean_drop')} AS avg_drop_pct,
     {r6('max_drop')} AS max_drop_pct, {r6('agreement')} AS avg_agreement,
-    {below('mean_drop', bands.CATEGORY_BELOW, bands.CATEGORY_ELSE)} AS robustness FROM cats""",
+    {expected.category('mean_drop')} AS robustness FROM cats""",
 )
 def v5(spark, sf):
     return tidy(rb.category_summary(results(spark, sf)))
@@ -138,7 +139,7 @@ def v7(spark, sf):
     return tidy(rb.kpis(results(spark, sf)))
 
 
-BAND = at_least("overall_score", bands.SCORE_FROM, bands.SCORE_ELSE)
+BAND = expected.score_band("overall_score")
 
 
 @query("v8_score_band", f"{SCORES} SELECT model, {r6('overall_score')} AS overall_score, {BAND} AS band FROM rs")
