@@ -22,7 +22,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .frames import WORD_HASHES, bytes_of, mixed, windows_of, written
@@ -123,7 +123,9 @@ def _roots(roots: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def branch(df: DataFrame, roots: int, kind: str) -> DataFrame:
-    """(node, rep, above) of the children: of ``roots`` trees, or of the node in the column ``node``, whose size goes along."""
+    """(node, rep, above) of the children: of ``roots`` trees, or of the nodes in the column ``nodes`` (one row per document, with
+    (node, n) of each of its nodes), whose sizes go along."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
@@ -134,16 +136,17 @@ def branch(df: DataFrame, roots: int, kind: str) -> DataFrame:
                 tree, place, trees_at = _roots(roots)
                 row = np.tile(np.arange(len(marks)), len(tree))
                 tree, place = np.repeat(trees_at[tree], len(marks)), np.repeat(place, len(marks))
+                size = pa.nulls(len(row), pa.int64())
             else:
-                nodes = batch.column("node").to_numpy().view(np.uint64)
-                row, place = np.nonzero(mixed(nodes[:, None] ^ _PLACES) < _CHANCE)
-                tree = nodes[row]
+                held, above = batch.column("nodes").flatten(), np.repeat(np.arange(len(marks)), batch.column("nodes").value_lengths())
+                nodes = held.field("node").to_numpy().view(np.uint64)
+                at, place = np.nonzero(mixed(nodes[:, None] ^ _PLACES) < _CHANCE)
+                tree, row, size = nodes[at], above[at], held.field("n").take(pa.array(at))
             child = mixed(mixed(tree + _PLACES[place]) ^ marks[row, place])
-            size = pa.nulls(len(row), pa.int64()) if roots else batch.column("n").take(pa.array(row))
             arrays = [pa.array(child.view(np.int64)), batch.column("rep").take(pa.array(row)), size]
             yield pa.RecordBatch.from_arrays(arrays, ["node", "rep", "above"])
 
-    columns = ["rep", "signature"] if roots else ["node", "rep", "signature", "n"]
+    columns = ["rep", "signature"] if roots else ["rep", "signature", "nodes"]
     return df.select(columns).mapInArrow(run, f"node long, rep {kind}, above long")
 
 
@@ -278,8 +281,8 @@ def dense_pools(nodes: DataFrame) -> DataFrame:
     A guest branches on, and so is only to be compared with the documents that don't.
     """
     hosts = nodes.where("not guest")
-    home = hosts.groupBy("rep").agg(F.max_by("node", F.struct("n", "node")).alias("home"))
-    counts = hosts.join(home, "rep").groupBy("node", "home").agg(F.count("*").alias("m"))
+    home = F.max(F.struct("n", "node")).over(Window.partitionBy("rep"))["node"]
+    counts = hosts.select("node", home.alias("home")).groupBy("node", "home").agg(F.count("*").alias("m"))
     pools = counts.groupBy("node").agg(F.max(F.struct("m", "home")).alias("top"), F.sum("m").alias("all"))
     pools = pools.select("node", F.when(2 * F.col("top.m") >= F.col("all"), F.col("top.home")).otherwise(F.col("node")).alias("pool"))
     members = nodes.join(pools, "node").groupBy("pool", "rep").agg(F.min("guest").alias("guest"))
@@ -363,15 +366,14 @@ def linked(marks: DataFrame, texts: DataFrame, kind: str, links: DataFrame) -> D
         large = several.where(F.col("n") > SMALL)
         alike = F.col("n") >= F.lit(DENSE) * F.coalesce("above", F.lit(float("inf")))
         if depth == 1:  # nothing above: a document is dense if so many of its tokens lead to large nodes
-            often = large.groupBy("rep").agg((F.count("*") >= DENSE * chosen(trees())).alias("_often"))
-            large, alike = large.join(often, "rep"), F.col("_often")
-        stop = alike if depth < DEEPEST else F.lit(True)
-        held = large.where(stop).select("node").distinct()
-        dense.append(large.join(held, "node").select("node", "rep", "n", (~stop).alias("guest")))
-        nodes = large.where(~stop).select("node", "rep", "n").join(marks, "rep")
-        if nodes.isEmpty():
+            alike = F.count("*").over(Window.partitionBy("rep")) >= DENSE * chosen(trees())
+        large = written(large.select("node", "rep", "n", (~alike if depth < DEEPEST else F.lit(False)).alias("guest")))
+        dense.append(large.join(large.where("not guest").select("node").distinct(), "node"))
+        ahead = large.where("guest")
+        if ahead.isEmpty():
             break
-        nodes = branch(nodes, 0, kind)
+        ahead = ahead.groupBy("rep").agg(F.collect_list(F.struct("node", "n")).alias("nodes"))  # a signature is read once
+        nodes = branch(among(marks, "rep", ahead.select("rep")).join(ahead, "rep"), 0, kind)
     pool = written(reduce(DataFrame.unionByName, dense)) if dense else None
     if pool is not None and not pool.isEmpty():
         join.compare_all(written(unresolved(join, dense_pools(pool))))

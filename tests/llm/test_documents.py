@@ -208,6 +208,26 @@ def test_links_of_dense_blocks(spark, monkeypatch, seed):
     assert classes(made) == classes(want)
 
 
+def test_signature_is_read_once_for_all_nodes_of_a_document(spark):
+    """Children of several nodes of a document in one row; pools without a join of all memberships by document."""
+    marks = [neardup.minwise(neardup.shingles(prose(60, i).encode())) for i in range(3)]
+    held = {0: [(5, 40), (6, 50), (7, 60)], 1: [], 2: [(6, 50)]}
+    df = spark.createDataFrame([(i, m.tolist(), held[i]) for i, m in enumerate(marks)], "rep long, signature array<int>, nodes array<struct<node: long, n: long>>")
+    made = Counter(map(tuple, neardup.branch(df.coalesce(1), 0, "long").collect()))
+    want = Counter()
+    for i, nodes in held.items():
+        for node, n in nodes:
+            tree = np.array([node], np.uint64)
+            for place in np.flatnonzero(neardup.mixed(tree ^ neardup._PLACES) < neardup._CHANCE):
+                token = marks[i].view(np.uint32).astype(np.uint64)[place : place + 1]
+                want[int(neardup.mixed(neardup.mixed(tree + neardup._PLACES[place]) ^ token).view(np.int64)[0]), i, n] += 1
+    assert made == want and want
+    nodes = spark.createDataFrame([(n, r, 40 - n, False) for n in range(4) for r in range(40 - n)], "node long, rep long, n long, guest boolean")
+    pools = neardup.dense_pools(nodes)
+    assert {tuple(r) for r in pools.collect()} == {(0, r, False) for r in range(40)}
+    assert "Join Inner, (rep" not in pools._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_pairs_at_the_threshold_pass_the_signature():
     chance = neardup.PERCENT / 100
     lost = sum(math.comb(neardup.WIDTH, k) * chance**k * (1 - chance) ** (neardup.WIDTH - k) for k in range(neardup.AGREE))
