@@ -150,20 +150,43 @@ def branch(df: DataFrame, roots: int, kind: str) -> DataFrame:
     return df.select(columns).mapInArrow(run, f"node long, rep {kind}, above long")
 
 
-def among(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+def among(df: DataFrame, column: str, ids: DataFrame, inside: bool = True) -> DataFrame:
     """Rows of ``df`` whose ``column`` may be in ``ids`` (one column): a broadcast bit set of at most 2^FILTER_BITS bits
-    holds back most others before a shuffle, however many ids there are."""
+    holds back most others before a shuffle, however many ids there are. Those others, which are in no case among them, if
+    not ``inside``."""
     bit = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << FILTER_BITS))
     at = ids.select(bit(F.col(ids.columns[0])).alias("_at"))
     words = at.groupBy(F.shiftright("_at", 6).alias("_word")).agg(F.expr("bit_or(shiftleft(1L, cast(_at & 63 as int)))").alias("_bits"))
     found = df.withColumn("_at", bit(F.col(column))).withColumn("_w", F.shiftright("_at", 6))
-    found = found.join(F.broadcast(words), F.col("_w") == F.col("_word"))
-    return found.where(F.expr("getbit(_bits, cast(_at & 63 as int)) = 1")).select(df.columns)
+    found = found.join(F.broadcast(words), F.col("_w") == F.col("_word"), "inner" if inside else "left")
+    hit = F.expr("getbit(_bits, cast(_at & 63 as int)) = 1")
+    return found.where(hit if inside else F.col("_word").isNull() | ~hit).select(df.columns)
+
+
+def sketches(marks: DataFrame, kind: str) -> DataFrame:
+    """(rep, sketch) of ``marks``: four bits of each token, an eighth of the signature."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens = batch.column("signature").flatten().to_numpy().view(np.uint32).reshape(-1, WIDTH)
+            bits = (tokens >> np.uint32(28)).astype(np.uint8)
+            words = (bits[:, ::2] | bits[:, 1::2] << 4).view(np.int64)
+            ends = pa.array(np.arange(len(words) + 1, dtype=np.int32) * words.shape[1])
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.ListArray.from_arrays(ends, pa.array(words.ravel()))], ["rep", "sketch"])
+
+    return marks.select("rep", "signature").mapInArrow(run, f"rep {kind}, sketch array<long>")
 
 
 def agreeing(x: Column, y: Column) -> Column:
-    """Places at which two signatures agree: a token holds its place, so none is twice in a signature."""
-    return F.size(F.array_intersect(x, y))
+    """Places at which two sketches agree: all those at which the signatures do, and a sixteenth of the others."""
+
+    def differing(word: int) -> Column:
+        d = x[word].bitwiseXOR(y[word])
+        d = d.bitwiseOR(F.shiftrightunsigned(d, 1))
+        d = d.bitwiseOR(F.shiftrightunsigned(d, 2))
+        return F.bit_count(d.bitwiseAND(F.lit(0x1111111111111111)))
+
+    return F.lit(WIDTH) - reduce(Column.__add__, map(differing, range(WIDTH // 16)))
 
 
 def similar(x: Column, y: Column) -> Column:
@@ -173,10 +196,10 @@ def similar(x: Column, y: Column) -> Column:
 
 
 class Join:
-    """The state of one join: signatures and texts of the representatives, and the classes found so far."""
+    """The state of one join: sketches and texts of the representatives, and the classes found so far."""
 
     def __init__(self, marks: DataFrame, texts: DataFrame, kind: str, links: DataFrame):
-        self.marks, self.texts, self.kind = marks, texts, kind
+        self.sketches, self.texts, self.kind = written(sketches(marks, kind)), texts, kind
         self.labels: DataFrame | None = None if links.isEmpty() else joined_classes(None, links)
 
     def labelled(self, nodes: DataFrame) -> DataFrame:
@@ -197,8 +220,9 @@ class Join:
     def candidates(self, pairs: DataFrame) -> DataFrame:
         """(a, b, agree) of the pairs (x, y) that may be similar enough; different classes only."""
         a, b = F.least("x", "y"), F.greatest("x", "y")
-        pairs = self.apart(pairs.where("x <> y").select(a.alias("a"), b.alias("b")).distinct())
-        left, right = (self.marks.select(F.col("rep").alias(c), F.col("signature").alias(f"s{c}")) for c in "ab")
+        pairs = written(self.apart(pairs.where("x <> y").select(a.alias("a"), b.alias("b")).distinct()))
+        held = (among(self.sketches, "rep", pairs.select(c)) for c in "ab")
+        left, right = (x.select(F.col("rep").alias(c), F.col("sketch").alias(f"s{c}")) for c, x in zip("ab", held))
         met = pairs.join(left, "a").join(right, "b")
         return met.select("a", "b", agreeing(F.col("sa"), F.col("sb")).alias("agree")).where(F.col("agree") >= AGREE)
 
@@ -380,6 +404,15 @@ def linked(marks: DataFrame, texts: DataFrame, kind: str, links: DataFrame) -> D
     return join.labels
 
 
+def first_rows(filled: DataFrame, rows: DataFrame) -> DataFrame:
+    """(rep, signature) of each representative of ``rows`` (doc, d1, d2, rep, m): once, of ``m`` rows of ``filled``. Only the
+    signatures of documents that may have a copy, a repeated row or another text are shuffled."""
+    odd = rows.where("doc <> rep or m > 1").select("doc", "d1", "d2", "rep")
+    plain = among(filled, "doc", odd.select("doc"), inside=False)
+    others = among(filled, "doc", odd.select("doc")).join(odd.where("doc <> rep").select("doc", "d1", "d2"), ["doc", "d1", "d2"], "left_anti")
+    return plain.unionByName(others.dropDuplicates(["doc", "d1", "d2"])).select(F.col("doc").alias("rep"), "signature")
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``df``: id, ``n_shingles``, ``component_id`` (smallest id it is linked with, itself included,
     over any number of links), ``kept`` (its id is the component's).
@@ -391,9 +424,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     all_marks = written(signatures(df, id_col, text_col))
     filled = all_marks.where(F.col("doc").isNotNull() & (F.col("n_shingles") > 0))
     reps = filled.groupBy("d1", "d2").agg(F.min("doc").alias("rep"))
-    member = written(filled.join(reps, ["d1", "d2"]).select("doc", "rep", F.when(F.col("doc") == F.col("rep"), F.col("signature")).alias("signature")))
-    marks = written(member.where(F.col("signature").isNotNull()).select("rep", "signature").distinct())
-    member = member.select("doc", "rep").distinct()
+    rows = filled.groupBy("doc", "d1", "d2").agg(F.count("*").alias("m")).join(reps, ["d1", "d2"])
+    rows = written(rows.select("doc", "d1", "d2", "rep", "m"))
+    member = rows.select("doc", "rep").distinct()
+    marks = written(first_rows(filled, rows))
     texts = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("rep"), F.col(text_col))
     several = member.groupBy("doc").agg(F.min("rep").alias("a"), F.max("rep").alias("_b")).where("a <> _b")
     links = written(member.join(several, "doc").where("rep <> a").select("a", F.col("rep").alias("b")))

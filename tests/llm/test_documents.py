@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 from plain import base_counts, bench_words, components, edited, hits, line_dedup, prose, removed, sha, shingles
+from pyspark.sql import functions as F
 
 from plumbline.llm import decontaminate, lines, neardup, packing, quality, suffixes, tokens
 from plumbline.llm.queries import vocabulary
@@ -228,6 +229,34 @@ def test_signature_is_read_once_for_all_nodes_of_a_document(spark):
     assert "Join Inner, (rep" not in pools._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_sketches_lose_no_agreement(spark):
+    """An eighth of the signature, and never fewer places than the signatures agree at."""
+    rng = np.random.default_rng(1)
+    base = rng.integers(-(2**31), 2**31, neardup.WIDTH).astype(np.int32)
+    marks = [base] + [np.where(rng.random(neardup.WIDTH) < share, base, rng.integers(-(2**31), 2**31, neardup.WIDTH)).astype(np.int32) for share in (1, 0.9, 0.57, 0)]
+    df = spark.createDataFrame([(i, m.tolist()) for i, m in enumerate(marks)], "rep long, signature array<int>")
+    made = neardup.sketches(df, "long")
+    assert all(8 * len(r.sketch) * 8 == 4 * neardup.WIDTH for r in made.collect())
+    first = made.where("rep = 0").select(F.col("sketch").alias("s0"))
+    agree = {r.rep: r.n for r in made.crossJoin(first).select("rep", neardup.agreeing(F.col("sketch"), F.col("s0")).alias("n")).collect()}
+    top = [m.view(np.uint32) >> 28 for m in marks]
+    assert agree == {i: int((t == top[0]).sum()) for i, t in enumerate(top)}
+    assert all(agree[i] >= int((m == base).sum()) for i, m in enumerate(marks)) and agree[1] == neardup.WIDTH
+
+
+def test_signature_of_each_representative_once(spark):
+    """Copies, repeated rows and ids with several texts among documents that have neither."""
+    rows = [(i, i, 0, [i]) for i in range(1, 40)] + [(50, 7, 0, [7]), (60, 7, 0, [7]), (3, 3, 0, [3]), (5, 7, 0, [7]), (5, 90, 0, [90]), (8, 91, 0, [91])]
+    filled = spark.createDataFrame(rows, "doc long, d1 long, d2 long, signature array<int>").repartition(3)
+    reps = filled.groupBy("d1", "d2").agg(F.min("doc").alias("rep"))
+    known = filled.groupBy("doc", "d1", "d2").agg(F.count("*").alias("m")).join(reps, ["d1", "d2"])
+    made = Counter((r.rep, *r.signature) for r in neardup.first_rows(filled, known).collect())
+    least = {}
+    for d, d1, _, _ in rows:
+        least[d1] = min(d, least.get(d1, d))
+    assert made == Counter((d, d1) for d1, d in least.items())
+
+
 def test_pairs_at_the_threshold_pass_the_signature():
     chance = neardup.PERCENT / 100
     lost = sum(math.comb(neardup.WIDTH, k) * chance**k * (1 - chance) ** (neardup.WIDTH - k) for k in range(neardup.AGREE))
