@@ -7,7 +7,7 @@ the probability that keeps the branching alive; others part quickly. Independent
 
 A node's documents are compared with a leader of the node first, then, where a small node still holds different classes, all
 with all. Nodes whose documents already form one class are done; large ones with several classes branch again. Candidates
-must agree in enough minwise hashes and are then confirmed on the full sets. Documents with equal sets are joined before.
+must agree in four bits of enough minwise hashes and are then confirmed on the full sets. Documents with equal sets are joined before.
 
 Nodes that further branching doesn't part are dense: all their documents are compared all with all on the full sets, block by
 block, as products of 0/1 matrices. That work grows with the square of a dense node that holds several classes.
