@@ -163,6 +163,13 @@ def among(df: DataFrame, column: str, ids: DataFrame, inside: bool = True) -> Da
     return found.where(hit if inside else F.col("_word").isNull() | ~hit).select(df.columns)
 
 
+def only(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose ``column`` is in ``ids`` (one column, distinct). An inner join: Spark would move a semi join to
+    before the bit set, and so shuffle all rows."""
+    known = ids.select(F.col(ids.columns[0]).alias("_id"))
+    return among(df, column, ids).join(known, F.col(column) == F.col("_id")).select(df.columns)
+
+
 def sketches(marks: DataFrame, kind: str) -> DataFrame:
     """(rep, sketch) of ``marks``: four bits of each token, an eighth of the signature."""
 
@@ -229,16 +236,16 @@ class Join:
     def confirm(self, pairs: DataFrame) -> None:
         """Joins the classes of the pairs (a, b) that the full sets confirm."""
         ids = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
-        texts = among(self.texts, "rep", ids).join(ids, "rep", "left_semi")
-        sets = written(full_sets(texts, self.kind))
-        left, right = (sets.select(F.col("rep").alias(c), F.col("set").alias(f"s{c}")) for c in "ab")
+        sets = written(full_sets(only(self.texts, "rep", ids), self.kind))
+        held = (among(sets, "rep", pairs.select(c)) for c in "ab")
+        left, right = (x.select(F.col("rep").alias(c), F.col("set").alias(f"s{c}")) for c, x in zip("ab", held))
         true = written(pairs.join(left, "a").join(right, "b").where(similar(F.col("sa"), F.col("sb"))).select("a", "b"))
         if not true.isEmpty():
             self.labels = joined_classes(self.labels, true)
 
     def compare_all(self, pool: DataFrame) -> None:
         """Joins the classes that any similar pair of a node of ``pool`` (node, rep, guest, label) links."""
-        texts = self.texts.join(pool.select("rep").distinct(), "rep", "left_semi")
+        texts = only(self.texts, "rep", pool.select("rep").distinct())
         sets = written(full_sets(texts, self.kind).where(F.size("set") > 0))
         true = written(dense_links(pool, sets, self.kind).distinct())
         if not true.isEmpty():
@@ -409,7 +416,8 @@ def first_rows(filled: DataFrame, rows: DataFrame) -> DataFrame:
     signatures of documents that may have a copy, a repeated row or another text are shuffled."""
     odd = rows.where("doc <> rep or m > 1").select("doc", "d1", "d2", "rep")
     plain = among(filled, "doc", odd.select("doc"), inside=False)
-    others = among(filled, "doc", odd.select("doc")).join(odd.where("doc <> rep").select("doc", "d1", "d2"), ["doc", "d1", "d2"], "left_anti")
+    firsts = among(rows.where("doc = rep").select("doc", "d1", "d2"), "doc", odd.select("doc"))
+    others = among(filled, "doc", odd.select("doc")).join(firsts, ["doc", "d1", "d2"])  # an anti join would be moved before the bit set
     return plain.unionByName(others.dropDuplicates(["doc", "d1", "d2"])).select(F.col("doc").alias("rep"), "signature")
 
 

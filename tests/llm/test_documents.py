@@ -257,6 +257,23 @@ def test_signature_of_each_representative_once(spark):
     assert made == Counter((d, d1) for d1, d in least.items())
 
 
+def test_bit_sets_hold_rows_back_before_the_shuffle(spark):
+    """Spark moves a semi or anti join to before the bit set, and then shuffles every text or signature."""
+    texts = spark.createDataFrame([(i % 90, f"t{i}") for i in range(100)] + [(None, "n")], "rep long, text string")
+    ids = spark.createDataFrame([(i,) for i in (3, 5, 95)], "id long")
+    found = neardup.only(texts, "rep", ids)
+    assert sorted(map(tuple, found.collect())) == [(3, "t3"), (3, "t93"), (5, "t5"), (5, "t95")]
+    marks = [(i, i, 0, [i]) for i in range(40)] + [(50, 7, 0, [7])]
+    filled = spark.createDataFrame(marks, "doc long, d1 long, d2 long, signature array<int>")
+    known = spark.createDataFrame([(d, a, b, a, 1) for d, a, b, _ in marks], "doc long, d1 long, d2 long, rep long, m long")
+    signed = neardup.first_rows(filled, known).where("rep >= 0")
+    for df in (found, signed):
+        lines = df._jdf.queryExecution().optimizedPlan().toString().split("\n")
+        joins = [i for i, x in enumerate(lines) if "Join Inner" in x]
+        assert not any("LeftSemi" in x or "LeftAnti" in x for x in lines)
+        assert any("getbit" in lines[j] for i in joins for j in joins if i < j)  # the bit set is below the join by key
+
+
 def test_pairs_at_the_threshold_pass_the_signature():
     chance = neardup.PERCENT / 100
     lost = sum(math.comb(neardup.WIDTH, k) * chance**k * (1 - chance) ** (neardup.WIDTH - k) for k in range(neardup.AGREE))
