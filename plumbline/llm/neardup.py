@@ -10,7 +10,8 @@ with all. Nodes whose documents already form one class are done; large ones with
 must agree in four bits of enough minwise hashes and are then confirmed on the full sets. Documents with equal sets are joined before.
 
 Nodes that further branching doesn't part are dense: all their documents are compared all with all on the full sets, block by
-block, as products of 0/1 matrices. That work grows with the square of a dense node that holds several classes.
+block, as products of 0/1 matrices, where the sizes of their sets allow a link. That work grows with the square of a dense node
+that holds several classes.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ SMALL, DEEPEST = 32, 6
 #: Documents, and shingles of all of them, in a block of a dense node (expected; a longer document is a block of its own or
 #: makes its block longer); shingles that are columns of a matrix at a time.
 BLOCK, BLOCK_SHINGLES, COLUMNS = 512, 1 << 20, 2048
+#: A dense node of more blocks is cut by the size of the sets first: a document then meets the blocks of up to three bands.
+UNCUT = 3
 #: A child that keeps so much of its node is dense: its documents are too alike to part by further branching.
 DENSE = 0.6
 RECALL_DEPTH, RECALL = 3, 0.9995
@@ -233,10 +236,14 @@ class Join:
         met = pairs.join(left, "a").join(right, "b")
         return met.select("a", "b", agreeing(F.col("sa"), F.col("sb")).alias("agree")).where(F.col("agree") >= AGREE)
 
+    def sets_of(self, ids: DataFrame) -> DataFrame:
+        """(rep, set) of the documents in ``ids`` (one column) and of few others, which no join by ``rep`` meets: whatever the
+        size of ``ids``, no text is shuffled."""
+        return written(full_sets(among(self.texts, "rep", ids), self.kind))
+
     def confirm(self, pairs: DataFrame) -> None:
         """Joins the classes of the pairs (a, b) that the full sets confirm."""
-        ids = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
-        sets = written(full_sets(only(self.texts, "rep", ids), self.kind))
+        sets = self.sets_of(pairs.select(F.col("a").alias("rep")).union(pairs.select("b")))
         held = (among(sets, "rep", pairs.select(c)) for c in "ab")
         left, right = (x.select(F.col("rep").alias(c), F.col("set").alias(f"s{c}")) for c, x in zip("ab", held))
         true = written(pairs.join(left, "a").join(right, "b").where(similar(F.col("sa"), F.col("sb"))).select("a", "b"))
@@ -245,8 +252,7 @@ class Join:
 
     def compare_all(self, pool: DataFrame) -> None:
         """Joins the classes that any similar pair of a node of ``pool`` (node, rep, guest, label) links."""
-        texts = only(self.texts, "rep", pool.select("rep").distinct())
-        sets = written(full_sets(texts, self.kind).where(F.size("set") > 0))
+        sets = self.sets_of(pool.select("rep")).where(F.size("set") > 0)
         true = written(dense_links(pool, sets, self.kind).distinct())
         if not true.isEmpty():
             self.labels = joined_classes(self.labels, true)
@@ -320,31 +326,59 @@ def dense_pools(nodes: DataFrame) -> DataFrame:
     return members.withColumnRenamed("pool", "node")
 
 
-def dense_links(pool: DataFrame, sets: DataFrame, kind: str) -> DataFrame:
-    """(a, b) that link what the similar pairs of different labels in each node of ``pool`` (node, rep, guest, label) link;
-    ``sets`` (rep, set). Blocks of documents are compared with each other, each pair of blocks in a group of its own."""
-    sizes = sets.groupBy("rep").agg(F.sum(F.size("set")).alias("size"))
+def band(size: Column) -> Column:
+    """Band of a set's size. Similar sets are in one band or in neighbouring ones: the smaller has PERCENT hundredths of the
+    larger at least, and a band is a little wider than that (far more than logarithms are inexact)."""
+    return F.floor(F.log(size) / F.lit(math.log(100.1 / PERCENT)))
+
+
+def around(column: str) -> Column:
+    """One row for each of the value in ``column`` and its two neighbours."""
+    return F.explode(F.array(*(F.col(column) + i for i in (-1, 0, 1)))).alias(column)
+
+
+def dense_rows(pool: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, xpart, ypart, part, rep, label, set): the documents of each pair of blocks that is to be compared. ``pool`` (node,
+    rep, guest, label), ``sets`` (rep, set).
+
+    Sizes of sets rule most pairs out: a guest without a host of its band or a neighbouring one is left out, and the blocks of
+    a node of many blocks hold one band each and meet those of the bands beside it.
+    """
+    sets = sets.withColumn("band", band(F.size("set")))
+    sizes = sets.groupBy("rep", "band").agg(F.sum(F.size("set")).alias("size"))
     pool = written(pool.join(sizes, "rep"))
+    hosts = pool.where("not guest")
+    guests = pool.where("guest").join(hosts.select("node", around("band")).distinct(), ["node", "band"])
+    pool = written(hosts.unionByName(guests))
     shares = lambda by: pool.groupBy(*by).agg(F.count("*").alias("m"), F.sum("size").alias("s"))
     parts = F.ceil(F.greatest(F.col("m") / BLOCK, F.col("s") / BLOCK_SHINGLES))
     # classes that fill a block have blocks of their own: these aren't compared with each other
     large = shares(["node", "guest", "label"]).where((F.col("m") >= BLOCK) | (F.col("s") >= BLOCK_SHINGLES))
     homes = pool.join(large.select("node", "guest", "label", F.lit(True).alias("own")), ["node", "guest", "label"], "left")
     homes = homes.withColumn("home", F.when(F.col("own"), F.xxhash64(F.col("label").cast("string"))).otherwise(F.lit(0)))
-    homes = written(homes.select("node", "guest", "home", "rep", "label", "size"))
-    many = homes.groupBy("node", "guest", "home").agg(F.count("*").alias("m"), F.sum("size").alias("s"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-    many = many.select("node", "guest", "home", parts.alias("k"), F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("one"))
+    cut = shares(["node", "guest"]).where("not guest").where(parts > UNCUT).select("node", F.lit(True).alias("cut"))
+    homes = homes.join(cut, "node", "left").withColumn("cell", F.when(F.col("cut"), F.col("band")).otherwise(F.lit(0)))
+    homes = written(homes.select("node", "guest", "home", "cell", "rep", "band", "label", "size"))
+    many = homes.groupBy("node", "guest", "home", "cell").agg(F.count("*").alias("m"), F.sum("size").alias("s"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    many = many.select("node", "guest", "home", "cell", parts.alias("k"), F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("one"))
     blocks = many.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
-    key = F.xxhash64("guest", "home", "block")
-    blocks = written(blocks.select("node", key.alias("part"), "guest", "one"))
-    x, y = (blocks.select("node", F.col("part").alias(f"{c}part"), F.col("guest").alias(f"{c}guest"), F.col("one").alias(f"{c}one")) for c in "xy")
-    met = x.join(y, "node").where("xpart <= ypart and not (xguest and yguest) and (xone is null or yone is null or xone <> yone)")
+    key = F.xxhash64("guest", "home", "cell", "block")
+    blocks = written(blocks.select("node", "cell", key.alias("part"), "guest", "one"))
+    x, y = (blocks.select("node", "cell", F.col("part").alias(f"{c}part"), F.col("guest").alias(f"{c}guest"), F.col("one").alias(f"{c}one")) for c in "xy")
+    x = x.select("node", around("cell"), "xpart", "xguest", "xone")
+    met = x.join(y, ["node", "cell"]).where("xpart <= ypart and not (xguest and yguest) and (xone is null or yone is null or xone <> yone)")
     sides = F.when(F.col("xpart") == F.col("ypart"), F.array("xpart")).otherwise(F.array("xpart", "ypart"))
     tasks = met.select("node", "xpart", "ypart", F.explode(sides).alias("part"))
-    placed = homes.join(many.select("node", "guest", "home", "k"), ["node", "guest", "home"])
+    placed = homes.join(many.select("node", "guest", "home", "cell", "k"), ["node", "guest", "home", "cell"])
     placed = placed.withColumn("block", F.pmod(F.xxhash64(F.col("rep").cast("string"), F.lit(1)), F.col("k")))
-    placed = placed.select("node", key.alias("part"), "rep", "label")
-    rows = placed.join(tasks, ["node", "part"]).join(sets, "rep").select("node", "xpart", "ypart", "part", "rep", "label", "set")
+    placed = placed.select("node", key.alias("part"), "rep", "band", "label").join(tasks, ["node", "part"])
+    held = among(sets, "rep", homes.select("rep"))
+    return placed.join(held, ["rep", "band"]).select("node", "xpart", "ypart", "part", "rep", "label", "set")
+
+
+def dense_links(pool: DataFrame, sets: DataFrame, kind: str) -> DataFrame:
+    """(a, b) that link what the similar pairs of different labels in each node of ``pool`` (node, rep, guest, label) link;
+    ``sets`` (rep, set). Blocks of documents are compared with each other, each pair of blocks in a group of its own."""
 
     def run(table: pa.Table) -> pa.Table:
         part = table.column("part").to_numpy()
@@ -355,7 +389,7 @@ def dense_links(pool: DataFrame, sets: DataFrame, kind: str) -> DataFrame:
         a, b = (reps.take(pa.array([x[i] for x in links], pa.int64())) for i in (0, 1))
         return pa.table({"a": a, "b": b})
 
-    return rows.groupBy("node", "xpart", "ypart").applyInArrow(run, f"a {kind}, b {kind}")
+    return dense_rows(pool, sets).groupBy("node", "xpart", "ypart").applyInArrow(run, f"a {kind}, b {kind}")
 
 
 def leaders(nodes: DataFrame) -> DataFrame:
@@ -399,7 +433,7 @@ def linked(marks: DataFrame, texts: DataFrame, kind: str, links: DataFrame) -> D
         if depth == 1:  # nothing above: a document is dense if so many of its tokens lead to large nodes
             alike = F.count("*").over(Window.partitionBy("rep")) >= DENSE * chosen(trees())
         large = written(large.select("node", "rep", "n", (~alike if depth < DEEPEST else F.lit(False)).alias("guest")))
-        dense.append(large.join(large.where("not guest").select("node").distinct(), "node"))
+        dense.append(only(large, "node", large.where("not guest").select("node").distinct()))
         ahead = large.where("guest")
         if ahead.isEmpty():
             break

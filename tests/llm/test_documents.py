@@ -209,6 +209,57 @@ def test_links_of_dense_blocks(spark, monkeypatch, seed):
     assert classes(made) == classes(want)
 
 
+def test_bands_of_similar_sets_are_neighbours(spark):
+    """Every size up to 3,000 with the largest that may be similar to it, and sizes of many digits."""
+    sizes = [*range(1, 3000), *(10**k + i for k in range(4, 10) for i in range(-9, 9))]
+    df = spark.createDataFrame([(n, n * 100 // neardup.PERCENT) for n in sizes], "n long, m long")
+    apart = [r.d for r in df.select((neardup.band(F.col("m")) - neardup.band(F.col("n"))).alias("d")).collect()]
+    assert set(apart) == {0, 1}
+
+
+def test_dense_blocks_meet_only_where_sizes_allow_a_link(spark, monkeypatch):
+    """Hosts of very different sizes share no group, a guest without a host of about its size is in none, no link is lost."""
+    monkeypatch.setattr(neardup, "BLOCK", 4)
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 60, 700)
+    members = [(10, i, False) for i in range(12)] + [(600, 20 + i, False) for i in range(12)] + [(12, 40, True), (590, 41, True)]
+    members += [(90, 50 + i, True) for i in range(30)]
+    sets = {i: base[: n + i % 3].tolist() for n, i, _ in members}
+    pool = spark.createDataFrame([(1, i, guest, i) for _, i, guest in members], "node long, rep long, guest boolean, label long")
+    held = spark.createDataFrame(list(sets.items()), "rep long, set array<long>")
+    groups = {}
+    for r in neardup.dense_rows(pool, held).collect():
+        groups.setdefault((r.xpart, r.ypart), []).append(r.rep)
+    assert {x for reps in groups.values() for x in reps} == {i for n, i, _ in members if n != 90}
+    assert all(len({len(sets[x]) > 100 for x in reps}) == 1 and len(reps) == len(set(reps)) for reps in groups.values())
+    links = {frozenset(r) for r in neardup.dense_links(pool, held, "long").collect()}
+    top = {i: i for i in sets}
+    for i, j in sorted(map(sorted, links)):
+        top = {k: min(top[i], top[j]) if v in (top[i], top[j]) else v for k, v in top.items()}
+    assert {i: x for i, x in top.items() if x != i} == {**dict.fromkeys([*range(1, 12), 40], 0), **dict.fromkeys([*range(21, 32), 41], 20)}
+
+
+def test_texts_are_not_shuffled_by_pairs(spark, monkeypatch):
+    """However many documents are confirmed: a join by key would shuffle their texts once it is no broadcast."""
+    read, full_sets = [], neardup.full_sets
+    monkeypatch.setattr(neardup, "full_sets", lambda df, kind: read.append(df) or full_sets(df, kind))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        base = prose(80, 3)
+        texts = spark.createDataFrame([(i, base if i < 3 else prose(80, i)) for i in range(20)], "rep long, text string")
+        marks = neardup.signatures(texts, "rep", "text").select(F.col("doc").alias("rep"), "signature")
+        join = neardup.Join(marks, texts, "long", spark.createDataFrame([], "a long, b long"))
+        join.confirm(spark.createDataFrame([(0, 1), (2, 5)], "a long, b long"))
+        assert {tuple(r) for r in join.labels.collect()} == {(0, 0), (1, 0)}
+        join.compare_all(spark.createDataFrame([(9, i, False, max(i, 1)) for i in (1, 2, 6)], "node long, rep long, guest boolean, label long"))
+        assert {tuple(r) for r in join.labels.collect()} == {(0, 0), (1, 0), (2, 0)}
+        plans = [df._jdf.queryExecution().executedPlan().toString() for df in read]
+        assert len(plans) == 2 and not any("SortMergeJoin" in p or "ShuffledHashJoin" in p for p in plans)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_signature_is_read_once_for_all_nodes_of_a_document(spark):
     """Children of several nodes of a document in one row; pools without a join of all memberships by document."""
     marks = [neardup.minwise(neardup.shingles(prose(60, i).encode())) for i in range(3)]
