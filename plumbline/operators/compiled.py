@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import shared_folder, ship
+from .forest import Forest
 from .models import TrainedModel
 
 #: Cells (rows x trees) walked at once.
@@ -31,15 +32,18 @@ def node_table(spark: SparkSession, model: TrainedModel) -> DataFrame:
     """(classifier, tree, node, feature, threshold, left, right, prediction, stats, gain) of a tree ensemble.
 
     A leaf has no children (-1). ``stats`` are the weighted class counts of a forest's node; of a boosted tree's node they
-    begin with its weighted count. Read from the model as Spark saves it, in the folder of ``spark.checkpoint.dir``.
+    begin with its weighted count. Spark ML's models are read as Spark saves them, in the folder of ``spark.checkpoint.dir``.
     """
     parts = []
     for i, classifier in enumerate(model.classifiers):
-        if not isinstance(classifier, (RandomForestClassificationModel, GBTClassificationModel)):
+        if isinstance(classifier, Forest):
+            node = classifier.node_table(spark).select("treeID", "nodeData.*")
+        elif isinstance(classifier, (RandomForestClassificationModel, GBTClassificationModel)):
+            path = f"{shared_folder(spark).rstrip('/')}/{uuid.uuid4().hex}"
+            classifier.write().save(path)
+            node = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*")
+        else:
             raise ValueError(f"{model.name} has no trees")
-        path = f"{shared_folder(spark).rstrip('/')}/{uuid.uuid4().hex}"
-        classifier.write().save(path)
-        node = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*")
         parts.append(
             node.select(
                 F.lit(i).alias("classifier"),

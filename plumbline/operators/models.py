@@ -2,6 +2,7 @@
 
 A trained model is one ``PipelineModel``: a vector assembler and one or more classifiers. It
 scores by adding a probability array, so it plugs into batch scoring and stress tests.
+Forests are Spark ML's, but grown and kept by ``forest``, whose cost goes with the rows.
 """
 
 from __future__ import annotations
@@ -18,7 +19,6 @@ from pyspark.ml.classification import (
     GBTClassifier,
     LogisticRegression,
     RandomForestClassificationModel,
-    RandomForestClassifier,
 )
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.util import inheritable_thread_target
 
 from ..session import held
-from . import evaluate, scoring
+from . import evaluate, forest, scoring
 
 LOGISTIC, FOREST, BOOSTED = "Logistic Regression", "Random Forest", "XGBoost"
 KINDS = (LOGISTIC, FOREST, BOOSTED)
@@ -58,6 +58,8 @@ class TrainedModel:
         """Add the class probabilities; nothing else of the pipeline's output stays."""
         if list(features) != self.features:
             raise ValueError(f"{self.name} was trained on {self.features}")
+        if isinstance(self.classifiers[0], forest.Forest):
+            return self.classifiers[0].attach(df, features, column)
         scored = self.pipeline.transform(df)
         arrays = [vector_to_array(F.col(c.getProbabilityCol())) for c in self.classifiers]
         if len(arrays) == 1:
@@ -72,6 +74,8 @@ class TrainedModel:
 
     def importance(self) -> list[tuple[str, float]] | None:
         """(feature, importance) pairs; None for models without importances."""
+        if isinstance(self.classifiers[0], forest.Forest):
+            return list(zip(self.features, self.classifiers[0].importances().tolist()))
         if not all(
             isinstance(c, (RandomForestClassificationModel, GBTClassificationModel)) for c in self.classifiers
         ):
@@ -82,7 +86,7 @@ class TrainedModel:
 
 
 def estimators(kind: str, rows: int, n_classes: int, target: str, **params) -> list:
-    """The classifiers behind a kind: one, or one per class for boosting with three or more classes."""
+    """Spark ML's classifiers behind a kind: one, or one per class for boosting with three or more classes."""
     seed = params.get("random_state", 42)
     if kind == LOGISTIC:
         # mean loss + regParam / 2 * |w|^2 equals the sum form C * loss + |w|^2 / 2 divided by C * rows
@@ -96,23 +100,6 @@ def estimators(kind: str, rows: int, n_classes: int, target: str, **params) -> l
                 standardization=False,
             )
         ]
-    if kind == FOREST:
-        depth = params.get("max_depth")
-        if depth is not None and depth > DEEPEST:
-            raise ValueError(f"max_depth must be at most {DEEPEST}, or None for no limit")
-        if params.get("min_samples_split", 2) != 2:
-            # Spark limits the rows of a child, not of the node that is split
-            raise ValueError("min_samples_split other than 2 is not supported; use min_samples_leaf")
-        return [
-            RandomForestClassifier(
-                featuresCol=_FEATURES,
-                labelCol=target,
-                numTrees=params.get("n_estimators", 100),
-                maxDepth=DEEPEST if depth is None else depth,
-                minInstancesPerNode=params.get("min_samples_leaf", 1),
-                seed=seed,
-            )
-        ]
     if kind == BOOSTED:
         targets = [target] if n_classes <= 2 else [f"__is_{c}" for c in range(n_classes)]
         return [
@@ -129,6 +116,26 @@ def estimators(kind: str, rows: int, n_classes: int, target: str, **params) -> l
     raise ValueError(f"Unknown model: {kind}")
 
 
+def grown(df: DataFrame, features: Sequence[str], target: str, rows: int, n_classes: int, **params) -> forest.Forest:
+    depth = params.get("max_depth")
+    if depth is not None and depth > DEEPEST:
+        raise ValueError(f"max_depth must be at most {DEEPEST}, or None for no limit")
+    if params.get("min_samples_split", 2) != 2:
+        # Spark limits the rows of a child, not of the node that is split
+        raise ValueError("min_samples_split other than 2 is not supported; use min_samples_leaf")
+    return forest.fit(
+        df,
+        features,
+        target,
+        rows,
+        n_classes,
+        n_trees=params.get("n_estimators", 100),
+        depth=DEEPEST if depth is None else depth,
+        least=params.get("min_samples_leaf", 1),
+        seed=params.get("random_state", 42),
+    )
+
+
 def fit(
     kind: str, df: DataFrame, features: Sequence[str], target: str = "y", name: str | None = None, **params
 ) -> TrainedModel:
@@ -140,6 +147,8 @@ def fit(
     if not shape["n"]:
         raise ValueError("no rows to train on")
     n_classes = int(shape["top"]) + 1
+    if kind == FOREST:
+        return TrainedModel(name or kind, PipelineModel([assembler, grown(df, features, target, shape["n"], n_classes, **params)]))
     rows = assembler.transform(df.select(*features, F.col(target).cast("double").alias(target)))
     chosen = estimators(kind, shape["n"], n_classes, target, **params)
     one_vs_rest = len(chosen) > 1
