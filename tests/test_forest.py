@@ -7,6 +7,8 @@ import pytest
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 
+import catalog
+from catalog import training
 from plumbline.operators import draws, forest, models
 
 NAMES = ["a", "b", "c d", "e", "f"]
@@ -123,3 +125,32 @@ def test_draws_are_those_of_the_jvm(spark):
     random, mine = jvm.java.util.Random(11), draws.Subsets(11, 64, 8)
     assert mine._longs(6).view(np.int64).tolist() == [random.nextLong() for _ in range(6)]
     assert sorted(draws.map_order(range(100))) == [*range(100)] and draws.map_order([50, 3, 77, 12, 80]) != [3, 12, 50, 77, 80]
+
+
+@pytest.fixture(scope="module")
+def vectors(spark, tmp_path_factory):
+    """A folder with 200 vectors of ten classes, their split, and Spark ML's forest on the training rows."""
+    folder = str(tmp_path_factory.mktemp("vectors"))
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(200, 64)).astype(np.float32), rng.integers(0, 10, 200)
+    rows = [(i, v.tolist(), int(k)) for i, (v, k) in enumerate(zip(x, y))]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{folder}/embeddings.parquet")
+    df = training.rows(spark, folder)
+    table = VectorAssembler(inputCols=training.COLUMNS, outputCol="v").transform(df.withColumn("label", df.y.cast("double")))
+    told = RandomForestClassifier(featuresCol="v", labelCol="label", numTrees=100, maxDepth=30, seed=42).fit(table.filter("split = 'train'"))
+    return folder, told, table
+
+
+def asked(spark, folder, name, most_jobs):
+    """The rows of a query; no more jobs than given, as there would be with jobs for each level of the trees."""
+    out = []
+    jobs = jobs_of(spark, lambda: out.extend(catalog.load()[name].run(spark, folder).collect()))
+    assert jobs <= most_jobs
+    return out
+
+
+def test_top_features_are_spark_mls(spark, vectors):
+    folder, told, _ = vectors
+    got = asked(spark, folder, "m13_top_features", 32)
+    want = sorted(((-round(v, 6), f) for v, f in zip(told.featureImportances.toArray(), training.COLUMNS)))[:10]
+    assert [(-r.importance, r.feature) for r in got] == want
