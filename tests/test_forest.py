@@ -154,3 +154,10 @@ def test_top_features_are_spark_mls(spark, vectors):
     got = asked(spark, folder, "m13_top_features", 32)
     want = sorted(((-round(v, 6), f) for v, f in zip(told.featureImportances.toArray(), training.COLUMNS)))[:10]
     assert [(-r.importance, r.feature) for r in got] == want
+
+
+def test_metrics_are_those_of_spark_mls_predictions(spark, vectors):
+    folder, told, table = vectors
+    got = {r.split: r for r in asked(spark, folder, "m2_random_forest", 34)}
+    rows = told.transform(table).selectExpr("split", "cast(prediction = label AS double) AS hit").groupBy("split").avg("hit").collect()
+    assert {r[0]: round(r[1], 6) for r in rows} == {s: r.accuracy for s, r in got.items()} and len(got) == 3
