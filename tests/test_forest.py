@@ -156,6 +156,13 @@ def test_top_features_are_spark_mls(spark, vectors):
     assert [(-r.importance, r.feature) for r in got] == want
 
 
+def test_importances_are_spark_mls(spark, vectors):
+    folder, told, _ = vectors
+    got = asked(spark, folder, "m12_feature_importance", 33)
+    assert len(got) == 64 and [r.importance for r in got] == sorted((r.importance for r in got), reverse=True)
+    assert {r.feature: r.importance for r in got} == pytest.approx(dict(zip(training.COLUMNS, told.featureImportances.toArray())), abs=1e-6)
+
+
 def test_metrics_are_those_of_spark_mls_predictions(spark, vectors):
     folder, told, table = vectors
     got = {r.split: r for r in asked(spark, folder, "m2_random_forest", 34)}
