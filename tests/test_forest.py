@@ -168,3 +168,8 @@ def test_metrics_are_those_of_spark_mls_predictions(spark, vectors):
     got = {r.split: r for r in asked(spark, folder, "m2_random_forest", 34)}
     rows = told.transform(table).selectExpr("split", "cast(prediction = label AS double) AS hit").groupBy("split").avg("hit").collect()
     assert {r[0]: round(r[1], 6) for r in rows} == {s: r.accuracy for s, r in got.items()} and len(got) == 3
+
+
+def test_all_rows_are_scored_soundly(spark, vectors):
+    got = asked(spark, vectors[0], "m2_forest_soundness", 32)
+    assert [r.asDict() for r in got] == [{"rows": 200, "sums": 200, "labels": 200, "known": 200}]
