@@ -70,8 +70,9 @@ class Tree:
     stats: np.ndarray
     importance: np.ndarray
 
-    def packed(self) -> list[bytes]:
-        return [x.tobytes() for x in (self.feature, self.bin, self.link, self.stats, self.importance)]
+    def row(self, number: int) -> pa.RecordBatch:
+        packed = [x.tobytes() for x in (self.feature, self.bin, self.link, self.stats, self.importance)]
+        return pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), *[pa.array([b], pa.binary()) for b in packed]], _TREE_NAMES)
 
     @classmethod
     def unpacked(cls, row, classes: int) -> Tree:
@@ -388,7 +389,7 @@ def fit(
             del parts
             subsets = draws.Subsets(seed ^ g * 0x9E3779B97F4A7C15, len(features), tried)
             for t, tree in grow(x, y, counts, trees, classes, subsets, depth, least).items():
-                yield pa.RecordBatch.from_arrays([pa.array([t], pa.int32()), *[pa.array([b], pa.binary()) for b in tree.packed()]], _TREE_NAMES)
+                yield tree.row(t)
 
     dealt = plain.mapInArrow(deal, "g int, x binary, y binary, counts binary").repartitionById(tasks, F.col("g"))
     trees = {r["tree"]: Tree.unpacked(r, classes) for b in dealt.mapInArrow(grown, _TREE).toArrow().to_batches() for r in b.to_pylist()}
@@ -401,6 +402,7 @@ class Forest(Model, MLReadable, MLWritable):
     def __init__(self, n_features: int = 0, classes: int = 0, thresholds: Sequence[np.ndarray] = (), trees: Sequence[Tree] = ()):
         super().__init__()
         self.n_features, self.classes, self.thresholds, self.trees = n_features, classes, list(thresholds), list(trees)
+        self._sent = None
 
     @property
     def treeWeights(self) -> list[float]:  # noqa: N802  as Spark ML's models have it
@@ -426,8 +428,7 @@ class Forest(Model, MLReadable, MLWritable):
 
     def attach(self, df: DataFrame, features: Sequence[str], column: str) -> DataFrame:
         """Add the class probabilities of each row."""
-        ship(df.sparkSession)
-        model = df.sparkSession.sparkContext.broadcast((self.classes, self.thresholds, self.trees))
+        model = self._shared(df.sparkSession)
         n, classes, names = self.n_features, self.classes, [f.name for f in df.schema] + [column]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -440,24 +441,30 @@ class Forest(Model, MLReadable, MLWritable):
 
         return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(column, T.ArrayType(T.DoubleType()))]))
 
-    def _frame(self, spark: SparkSession) -> DataFrame:
-        """The trees as they are packed, one row each."""
-        columns = zip(*[(t, *tree.packed()) for t, tree in enumerate(self.trees)])
-        table = pa.Table.from_arrays([pa.array(c, pa.binary() if i else pa.int32()) for i, c in enumerate(columns)], _TREE_NAMES)
-        return spark.createDataFrame(table, _TREE)
-
-    def node_table(self, spark: SparkSession) -> DataFrame:
-        """(treeID, nodeData): a row per node, in the columns of Spark ML's saved forests."""
+    def _shared(self, spark: SparkSession):
+        """(classes, thresholds, trees), broadcast once: they go from file to file, past the heap of the driver's JVM."""
         ship(spark)
-        thresholds, classes = self.thresholds, self.classes
+        context = spark.sparkContext
+        if self._sent is None or self._sent[0] != context.applicationId:
+            self._sent = (context.applicationId, context.broadcast((self.classes, self.thresholds, self.trees)))
+        return self._sent[1]
+
+    def _by_tree(self, spark: SparkSession, row, schema: str) -> DataFrame:
+        """What ``row`` makes of the thresholds, each tree and its number."""
+        model = self._shared(spark)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for r in batch.to_pylist():
-                    yield Tree.unpacked(r, classes).nodes(thresholds, r["tree"])
+                for t in batch.column(0).to_pylist():
+                    _, thresholds, trees = model.value
+                    yield row(thresholds, trees[t], t)
 
-        spread = self._frame(spark).repartition(max(1, min(len(self.trees), spark.sparkContext.defaultParallelism)))
-        return spread.mapInArrow(run, f"treeID int, nodeData struct<{NODE}>")
+        slices = max(1, min(len(self.trees), spark.sparkContext.defaultParallelism))
+        return spark.range(0, len(self.trees), 1, slices).mapInArrow(run, schema)
+
+    def node_table(self, spark: SparkSession) -> DataFrame:
+        """(treeID, nodeData): a row per node, in the columns of Spark ML's saved forests."""
+        return self._by_tree(spark, lambda thresholds, tree, t: tree.nodes(thresholds, t), f"treeID int, nodeData struct<{NODE}>")
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
         raise NotImplementedError("a forest is attached to its feature columns")
@@ -486,7 +493,7 @@ class _Writer(MLWriter):
         forest = self.forest
         told = {"nFeatures": forest.n_features, "classes": forest.classes, "thresholds": [t.tolist() for t in forest.thresholds]}
         DefaultParamsWriter.saveMetadata(forest, path, self.sparkSession, extraMetadata={"forest": json.dumps(told)})
-        forest._frame(self.sparkSession).write.parquet(f"{path}/data")
+        forest._by_tree(self.sparkSession, lambda _, tree, t: tree.row(t), _TREE).write.parquet(f"{path}/data")
 
 
 class _Reader(MLReader):

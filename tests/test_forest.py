@@ -173,3 +173,17 @@ def test_metrics_are_those_of_spark_mls_predictions(spark, vectors):
 def test_all_rows_are_scored_soundly(spark, vectors):
     got = asked(spark, vectors[0], "m2_forest_soundness", 32)
     assert [r.asDict() for r in got] == [{"rows": 200, "sums": 200, "labels": 200, "known": 200}]
+
+
+def test_top_features_by_nodes_agree(spark, vectors):
+    got = asked(spark, vectors[0], "m13_top_features_by_nodes", 50)
+    assert sorted(r.place for r in got) == [*range(1, 11)] and all(r.same_feature and r.same_importance and r.shown == 10 for r in got)
+
+
+def test_nodes_are_not_in_the_plan(spark):
+    """The nodes reach the tasks by one broadcast, whatever is asked of them, not through the driver's heap."""
+    model = models.fit(models.FOREST, noise(spark, 200, 3), NAMES, n_estimators=4)
+    nodes = model.classifiers[0].node_table(spark)
+    assert "Range (0, 4" in nodes._jdf.queryExecution().optimizedPlan().toString()
+    assert model.classifiers[0]._shared(spark) is model.classifiers[0]._shared(spark)
+    assert nodes.count() == sum(len(t.feature) for t in model.classifiers[0].trees)
