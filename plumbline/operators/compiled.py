@@ -22,9 +22,6 @@ from ..session import shared_folder, ship
 from .forest import Forest
 from .models import TrainedModel
 
-#: Cells (rows x trees) walked at once.
-STEP_CELLS = 1 << 20
-
 NODES = ["classifier", "tree", "node", "feature", "threshold", "left", "right", "prediction", "stats", "gain"]
 
 
@@ -95,51 +92,69 @@ class _Linear:
         return odds / odds.sum(axis=1, keepdims=True)
 
 
+PACKED = "classifier int, tree int, feature binary, threshold binary, left binary, right binary, rows binary"
+
+
+def packed(nodes: DataFrame, boosted: bool) -> DataFrame:
+    """A row for each tree, with its nodes as arrays; ``rows`` has the distinct leaf values, ``left`` of a leaf is the complement of its row."""
+    names = [f.split()[0] for f in PACKED.split(", ")]
+
+    def pack(table: pa.Table) -> pa.Table:
+        table = table.sort_by("node")
+        feature, left, right = (table[c].to_numpy().astype(np.int32) for c in ("feature", "left", "right"))
+        leaf = left < 0
+        threshold = np.where(leaf, np.inf, table["threshold"].to_numpy()).astype(np.float64)
+        if boosted:
+            values = table["prediction"].to_numpy().astype(np.float64)[:, None]
+        else:
+            stats = table["stats"].combine_chunks().flatten().to_numpy().reshape(len(left), -1)
+            values = stats / np.maximum(stats.sum(axis=1, keepdims=True), 1e-300)
+        rows, row = np.unique(values[leaf], axis=0, return_inverse=True)
+        left[leaf] = ~row.ravel()
+        ids = [pa.array([table[c][0].as_py()], pa.int32()) for c in names[:2]]
+        return pa.Table.from_arrays([*ids, *[pa.array([x.tobytes()], pa.binary()) for x in (feature, threshold, left, right, rows)]], names)
+
+    return nodes.groupBy("classifier", "tree").applyInArrow(pack, PACKED)
+
+
 class _Trees:
-    """All trees of one classifier as arrays over their nodes, one tree after the other."""
-
-    def __init__(self, nodes: list, weights: Sequence[float], boosted: bool):
-        nodes = sorted(nodes, key=lambda r: (r["tree"], r["node"]))
-        begin: dict = {}
-        for i, r in enumerate(nodes):
-            begin.setdefault(r["tree"], i)
-        base = np.array([begin[r["tree"]] for r in nodes])
-        leaf = np.array([r["left"] < 0 for r in nodes])
-        own = np.arange(len(nodes))
-        self.roots = np.array(sorted(begin.values()))
-        self.feature = np.array([max(r["feature"], 0) for r in nodes])
-        self.threshold = np.array([np.inf if r["threshold"] is None else r["threshold"] for r in nodes], np.float64)
-        self.left = np.where(leaf, own, base + np.array([r["left"] for r in nodes]))
-        self.right = np.where(leaf, own, base + np.array([r["right"] for r in nodes]))
-        self.boosted, self.weights = boosted, np.array(weights, np.float64)
-        stats = [[r["prediction"]] if boosted else r["stats"] for r in nodes]
-        values = np.array(stats, np.float64)
-        self.values = values if boosted else values / np.maximum(values.sum(axis=1, keepdims=True), 1e-300)
-
-    def leaves(self, x: np.ndarray) -> np.ndarray:
-        """The leaf that each row (down) reaches in each tree (across)."""
-        at = np.tile(self.roots, (len(x), 1))
-        rows = np.arange(len(x))[:, None]
-        while True:
-            down = np.where(x[rows, self.feature[at]] <= self.threshold[at], self.left[at], self.right[at])
-            if (down == at).all():
-                return at
-            at = down
+    """All trees of one classifier, each as arrays over its nodes."""
+
+    def __init__(self, trees: list[dict], weights: Sequence[float], boosted: bool, classes: int):
+        self.boosted, self.weights, self.classes = boosted, np.array(weights, np.float64), 1 if boosted else classes
+        kinds = {"feature": np.int32, "threshold": np.float64, "left": np.int32, "right": np.int32, "rows": np.float64}
+        ordered = sorted(trees, key=lambda r: r["tree"])
+        self.trees = [[np.frombuffer(r[c], kind) for c, kind in kinds.items()] for r in ordered]
+
+    def values(self, x: np.ndarray) -> Iterator[np.ndarray]:
+        """For each tree, the values of the leaf that each row reaches."""
+        for feature, threshold, left, right, rows in self.trees:
+            at, going = np.zeros(len(x), np.int64), np.arange(len(x))
+            while len(going := going[left[at[going]] >= 0]):
+                here = at[going]
+                at[going] = np.where(x[going, feature[here]] <= threshold[here], left[here], right[here])
+            yield rows.reshape(-1, self.classes)[~left[at]]
 
     def probabilities(self, x: np.ndarray) -> np.ndarray:
-        step = max(1, STEP_CELLS // len(self.roots))
-        parts = [self._some(x[a : a + step]) for a in range(0, len(x), step)]
-        return np.concatenate(parts) if parts else np.empty((0, 2))
-
-    def _some(self, x: np.ndarray) -> np.ndarray:
-        found = self.values[self.leaves(x)]
         if self.boosted:
-            positive = 1.0 / (1.0 + np.exp(-2.0 * (found[:, :, 0] @ self.weights)))
+            margin = sum((found[:, 0] * w for found, w in zip(self.values(x), self.weights)), np.zeros(len(x)))
+            positive = 1.0 / (1.0 + np.exp(-2.0 * margin))
             return np.column_stack([1.0 - positive, positive])
-        votes = found.sum(axis=1)
+        votes = sum(self.values(x), np.zeros((len(x), self.classes)))
         return votes / votes.sum(axis=1, keepdims=True)
 
 
+def _probabilities(name: str, parts: list, x: np.ndarray) -> np.ndarray:
+    if np.isnan(x).any():
+        raise ValueError(f"{name}: features without values")
+    each = [p.probabilities(x) for p in parts]
+    if len(each) == 1:
+        return each[0]
+    positive = np.column_stack([e[:, 1] for e in each])
+    total = positive.sum(axis=1, keepdims=True)
+    return np.where(total > 0, positive / np.where(total > 0, total, 1.0), 1.0 / len(each))
+
+
 class Compiled:
     """A scorer (``name``, ``attach``) made of the arrays of a fitted model. Null or NaN features are an error, as in the pipeline."""
 
@@ -149,31 +164,29 @@ class Compiled:
         if any(isinstance(c, LogisticRegressionModel) for c in model.classifiers):
             self.parts = [_Linear(c) for c in model.classifiers]
             return
+        ship(spark)
+        boosted = isinstance(model.classifiers[0], GBTClassificationModel)
         by_classifier: dict = {}
-        for r in node_table(spark, model).toLocalIterator():  # the size of the model, which every task holds anyway
+        rows = packed(node_table(spark, model), boosted).toArrow()  # the size of the model, which every task holds anyway
+        for r in (r for b in rows.to_batches() for r in b.to_pylist()):
             by_classifier.setdefault(r["classifier"], []).append(r)
         for i, c in enumerate(model.classifiers):
-            self.parts.append(_Trees(by_classifier[i], c.treeWeights, isinstance(c, GBTClassificationModel)))
+            classes = c.classes if isinstance(c, Forest) else c.numClasses
+            self.parts.append(_Trees(by_classifier[i], c.treeWeights, boosted, classes))
 
     def probabilities(self, x: np.ndarray) -> np.ndarray:
-        if np.isnan(x).any():
-            raise ValueError(f"{self.name}: features without values")
-        each = [p.probabilities(x) for p in self.parts]
-        if len(each) == 1:
-            return each[0]
-        positive = np.column_stack([e[:, 1] for e in each])
-        total = positive.sum(axis=1, keepdims=True)
-        return np.where(total > 0, positive / np.where(total > 0, total, 1.0), 1.0 / len(each))
+        return _probabilities(self.name, self.parts, x)
 
     def attach(self, df: DataFrame, features: Sequence[str], column: str) -> DataFrame:
         if list(features) != self.features:
             raise ValueError(f"{self.name} was trained on {self.features}")
         ship(df.sparkSession)
+        model = df.sparkSession.sparkContext.broadcast((self.name, self.parts))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 x = np.column_stack([batch.column(f).to_numpy(zero_copy_only=False) for f in features]).astype(np.float64)
-                p = self.probabilities(x)
+                p = _probabilities(*model.value, x)
                 offsets = pa.array(np.arange(len(x) + 1, dtype=np.int32) * p.shape[1])
                 lists = pa.ListArray.from_arrays(offsets, pa.array(p.ravel()))
                 yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, column])

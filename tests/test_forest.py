@@ -9,7 +9,7 @@ from pyspark.ml.feature import VectorAssembler
 
 import catalog
 from catalog import training
-from plumbline.operators import draws, forest, models
+from plumbline.operators import compiled, draws, forest, models
 
 NAMES = ["a", "b", "c d", "e", "f"]
 
@@ -187,3 +187,18 @@ def test_nodes_are_not_in_the_plan(spark):
     assert "Range (0, 4" in nodes._jdf.queryExecution().optimizedPlan().toString()
     assert model.classifiers[0]._shared(spark) is model.classifiers[0]._shared(spark)
     assert nodes.count() == sum(len(t.feature) for t in model.classifiers[0].trees)
+
+
+def test_arrays_agree_with_the_pipeline(spark, vectors):
+    got = asked(spark, vectors[0], "m4_predictions_by_arrays", 85)
+    assert sorted((r.model, r.row_id) for r in got) == sorted((k, i) for k in (models.LOGISTIC, models.FOREST) for i in range(200))
+    assert all(r.same_label and r.same_probabilities for r in got)
+
+
+def test_the_driver_gets_a_row_a_tree(spark):
+    """Not a row a node, of which large forests have millions."""
+    model = models.fit(models.FOREST, noise(spark, 200, 3), NAMES, n_estimators=4)
+    rows = compiled.packed(compiled.node_table(spark, model), False).collect()
+    assert sorted(r.tree for r in rows) == [*range(4)]
+    sizes = {r.tree: len(r.left) // 4 for r in rows}
+    assert sizes == {t: len(tree.feature) for t, tree in enumerate(model.classifiers[0].trees)} and min(sizes.values()) > 50
